@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, cut_lineage, parallelism, per_text, table
+from .common import cut_lineage, parallelism, per_text, table
 
 WINDOW, CLOSING = 2048, 1
 
@@ -30,21 +30,38 @@ WINDOW, CLOSING = 2048, 1
 class WordBpe:
     """Ids of whole texts by a tokenizer that never joins across white space: words are encoded once and remembered."""
 
-    def __init__(self, file: str, limit: int = 300_000):
+    def __init__(self, file: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.memo = Memo(lambda word: self._ids(word), limit)
+        self.memo: dict[str, bytes] = {}
+        self.limit = limit
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _learn(self, words: list[str]) -> None:
+        """Encode unknown words in one call, parted by blanks; a token belongs to the word in which it begins."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        begins = np.cumsum(lengths + 1) - lengths - 1
+        owner = np.searchsorted(begins, [a for a, _ in found.offsets], side="right") - 1
+        ids = np.array(found.ids, "<u4").tobytes()
+        cuts = np.searchsorted(owner, np.arange(len(words) + 1)) * 4
+        self.memo.update({w: ids[a:b] for w, a, b in zip(words, cuts.tolist(), cuts[1:].tolist(), strict=False)})
+
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids. Only blanks, tabs and line ends split; a text with marks of special tokens goes whole."""
         if "<|" in text:
             return self._ids(text)
         memo = self.memo
-        return b"".join([memo[w] for w in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if w])
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        if new := [w for w in dict.fromkeys(words) if w not in memo]:
+            if len(memo) + len(new) > self.limit:
+                memo.clear()
+                new = list(dict.fromkeys(words))
+            self._learn(new)
+        return b"".join([memo[w] for w in words])
 
 
 _LOADED: dict[str, WordBpe] = {}
