@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_byte_bpe": "byte_bpe",
     "op3_bin_slack_packing": "packing",
+    "op7_cnn_toxicity": "cnn_toxicity",
 }
 
 
