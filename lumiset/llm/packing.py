@@ -14,6 +14,7 @@ each; an empty table gives no piece; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,12 +26,13 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, parallelism, per_text, table
 
 WINDOW, CLOSING = 2048, 1
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
 
 class WordBpe:
     """Ids of whole texts by a tokenizer that never joins across white space: words are encoded once and remembered."""
 
-    def __init__(self, file: str, limit: int = 600_000):
+    def __init__(self, file: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
@@ -41,14 +43,23 @@ class WordBpe:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        """Encode unknown words in one call, parted by blanks; a token belongs to the word in which it begins."""
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        """Encode unknown words in one call, parted by blanks; a token belongs to the word in which it begins.
+
+        A word of plain letters is encoded in lower case, and a comma or full stop after it by itself: the tokenizer
+        lower-cases letter by letter and parts letters from other signs, so the ids are the same and fewer words are new.
+        """
+        parts = [m.groups() if (m := PLAIN.fullmatch(w)) else (w, "") for w in words]
+        parts = [(a.lower(), b) if PLAIN.fullmatch(a) else (a, b) for a, b in parts]
+        new = list({x for pair in parts for x in pair}.difference(self.memo))
+        found = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+        lengths = np.fromiter(map(len, new), np.int64, len(new))
         begins = np.cumsum(lengths + 1) - lengths - 1
         owner = np.searchsorted(begins, [a for a, _ in found.offsets], side="right") - 1
         ids = np.array(found.ids, "<u4").tobytes()
-        cuts = np.searchsorted(owner, np.arange(len(words) + 1)) * 4
-        self.memo.update({w: ids[a:b] for w, a, b in zip(words, cuts.tolist(), cuts[1:].tolist(), strict=False)})
+        cuts = (np.searchsorted(owner, np.arange(len(new) + 1)) * 4).tolist()
+        memo = self.memo
+        memo.update({w: ids[a:b] for w, a, b in zip(new, cuts, cuts[1:], strict=False)})
+        memo.update({w: memo[a] + memo[b] for w, (a, b) in zip(words, parts, strict=True)})
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids. Only blanks, tabs and line ends split; a text with marks of special tokens goes whole."""
@@ -56,12 +67,12 @@ class WordBpe:
             return self._ids(text)
         memo = self.memo
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if new := [w for w in dict.fromkeys(words) if w not in memo]:
+        if new := set(words).difference(memo):
             if len(memo) + len(new) > self.limit:
                 memo.clear()
-                new = list(dict.fromkeys(words))
-            self._learn(new)
-        return b"".join([memo[w] for w in words])
+                new = set(words)
+            self._learn(list(new))
+        return b"".join(map(memo.__getitem__, words))
 
 
 _LOADED: dict[str, WordBpe] = {}
