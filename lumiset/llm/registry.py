@@ -8,7 +8,10 @@ import importlib
 MODULES = {
     "op1_byte_bpe": "byte_bpe",
     "op3_bin_slack_packing": "packing",
+    "op4_ppm_language": "ppm_language",
+    "op5_weak_pii": "weak_pii",
     "op7_cnn_toxicity": "cnn_toxicity",
+    "op9_license_dice": "license_dice",
 }
 
 
