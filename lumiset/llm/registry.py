@@ -7,10 +7,12 @@ import importlib
 #: name: module with query(spark, sf_dir), and ORACLE_SQL where SQL can express it
 MODULES = {
     "op1_byte_bpe": "byte_bpe",
+    "op2_posting_ann": "posting_ann",
     "op3_bin_slack_packing": "packing",
     "op4_ppm_language": "ppm_language",
     "op5_weak_pii": "weak_pii",
     "op7_cnn_toxicity": "cnn_toxicity",
+    "op8_tensored_minhash": "tensored_minhash",
     "op9_license_dice": "license_dice",
 }
 
