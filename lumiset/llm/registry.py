@@ -11,9 +11,11 @@ MODULES = {
     "op3_bin_slack_packing": "packing",
     "op4_ppm_language": "ppm_language",
     "op5_weak_pii": "weak_pii",
+    "op6_progressive_jpeg": "progressive_jpeg",
     "op7_cnn_toxicity": "cnn_toxicity",
     "op8_tensored_minhash": "tensored_minhash",
     "op9_license_dice": "license_dice",
+    "op10_chained_substrings": "chained_substrings",
 }
 
 
