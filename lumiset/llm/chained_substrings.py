@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, MIX, WORD, Memo, cut_lineage, mix64, per_text, table, word_hash, word_hashes
+from .common import MIX, WORD, Memo, cut_lineage, mix64, per_text, table, word_hash, word_hashes, words_of
 
 K, SPAN = 6, 12
 MIN_WORDS, IDENTITY = 50, 80
@@ -79,7 +79,7 @@ def seeds(docs: DataFrame, min_words: int) -> DataFrame:
         memo = Memo(word_hash, 250_000)
 
         def row(text: str) -> list[tuple]:
-            words = WORD.findall(text.translate(LOWER))
+            words = words_of(text)
             if len(words) < min_words:
                 return []
             grams = gram_hashes(word_hashes(words, memo))
@@ -241,7 +241,7 @@ def slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 out = []
                 for a, b, text in zip(*(c.to_pylist() for c in part.columns[1:]), strict=True):
                     if text is not last and text != last:
-                        last, hashes = text, word_hashes(WORD.findall(text.translate(LOWER)), memo)
+                        last, hashes = text, word_hashes(words_of(text), memo)
                     out.append(hashes[a:b].tobytes())
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(out, pa.binary())], names=["id", "a", "b", "words"])
 

@@ -93,13 +93,17 @@ class Memo(dict):
         return value
 
 
-def word_hash(word: str) -> int:
+def words_of(text: str) -> list[bytes]:
+    """Words in UTF-8, A-Z in lower case; they are parted by space, tab, LF, VT, FF and CR, as ``WORD`` does."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def word_hash(raw: bytes) -> int:
     """64 bits from two checksums and the length: the same on every machine and Python run."""
-    raw = word.encode("utf-8", "surrogatepass")
     return (zlib.crc32(raw) << 32 | zlib.crc32(raw[::-1] + b"\x01")) ^ (len(raw) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
 
 
-def word_hashes(words: list[str], memo: Memo) -> np.ndarray:
+def word_hashes(words: list[bytes], memo: Memo) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 

@@ -4,8 +4,9 @@ Largest inner product becomes smallest distance by one more component that gives
 fitted by balanced clustering on a bounded sample of ``SAMPLE`` vectors: a cluster takes no more than its share of them.
 Every vector is posted to its nearest centroid, and boundary vectors also to others up to ``COPIES`` whose distance is within
 ``REPLICATE`` of the nearest one's, unless a centroid already chosen is nearer to the other than the vector is. A query walks
-an in-memory graph of the centroids to find the nearest ``PROBES`` and keeps the lists whose distance ratio to the nearest is
-at most ``PRUNE``, but at least ``LEAST``. Lists are scanned in tasks by list and part: a list of many vectors is dealt into
+an in-memory graph of the centroids to find near ones and keeps the lists whose distance ratio to the nearest is within a
+limit, but at least ``LEAST``. Limit and width of the walk come from the sample: they are such that ``AIM`` of the true
+neighbours inside it, of ``TRIALS`` vectors, lie in lists that are kept. Lists are scanned in tasks by list and part: a list of many vectors is dealt into
 parts of bounded size, each scanned by itself, and the best of all parts are merged.
 
 Equal vectors have equal scores, and of these the smaller ids come first, so of each distinct vector only its k + 1 smallest
@@ -32,13 +33,14 @@ from .common import cut_lineage, table
 
 SAMPLE, CENTROIDS, PER_LIST = 20_000, 4096, 128
 COPIES, REPLICATE = 4, 1.15
-PROBES, LEAST, PRUNE = 96, 24, 1.6
+LEAST, AIM, TRIALS = 8, 0.985, 256
 PART = 2048
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v array<double>) of the rows that take part."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
+    kind = dict(vectors.dtypes)[vec_col]
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind if kind == "array<float>" else "array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = rows.where(finite & F.exists("v", lambda x: x != 0))
     size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
@@ -94,6 +96,30 @@ class Index:
     def __init__(self, centroids: np.ndarray, length: float):
         self.c, self.length, self.graph = centroids, length, centroid_graph(centroids)
         self.norm = (centroids**2).sum(1)
+        self.limit, self.width = 1.0, LEAST
+
+    def calibrate(self, x: np.ndarray, k: int = 20, trials: int = TRIALS) -> None:
+        """Set the limit and the width from the true neighbours of some vectors of a sample among all of it."""
+        asked = np.arange(0, len(x), max(1, len(x) // trials))
+        scores = x[asked] @ x.T
+        scores[np.arange(len(asked)), asked] = -np.inf
+        near = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+        lists = dict(zip(np.unique(near).tolist(), self.post(x[np.unique(near)]), strict=True)) if near.size else {}
+        ratios, ranks = [1.0], [0]
+        for q, found in zip(self.aim(x[asked]), near.tolist(), strict=True):
+            d = np.sqrt(np.maximum(self.norm - 2 * self.c @ q + (q**2).sum(), 0))
+            rank = np.argsort(np.argsort(d, kind="stable"))
+            for i in found:
+                best = min(lists[i], key=lambda p: d[p])
+                ratios.append(d[best] / max(d.min(), 1e-12))
+                ranks.append(rank[best])
+        self.limit = float(np.quantile(ratios, AIM))
+        self.width = max(LEAST, int(np.quantile(ranks, AIM)) + 1)
+
+    def aim(self, x: np.ndarray) -> np.ndarray:
+        """Queries as lifted points: by direction only, for their length changes no order."""
+        scale = self.length / np.maximum(np.sqrt((x**2).sum(1)), 1e-300)
+        return np.hstack([x * scale[:, None], np.zeros((len(x), 1))])
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         rest = np.maximum(self.length**2 - (x**2).sum(1), 0)
@@ -120,7 +146,7 @@ class Index:
                 out.append(chosen)
         return out
 
-    def walk(self, q: np.ndarray, width: int = PROBES) -> tuple[np.ndarray, np.ndarray]:
+    def walk(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """The nearest centroids found by a best-first walk of the graph, in beams, and their distances."""
         seen = np.zeros(len(self.c), bool)
         front = np.unique(np.linspace(0, len(self.c) - 1, min(len(self.c), 16)).astype(np.int64))
@@ -143,14 +169,12 @@ class Index:
 
     def route(self, x: np.ndarray) -> list[list[int]]:
         """Lists that each query scans: those within the distance ratio, and a few at least."""
-        # A query is searched by direction only: its lifted component is 0, and its length changes no order.
-        scale = self.length / np.maximum(np.sqrt((x**2).sum(1)), 1e-300)
         out = []
-        for q in np.hstack([x * scale[:, None], np.zeros((len(x), 1))]):
-            ids, d = self.walk(q)
+        for q in self.aim(x):
+            ids, d = self.walk(q, max(LEAST, 2 * self.width))
             order = np.argsort(d, kind="stable")
             distance = np.sqrt(np.maximum(d[order] + (q**2).sum(), 0))
-            good = distance <= PRUNE * max(distance[0], 1e-12)
+            good = distance <= self.limit * max(distance[0], 1e-12)
             good[:LEAST] = True
             out.append(ids[order[good]].tolist())
         return out
@@ -158,13 +182,15 @@ class Index:
 
 def fit(distinct: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, per_list: int = PER_LIST) -> Index | None:
     """An index from a bounded sample of distinct vectors (the smallest by a hash of the vector)."""
-    row = distinct.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("longest")).first()
+    row = distinct.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x))).alias("longest")).first()
     if not row["n"]:
         return None
     rows = distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(sample).collect()
     index = Index(np.zeros((1, 2)), float(row["longest"]) * (1 + 1e-12))
-    lifted = index.lift(np.array([r["v"] for r in rows], float))
-    return Index(balanced_centroids(lifted, min(centroids, max(1, row["n"] // per_list))), index.length)
+    x = np.array([r["v"] for r in rows], float)
+    index = Index(balanced_centroids(index.lift(x), min(centroids, max(1, row["n"] // per_list))), index.length)
+    index.calibrate(x)
+    return index
 
 
 def _mapped(frame: DataFrame, index, method: str) -> DataFrame:
@@ -180,7 +206,7 @@ def _mapped(frame: DataFrame, index, method: str) -> DataFrame:
                 at = pa.array(np.repeat(np.arange(part.num_rows), [len(n) for n in lists]), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array([n for ns in lists for n in ns], pa.int32())], names=["key", "v", "list"])
 
-    return frame.select("key", "v").mapInArrow(run, "key long, v array<double>, list int")
+    return frame.select("key", "v").mapInArrow(run, f"key long, v {dict(frame.dtypes)['v']}, list int")
 
 
 def scan(posted: DataFrame, routed: DataFrame, k: int) -> DataFrame:

@@ -6,12 +6,14 @@ GROUPS x GROUPS tables need 2 GROUPS ROWS hashes of a set and not GROUPS^2 2 ROW
 some table with probability of about 1 - 2 (1 - 0.8^ROWS)^GROUPS, which is 0.99993.
 
 Equal sets are one class first, by a digest, so exact copies cost nothing later. A class only enters the tables (i, j) whose
-i-th and j-th group it shares with another class. Then links are confirmed on full sets, in two steps:
+i-th and j-th group it shares with another class. Classes that meet in any table, directly or over others, are a cluster.
+Links are then confirmed on full sets:
 
-1. buckets of a few tables, dealt into blocks of bounded size, are compared inside each block, skipping pairs that are
-   connected already; components of these links follow;
-2. what remains are pairs that meet in any table but lie in different components. Only members outside a bucket's largest
-   component are paired with the others, so a large group of copies is not paired with itself, and no pair that meets is lost.
+1. a cluster of up to ``BLOCK`` classes is compared in memory, all pairs but those that are connected already;
+2. of a larger one, the buckets of a few tables are dealt into blocks of that size, and each is compared in the same way;
+3. what remains there are pairs that meet in any table but lie in different components. Only members outside a bucket's
+   largest component are paired with the others, and only where a bound allows a link: no intersection is larger than the
+   number of a set's shingles that any other member of its cluster has. No pair that meets and could be a link is lost.
 
 Defined cases: null and empty texts and texts without words have the empty set and are linked with nothing; rows with null
 ids are linked with nothing and kept; rows that share an id share its component; an empty table gives an empty result; extra
@@ -29,33 +31,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD, Memo, cut_lineage, mix64, per_text, shingle_hashes, table, word_hash, word_hashes
+from .common import MIX, Memo, cut_lineage, mix64, per_text, shingle_hashes, table, word_hash, word_hashes, words_of
 from .components import components
 
 GROUPS, ROWS = 10, 2
-#: Tables whose buckets are compared as blocks first, and the mean number of sets of a block.
-FIRST_TABLES, BLOCK = 3, 96
+#: Tables whose buckets are compared as blocks first in a large cluster, and the most sets that are compared in memory.
+FIRST_TABLES, BLOCK = 3, 128
 
 
 def sets_of(width: int):
     """A function from a text to the sorted hashes of its distinct shingles."""
     memo = Memo(word_hash, 250_000)
-    return lambda text: shingle_hashes(word_hashes(WORD.findall(text.translate(LOWER) if not text.islower() else text), memo), width)
+    return lambda text: shingle_hashes(word_hashes(words_of(text), memo), width)
 
 
 def minima(hashes: np.ndarray, groups: int, rows: int, seed: int) -> list[int]:
     """``groups`` values, each made of ``rows`` minimum hashes of a set."""
-    out = []
     keys = mix64(np.arange(1, 2 * groups * rows + 1, dtype=np.uint64) + np.uint64(seed * 1000003))
+    lows = np.full(groups * rows, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
-        lows = np.array([((hashes ^ keys[2 * k]) * (keys[2 * k + 1] | np.uint64(1))).min() for k in range(groups * rows)], np.uint64)
-        lows = mix64(lows)
-        for g in range(groups):
-            value = np.uint64(g + 1)
-            for r in range(rows):
-                value = mix64(np.array([value * np.uint64(0x9E3779B97F4A7C15) + lows[g * rows + r]]))[0]
-            out.append(int(value.astype(np.int64)))
-    return out
+        for i in range(0, len(hashes), 4096):
+            part = (hashes[None, i : i + 4096] ^ keys[::2, None]) * (keys[1::2, None] | np.uint64(1))
+            lows = np.minimum(lows, part.min(1))
+        value, lows = np.arange(1, groups + 1, dtype=np.uint64), mix64(lows).reshape(groups, rows)
+        for r in range(rows):
+            value = mix64(value * MIX + lows[:, r])
+    return value.astype(np.int64).tolist()
 
 
 def signatures(docs: DataFrame, width: int, groups: int = GROUPS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,7 +152,7 @@ def classes_of(signed: DataFrame) -> DataFrame:
 
 
 def buckets_of(classes: DataFrame) -> DataFrame:
-    """(t, key, id, n, size): the classes that share a key with others in table t, and how many they are.
+    """(t, key, id, n, size, head): the classes that share a key with others in table t, how many they are and the first.
 
     A group's value that no other class has can't be part of a shared key, so it is left out before tables are formed.
     """
@@ -161,24 +162,37 @@ def buckets_of(classes: DataFrame) -> DataFrame:
     kept = values.join(shared, ["side", "i", "v"]).groupBy("id", "n").agg(*(F.collect_list(F.when(F.col("side") == s, F.struct("i", "v"))).alias(s) for s in "ab"))
     pairs = kept.select("id", "n", F.explode("a").alias("x"), "b").select("id", "n", "x", F.explode("b").alias("y"))
     keyed = pairs.select((F.col("x.i") * 1000 + F.col("y.i")).cast("int").alias("t"), F.xxhash64("x.i", "y.i", "x.v", "y.v").alias("key"), "id", "n")
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("size"), F.min("id").alias("head")).where("size > 1")
     return keyed.join(sizes, ["t", "key"])
 
 
-def apart(buckets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (x, y) that share a bucket, lie in different components and pass the size bound.
+def shared_counts(texts: DataFrame, width: int) -> DataFrame:
+    """(id, s): how many shingles of each text any other text of its cluster has; ``texts``: id, cluster, text."""
+
+    def start():
+        shingles = sets_of(width)
+        return lambda text: [(h,) for h in shingles(text).astype(np.int64).tolist()]
+
+    rows = per_text(texts, "h long", start, "id", "text", ("cluster",), many=True)
+    common = rows.groupBy("cluster", "h").agg(F.count("*").alias("_c")).where("_c > 1").drop("_c")
+    return rows.join(common, ["cluster", "h"]).groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("s"))
+
+
+def apart(buckets: DataFrame, found: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (x, y) that share a bucket, lie in different components and can be links by the bound.
 
     x lies outside the bucket's largest component; where both do, x has the smaller component.
     """
-    placed = buckets.join(found.withColumnRenamed("node", "id"), "id", "left").select("t", "key", "id", "n", F.coalesce("component", "id").alias("c"))
-    open_ = placed.groupBy("t", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("t", "key")
-    placed = placed.join(open_, ["t", "key"])
-    main = placed.groupBy("t", "key", "c").agg(F.count("*").alias("_m")).groupBy("t", "key").agg(F.max(F.struct("_m", "c"))["c"].alias("main"))
+    linkable = buckets.join(shared, "id").where(100 * F.col("s") >= percent * F.col("n"))
+    placed = linkable.join(found.withColumnRenamed("node", "id"), "id", "left").select("t", "key", "id", "n", "s", F.coalesce("component", "id").alias("c"))
+    main = placed.groupBy("t", "key", "c").agg(F.count("*").alias("_m")).groupBy("t", "key").agg(F.max(F.struct("_m", "c"))["c"].alias("main"), F.count("*").alias("_k")).where("_k > 1").drop("_k")
     placed = placed.join(main, ["t", "key"])
-    x = placed.where("c != main").select("t", "key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    y = placed.select("t", "key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), "main")
-    near = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("cx") < F.col("cy"))) & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * F.lit(percent))
-    return x.join(y, ["t", "key"]).where(near).select("x", "y").distinct()
+    x = placed.where("c != main").select("t", "key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("c").alias("cx"))
+    y = placed.select("t", "key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("s").alias("sy"), F.col("c").alias("cy"), "main")
+    once = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("cx") < F.col("cy")))
+    most = F.least("sx", "sy")
+    bound = most * 100 >= (F.col("nx") + F.col("ny") - most) * percent
+    return x.join(y, ["t", "key"]).where(once & bound).select("x", "y").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups: int = GROUPS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,18 +200,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups:
     signed = cut_lineage(signatures(docs, width, groups, rows, id_col, text_col))
     classes = classes_of(signed)
     buckets = cut_lineage(buckets_of(classes))
-    wanted = buckets.select("id").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(wanted, "id").groupBy("id").agg(F.first("text").alias("text"))
-    texts = cut_lineage(texts)
-    first = buckets.where((F.floor(F.col("t") / 1000) == F.col("t") % 1000) & (F.col("t") % 1000 < FIRST_TABLES))
-    parts = F.ceil(F.col("size") / F.lit(BLOCK))
-    dealt = first.select("id", F.xxhash64("t", "key", F.pmod(F.xxhash64("id", "t"), parts)).alias("block"))
-    links = cut_lineage(links_in_blocks(dealt.join(texts, "id"), width, percent))
-    found = components(links)
-    pairs = cut_lineage(apart(buckets, found, percent))
-    more = cut_lineage(links_of_pairs(pairs, texts, width, percent))
-    if not more.isEmpty():
-        found = components(links.union(more))
+    clusters = components(buckets.select(F.col("id").alias("a"), F.col("head").alias("b"))).withColumnRenamed("node", "id").withColumnRenamed("component", "cluster")
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(clusters.join(sizes, "cluster"), "id")
+    texts = cut_lineage(texts.groupBy("id", "cluster", "members").agg(F.first("text").alias("text")))
+    small, large = texts.where(F.col("members") <= BLOCK), texts.where(F.col("members") > BLOCK)
+    links = links_in_blocks(small.select(F.col("cluster").alias("block"), "id", "text"), width, percent)
+    if not large.isEmpty():
+        inside = buckets.join(large.select("id"), "id", "left_semi")
+        first = inside.where((F.floor(F.col("t") / 1000) == F.col("t") % 1000) & (F.col("t") % 1000 < FIRST_TABLES))
+        parts = F.ceil(F.col("size") / F.lit(BLOCK))
+        dealt = first.select("id", F.xxhash64("t", "key", F.pmod(F.xxhash64("id", "t"), parts)).alias("block"))
+        near = cut_lineage(links_in_blocks(dealt.join(large, "id"), width, percent))
+        pairs = cut_lineage(apart(inside, components(near), shared_counts(large, width), percent))
+        links = links.union(near).union(links_of_pairs(pairs, large.select("id", "text"), width, percent))
+    found = components(cut_lineage(links))
     named = classes.select("digest", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("_component"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
