@@ -21,7 +21,7 @@ def tidy(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+            c = F.round(c.cast("double") + 1e-9, 6) + F.lit(0.0)  # means that end in a 5 are rounded alike by every order of adding
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         out.append(c.alias(f.name))
@@ -119,6 +119,6 @@ coalesce(given, 'KIC_' || CAST(CAST(kepid AS DOUBLE) AS BIGINT), 'EPIC_' || epic
 
 def sql(body: str, floats: str = "", ints: str = "", base: str = "") -> str:
     """A query over the views named in ``base``, with floats rounded and ints as BIGINT, as ``tidy`` does."""
-    changes = [f'round({c}, 6) + 0e0 AS {c}' for c in floats.split()] + [f'CAST({c} AS BIGINT) AS {c}' for c in ints.split()]
+    changes = [f'round({c} + 1e-9, 6) + 0e0 AS {c}' for c in floats.split()] + [f'CAST({c} AS BIGINT) AS {c}' for c in ints.split()]
     replace = f" REPLACE ({', '.join(changes)})" if changes else ""
     return f"{'WITH ' + base + ' ' if base else ''}SELECT *{replace} FROM ({body}) AS _q"
