@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, WORD, Memo, cut_lineage, mix64, per_text, table, word_hash, word_hashes, words_of
+from .common import MIX, WORD, cut_lineage, mix64, table, word_hashes, words_of
 
 K, SPAN = 6, 12
 MIN_WORDS, IDENTITY = 50, 80
@@ -75,24 +75,29 @@ def occurrence(values: np.ndarray) -> np.ndarray:
 def seeds(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, key, first, pos): the seeds of each text with their number; ``first`` is the key of the first occurrence, or null."""
 
-    def start():
-        memo = Memo(word_hash, 250_000)
-
-        def row(text: str) -> list[tuple]:
-            words = words_of(text)
-            if len(words) < min_words:
-                return []
-            grams = gram_hashes(word_hashes(words, memo))
-            at = minimizers(grams)
-            hashes, nth = grams[at], occurrence(grams[at])
-            with np.errstate(over="ignore"):
-                keys = np.where(nth > 0, mix64(hashes + MIX * nth.astype(np.uint64)), hashes).astype(np.int64)
-            again = hashes.astype(np.int64).tolist()
-            return [(key, h if n else None, p) for key, h, n, p in zip(keys.tolist(), again, nth.tolist(), at.tolist(), strict=True)]
-
-        return row
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part, out, sizes = batch.slice(i, 256), [], []
+                for text in part.column(1).to_pylist():
+                    words = words_of(text)
+                    if len(words) < min_words:
+                        sizes.append(0)
+                        continue
+                    grams = gram_hashes(word_hashes(words))
+                    at = minimizers(grams)
+                    hashes = grams[at]
+                    nth = occurrence(hashes)
+                    with np.errstate(over="ignore"):
+                        keys = np.where(nth > 0, mix64(hashes + MIX * nth.astype(np.uint64)), hashes)
+                    out.append((keys.view(np.int64), hashes.view(np.int64), nth == 0, at.astype(np.int32)))
+                    sizes.append(len(at))
+                if out:
+                    keys, again, alone, at = map(np.concatenate, zip(*out, strict=True))
+                    ids = part.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(keys), pa.array(again, mask=alone), pa.array(at)], names=["doc_id", "key", "first", "pos"])
 
-    return per_text(docs, "key long, first long, pos int", start, many=True)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, first long, pos int")
 
 
 class Fenwick:
@@ -196,11 +201,30 @@ def agree(a: np.ndarray, b: np.ndarray) -> int:
     return int(other[0]) if len(other) else n
 
 
+_STEPS = np.add.outer(np.arange(SLIP + 1), np.arange(SLIP + 1)) * 64 + np.abs(np.subtract.outer(np.arange(SLIP + 1), np.arange(SLIP + 1)))
+
+
+def resume(a: np.ndarray, b: np.ndarray) -> tuple[int, int] | None:
+    """How many words of each to pass over until SURE words agree in a row, or all that are left of one text."""
+    n, m = min(len(a), SLIP + SURE), min(len(b), SLIP + SURE)
+    same = np.ones((SLIP + SURE, SLIP + SURE), bool)
+    same[:n, :m] = a[:n, None] == b[None, :m]
+    good = np.ones((SLIP + 1, SLIP + 1), bool)
+    for k in range(SURE):
+        good &= same[k : k + SLIP + 1, k : k + SLIP + 1]
+    good[len(a) :] = False
+    good[:, len(b) :] = False
+    good[0, 0] = False
+    if not good.any():
+        return None
+    return divmod(int(np.where(good, _STEPS, 1 << 30).argmin()), SLIP + 1)
+
+
 def walk(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     """Align from the start on: (place in a, place in b, words that agree from there on) of each run.
 
-    Where the texts differ, the nearest place follows at which SURE words agree again (or all that are left, if fewer): fewest
-    words passed over first, then the most alike counts in both. Without one within SLIP words the alignment ends.
+    Where the texts differ, the nearest place follows at which they agree again: fewest words passed over first, then the
+    most alike counts in both. Without one within SLIP words of each the alignment ends.
     """
     out, i, j = [], 0, 0
     while i < len(a) and j < len(b):
@@ -208,13 +232,10 @@ def walk(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
         if n:
             out.append((i, j, n))
             i, j = i + n, j + n
-        for passed in range(1, 2 * SLIP + 1):
-            step = next(((x, passed - x) for x in sorted(range(max(0, passed - SLIP), min(SLIP, passed) + 1), key=lambda x: abs(2 * x - passed)) if i + x < len(a) and j + passed - x < len(b) and agree(a[i + x : i + x + SURE], b[j + passed - x : j + passed - x + SURE]) >= min(SURE, len(a) - i - x, len(b) - j - passed + x) > 0), None)
-            if step:
-                i, j = i + step[0], j + step[1]
-                break
-        else:
+        step = resume(a[i:], b[j:]) if i < len(a) and j < len(b) else None
+        if step is None:
             break
+        i, j = i + step[0], j + step[1]
     return out
 
 
@@ -233,7 +254,6 @@ def slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = wanted.join(texts, "id").select("id", "a", "b", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(word_hash, 250_000)
         last, hashes = None, np.zeros(0, np.uint32)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
@@ -241,7 +261,7 @@ def slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 out = []
                 for a, b, text in zip(*(c.to_pylist() for c in part.columns[1:]), strict=True):
                     if text is not last and text != last:
-                        last, hashes = text, word_hashes(words_of(text), memo)
+                        last, hashes = text, word_hashes(words_of(text))
                     out.append(hashes[a:b].tobytes())
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(out, pa.binary())], names=["id", "a", "b", "words"])
 

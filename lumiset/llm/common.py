@@ -4,19 +4,17 @@ from __future__ import annotations
 
 import itertools
 import re
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word of the near-duplicate contracts: a run without space, tab, LF, VT, FF or CR.
 WORD = re.compile("[^\x20\x09-\x0d]+")
-#: A-Z to a-z and nothing else.
-LOWER = {c: c + 32 for c in range(65, 91)}
 #: Rows handled at once inside a task.
 STEP = 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -98,13 +96,9 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_hash(raw: bytes) -> int:
-    """64 bits from two checksums and the length: the same on every machine and Python run."""
-    return (zlib.crc32(raw) << 32 | zlib.crc32(raw[::-1] + b"\x01")) ^ (len(raw) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-
-
-def word_hashes(words: list[bytes], memo: Memo) -> np.ndarray:
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64 bits of each word, the same on every machine and Python run."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:

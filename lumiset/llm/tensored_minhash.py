@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, Memo, cut_lineage, mix64, per_text, shingle_hashes, table, word_hash, word_hashes, words_of
+from .common import MIX, cut_lineage, mix64, per_text, shingle_hashes, table, word_hashes, words_of
 from .components import components
 
 GROUPS, ROWS = 10, 2
@@ -41,8 +41,7 @@ FIRST_TABLES, BLOCK = 3, 128
 
 def sets_of(width: int):
     """A function from a text to the sorted hashes of its distinct shingles."""
-    memo = Memo(word_hash, 250_000)
-    return lambda text: shingle_hashes(word_hashes(words_of(text), memo), width)
+    return lambda text: shingle_hashes(word_hashes(words_of(text)), width)
 
 
 def minima(hashes: np.ndarray, groups: int, rows: int, seed: int) -> list[int]:
