@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -60,10 +58,6 @@ def per_text(docs: DataFrame, fields: str, start: Callable, id_col: str = "doc_i
     return source.mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in head), fields]))
 
 
-def text_of(value) -> str:
-    return value if isinstance(value, str) else ""
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers (splitmix finaliser)."""
     x = x.astype(np.uint64, copy=True)
@@ -114,10 +108,6 @@ def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def empty_frame(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -138,28 +128,3 @@ def shared_folder(spark: SparkSession) -> None:
 def cut_lineage(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def grouped(batches, keys: list[str]):
-    """Frames of whole groups from batches that are sorted by ``keys``; groups follow each other without gaps."""
-    rest: list[pd.DataFrame] = []
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        change = np.zeros(len(pdf), bool)
-        for k in keys:
-            v = pdf[k].to_numpy()
-            change[1:] |= v[1:] != v[:-1]
-            if rest and v[0] != rest[-1][k].iloc[-1]:
-                change[0] = True
-        cuts = np.flatnonzero(change)
-        if not len(cuts):
-            rest.append(pdf)
-            continue
-        if rest or cuts[0] > 0:
-            yield pd.concat([*rest, pdf.iloc[: cuts[0]]]) if rest else pdf.iloc[: cuts[0]]
-        for a, b in itertools.pairwise(cuts):
-            yield pdf.iloc[a:b]
-        rest = [pdf.iloc[cuts[-1] :]]
-    if rest:
-        yield pd.concat(rest)

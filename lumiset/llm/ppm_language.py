@@ -123,8 +123,12 @@ def fit(docs: DataFrame, max_texts: int = MAX_TEXTS, max_chars: int = MAX_TRAIN_
     """Context counts of each language from a bounded sample of ``docs``."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
     usable = rows.where("_id is not null and _lang is not null and _text is not null and length(_text) <= %d" % max_chars)
-    rank = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    chosen = usable.select("_lang", "_id").distinct().withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= max_texts).drop("_rank")
+    # Ranked in parts first, so that a language which most texts have does not meet in one task.
+    chosen = usable.select("_lang", "_id", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(64)).alias("_part")).distinct()
+    for keys in (["_lang", "_part"], ["_lang"]):
+        rank = Window.partitionBy(*keys).orderBy(F.xxhash64("_id"), "_id")
+        chosen = chosen.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= max_texts).drop("_rank")
+    chosen = chosen.drop("_part")
     sample = usable.join(F.broadcast(chosen), ["_id", "_lang"]).select("_id", "_lang", "_text")
 
     def start():
