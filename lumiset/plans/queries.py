@@ -38,7 +38,6 @@ def simple(name: str, f, text: str | None = None) -> None:
 
 # ---- A: sources and sinks --------------------------------------------------------------------------------------------------
 
-EPHEM = "n_planets"
 simple("a1_read_catalog", lambda s, d: ensure_columns(X.catalog(s, d).drop("koi_duration").withColumn("row_id", F.col("row_id")), CATALOG).select("kepid", "epic", "pl_orbper", "koi_duration", "koi"),
        sql("SELECT kepid, epic, pl_orbper, CAST(NULL AS DOUBLE) AS koi_duration, CAST(NULL AS VARCHAR) AS koi FROM cat", "pl_orbper koi_duration", base=CAT))
 simple("a2_read_ephemerides", lambda s, d: A.ephemeris_table(X.catalog(s, d).select("pl_trandurh", "star_id", "pl_orbper", "pl_tranmid")),
@@ -86,7 +85,6 @@ simple("a14_ingest_status", lambda s, d: A.ingest_summary(load(s, d, "orders").s
        sql("SELECT o_orderstatus AS status, count(*) AS n, sum(o_orderkey % 3) AS files, round(sum(o_orderkey % 100 / 10e0), 4) AS seconds FROM orders GROUP BY 1", "seconds", "files"))
 simple("a15_read_loose_scores", lambda s, d: A.loose_scores(load(s, d, "events").select(F.concat(F.lit("S"), (F.col("user_id") % 50).cast("string"), F.when(F.col("user_id") % 2 == 0, ";x;").otherwise(" \t"), F.when(F.col("event_id") % 10 == 0, "n/a").otherwise((F.col("event_id") % 97).cast("string"))).alias("value"))),
        sql("SELECT 'S' || user_id % 50 AS target, avg(CASE WHEN event_id % 10 <> 0 THEN CAST(event_id % 97 AS DOUBLE) END) AS score FROM events WHERE event_id % 10 <> 0 GROUP BY 1", "score"))
-HEALTH = "SELECT label AS star_id, vec_id FROM embeddings"
 simple("a16_quarantine_report", lambda s, d: E.quarantine(E.pool_embeddings(star_vectors(s, d))), sql("SELECT label AS star_id, 'all segments non-finite' AS reason FROM embeddings GROUP BY 1 HAVING label % 5 = 3", ints="star_id"))
 simple("a17_skip_ledger", lambda s, d: A.skip_ledger(I.add_star_id(X.catalog(s, d)), X.curves(X.points(s, d)), 60),
        sql("SELECT CASE WHEN star_id IS NULL THEN 'no_id' WHEN n_points IS NULL THEN 'no_curve' WHEN n_points < 60 THEN 'too_short' ELSE 'ok' END AS reason, count(*) AS n FROM named LEFT JOIN (SELECT star_id, n_points FROM curves) USING (star_id) GROUP BY 1", base=f"{PTS}, {CAT}"))
@@ -111,7 +109,7 @@ simple("b10_status_ok", lambda s, d: load(s, d, "orders").withColumn("status", F
 simple("b11_priority", lambda s, d: summary(s, d).select("star_id", I.priority("best", "std").alias("priority")), sql("SELECT star_id, max(p) - 0.5 * stddev_pop(p) AS priority FROM curves LEFT JOIN sco USING (star_id) GROUP BY 1", "priority", base=SCO))
 simple("b12_star_label", lambda s, d: R.aggregate_scores(X.scored(s, d), ["star_id"], "max").select("star_id", I.star_label("score", 0.9).alias("star_label")), sql("SELECT star_id, CASE WHEN score_max >= 0.9 THEN 'TRANSIT' ELSE 'NO_TRANSIT' END AS star_label FROM star", base=SCO))
 simple("b13_label_column", lambda s, d: load(s, d, "labels").select("doc_id", F.col("toxic").alias("target")).select("doc_id", I.label_column(load(s, d, "labels").select(F.col("toxic").alias("target")))), sql("SELECT doc_id, coalesce(CAST(toxic AS INTEGER), 0) AS label FROM labels", ints="label"))
-simple("b14_required_columns", lambda s, d: require_columns(X.scored(s, d), ["star_id", "p", "label"]).select("star_id", "p", "label"))
+simple("b14_required_columns", lambda s, d: require_columns(X.scored(s, d), ["star_id", "p", "label"]).select("star_id", "p", "label"), sql("SELECT star_id, p, label FROM sco", "p", "label", base=SCO))
 
 # ---- C: signals ----------------------------------------------------------------------------------------------------------------
 
@@ -175,6 +173,7 @@ simple("f4_semi_join", lambda s, d: X.labelled(s, d).join(X.ephemeris(s, d).wher
 simple("f5_anti_join", lambda s, d: X.labelled(s, d).join(X.ephemeris(s, d), "star_id", "left_anti").select("star_id", "start"), sql("SELECT star_id, start FROM lab WHERE star_id NOT IN (SELECT star_id FROM eph)", base=LAB))
 simple("f6_embedding_scores", lambda s, d: load(s, d, "embeddings").select(F.col("vec_id").alias("k"), "label").join(R.aggregate_scores(X.scored(s, d), ["star_id"], "mean").select(F.regexp_extract("star_id", r"_(\d+)$", 1).cast("bigint").alias("k"), "score"), "k"), sql("SELECT e.vec_id AS k, e.label, s.score FROM embeddings e JOIN (SELECT CAST(regexp_extract(star_id, '_(\\d+)$', 1) AS BIGINT) AS k, avg(p) AS score FROM sco GROUP BY 1) s ON e.vec_id = s.k", "score", "label", base=SCO))
 simple("f7_lookup_join", lambda s, d: curves(s, d).drop("mission").join(X.ephemeris(s, d).select("star_id", "mission"), "star_id", "left").select("star_id", F.coalesce("mission", F.lit("unknown")).alias("mission")), sql("SELECT c.star_id, coalesce(e.mission, 'unknown') AS mission FROM curves c LEFT JOIN eph e ON c.star_id = e.star_id", base=PTS))
+simple("f8_two_table_join", lambda s, d: load(s, d, "orders").join(load(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey").groupBy("c_mktsegment").agg(F.count("*").alias("n")), sql("SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"))
 simple("f9_one_pass_star_table", lambda s, d: R.star_scores(X.scored(s, d)), sql("SELECT * FROM star", "score_max top_mean top_median share_high", "y_star", base=SCO))
 simple("f10_key_join", lambda s, d: X.scored(s, d).select("star_id", "start", "p").join(C.center_window(X.window_points(s, d)).groupBy("star_id", "start").agg(F.min("centered").alias("lo")), ["star_id", "start"]), sql("SELECT star_id, start, p, lo FROM sco JOIN (SELECT star_id, start, min(flux) - quantile_cont(flux, 0.5) AS lo FROM wp GROUP BY 1, 2) USING (star_id, start)", "p lo", base=SCO))
 
