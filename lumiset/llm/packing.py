@@ -15,6 +15,7 @@ each; an empty table gives no piece; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -23,43 +24,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .byte_bpe import byte_alphabet
 from .common import cut_lineage, parallelism, per_text, table
 
 WINDOW, CLOSING = 2048, 1
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: Letters that lower-casing and normalisation treat one by one, and signs after them.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 
 class WordBpe:
     """Ids of whole texts by a tokenizer that never joins across white space: words are encoded once and remembered."""
 
-    def __init__(self, file: str, limit: int = 250_000):
+    def __init__(self, file: str, limit: int = 350_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.memo: dict[str, bytes] = {}
         self.limit = limit
+        self.written = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode unknown words in one call, parted by blanks; a token belongs to the word in which it begins.
+    def _learn(self, words: set[str]) -> None:
+        """Remember the ids of unknown words.
 
-        A word of plain letters is encoded in lower case, and a comma or full stop after it by itself: the tokenizer
-        lower-cases letter by letter and parts letters from other signs, so the ids are the same and fewer words are new.
+        Plain letters go to the tokenizer's merges as it would hand them on itself, in lower case and written as bytes; the
+        signs after them are a pre-token of their own. All other words take its whole way.
         """
-        parts = [m.groups() if (m := PLAIN.fullmatch(w)) else (w, "") for w in words]
-        parts = [(a.lower(), b) if PLAIN.fullmatch(a) else (a, b) for a, b in parts]
-        new = list({x for pair in parts for x in pair}.difference(self.memo))
-        found = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        lengths = np.fromiter(map(len, new), np.int64, len(new))
-        begins = np.cumsum(lengths + 1) - lengths - 1
-        owner = np.searchsorted(begins, [a for a, _ in found.offsets], side="right") - 1
-        ids = np.array(found.ids, "<u4").tobytes()
-        cuts = (np.searchsorted(owner, np.arange(len(new) + 1)) * 4).tolist()
-        memo = self.memo
-        memo.update({w: ids[a:b] for w, a, b in zip(new, cuts, cuts[1:], strict=False)})
-        memo.update({w: memo[a] + memo[b] for w, (a, b) in zip(words, parts, strict=True)})
+        memo, known, merges = self.memo, self.memo.get, self.tokenizer.model.tokenize
+        for word in words:
+            if not (m := PLAIN.fullmatch(word)):
+                memo[word] = self._ids(word)
+                continue
+            letters, signs = m.groups()
+            low = letters.lower()
+            ids = known(low)
+            if ids is None:
+                written = low if low.isascii() else low.encode().decode("latin-1").translate(self.written)
+                ids = memo[low] = struct.pack(f"<{len(t)}I", *[x.id for x in t]) if (t := merges(written)) else b""
+            if signs:
+                after = known(signs)
+                if after is None:
+                    after = memo[signs] = self._ids(signs)
+                ids += after
+            memo[word] = ids
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids. Only blanks, tabs and line ends split; a text with marks of special tokens goes whole."""
@@ -71,7 +80,7 @@ class WordBpe:
             if len(memo) + len(new) > self.limit:
                 memo.clear()
                 new = set(words)
-            self._learn(list(new))
+            self._learn(new)
         return b"".join(map(memo.__getitem__, words))
 
 
