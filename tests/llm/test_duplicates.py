@@ -70,9 +70,10 @@ def test_near_duplicate_edges(hard_docs, no_docs):
     assert tensored_minhash.drop_near_duplicates(hard_docs, 4, 80).columns == hard_docs.columns
 
 
-def test_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_components_of_a_path_and_a_star(spark, few):
     path = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
-    found = {r.node: r.component for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
+    found = {r.node: r.component for r in components(spark.createDataFrame(path, "a long, b long"), few).collect()}
     assert {found[i] for i in range(61)} == {0} and {found[i] for i in range(100, 140)} == {100}
 
 
