@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import MIX, WORD, cut_lineage, mix64, table, word_hashes, words_of
 
@@ -334,7 +335,7 @@ def without_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: int
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), part.column(1)], names=["_text", "_row"])
 
     source = joined.select("text", "_row", "_cuts")
-    done = source.mapInArrow(run, f"_text string, _row {dict(source.dtypes)['_row']}")
+    done = source.mapInArrow(run, T.StructType([T.StructField("_text", T.StringType()), source.schema["_row"]]))
     return done.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 

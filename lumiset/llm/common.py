@@ -10,6 +10,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 #: A word of the near-duplicate contracts: a run without space, tab, LF, VT, FF or CR.
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -39,8 +41,8 @@ def per_text(docs: DataFrame, fields: str, start: Callable, id_col: str = "doc_i
     names = [f.split(" ", 1)[0].strip() for f in fields.split(", ")]
     types = [ARROW[f.split(" ", 1)[1].strip()] for f in fields.split(", ")]
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(k) for k in keep], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    kinds = dict(source.dtypes)
     head = ["doc_id", *keep]
+    schema = T.StructType([*source.schema.fields[:-1], *(T.StructField(n, from_arrow_type(t)) for n, t in zip(names, types, strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = start()
@@ -55,7 +57,7 @@ def per_text(docs: DataFrame, fields: str, start: Callable, id_col: str = "doc_i
                 columns = list(zip(*found, strict=True)) if found else [()] * len(types)
                 yield pa.RecordBatch.from_arrays([*passed, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[*head, *names])
 
-    return source.mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in head), fields]))
+    return source.mapInArrow(run, schema)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

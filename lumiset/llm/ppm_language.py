@@ -111,7 +111,7 @@ class Identifier:
     def predict(self, text: str) -> tuple[str, float]:
         """The language of the shortest code, and how much of the weight 2**-bits it has, for each word on average."""
         words = words_of(text)
-        if not words or not self.trees:
+        if not self.trees or not any(c.isalpha() for w in words for c in w):  # "½" and the like are no letters
             return UNKNOWN, 0.0
         bits = self.lengths(words)
         best = int(bits.argmin())

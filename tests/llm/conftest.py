@@ -19,7 +19,7 @@ def hard_docs(spark, hard_rows):
     from pyspark.sql import functions as F
 
     docs = spark.createDataFrame(hard_rows, SCHEMA)
-    return docs.withColumns({c: F.lit("other") for c in ("score", "length", "id", "key", "component_id", "_row", "start", "_text", "text_")})
+    return docs.withColumns({c: F.lit("other") for c in ("score", "length", "id", "key", "component_id", "_row", "start", "_text", "text_", "a b", "x-y")})
 
 
 @pytest.fixture(scope="session")
