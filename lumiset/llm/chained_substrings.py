@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MIX, WORD, cut_lineage, mix64, table, word_hashes, words_of
+from .common import MIX, WORD, cut_lineage, mix64, table, word_hashes, words_of, written
 
 K, SPAN = 6, 12
 MIN_WORDS, IDENTITY = 50, 80
@@ -46,8 +46,8 @@ def gram_hashes(hashes: np.ndarray, k: int = K) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(k):
-            out = mix64(out * MIX + hashes[i : n + i])
-    return out
+            out = out * MIX + hashes[i : n + i]
+    return mix64(out)
 
 
 def minimizers(grams: np.ndarray, span: int = SPAN) -> np.ndarray:
@@ -58,8 +58,9 @@ def minimizers(grams: np.ndarray, span: int = SPAN) -> np.ndarray:
     found = []
     for a in range(0, n - span + 1, _STEP):
         view = np.lib.stride_tricks.sliding_window_view(grams[a : a + _STEP + span - 1], span)
-        found.append(np.unique(view.argmin(1) + np.arange(a, a + len(view))))
-    return np.unique(np.concatenate(found))
+        found.append(view.argmin(1) + np.arange(a, a + len(view)))
+    at = np.concatenate(found)  # never descends, as the first of equals is taken
+    return at[np.concatenate([[True], at[1:] != at[:-1]])]
 
 
 def occurrence(values: np.ndarray) -> np.ndarray:
@@ -74,7 +75,7 @@ def occurrence(values: np.ndarray) -> np.ndarray:
 
 
 def seeds(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, key, first, pos): the seeds of each text with their number; ``first`` is the key of the first occurrence, or null."""
+    """(doc_id, key, pos, own): the seeds of each text by their number in it (own), and later ones by the first's number too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,14 +92,14 @@ def seeds(docs: DataFrame, min_words: int) -> DataFrame:
                     nth = occurrence(hashes)
                     with np.errstate(over="ignore"):
                         keys = np.where(nth > 0, mix64(hashes + MIX * nth.astype(np.uint64)), hashes)
-                    out.append((keys.view(np.int64), hashes.view(np.int64), nth == 0, at.astype(np.int32)))
-                    sizes.append(len(at))
+                    later = nth > 0
+                    out.append((np.concatenate([keys, hashes[later]]).view(np.int64), np.concatenate([at, at[later]]).astype(np.int32), np.arange(len(at) + later.sum()) < len(at)))
+                    sizes.append(len(out[-1][0]))
                 if out:
-                    keys, again, alone, at = map(np.concatenate, zip(*out, strict=True))
                     ids = part.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(keys), pa.array(again, mask=alone), pa.array(at)], names=["doc_id", "key", "first", "pos"])
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.concatenate(c)) for c in zip(*out, strict=True))], names=["doc_id", "key", "pos", "own"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, first long, pos int")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, pos int, own boolean")
 
 
 class Fenwick:
@@ -297,10 +298,9 @@ def align_chains(chained: DataFrame, docs: DataFrame, min_words: int, identity:
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: int = IDENTITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, end, source_id, source_start, source_end, n_same: word ranges that repeat a passage of an earlier text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    seeded = seeds(rows, min_words)
-    repeated = seeded.groupBy("key").agg(F.count("*").alias("_c")).where("_c > 1").select("key")
-    looked_up = seeded.select("doc_id", "pos", F.explode(F.array_compact(F.array("key", "first"))).alias("key"))
-    hits = cut_lineage(looked_up.join(repeated, "key").groupBy("key", "doc_id", "pos").agg(F.lit(1).alias("_one")).drop("_one"))
+    seeded = written(seeds(rows, min_words))
+    repeated = seeded.where("own").groupBy("key").agg(F.count("*").alias("_c")).where("_c > 1").select("key")
+    hits = cut_lineage(seeded.select("doc_id", "pos", "key").join(repeated, "key").groupBy("key", "doc_id", "pos").agg(F.lit(1).alias("_one")).drop("_one"))
     firsts = hits.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("_f")).select("key", F.col("_f.doc_id").alias("source_id"), F.col("_f.pos").alias("ref"))
     anchors = hits.join(firsts, "key").where("doc_id != source_id")
     return align_chains(chain_matches(anchors), rows, min_words, identity)

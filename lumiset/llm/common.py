@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -106,8 +107,8 @@ def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
         k = min(width, n)
         out = np.full(n - k + 1, k, np.uint64)
         for i in range(k):
-            out = mix64(out * MIX + hashes[i : n - k + 1 + i])
-    return np.unique(out)
+            out = out * MIX + hashes[i : n - k + 1 + i]
+    return np.unique(mix64(out))
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -130,3 +131,11 @@ def shared_folder(spark: SparkSession) -> None:
 def cut_lineage(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: smaller than a checkpoint, and as safe."""
+    shared_folder(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
