@@ -177,21 +177,25 @@ def shared_counts(texts: DataFrame, width: int) -> DataFrame:
     return rows.join(common, ["cluster", "h"]).groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("s"))
 
 
-def apart(buckets: DataFrame, found: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (x, y) that share a bucket, lie in different components and can be links by the bound.
+def apart(classes: DataFrame, found: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of ``classes`` that meet in a table, lie in different components and can be links by the bound.
 
-    x lies outside the bucket's largest component; where both do, x has the smaller component.
+    Two sets meet in a table (i, j) if they share group i of the first and group j of the second collection; they are paired
+    once, at the first group i that they share, if they share any group j. x lies outside the bucket's largest component;
+    where both do, x has the smaller component.
     """
-    linkable = buckets.join(shared, "id").where(100 * F.col("s") >= percent * F.col("n"))
-    placed = linkable.join(found.withColumnRenamed("node", "id"), "id", "left").select("t", "key", "id", "n", "s", F.coalesce("component", "id").alias("c"))
-    main = placed.groupBy("t", "key", "c").agg(F.count("*").alias("_m")).groupBy("t", "key").agg(F.max(F.struct("_m", "c"))["c"].alias("main"), F.count("*").alias("_k")).where("_k > 1").drop("_k")
-    placed = placed.join(main, ["t", "key"])
-    x = placed.where("c != main").select("t", "key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("c").alias("cx"))
-    y = placed.select("t", "key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("s").alias("sy"), F.col("c").alias("cy"), "main")
+    rows = classes.join(shared, "id").where(100 * F.col("s") >= percent * F.col("n")).join(found.withColumnRenamed("node", "id"), "id", "left")
+    placed = rows.select("id", "n", "s", F.coalesce("component", "id").alias("c"), "a", "b", F.posexplode("a").alias("i", "v"))
+    main = placed.groupBy("i", "v", "c").agg(F.count("*").alias("_m")).groupBy("i", "v").agg(F.max(F.struct("_m", "c"))["c"].alias("main"), F.count("*").alias("_k")).where("_k > 1").drop("_k")
+    placed = placed.join(main, ["i", "v"])
+    side = lambda k: [F.col(c).alias(f"{c}{k}") for c in ("id", "n", "s", "c", "a", "b")]
+    x, y = placed.where("c != main").select("i", "v", *side("x")), placed.select("i", "v", "main", *side("y"))
     once = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("cx") < F.col("cy")))
     most = F.least("sx", "sy")
     bound = most * 100 >= (F.col("nx") + F.col("ny") - most) * percent
-    return x.join(y, ["t", "key"]).where(once & bound).select("x", "y").distinct()
+    same = lambda c: F.zip_with(f"{c}x", f"{c}y", lambda p, q: p == q)
+    first = F.array_position(same("a"), F.lit(True)) == F.col("i") + 1
+    return x.join(y, ["i", "v"]).where(once & bound & first & F.exists(same("b"), lambda e: e)).select(F.col("idx").alias("x"), F.col("idy").alias("y")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups: int = GROUPS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,7 +215,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups:
         parts = F.ceil(F.col("size") / F.lit(BLOCK))
         dealt = first.select("id", F.xxhash64("t", "key", F.pmod(F.xxhash64("id", "t"), parts)).alias("block"))
         near = cut_lineage(links_in_blocks(dealt.join(large, "id"), width, percent))
-        pairs = cut_lineage(apart(inside, components(near), shared_counts(large, width), percent))
+        chosen = classes.join(large.select("id"), "id", "left_semi")
+        pairs = cut_lineage(apart(chosen, components(near), shared_counts(large, width), percent))
         links = links.union(near).union(links_of_pairs(pairs, large.select("id", "text"), width, percent))
     found = components(cut_lineage(links))
     named = classes.select("digest", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("_component"))
