@@ -5,8 +5,9 @@ share gives both the same seed. A seed's place in the corpus is its first one (s
 that, so a passage in n texts gives n - 1 matches and not n^2. An n-th occurrence inside a text is matched to an n-th
 occurrence, and to a first one too, so that repeated lines and runs of one word line up. The matches of two texts are joined
 along diagonals, and runs are chained in order with linear gap costs through a Fenwick tree of prefix maxima. Chains are then
-aligned on the words of both texts: outwards from the chain's ends and across its gaps, over substitutions, insertions and
-deletions. Passages of ``MIN_WORDS`` words or more, of which at least ``IDENTITY`` in a hundred agree, are reported.
+aligned on the words of both texts, over substitutions, insertions and deletions: outwards from the chain's start, and again
+from the next words in common wherever the alignment ends before the chain does, so a chain may give several passages. Of a
+stretch that agrees too little as a whole the longest parts that agree enough are taken. Passages of ``MIN_WORDS`` words or more, of which at least ``IDENTITY`` in a hundred agree, are reported.
 
 Defined cases: null and empty texts and texts under MIN_WORDS words have no passage; rows with null ids take no part and rows
 that repeat an id count as one text (the smallest by order); passages inside one text only are not reported; an empty table
@@ -177,7 +178,10 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int, step: int = 4096):
 
 
 def chain_matches(anchors: DataFrame) -> DataFrame:
-    """(doc_id, source_id, s, e, r, re): extents of the chains between each two texts; ``anchors``: doc_id, source_id, pos, ref."""
+    """(doc_id, source_id, s, e, r, re, parts): extents of the chains between each two texts; ``anchors``: doc_id, source_id, pos, ref.
+
+    ``parts`` has start, end and place in the other text of each run in a row, and is null for a single run.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
@@ -186,14 +190,14 @@ def chain_matches(anchors: DataFrame) -> DataFrame:
                 for chain in chains(runs(np.array(pos), np.array(ref))):
                     s, e = chain[0][0], chain[-1][1]
                     if e - s >= MIN_CHAIN:
-                        yield doc, source, s, e, chain[0][2], chain[-1][2] + chain[-1][1] - chain[-1][0]
+                        yield doc, source, s, e, chain[0][2], chain[-1][2] + chain[-1][1] - chain[-1][0], [x for run in chain for x in run] if len(chain) > 1 else None
 
         for part in itertools.batched(found(), 10_000):
             columns = list(zip(*part, strict=True))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:2]), *(pa.array(c, pa.int32()) for c in columns[2:])], names=["doc_id", "source_id", "s", "e", "r", "re"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:2]), *(pa.array(c, pa.int32()) for c in columns[2:6]), pa.array(columns[6], pa.list_(pa.int32()))], names=["doc_id", "source_id", "s", "e", "r", "re", "parts"])
 
     placed = anchors.select("doc_id", "source_id", "pos", "ref").repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "source_id", "pos", "ref")
-    return placed.mapInArrow(run, "doc_id long, source_id long, s int, e int, r int, re int")
+    return placed.mapInArrow(run, "doc_id long, source_id long, s int, e int, r int, re int, parts array<int>")
 
 
 def agree(a: np.ndarray, b: np.ndarray) -> int:
@@ -241,13 +245,58 @@ def walk(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def align(a: np.ndarray, b: np.ndarray, s: int, e: int, r: int) -> tuple[int, int, int, int, int]:
-    """(start, end, source start, source end, words that agree) around a chain from s to e that begins at r in the source."""
-    right = walk(a[s:], b[r:])
-    left = walk(a[:s][::-1], b[:r][::-1])
-    end, source_end = (s + right[-1][0] + right[-1][2], r + right[-1][1] + right[-1][2]) if right else (s, r)
-    start, source_start = (s - left[-1][0] - left[-1][2], r - left[-1][1] - left[-1][2]) if left else (s, r)
-    return start, end, source_start, source_end, sum(n for _, _, n in right) + sum(n for _, _, n in left)
+def both_ways(a: np.ndarray, b: np.ndarray, s: int, r: int) -> list[tuple[int, int, int]]:
+    """Runs of the alignment that goes through word s of a and r of b, in order."""
+    left = [(s - i - n, r - j - n, n) for i, j, n in reversed(walk(a[:s][::-1], b[:r][::-1]))]
+    return left + [(s + i, r + j, n) for i, j, n in walk(a[s:], b[r:])]
+
+
+def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Alignments, as runs (place in a, place in b, words that agree), that together hold all words in common of a chain's runs.
+
+    The first goes out from the chain's start, and the next from the first K words in a row of a run that none holds so far.
+    """
+    out = [both_ways(a, b, chain[0][0], chain[0][2])]
+    for s, e, r in chain:
+        if holds(out[-1], s, e, r):
+            continue
+        same = a[s:e] == b[r : r + e - s]
+        for i in np.flatnonzero(np.lib.stride_tricks.sliding_window_view(same, K).all(1)).tolist() if len(same) >= K else []:
+            if not any(holds(x, s + i, s + i + K, r + i) for x in out[-2:]):
+                out.append(both_ways(a, b, s + i, r + i))
+    return out
+
+
+def holds(found: list[tuple[int, int, int]], s: int, e: int, r: int) -> bool:
+    return bool(found) and found[0][0] <= s and e <= found[-1][0] + found[-1][2] and found[0][1] <= r and r + e - s <= found[-1][1] + found[-1][2]
+
+
+def passing(found: list[tuple[int, int, int]], min_words: int, identity: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(start, end, source start, source end, words that agree) of an alignment, or else of its longest parts of enough agreement."""
+    rows = np.array(found, np.int64).reshape(-1, 3)
+    n = np.concatenate([[0], np.cumsum(rows[:, 2])])
+    waiting = [(0, len(rows))]
+    while waiting:
+        x, y = waiting.pop()
+        if x >= y:
+            continue
+        (i, j), (k, m) = rows[x, :2], rows[y - 1, :2] + rows[y - 1, 2]
+        if min(k - i, m - j) < min_words:
+            continue
+        if 100 * (n[y] - n[x]) >= identity * max(k - i, m - j):
+            yield int(i), int(k), int(j), int(m), int(n[y] - n[x])
+            continue
+        best = (min_words - 1, 0, 0)
+        ends, others = rows[x:y, 0] + rows[x:y, 2], rows[x:y, 1] + rows[x:y, 2]
+        for p in range(x, y):
+            long, wide = ends[p - x :] - rows[p, 0], others[p - x :] - rows[p, 1]
+            if min(long[-1], wide[-1]) <= best[0]:
+                break
+            good = np.flatnonzero(100 * (n[p + 1 : y + 1] - n[p]) >= identity * np.maximum(long, wide))
+            if len(good) and (size := int(min(long[good[-1]], wide[good[-1]]))) > best[0]:
+                best = (size, p, p + int(good[-1]) + 1)
+        if best[2]:
+            waiting += [(x, best[1]), best[1:], (best[2], y)]
 
 
 def slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -278,16 +327,16 @@ def align_chains(chained: DataFrame, docs: DataFrame, min_words: int, identity:
     cut = cut_lineage(slices(docs, wanted))
     one = cut.select(F.col("id").alias("doc_id"), F.col("a").alias("a1"), F.col("b").alias("b1"), F.col("words").alias("w1"))
     two = cut.select(F.col("id").alias("source_id"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("words").alias("w2"))
-    both = asked.join(one, ["doc_id", "a1", "b1"]).join(two, ["source_id", "a2", "b2"]).select("doc_id", "source_id", "s", "e", "r", "a1", "a2", "w1", "w2")
+    both = asked.join(one, ["doc_id", "a1", "b1"]).join(two, ["source_id", "a2", "b2"]).select("doc_id", "source_id", "s", "e", "r", "parts", "a1", "a2", "w1", "w2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 out = []
-                for doc, source, s, e, r, a1, a2, w1, w2 in zip(*(c.to_pylist() for c in batch.slice(i, 512).columns), strict=True):
-                    x1, y1, x2, y2, same = align(np.frombuffer(w1, np.uint64), np.frombuffer(w2, np.uint64), s - a1, e - a1, r - a2)
-                    if min(y1 - x1, y2 - x2) >= min_words and 100 * same >= identity * max(y1 - x1, y2 - x2):
-                        out.append((doc, a1 + x1, a1 + y1, source, a2 + x2, a2 + y2, same))
+                for doc, source, s, e, r, parts, a1, a2, w1, w2 in zip(*(c.to_pylist() for c in batch.slice(i, 512).columns), strict=True):
+                    chain = [(x - a1, y - a1, z - a2) for x, y, z in itertools.batched(parts or (s, e, r), 3)]
+                    for found in align(np.frombuffer(w1, np.uint64), np.frombuffer(w2, np.uint64), chain):
+                        out += [(doc, a1 + x1, a1 + y1, source, a2 + x2, a2 + y2, same) for x1, y1, x2, y2, same in passing(found, min_words, identity)]
                 if out:
                     columns = list(zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "end", "source_id", "source_start", "source_end", "n_same"])

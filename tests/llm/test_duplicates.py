@@ -157,3 +157,24 @@ def test_chain_is_the_best_of_all_orders():
         chain = chained_substrings.chains(runs, 0.2, 10**6)[0]
         weight = sum(e - s for s, e, _ in chain) - 0.2 * sum(s2 - e1 + r2 - (r1 + e1 - s1) for (s1, e1, r1), (s2, _, r2) in zip(chain, chain[1:]))
         assert weight == pytest.approx(max(best(i) for i in range(len(runs))))
+
+
+def test_passages_behind_long_differences(spark):
+    """A chain goes on behind a difference that no alignment crosses: each stretch is a passage of its own."""
+    rng = random.Random(8)
+    own = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    few, passage, left, right = own(20), own(60), own(300), own(300)
+    one, two = own(12), own(15)
+    words = {1: few + own(15) + passage, 2: few + own(15) + passage, 3: left + own(18) + right, 4: own(7) + left + own(14) + right, 5: one + own(11) + two + own(30) + passage, 6: one + own(16) + two + own(30) + passage}
+    words[5][-60:] = words[6][-60:] = own(60)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in words.items()], "doc_id long, text string")
+    found = sorted((r.doc_id, r.start, r.end, r.source_id, r.source_start, r.source_end, r.n_same) for r in chained_substrings.repeated_passages(df).collect())
+    assert found == [(2, 35, 95, 1, 35, 95, 60), (4, 7, 307, 3, 0, 300, 300), (4, 321, 621, 3, 318, 618, 300), (6, 73, 133, 5, 68, 128, 60)]
+    left_over = {r.doc_id: r.text.split() for r in chained_substrings.without_passages(df).collect()}
+    assert left_over[2] == words[2][:35] and left_over[4] == words[4][:7] + words[4][307:321]
+
+
+def test_passage_in_a_stretch_that_agrees_too_little():
+    runs = [(0, 0, 20), (28, 28, 3), (39, 39, 3), (50, 50, 3), (61, 61, 3), (72, 72, 60), (140, 140, 3)]
+    assert list(chained_substrings.passing(runs, 50, 80)) == [(50, 132, 50, 132, 66)]
+    assert list(chained_substrings.passing(runs[:5], 50, 80)) == [] == list(chained_substrings.passing([], 50, 80))
