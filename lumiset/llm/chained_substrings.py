@@ -9,6 +9,11 @@ aligned on the words of both texts, over substitutions, insertions and deletions
 from the next words in common wherever the alignment ends before the chain does, so a chain may give several passages. Of a
 stretch that agrees too little as a whole the longest parts that agree enough are taken. Passages of ``MIN_WORDS`` words or more, of which at least ``IDENTITY`` in a hundred agree, are reported.
 
+A passage is missed by this if its seeds all come first in texts that hold only pieces of it. So a second pass takes the
+stretches whose seeds all come from earlier texts and that no passage covers, and matches every window of MIN_WORDS words in
+them to the first text with the same words. Each exact repeat of MIN_WORDS words is thereby covered; inexact ones are found
+by seeds alone.
+
 Defined cases: null and empty texts and texts under MIN_WORDS words have no passage; rows with null ids take no part and rows
 that repeat an id count as one text (the smallest by order); passages inside one text only are not reported; an empty table
 gives an empty result; extra columns are ignored. Words are runs without white space, A-Z in lower case.
@@ -177,20 +182,53 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int, step: int = 4096):
     return itertools.groupby(rows, key=lambda r: r[:keys])
 
 
-def chain_matches(anchors: DataFrame) -> DataFrame:
+def stretches(pos: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """(first, end) of the windows of ``min_words`` words whose seeds may all be among those at ``pos``, by their first words.
+
+    Seeds are at most SPAN apart, and a window's own begin within SPAN words of its start and end within SPAN of its last gram.
+    """
+    if not len(pos):
+        return []
+    pos = np.unique(pos)
+    cut = np.flatnonzero(np.diff(pos) > SPAN)
+    first, last = pos[np.concatenate([[0], cut + 1])], pos[np.concatenate([cut, [len(pos) - 1]])]
+    lo, hi = np.maximum(first - SPAN + 1, 0), last - (min_words - K - SPAN)
+    return [(a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True) if a < b]
+
+
+def without(ranges: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of ``ranges`` (ascending) without ``taken`` (ascending)."""
+    out = []
+    for a, b in ranges:
+        for c, d in taken:
+            if c < b and d > a:
+                out += [(a, c)] if a < c else []
+                a = d
+        out += [(a, b)] if a < b else []
+    return out
+
+
+def chain_matches(anchors: DataFrame, k: int = K, min_words: int | None = None) -> DataFrame:
     """(doc_id, source_id, s, e, r, re, parts): extents of the chains between each two texts; ``anchors``: doc_id, source_id, pos, ref.
 
-    ``parts`` has start, end and place in the other text of each run in a row, and is null for a single run.
+    ``parts`` has start, end and place in the other text of each run in a row, and is null for a single run. With ``min_words``
+    there are rows without source_id too: from s to e begin windows whose seeds may all have anchors.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
-            for (doc, source), rows in _groups(batches, 2):
-                _, _, pos, ref = zip(*rows, strict=True)
-                for chain in chains(runs(np.array(pos), np.array(ref))):
-                    s, e = chain[0][0], chain[-1][1]
-                    if e - s >= MIN_CHAIN:
-                        yield doc, source, s, e, chain[0][2], chain[-1][2] + chain[-1][1] - chain[-1][0], [x for run in chain for x in run] if len(chain) > 1 else None
+            for (doc,), by_doc in _groups(batches, 1):
+                seen = []
+                for source, rows in itertools.groupby(by_doc, key=lambda r: r[1]):
+                    _, _, pos, ref = (np.array(c) for c in zip(*rows, strict=True))
+                    seen.append(pos)
+                    for chain in chains(runs(pos, ref, k)):
+                        s, e = chain[0][0], chain[-1][1]
+                        if e - s >= MIN_CHAIN:
+                            yield doc, source, s, e, chain[0][2], chain[-1][2] + chain[-1][1] - chain[-1][0], [x for run in chain for x in run] if len(chain) > 1 else None
+                if min_words:
+                    for s, e in stretches(np.concatenate(seen), min_words):
+                        yield doc, None, s, e, None, None, None
 
         for part in itertools.batched(found(), 10_000):
             columns = list(zip(*part, strict=True))
@@ -299,10 +337,10 @@ def passing(found: list[tuple[int, int, int]], min_words: int, identity: int) ->
             waiting += [(x, best[1]), best[1:], (best[2], y)]
 
 
-def slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, a, b, words): hashes of the words a to b of the texts named in ``wanted`` (id, a, b), which has no repeated row."""
+def slices(docs: DataFrame, wanted: DataFrame, keep: tuple = ()) -> DataFrame:
+    """(id, a, b, words, and booleans of ``keep``): hashes of words a to b of the texts named in ``wanted`` (id, a, b), which has no repeated row."""
     texts = docs.select(F.col("doc_id").alias("id"), "text")
-    rows = wanted.join(texts, "id").select("id", "a", "b", "text")
+    rows = wanted.join(texts, "id").select("id", "a", "b", "text", *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, hashes = None, np.zeros(0, np.uint32)
@@ -310,19 +348,19 @@ def slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 out = []
-                for a, b, text in zip(*(c.to_pylist() for c in part.columns[1:]), strict=True):
+                for a, b, text in zip(*(c.to_pylist() for c in part.columns[1:4]), strict=True):
                     if text is not last and text != last:
                         last, hashes = text, word_hashes(words_of(text))
                     out.append(hashes[a:b].tobytes())
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(out, pa.binary())], names=["id", "a", "b", "words"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(out, pa.binary()), *part.columns[4:]], names=["id", "a", "b", "words", *keep])
 
-    return rows.mapInArrow(run, "id long, a int, b int, words binary")
+    return rows.mapInArrow(run, "id long, a int, b int, words binary" + "".join(f", {c} boolean" for c in keep))
 
 
 def align_chains(chained: DataFrame, docs: DataFrame, min_words: int, identity: int) -> DataFrame:
     down = lambda c: (F.floor(F.greatest(F.col(c) - AROUND, F.lit(0)) / GRAIN) * GRAIN).cast("int")
     up = lambda c: (F.ceil((F.col(c) + AROUND) / GRAIN) * GRAIN).cast("int")
-    asked = cut_lineage(chained.withColumns({"a1": down("s"), "b1": up("e"), "a2": down("r"), "b2": up("re")}))
+    asked = chained.withColumns({"a1": down("s"), "b1": up("e"), "a2": down("r"), "b2": up("re")})
     wanted = asked.select(F.col("doc_id").alias("id"), F.col("a1").alias("a"), F.col("b1").alias("b")).union(asked.select("source_id", "a2", "b2")).distinct()
     cut = cut_lineage(slices(docs, wanted))
     one = cut.select(F.col("id").alias("doc_id"), F.col("a").alias("a1"), F.col("b").alias("b1"), F.col("words").alias("w1"))
@@ -344,6 +382,77 @@ def align_chains(chained: DataFrame, docs: DataFrame, min_words: int, identity:
     return both.mapInArrow(run, "doc_id long, start long, end long, source_id long, source_start long, source_end long, n_same long").distinct()
 
 
+def by_text(rows: DataFrame, function, schema: str) -> DataFrame:
+    """Rows of ``function(doc, [(a, b) of kind 0], [(a, b) of kind 1])`` for each text; ``rows``: doc_id, kind, a, b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for (doc,), group in _groups(batches, 1):
+                kinds = [[], []]
+                for _, kind, a, b in group:
+                    kinds[kind].append((a, b))
+                yield from function(doc, *kinds)
+
+        for part in itertools.batched(found(), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*part, strict=True), types, strict=True)], names=names)
+
+    names, kinds = zip(*(f.split(" ") for f in schema.split(", ")), strict=True)
+    types = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[k] for k in kinds]
+    return rows.select("doc_id", "kind", F.col("a").cast("int"), F.col("b").cast("int")).repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "kind", "a", "b").mapInArrow(run, schema)
+
+
+def uncovered(open_: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, lo, hi): the windows of ``open_`` (doc_id, s, e) that don't lie in reported passages, by their first words."""
+
+    def left(doc, ranges, passages):
+        joined = []
+        for a, b in passages:
+            if joined and a <= joined[-1][1]:
+                joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
+            else:
+                joined.append((a, b))
+        for a, b in without(ranges, [(a, b - min_words + 1) for a, b in joined if b - a >= min_words]):
+            yield doc, a, b
+
+    marks = open_.select("doc_id", F.lit(0).alias("kind"), F.col("s").alias("a"), F.col("e").alias("b"))
+    return by_text(marks.union(found.select("doc_id", F.lit(1), F.col("start"), F.col("end"))), left, "doc_id long, lo int, hi int")
+
+
+def window_anchors(docs: DataFrame, ranges: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, source_id, pos, ref): windows of ``ranges`` (doc_id, lo, hi, asked) that are asked for, at their first places."""
+    cut = slices(docs, ranges.select(F.col("doc_id").alias("id"), F.col("lo").alias("a"), (F.col("hi") - 1 + min_words).alias("b"), "asked"), ("asked",))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                keys = [gram_hashes(np.frombuffer(w, np.uint64), min_words).view(np.int64) for w in part.column(3).to_pylist()]
+                at = pa.array(np.repeat(np.arange(len(keys)), [len(x) for x in keys]))
+                pos = np.concatenate([a + np.arange(len(x)) for a, x in zip(part.column(1).to_pylist(), keys, strict=True)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(np.concatenate(keys)), pa.array(pos), part.column(4).take(at)], names=["doc_id", "key", "pos", "asked"])
+
+    windows = written(cut.mapInArrow(run, "doc_id long, key long, pos int, asked boolean"))
+    firsts = windows.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("_f"), F.max("asked").alias("_a")).where("_a").select("key", F.col("_f.doc_id").alias("source_id"), F.col("_f.pos").alias("ref"))
+    return windows.where("asked").join(firsts, "key").where("doc_id != source_id")
+
+
+def missed_passages(open_: DataFrame, found: DataFrame, hits: DataFrame, docs: DataFrame, min_words: int, identity: int) -> DataFrame:
+    """Passages through exact repeats that ``found`` doesn't cover; ``open_``: where windows begin whose seeds all come from earlier texts."""
+    asked = written(uncovered(open_, found, min_words))
+    inside = (F.col("pos") >= F.col("lo")) & (F.col("pos") <= F.col("hi") - 1 + min_words - K)
+    keys = hits.join(asked, "doc_id").where(inside).select("key").distinct()
+    places = hits.join(keys, "key").select("doc_id", F.lit(1).alias("kind"), F.col("pos").alias("a"), F.col("pos").alias("b"))
+
+    def ranges(doc, wanted, at):
+        have = stretches(np.array([a for a, _ in at], np.int64), min_words)
+        yield from ((doc, a, b, True) for a, b in wanted)
+        yield from ((doc, a, b, False) for a, b in without(have, wanted))
+
+    both = written(by_text(asked.select("doc_id", F.lit(0).alias("kind"), F.col("lo").alias("a"), F.col("hi").alias("b")).union(places), ranges, "doc_id long, lo int, hi int, asked boolean"))
+    texts = written(docs.join(both.select("doc_id").distinct(), "doc_id", "left_semi"))
+    return align_chains(written(chain_matches(window_anchors(texts, both, min_words), min_words)), texts, min_words, identity)
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: int = IDENTITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, end, source_id, source_start, source_end, n_same: word ranges that repeat a passage of an earlier text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
@@ -352,7 +461,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: int
     hits = cut_lineage(seeded.select("doc_id", "pos", "key").join(repeated, "key").groupBy("key", "doc_id", "pos").agg(F.lit(1).alias("_one")).drop("_one"))
     firsts = hits.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("_f")).select("key", F.col("_f.doc_id").alias("source_id"), F.col("_f.pos").alias("ref"))
     anchors = hits.join(firsts, "key").where("doc_id != source_id")
-    return align_chains(chain_matches(anchors), rows, min_words, identity)
+    chained = written(chain_matches(anchors, min_words=min_words))
+    found = written(align_chains(chained.where("source_id is not null"), rows, min_words, identity))
+    return found.union(missed_passages(chained.where("source_id is null"), found, hits, rows, min_words, identity)).distinct()
 
 
 def without_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: int = IDENTITY) -> DataFrame:

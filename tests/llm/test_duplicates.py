@@ -178,3 +178,19 @@ def test_passage_in_a_stretch_that_agrees_too_little():
     runs = [(0, 0, 20), (28, 28, 3), (39, 39, 3), (50, 50, 3), (61, 61, 3), (72, 72, 60), (140, 140, 3)]
     assert list(chained_substrings.passing(runs, 50, 80)) == [(50, 132, 50, 132, 66)]
     assert list(chained_substrings.passing(runs[:5], 50, 80)) == [] == list(chained_substrings.passing([], 50, 80))
+
+
+def test_passages_of_which_earlier_texts_hold_pieces(spark):
+    """Texts 4 and 5 of each group share 60 words whose first and last 30 come first in two other texts, 6 and 7 a part of them."""
+    rng = random.Random(9)
+    own = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    words = {}
+    for g in range(0, 300, 10):
+        both = own(60)
+        words |= {g: both[:30] + own(30), g + 1: own(30) + both[30:], g + 2: own(30) + both[15:45] + own(30), g + 4: own(9) + both + own(40), g + 5: own(70) + both + own(3), g + 6: own(30) + both[5:55] + own(4), g + 7: both[:49] + own(30)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in words.items()], "doc_id long, text string")
+    covered = defaultdict(set)
+    for r in chained_substrings.repeated_passages(df).collect():
+        assert r.source_id < r.doc_id and r.end - r.start >= 50 and words[r.doc_id][r.start : r.end] == words[r.source_id][r.source_start : r.source_end]
+        covered[r.doc_id] |= set(range(r.start, r.end))
+    assert covered == {g + i: set(range(a, b)) for g in range(0, 300, 10) for i, a, b in ((5, 70, 130), (6, 30, 80))}
