@@ -1,18 +1,20 @@
 """Licence notices by the Dice coefficient over word bigrams (operator 9).
 
-A text is normalised to lower-case words without punctuation, line by line. A line, or in a longer line every run of as many
-words as the template has, is compared with each licence template by twice the shared bigrams (as multisets) over the
-bigrams of both. Two bounds prune: a line can only reach the threshold t with a template of b bigrams if it has between
-b t / (2 - t) and b (2 - t) / t of them, and only if the text holds at least one of any ``floor(b (2 - 2 t) / (2 - t)) + 1``
-bigrams of the template, for which those with the longest words are taken. Both are exact.
+A text is normalised to lower-case words without punctuation, across its lines, so that wrapped notices are one. Runs of words
+are compared with each licence template by twice the shared bigrams (as multisets) over the bigrams of both. Two bounds prune: a
+run can only reach the threshold t with a template of b bigrams if it has between b t / (2 - t) and b (2 - t) / t of them, and
+only if the text holds at least one of any ``floor(b (2 - 2 t) / (2 - t)) + 1`` bigrams of the template, for which those with
+the longest words are taken. Runs of all these lengths are tried that begin and end with a bigram of the template: any other
+run counts no less without its ends. So all three are exact.
 
 Defined cases: null or empty text has no notice; one row for each text and template found, none for texts without; of
 overlapping matches of a template the better counts, of equals the first; repeated rows are searched each; null ids are kept;
-extra columns are ignored. A line without bigrams matches nothing.
+extra columns are ignored. A text of under two words matches nothing.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -122,10 +124,54 @@ class Scanner:
                     x[1] = max(x[1], d)
         return [(name, n, round(d, 9)) for name, (n, d) in sorted(best.items())]
 
+    def found(self, words: list[str]) -> list[tuple[str, float]]:
+        """(template's name, Dice) of the matches that don't overlap, for each template by itself."""
+        out, present = [], set(words)
+        grams = list(zip(words, words[1:], strict=False))
+        for t in self.templates:
+            if len(grams) < t.least or not any(a in present for a in t.anchors):
+                continue
+            taken: list[tuple[int, int]] = []
+            for d, a, b in sorted(self.all_runs(grams, t), key=lambda x: (-x[0], x[1], x[2])):
+                if all(b <= c or e <= a for c, e in taken):
+                    taken.append((a, b))
+                    out.append((t.name, d))
+        return out
+
+    def all_runs(self, grams: list[tuple[str, str]], t: Template) -> list[tuple[float, int, int]]:
+        """(Dice, start, end) of the runs of words that reach the threshold and begin and end with a bigram of the template."""
+        hits = [i for i, g in enumerate(grams) if g in t.grams]
+        b, need, out = t.grams.total(), math.ceil(self.threshold * (t.grams.total() + t.least) / 2 - 1e-9), []
+        for k in range(len(hits) - need + 1):
+            if hits[k + need - 1] - hits[k] >= t.most:
+                continue
+            left, same = dict(t.grams), 0
+            for i in itertools.islice(hits, k, None):
+                size = i - hits[k] + 1
+                if size > t.most:
+                    break
+                if left[grams[i]]:
+                    left[grams[i]] -= 1
+                    same += 1
+                    if (d := 2 * same / (size + b)) >= self.threshold:
+                        out.append((d, hits[k], i + 2))
+        return out
+
+    def scan_whole(self, text: str) -> list[tuple[str, int, float]]:
+        """(licence, matches, best Dice) of a text, by name, in runs of any length across line ends; ``scan`` goes line by line."""
+        if not self.anchor.search(low := text.lower()):
+            return []
+        best: dict[str, list] = {}
+        for name, d in self.found(words_of(low)):
+            x = best.setdefault(name, [0, 0.0])
+            x[0] += 1
+            x[1] = max(x[1], d)
+        return [(name, n, round(d, 9)) for name, (n, d) in sorted(best.items())]
+
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, n_matches, dice: a row for each licence whose notice a text holds."""
-    return per_text(docs, "license string, n_matches long, dice double", lambda: Scanner(templates, threshold).scan, id_col, text_col, many=True)
+    return per_text(docs, "license string, n_matches long, dice double", lambda: Scanner(templates, threshold).scan_whole, id_col, text_col, many=True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,3 +135,31 @@ def test_licenses_against_all_windows(documents):
 
 def test_license_edges(hard_docs, no_docs):
     assert license_dice.scan_licenses(hard_docs).count() == 0 and license_dice.scan_licenses(no_docs).count() == 0
+
+
+def test_wrapped_and_altered_notices(spark):
+    scanner = license_dice.Scanner()
+    for name, notices in license_dice.TEMPLATES.items():
+        for notice in notices:
+            words = notice.split()
+            for width in (2, 5, 9):
+                lines = [" ".join(words[i : i + width]) for i in range(0, len(words), width)]
+                assert (name, 1.0) in {(n, d) for n, _, d in scanner.scan_whole("some code\n# " + "\n# ".join(lines) + "\nmore code")}
+    altered = "Licensed under the Apache Software License, Version 2.0"
+    for text in (altered, f"this file is {altered} and comes with no promise of any kind at all", altered.replace("Software ", "Software\n * ")):
+        assert scanner.scan_whole(text) == [("apache-2.0", 1, 0.8)]
+        rows = license_dice.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+        assert [tuple(r) for r in rows] == [(1, "apache-2.0", 1, 0.8)]
+
+
+def test_runs_against_all_of_any_length():
+    rng = random.Random(5)
+    scanner = license_dice.Scanner({"x": ["a b c a b d e"], "y": ["b c d e f"]}, 0.8)
+    for _ in range(300):
+        words = [rng.choice("abcdefg") if rng.random() < 0.4 else "abcabde"[k % 7] for k in range(rng.randrange(30))]
+        expected = {}
+        for t in scanner.templates:
+            every = [license_dice.dice(license_dice.bigrams(words[i:j]), t.grams) for i in range(len(words)) for j in range(i + 2, len(words) + 1)]
+            if max(every, default=0) >= 0.8:
+                expected[t.name] = round(max(every), 9)
+        assert {n: d for n, _, d in scanner.scan_whole(" ".join(words))} == expected
