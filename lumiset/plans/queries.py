@@ -237,13 +237,12 @@ simple("j2_stratified_star_split", lambda s, d: S.stratified_star_split(X.labell
 small = lambda s, d: X.labelled(s, d).where(F.regexp_extract("star_id", r"_(\d+)$", 1).cast("int") < 20)
 simple("j3_small_split", lambda s, d: S.stratified_star_split(small(s, d), "3", 0.15, 0.15, True), sql("SELECT star_id, has_pos, CASE WHEN r <= t THEN 'test' WHEN r <= t + least(greatest(ceil(n * 0.15e0), k), greatest(n - t - k, 0)) THEN 'val' ELSE 'train' END AS split FROM (SELECT *, least(greatest(ceil(n * 0.15e0), k), greatest(n - 2 * k, 0)) AS t FROM (SELECT *, CASE WHEN n >= 3 THEN 1 ELSE 0 END AS k FROM st))", ints="has_pos", base=f"{LAB}, {STAR.format(seed='3').replace('FROM lab', 'FROM lab WHERE CAST(regexp_extract(star_id, $$_([0-9]+)$$, 1) AS INTEGER) < 20')}"))
 simple("j4_group_split", lambda s, d: S.group_split(X.labelled(s, d), "5"), sql("SELECT star_id, has_pos, CASE WHEN r <= k THEN 'test' WHEN r <= 2 * k THEN 'val' ELSE 'train' END AS split FROM (SELECT *, CASE WHEN has_pos = 0 THEN floor(n0 * 0.2e0) ELSE floor(a * 0.2e0) - floor(n0 * 0.2e0) END AS k FROM st, (SELECT count(*) AS a, sum(1 - has_pos) AS n0 FROM st))", ints="has_pos", base=f"{LAB}, {STAR.format(seed='5')}"))
-simple("j5_positional_split", lambda s, d: S.positional_split(load(s, d, "customer").select("c_custkey", (F.col("c_custkey") - F.min("c_custkey").over(all_rows())).alias("pos")), "pos").select("c_custkey", "split"), sql("SELECT c_custkey, CASE WHEN pos < round_even(n * 0.8e0, 0) THEN 'train' WHEN pos < round_even(n * 0.8e0, 0) + round_even(n * 0.1e0, 0) THEN 'val' ELSE 'test' END AS split FROM (SELECT c_custkey, c_custkey - min(c_custkey) OVER () AS pos, count(*) OVER () AS n FROM customer)"))
+simple("j5_positional_split", lambda s, d: S.positional_split(from_first(load(s, d, "customer"), "c_custkey"), "pos").select("c_custkey", "split"), sql("SELECT c_custkey, CASE WHEN pos < round_even(n * 0.8e0, 0) THEN 'train' WHEN pos < round_even(n * 0.8e0, 0) + round_even(n * 0.1e0, 0) THEN 'val' ELSE 'test' END AS split FROM (SELECT c_custkey, c_custkey - min(c_custkey) OVER () AS pos, count(*) OVER () AS n FROM customer)"))
 
 
-def all_rows():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))
+def from_first(df, key):
+    least = df.agg(F.min(key).alias("_least"))
+    return df.crossJoin(F.broadcast(least)).select(key, (F.col(key) - F.col("_least")).alias("pos"))
 
 
 def balanced(s, d):

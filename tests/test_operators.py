@@ -101,3 +101,10 @@ def test_spark_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_positions_take_no_window_over_all_rows(spark):
+    from lumiset.plans import queries
+
+    plan = queries.QUERIES["j5_positional_split"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Window" not in plan
