@@ -70,6 +70,41 @@ def test_near_duplicate_edges(hard_docs, no_docs):
     assert tensored_minhash.drop_near_duplicates(hard_docs, 4, 80).columns == hard_docs.columns
 
 
+def template(n, seed=4):
+    """Texts that lie about the threshold from each other: all have a part of one template, and are in one cluster."""
+    rng = random.Random(seed)
+    base = [f"t{k}" for k in range(90)]
+    heads = [[f"h{g}-{k}" for k in range(rng.randrange(8, 16))] for g in range(n // 12)]
+    texts = {}
+    for i in range(n):
+        words = base + rng.choice(heads)
+        for _ in range(rng.randrange(0, 3)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        texts[i] = " ".join(words)
+    return texts
+
+
+@pytest.mark.parametrize("n", [100, 1000])
+def test_clusters_of_any_size(spark, n):
+    """A cluster under and one over BLOCK give the links of brute force alike."""
+    texts = template(n) | {n + i: t for i, t in copies(seed=5, groups=4).items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    group, _ = classes(texts)
+    assert {r.doc_id: r.component_id for r in tensored_minhash.near_duplicates(df, 4, 80).collect()} == group
+    assert 1 < len({group[i] for i in range(n)}) < n
+
+
+@pytest.mark.parametrize("block", [128, 1])
+def test_links_of_each_text_under_one_id(spark, monkeypatch, block):
+    monkeypatch.setattr(tensored_minhash, "BLOCK", block)
+    rng = random.Random(7)
+    a, b = ([f"{s}{rng.randrange(9000)}" for _ in range(80)] for s in "ab")
+    change = lambda words: " ".join([*words[:40], "other", *words[41:]])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, change(a)), (8, change(b)), (8, change(b)), (None, " ".join(a)), (9, " ".join(b[:30]))]
+    found = sorted((r.doc_id or 0, r.component_id or 0) for r in tensored_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect())
+    assert found == [(0, 0), (5, 5), (5, 5), (7, 5), (8, 5), (8, 5), (9, 9)]
+
+
 @pytest.mark.parametrize("few", [50_000, 0])
 def test_components_of_a_path_and_a_star(spark, few):
     path = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
