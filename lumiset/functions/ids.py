@@ -21,9 +21,12 @@ def intish(c: Column) -> Column:
     return F.trim(c.cast("string")).try_cast("double").cast("bigint")
 
 
+#: How ids are written, as a prefix, signs or blanks, and the rest; and runs of the sign that joins them.
+ID_SIGNS, ID_JOINS = r"^(KIC|KOI|EPIC|TIC|TOI)[\s\-]+", "__+"
+
+
 def normalize_star_id(c: Column) -> Column:
-    x = F.regexp_replace(F.trim(c), r"^(KIC|KOI|EPIC|TIC|TOI)[\s\-]+", "$1_")
-    return F.regexp_replace(x, "__+", "_")
+    return F.regexp_replace(F.regexp_replace(F.trim(c), ID_SIGNS, "$1_"), ID_JOINS, "_")
 
 
 def mission_from_star_id(c: Column) -> Column:
@@ -90,10 +93,11 @@ def simple_ephemeris(df: DataFrame, default_hours: float = 6.0) -> DataFrame:
 
 
 def guess_time_base(points: DataFrame) -> DataFrame:
-    """BJD, REDUCED or UNKNOWN for each star, from its median time."""
-    m = points.groupBy("star_id").agg(F.percentile("time", F.lit(0.5)).alias("m"))
+    """BJD, REDUCED or UNKNOWN for each curve, from its median time."""
+    key = [c for c in ("star_id", "mission") if c in points.columns]
+    m = points.groupBy(*key).agg(F.percentile("time", F.lit(0.5)).alias("m"))
     base = F.when(F.col("m") > 2e6, "BJD").when((F.col("m") > 1e4) & (F.col("m") < 2e5), "UNKNOWN").otherwise("REDUCED")
-    return m.select("star_id", base.alias("time_base"))
+    return m.select(*key, base.alias("time_base"))
 
 
 def convert_t0(t0: Column, mission: Column, time_base: Column) -> Column:

@@ -14,6 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import checkpointed
+from .ranks import digest_ranks, exact_quantiles
+from .sampling import row_split
+from .scores import ranked
+from .signals import mad_normalize
+from .windows import make_segments, star_key, window_key
+from .windows import window_points as cut_points
+
 
 def finite_vector(c: str) -> Column:
     return F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -76,14 +84,23 @@ def pack_windows(windows: DataFrame, value: str = "flux") -> DataFrame:
 
 def dip_score(windows: DataFrame, value: str = "flux") -> DataFrame:
     """Depth of a window's minimum in robust deviations below its median, as x / (1 + x): a scorer that needs no model."""
-    med = windows.groupBy("star_id", "start").agg(F.percentile(value, F.lit(0.5)).alias("_med"), F.min(value).alias("_lo"))
-    dev = windows.join(med, ["star_id", "start"]).groupBy("star_id", "start").agg(F.first("_med").alias("_med"), F.first("_lo").alias("_lo"), F.percentile(F.abs(F.col(value) - F.col("_med")), F.lit(0.5)).alias("_mad"))
+    key = window_key(windows)
+    med = windows.groupBy(*key).agg(F.percentile(value, F.lit(0.5)).alias("_med"), F.min(value).alias("_lo"))
+    dev = windows.join(med, key).groupBy(*key).agg(F.first("_med").alias("_med"), F.first("_lo").alias("_lo"), F.percentile(F.abs(F.col(value) - F.col("_med")), F.lit(0.5)).alias("_mad"))
     x = (F.col("_med") - F.col("_lo")) / (F.col("_mad") + 1e-6)
-    return dev.select("star_id", "start", (x / (1 + x)).alias("p"))
+    return dev.select(*key, (x / (1 + x)).alias("p"))
+
+
+def score_stars(points: DataFrame, window: int, stride: int, k: int = 5, scorer: Callable[[DataFrame], DataFrame] = dip_score) -> DataFrame:
+    """The best ``k`` windows of each normalised curve with their scores and the mean of them, ``score``, which is the star's."""
+    flat = mad_normalize(points, star_key(points)).drop("flux").withColumnRenamed("norm", "flux")
+    curves = points.groupBy(*star_key(points)).agg(F.count("*").alias("n_points"))
+    top = ranked(scorer(cut_points(flat, make_segments(curves, window, stride), window, stride)), star_key(points)).where(F.col("_rank") <= k).drop("_rank")
+    return top.withColumn("score", F.avg("p").over(Window.partitionBy(*star_key(points))))
 
 
 def window_features(windows: DataFrame, value: str = "flux") -> DataFrame:
-    w = windows.groupBy("star_id", "start").agg(F.avg(value).alias("f_mean"), F.stddev_pop(value).alias("f_std"), F.min(value).alias("f_min"), F.max(value).alias("f_max"), F.percentile(value, F.lit(0.05)).alias("f_q05"), F.percentile(value, F.lit(0.5)).alias("f_med"))
+    w = windows.groupBy(*window_key(windows)).agg(F.avg(value).alias("f_mean"), F.stddev_pop(value).alias("f_std"), F.min(value).alias("f_min"), F.max(value).alias("f_max"), F.percentile(value, F.lit(0.05)).alias("f_q05"), F.percentile(value, F.lit(0.5)).alias("f_med"))
     return w
 
 
@@ -110,11 +127,21 @@ def smooth_scores(df: DataFrame, score: str, vec: str = "embedding") -> DataFram
     return LinearRegression(featuresCol="_v", labelCol=score, predictionCol="smooth", regParam=1e-3).fit(v).transform(v).drop("_v")
 
 
-def binary_embedding_classifier(train: DataFrame, everything: DataFrame, dims: int, vec: str = "embedding", hidden: int = 16) -> DataFrame:
-    """``probability`` that the label is 1, by a small perceptron over the embedding."""
-    vector = lambda d: d.withColumn("_v", array_to_vector(F.transform(vec, lambda x: x.cast("double"))))
-    model = MultilayerPerceptronClassifier(layers=[dims, hidden, 2], featuresCol="_v", labelCol="label", seed=7, maxIter=40).fit(vector(train))
-    return model.transform(vector(everything)).withColumn("probability", vector_to_array("probability")[1]).drop("_v", "rawPrediction", "prediction")
+def above_cut(df: DataFrame, column: str, q: float = 0.99) -> DataFrame:
+    """The rows at the column's quantile ``q`` or above."""
+    cut = exact_quantiles(df, column, {"_cut": q})
+    return df.crossJoin(F.broadcast(cut)).where(F.col(column) >= F.col("_cut")).drop("_cut")
+
+
+def binary_embedding_classifier(df: DataFrame, key: str, vec: str = "embedding", hidden: int = 16, seed: str = "7", dims: int | None = None) -> DataFrame:
+    """``split`` (70/15/15 of each label by digest) and ``probability`` that the label is 1, by a small perceptron fitted on train.
+
+    All vectors have ``dims`` components, or as many as the first one.
+    """
+    rows = checkpointed(row_split(df, seed, (0.7, 0.15, 0.15), key).withColumn("_v", array_to_vector(F.transform(vec, lambda x: x.cast("double")))))
+    dims = dims or len(rows.select(vec).first()[0])
+    model = MultilayerPerceptronClassifier(layers=[dims, hidden, 2], featuresCol="_v", labelCol="label", seed=7, maxIter=40).fit(rows.where("split = 'train'"))
+    return model.transform(rows).withColumn("probability", vector_to_array("probability")[1]).drop("_v", "rawPrediction", "prediction")
 
 
 def _grow(x: np.ndarray, rng: np.random.Generator, depth: int, limit: int) -> list:
@@ -146,6 +173,10 @@ def _depths(x: np.ndarray, tree: list) -> np.ndarray:
     return out
 
 
+def _score(x: np.ndarray, forest: list) -> np.ndarray:
+    return 2.0 ** -np.mean([_depths(x, t) / max(float(_expected(n)), 1e-9) for n, t in forest], axis=0) if len(x) else np.zeros(0)
+
+
 def isolation_forest(df: DataFrame, vec: str, key: str, trees: int = 100, size: int = 256) -> DataFrame:
     """``outlier_score``: higher is more isolated. Trees grow on digest samples of at most ``size`` rows, which bounds them."""
     import json
@@ -165,9 +196,7 @@ def isolation_forest(df: DataFrame, vec: str, key: str, trees: int = 100, size:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = np.array(pdf[vec].tolist(), float)
-            depth = np.mean([_depths(x, t) / max(float(_expected(n)), 1e-9) for n, t in box.value], axis=0) if len(pdf) else np.zeros(0)
-            yield pdf.assign(outlier_score=2.0**-depth)
+            yield pdf.assign(outlier_score=_score(np.array(pdf[vec].tolist(), float), box.value))
 
     return df.mapInPandas(score, T.StructType([*df.schema.fields, T.StructField("outlier_score", T.DoubleType())]))
 
@@ -177,5 +206,52 @@ def anomaly_scores(df: DataFrame, key: str, vec: str = "embedding", dims: int =
     p = pca(df.select(key, vec), dims, vec).withColumn("_v", array_to_vector("pc"))
     p = StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True).fit(p).transform(p).select(key, vector_to_array("_s").alias("x"))
     scored = isolation_forest(p, "x", key)
-    cut = scored.agg(F.percentile("outlier_score", F.lit(flag_from)).alias("_cut"))
+    scored = checkpointed(scored)
+    cut = exact_quantiles(scored, "outlier_score", {"_cut": flag_from})
     return scored.crossJoin(F.broadcast(cut)).select(key, "outlier_score", (F.col("outlier_score") >= F.col("_cut")).cast("int").alias("flag"))
+
+
+def weird_stars(df: DataFrame, key: str, vec: str = "embedding", score: str = "smooth", best: int = 200, n: int = 20) -> DataFrame:
+    """The ``n`` most isolated of the ``best`` rows by score."""
+    top = df.orderBy(F.desc(score), key).limit(best)
+    return anomaly_scores(top, key, vec).orderBy(F.desc("outlier_score"), key).limit(n)
+
+
+def plain_segments(points: DataFrame, window: int, stride: int) -> DataFrame:
+    """(star_id, mission, start, values) of the regular windows: the segmentation that ``star_anomalies`` takes by default."""
+    curves = points.groupBy(*star_key(points)).agg(F.count("*").alias("n_points"))
+    return pack_windows(cut_points(points, make_segments(curves, window, stride), window, stride)).drop("end")
+
+
+def star_anomalies(points: DataFrame, window: int, stride: int, segment: Callable[[DataFrame, int, int], DataFrame] = plain_segments, fit_on_self: bool = False, trees: int = 100, size: int = 256, part: int = 1024) -> DataFrame:
+    """``outlier_score`` of each window. ``segment`` cuts curves: (points, window, stride) to rows with star_id, start and values.
+
+    One forest for all windows, or one of each curve's own: it grows on at most ``size`` of its windows, by digest, and scores
+    the curve in parts of about ``part`` windows, so tasks stay bounded on any curve.
+    """
+    import json
+
+    rows = segment(points, window, stride)
+    key = star_key(rows)
+    if not fit_on_self:
+        return isolation_forest(rows.withColumn("_k", F.concat_ws("|", *key, "start")), "values", "_k", trees, size).drop("_k")
+    rows = checkpointed(rows)
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf.sort_values("start")["values"].tolist(), float)
+        limit = int(np.ceil(np.log2(max(2, len(x)))))
+        return pdf[key].iloc[:1].assign(forest=json.dumps([[len(x), _grow(x, np.random.default_rng(t), 0, limit)] for t in range(trees)]))
+
+    ranked = digest_ranks(rows, key, F.md5(F.concat_ws("|", *key, "start")), ["start"])
+    names = ", ".join(f"{k} string" for k in key)
+    forests = ranked.where(F.col("_r") <= size).select(*key, "start", "values").groupBy(*key).applyInPandas(grow, f"{names}, forest string")
+    parts = rows.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(part)).cast("int").alias("_n"))
+    dealt = rows.join(parts, key).withColumn("_part", F.pmod(F.xxhash64("start"), F.col("_n")).cast("int")).drop("_n")
+    spread = forests.join(parts, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        forest = json.loads(right["forest"].iloc[0])
+        return left.drop(columns="_part").assign(outlier_score=_score(np.array(left["values"].tolist(), float), forest))
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("outlier_score", T.DoubleType())])
+    return dealt.groupBy(*key, "_part").cogroup(spread.groupBy(*key, "_part")).applyInPandas(score, schema)

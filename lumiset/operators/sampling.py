@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import digest_ranks
 from .scores import md5_key, nlargest
 
 SPLITS = ("train", "val", "test")
@@ -16,17 +17,8 @@ def shuffle(df: DataFrame, seed: str, *key: str) -> DataFrame:
 
 
 def ranks(df: DataFrame, keys: list[str], seed: str, *key: str) -> DataFrame:
-    """``_r``: a row's place by digest in its group, from 1, and ``_n`` the group's rows.
-
-    Groups can be as large as the table, so places are counted in two steps: inside each of 256 digest ranges, and over the
-    counts of the ranges before.
-    """
-    rows = df.withColumn("_d", md5_key(seed, *key)).withColumn("_b", F.substring("_d", 1, 2))
-    counts = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0))).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
-    inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_d", *key))
-    return rows.withColumn("_i", inside).join(counts.drop("_c"), [*keys, "_b"]).withColumn("_r", F.col("_i") + F.col("_before")).drop("_i", "_before", "_b", "_d")
+    """``_r``: a row's place by digest in its group, from 1, and ``_n`` the group's rows; groups can be as large as the table."""
+    return digest_ranks(df, keys, md5_key(seed, *key), list(key))
 
 
 def star_table(labelled: DataFrame) -> DataFrame:
@@ -75,7 +67,7 @@ def balanced_train_set(df: DataFrame, hard: DataFrame, seed: str, ratio: int = 1
     n_hard = round(hard_frac * n_neg)
     chosen = nlargest(hard, n_hard)
     rest = neg.join(chosen.select("star_id", "start"), ["star_id", "start"], "left_anti")
-    easy = rest.orderBy(md5_key(seed, "star_id", "start"), "star_id", "start").limit(n_neg - n_hard)
+    easy = ranks(rest.withColumn("_g", F.lit(1)), ["_g"], seed, "star_id", "start").where(F.col("_r") <= n_neg - n_hard).select(df.columns)
     return pos.unionByName(chosen.select(df.columns)).unionByName(easy)
 
 
@@ -89,7 +81,7 @@ def oversample(df: DataFrame) -> DataFrame:
 
 
 def class_weight(df: DataFrame) -> DataFrame:
-    return df.agg(F.sum(1 - F.col("label")).alias("n0"), F.sum("label").alias("n1")).selectExpr("stack(2, 0, 1D, 1, n0 / n1) as (label, weight)")
+    return df.agg(F.sum(1 - F.col("label")).alias("n0"), F.sum("label").alias("n1")).selectExpr("stack(2, 0, 1D, 1, try_divide(n0, n1)) as (label, weight)")
 
 
 def choose_stars(stars: DataFrame, share: float, seed: str, force: bool = False) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import checkpointed
+from .ranks import exact_quantiles, global_cumsum
+from .windows import window_key
+
 
 def ranked(df: DataFrame, keys: list[str], score: str = "p", tie: str = "start") -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), tie)))
@@ -44,13 +50,13 @@ def split_summary(df: DataFrame, split: str = "split") -> DataFrame:
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
-    q = lambda p: F.percentile(column, F.lit(p))
-    return df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("lo"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max(column).alias("hi"))
+    stats = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("lo"), F.max(column).alias("hi"))
+    return stats.crossJoin(F.broadcast(exact_quantiles(df, column, {"q25": 0.25, "q50": 0.5, "q75": 0.75})))
 
 
 def quantiles(df: DataFrame, column: str, at: list[float]) -> DataFrame:
-    values = df.agg(F.percentile(column, F.array(*map(F.lit, at))).alias("_q"))
-    return values.select(F.posexplode("_q").alias("_i", "value")).select(F.element_at(F.array(*map(F.lit, at)), F.col("_i") + 1).alias("q"), "value")
+    values = exact_quantiles(df, column, {f"_{i}": q for i, q in enumerate(at)})
+    return values.select(F.explode(F.array(*(F.struct(F.lit(q).alias("q"), F.col(f"_{i}").alias("value")) for i, q in enumerate(at)))).alias("x")).select("x.q", "x.value")
 
 
 def mode_or_first(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -65,8 +71,19 @@ def histogram(df: DataFrame, column: str, bins: int, lo: float, hi: float) -> Da
 
 def depth_by_label(windows: DataFrame, value: str = "flux") -> DataFrame:
     """Fifth percentile and minimum of each window, then their median and mean by label."""
-    each = windows.groupBy("star_id", "start", "label").agg(F.percentile(value, F.lit(0.05)).alias("q05"), F.min(value).alias("lo"))
-    return each.groupBy("label").agg(F.percentile("q05", F.lit(0.5)).alias("q05_median"), F.avg("q05").alias("q05_mean"), F.percentile("lo", F.lit(0.5)).alias("min_median"), F.avg("lo").alias("min_mean"))
+    each = checkpointed(window_depths(windows, value))
+    means = each.groupBy("label").agg(F.avg("q05").alias("q05_mean"), F.avg("lo").alias("min_mean"))
+    return means.join(exact_quantiles(each, "q05", {"q05_median": 0.5}, "label"), "label").join(exact_quantiles(each, "lo", {"min_median": 0.5}, "label"), "label")
+
+
+def window_depths(windows: DataFrame, value: str = "flux") -> DataFrame:
+    return windows.groupBy(*window_key(windows), "label").agg(F.percentile(value, F.lit(0.05)).alias("q05"), F.min(value).alias("lo"))
+
+
+def deepest_positives(windows: DataFrame, n: int = 12, value: str = "flux") -> DataFrame:
+    """The positive windows with the lowest fifth percentiles."""
+    each = window_depths(windows.where("label = 1"), value)
+    return each.orderBy("q05", *window_key(windows)).limit(n)
 
 
 def channel_health(df: DataFrame, column: str, tolerance: float = 1e-3) -> DataFrame:
@@ -76,8 +93,9 @@ def channel_health(df: DataFrame, column: str, tolerance: float = 1e-3) -> DataF
 
 def tensor_sanity(windows: DataFrame, value: str = "flux") -> DataFrame:
     """Zeros, energy and spread over all windows, and the range of the windows' own shares."""
-    each = windows.groupBy("star_id", "start").agg(F.avg(F.when(F.col(value) == 0, 1.0).otherwise(0.0)).alias("z"), F.avg(F.abs(value)).alias("e"))
-    return each.agg(*(f(c).alias(f"{c}_{n}") for c in ("z", "e") for n, f in (("min", F.min), ("mean", F.avg), ("max", F.max))))
+    each = windows.groupBy(*window_key(windows)).agg(F.avg(F.when(F.col(value) == 0, 1.0).otherwise(0.0)).alias("z"), F.avg(F.abs(value)).alias("e"), F.count(value).alias("_n"), F.sum(value).alias("_s"), F.sum(F.col(value) * F.col(value)).alias("_q"))
+    mean = F.sum("_s") / F.sum("_n")
+    return each.agg(*(f(c).alias(f"{c}_{n}") for c in ("z", "e") for n, f in (("min", F.min), ("mean", F.avg), ("max", F.max))), F.sqrt(F.greatest(F.sum("_q") / F.sum("_n") - mean * mean, F.lit(0.0))).alias("std"))
 
 
 def star_counts(df: DataFrame) -> DataFrame:
@@ -135,7 +153,7 @@ def precision_at(df: DataFrame, ks: list[int], score: str, label: str, tie: str)
     top = df.select(F.col(score).alias("s"), F.col(label).alias("y"), F.col(tie).alias("t")).orderBy(F.desc("s"), "t").limit(max(ks))
     rows = top.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("s"), "t"))).withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("_r <= k")
     base = df.agg(F.avg(label).alias("_base"))
-    return rows.groupBy("k").agg(F.avg("y").alias("precision"), F.count("*").alias("n")).crossJoin(F.broadcast(base)).select("k", "n", "precision", (F.col("precision") / F.col("_base")).alias("lift"))
+    return rows.groupBy("k").agg(F.avg("y").alias("precision"), F.count("*").alias("n")).crossJoin(F.broadcast(base)).select("k", "n", "precision", F.try_divide("precision", "_base").alias("lift"))
 
 
 def false_positive_windows(df: DataFrame, stars: int, n: int) -> DataFrame:
@@ -171,28 +189,12 @@ def top_strings(df: DataFrame, k: int = 5) -> DataFrame:
 # ---- metrics -------------------------------------------------------------------------------------------------------------------
 
 
-def global_cumsum(df: DataFrame, order: str, columns: list[str], parts: int = 64) -> DataFrame:
-    """Running sums over all rows in descending order, without gathering them in one task.
-
-    Rows, one for each value of ``order``, are range-partitioned; sums inside a partition get the total of those before, and
-    there are only ``parts`` totals.
-    """
-    dealt = df.repartitionByRange(parts, F.desc(order)).withColumn("_part", F.spark_partition_id())
-    totals = dealt.groupBy("_part").agg(*(F.sum(c).alias(f"_t{c}") for c in columns))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_part", *(F.coalesce(F.sum(f"_t{c}").over(before), F.lit(0)).alias(f"_o{c}") for c in columns))
-    inside = Window.partitionBy("_part").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    rows = dealt.join(F.broadcast(offsets), "_part")
-    return rows.withColumns({f"cum_{c}": F.sum(c).over(inside) + F.col(f"_o{c}") for c in columns}).drop("_part", *(f"_o{c}" for c in columns))
-
-
 def curve(df: DataFrame, score: str = "p", label: str = "label") -> DataFrame:
     """A row for each distinct score: positives and negatives at it, and at it or above, with both totals."""
     y = F.col(label)
     by = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
     rows = global_cumsum(by, "threshold", ["pos", "neg"])
-    total = df.agg(F.sum(y).alias("all_pos"), F.sum(1 - y).alias("all_neg"))
-    return rows.crossJoin(F.broadcast(total))
+    return rows.crossJoin(F.broadcast(rows.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))))
 
 
 def roc_auc(df: DataFrame, score: str = "p", label: str = "label") -> DataFrame:
@@ -204,13 +206,13 @@ def roc_auc(df: DataFrame, score: str = "p", label: str = "label") -> DataFrame:
 
 def average_precision(df: DataFrame, score: str = "p", label: str = "label") -> DataFrame:
     """Sum over distinct scores of the gain in recall times the precision there."""
-    gain = F.col("pos") / F.col("all_pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
+    gain = F.try_divide("pos", "all_pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     return curve(df, score, label).agg(F.sum(gain).alias("average_precision"))
 
 
 def curve_points(df: DataFrame, score: str = "p", label: str = "label") -> DataFrame:
     c = curve(df, score, label)
-    return c.select("threshold", (F.col("cum_pos") / F.col("all_pos")).alias("tpr"), (F.col("cum_neg") / F.col("all_neg")).alias("fpr"), (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"))
+    return c.select("threshold", F.try_divide("cum_pos", "all_pos").alias("tpr"), F.try_divide("cum_neg", "all_neg").alias("fpr"), (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"))
 
 
 def youden_threshold(df: DataFrame, score: str = "p", label: str = "label") -> DataFrame:
@@ -222,10 +224,10 @@ def choose_threshold(df: DataFrame, mode: str, target_recall: float = 0.65, scor
     """The threshold that is best by balanced accuracy, F1, accuracy, or the highest that reaches a recall; no rows: 0.5."""
     tp, fp, allp, alln = F.col("cum_pos"), F.col("cum_neg"), F.col("all_pos"), F.col("all_neg")
     value = {
-        "balanced_accuracy": (tp / allp + (alln - fp) / alln) / 2,
-        "f1": 2 * tp / (allp + tp + fp),
-        "accuracy": (tp + alln - fp) / (allp + alln),
-        "recall": F.when(tp / allp >= target_recall, F.col("threshold")),
+        "balanced_accuracy": (F.try_divide(tp, allp) + F.try_divide(alln - fp, alln)) / 2,
+        "f1": F.try_divide(2 * tp, allp + tp + fp),
+        "accuracy": F.try_divide(tp + alln - fp, allp + alln),
+        "recall": F.when(F.try_divide(tp, allp) >= target_recall, F.col("threshold")),
     }[mode]
     best = curve(df, score, label).select("threshold", F.round(value, 12).alias("value")).where("value is not null").orderBy(F.desc("value"), F.desc("threshold")).limit(1)
     return best.agg(F.coalesce(F.max("threshold"), F.lit(0.5)).alias("threshold"), F.max("value").alias("value"))
@@ -236,7 +238,7 @@ def confusion(df: DataFrame, threshold: float, score: str = "p", label: str = "l
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
     c = df.agg(n(hit & y).alias("tp"), n(hit & ~y).alias("fp"), n(~hit & y).alias("fn"), n(~hit & ~y).alias("tn"))
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
-    return c.select("tp", "fp", "fn", "tn", ((tp + tn) / (tp + fp + fn + tn)).alias("accuracy"), ((tp / (tp + fn) + tn / (tn + fp)) / 2).alias("balanced_accuracy"), (2 * tp / (2 * tp + fp + fn)).alias("f1"))
+    return c.select("tp", "fp", "fn", "tn", F.try_divide(tp + tn, tp + fp + fn + tn).alias("accuracy"), ((F.try_divide(tp, tp + fn) + F.try_divide(tn, tn + fp)) / 2).alias("balanced_accuracy"), F.try_divide(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
 def class_report(df: DataFrame, threshold: float, score: str = "p", label: str = "label") -> DataFrame:
@@ -249,6 +251,30 @@ def class_report(df: DataFrame, threshold: float, score: str = "p", label: str =
     return each.unionByName(macro).unionByName(weighted)
 
 
+def eval_report(df: DataFrame, split: str = "split", ks: tuple = (10, 50), modes: tuple = ("max", "mean", "topk_mean"), k: int = 10) -> DataFrame:
+    """(split, level, metric, value): for each split the metrics of its windows, of its stars by three aggregates, and its best rows.
+
+    Splits are few and named in advance by their rows, so each is evaluated by itself.
+    """
+    rows = checkpointed(df.select(split, *window_key(df), "label", "p"))
+    out = []
+    for name in sorted(r[0] for r in rows.select(split).distinct().collect() if r[0] is not None):
+        part = rows.where(F.col(split) == name)
+        levels = {"window": part.select("label", "p", F.concat_ws("|", "star_id", F.lpad(F.col("start").cast("string"), 8, "0")).alias("t"))}
+        truth = part.groupBy("star_id").agg(F.max("label").alias("label"))
+        levels |= {f"star_{m}": aggregate_scores(part, ["star_id"], m, k).join(truth, "star_id").select("label", F.round("score", 12).alias("p"), F.col("star_id").alias("t")) for m in modes}
+        for level, scored in levels.items():
+            c = curve(scored)
+            area = F.sum(F.col("pos") * (F.col("all_neg") - F.col("cum_neg")) + F.col("pos") * F.col("neg") * 0.5)
+            gain = F.sum(F.try_divide("pos", F.col("all_pos")) * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
+            pairs, total = F.first("all_pos") * F.first("all_neg"), F.first("all_pos") + F.first("all_neg")
+            m = c.agg(F.when(pairs > 0, area / pairs).alias("roc_auc"), gain.alias("average_precision"), (F.first("all_pos") / total).alias("base_rate"), total.cast("double").alias("n"), F.min("threshold").alias("lo"), F.max("threshold").alias("hi"))
+            out.append(m.select(F.lit(level).alias("level"), F.explode(F.array(*(F.struct(F.lit(x).alias("metric"), F.col(x).alias("value")) for x in m.columns))).alias("x")).select(F.lit(name).alias("split"), "level", "x.metric", "x.value"))
+            at = precision_at(scored, list(ks), "p", "label", "t").select("k", F.explode(F.array(F.struct(F.lit("precision").alias("metric"), F.col("precision").alias("value")), F.struct(F.lit("lift").alias("metric"), F.col("lift").alias("value")))).alias("x"))
+            out.append(at.select(F.lit(name).alias("split"), F.lit(level).alias("level"), F.concat("x.metric", F.lit("_at_"), F.col("k").cast("string")).alias("metric"), F.col("x.value").alias("value")))
+    return reduce(DataFrame.unionByName, out) if out else df.sparkSession.createDataFrame([], "split string, level string, metric string, value double")
+
+
 def r_squared(df: DataFrame, y: str, fitted: str) -> DataFrame:
     """1 - squared error / squared deviation from the mean."""
-    return df.agg((1 - F.sum(F.pow(F.col(y) - F.col(fitted), F.lit(2))) / (F.var_pop(y) * F.count(y))).alias("r2"))
+    return df.agg((1 - F.try_divide(F.sum(F.pow(F.col(y) - F.col(fitted), F.lit(2))), F.var_pop(y) * F.count(y))).alias("r2"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import star_key, window_key
+
 
 def _null(c: Column) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
@@ -42,24 +44,34 @@ def robust_scale(df: DataFrame, keys: list[str], value: str = "flux") -> DataFra
 def drop_nan_and_rescale(df: DataFrame, value: str = "flux") -> DataFrame:
     """Without missing points, indexed anew, divided by the star's median."""
     rows = df.where(_null(F.col(value)).isNotNull())
-    med = rows.groupBy("star_id").agg(F.percentile(value, F.lit(0.5)).alias("_med"))
-    w = Window.partitionBy("star_id").orderBy("idx")
-    return rows.withColumn("idx", F.row_number().over(w) - 1).join(med, "star_id").withColumn("relative", F.col(value) / F.col("_med")).drop("_med")
+    key = star_key(df)
+    med = rows.groupBy(*key).agg(F.percentile(value, F.lit(0.5)).alias("_med"))
+    w = Window.partitionBy(*key).orderBy("idx")
+    return rows.withColumn("idx", F.row_number().over(w) - 1).join(med, key).withColumn("relative", F.col(value) / F.col("_med")).drop("_med")
 
 
 def detrend(df: DataFrame, window: int = 201, value: str = "flux") -> DataFrame:
     """``flat``: value over a local quadratic fit of ``window`` points around it, from rolling moments; edges use what is there.
 
-    With k the distance in points, the fit's value at k = 0 follows from the sums of 1, k, .., k^4 and of y, k y, k^2 y. A fit
-    that is singular or not positive leaves the value as it is.
+    With k the distance in points, the fit's value at k = 0 follows from the sums of 1, k, .., k^4 and of y, k y, k^2 y. They
+    are summed over places inside blocks of four windows, which are shifted to the point afterwards, so numbers stay small
+    in curves of any length. Blocks are laid twice, half a block apart, and the one whose middle is nearer is taken. A fit that
+    is singular or not positive leaves the value as it is.
     """
     half = window // 2
-    w = Window.partitionBy("star_id").orderBy("idx").rowsBetween(-half, half)
-    i, y = F.col("idx").cast("double"), F.col(value)
-    sums = {f"_s{p}": F.sum(F.pow(i, F.lit(p)) if p else F.lit(1.0)).over(w) for p in range(5)} | {f"_y{p}": F.sum(y * F.pow(i, F.lit(p)) if p else y).over(w) for p in range(3)}
-    rows = df.withColumns(sums)
-    s = [F.col(f"_s{p}") for p in range(5)]
-    n, c = s[0], i
+    block = 4 * window
+    key, y = star_key(df), F.col(value)
+    rows = df.withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy("idx")) - 1)
+    w = Window.partitionBy(*key).orderBy("idx").rowsBetween(-half, half)
+    rows = rows.withColumns({f"_r{b}": F.pmod(F.col("_i") + b * (block // 2), F.lit(block)).cast("double") for b in (0, 1)})
+    power = lambda r, p: F.pow(r, F.lit(p)) if p else F.lit(1.0)
+    sums = {f"_{n}{p}{b}": F.sum(x * power(F.col(f"_r{b}"), p)).over(w) for b in (0, 1) for n, x, most in (("s", F.lit(1.0), 5), ("y", y, 3)) for p in range(most)}
+    rows = rows.withColumns(sums)
+    first = F.abs(F.col("_r0") - block / 2) <= block / 4
+    pick = lambda n: F.when(first, F.col(f"{n}0")).otherwise(F.col(f"{n}1"))
+    rows = rows.withColumns({n: pick(n) for n in ("_r", *(f"_s{p}" for p in range(5)), *(f"_y{p}" for p in range(3)))})
+    s, c = [F.col(f"_s{p}") for p in range(5)], F.col("_r")
+    n = s[0]
     m1 = s[1] - c * n
     m2 = s[2] - 2 * c * s[1] + c * c * n
     m3 = s[3] - 3 * c * s[2] + 3 * c * c * s[1] - c * c * c * n
@@ -68,12 +80,13 @@ def detrend(df: DataFrame, window: int = 201, value: str = "flux") -> DataFrame:
     det = n * (m2 * m4 - m3 * m3) - m1 * (m1 * m4 - m2 * m3) + m2 * (m1 * m3 - m2 * m2)
     top = b0 * (m2 * m4 - m3 * m3) - m1 * (b1 * m4 - b2 * m3) + m2 * (b1 * m3 - b2 * m2)
     trend = F.when(F.abs(det) > 1e-9, top / det)
-    return rows.withColumn("trend", trend).withColumn("flat", F.when(F.abs("trend") > 1e-12, y / F.col("trend")).otherwise(y)).drop(*sums)
+    flat = F.when(F.abs("trend") > 1e-12, y / F.col("trend")).otherwise(y)
+    return rows.withColumn("trend", trend).withColumn("flat", flat).select(*df.columns, "trend", "flat")
 
 
 def diff_channel(windows: DataFrame, value: str = "flux") -> DataFrame:
     """``ch1``: the difference to the point before inside each window, 0 for the first."""
-    w = Window.partitionBy("star_id", "start").orderBy("idx")
+    w = Window.partitionBy(*window_key(windows)).orderBy("idx")
     return windows.withColumn("ch1", F.coalesce(F.col(value) - F.lag(value).over(w), F.lit(0.0)))
 
 
@@ -93,8 +106,8 @@ def clean_window(c: Column, limit: float = 10.0) -> Column:
 
 
 def center_window(windows: DataFrame, value: str = "flux") -> DataFrame:
-    med = windows.groupBy("star_id", "start").agg(F.percentile(value, F.lit(0.5)).alias("_med"))
-    return windows.join(med, ["star_id", "start"]).withColumn("centered", F.col(value) - F.col("_med")).drop("_med")
+    med = windows.groupBy(*window_key(windows)).agg(F.percentile(value, F.lit(0.5)).alias("_med"))
+    return windows.join(med, window_key(windows)).withColumn("centered", F.col(value) - F.col("_med")).drop("_med")
 
 
 def uniform(seed: str, *keys: str) -> Column:
@@ -105,32 +118,35 @@ def uniform(seed: str, *keys: str) -> Column:
 
 def inject_box_transits(points: DataFrame, seed: str, depth_unit: float = 1e-6) -> DataFrame:
     """A box transit in each star's curve with digest-drawn period, duration, depth and first time; ``injected`` marks its points."""
-    span = points.groupBy("star_id").agg(F.min("time").alias("_a"), F.max("time").alias("_b"))
+    key = star_key(points)
+    span = points.groupBy(*key).agg(F.min("time").alias("_a"), F.max("time").alias("_b"))
     draw = lambda name, lo, hi: F.lit(lo) + uniform(f"{seed}-{name}", "star_id") * (hi - lo)
-    stars = span.select("star_id", "_a", "_b", draw("period", 0.7, 20.0).alias("period_days"), (draw("hours", 1.0, 6.0) / 24).alias("duration_days"), draw("ppm", 200.0, 4000.0).alias("depth_ppm"))
+    stars = span.select(*key, "_a", "_b", draw("period", 0.7, 20.0).alias("period_days"), (draw("hours", 1.0, 6.0) / 24).alias("duration_days"), draw("ppm", 200.0, 4000.0).alias("depth_ppm"))
     stars = stars.withColumn("t0", F.col("_a") + uniform(f"{seed}-t0", "star_id") * F.least(F.col("_b") - F.col("_a"), F.col("period_days")))
     p = F.col("period_days")
     phase = F.abs(F.expr("pmod(time - t0 + period_days / 2, period_days)") - p / 2)
     hit = (F.col("_b") > F.col("_a")) & (phase <= F.col("duration_days") / 2)
-    rows = points.join(stars, "star_id").withColumn("injected", hit.cast("int"))
+    rows = points.join(stars, key).withColumn("injected", hit.cast("int"))
     return rows.withColumn("flux", F.when(hit, F.col("flux") - F.col("depth_ppm") * depth_unit).otherwise(F.col("flux"))).drop("_a", "_b")
 
 
 def min_center_crop(windows: DataFrame, size: int, value: str = "flux") -> DataFrame:
     """The ``size`` points of each window around its minimum (first of equals), moved inside the window."""
-    n = windows.groupBy("star_id", "start").agg(F.min_by(F.col("idx") - F.col("start"), F.struct(value, "idx")).alias("_at"), F.count("*").alias("_n"))
+    key = window_key(windows)
+    n = windows.groupBy(*key).agg(F.min_by(F.col("idx") - F.col("start"), F.struct(value, "idx")).alias("_at"), F.count("*").alias("_n"))
     left = F.greatest(F.least(F.col("_at") - size // 2, F.col("_n") - size), F.lit(0))
     pos = F.col("idx") - F.col("start")
-    return windows.join(n.withColumn("_left", left), ["star_id", "start"]).where((pos >= F.col("_left")) & (pos < F.col("_left") + size)).withColumn("crop_pos", pos - F.col("_left")).drop("_at", "_n", "_left")
+    return windows.join(n.withColumn("_left", left), key).where((pos >= F.col("_left")) & (pos < F.col("_left") + size)).withColumn("crop_pos", pos - F.col("_left")).drop("_at", "_n", "_left")
 
 
 def center_crop_bin_mean(windows: DataFrame, size: int, bin_size: int, value: str = "flux") -> DataFrame:
     """Means of ``bin_size`` points over the middle ``size`` points; what is left over at the end is dropped."""
-    n = windows.groupBy("star_id", "start").agg(F.count("*").alias("_n"))
+    key = window_key(windows)
+    n = windows.groupBy(*key).agg(F.count("*").alias("_n"))
     left = F.floor(F.greatest(F.col("_n") - size, F.lit(0)) / 2)
     pos = F.col("idx") - F.col("start") - left
-    rows = windows.join(n, ["star_id", "start"]).withColumn("_p", pos).where((F.col("_p") >= 0) & (F.col("_p") < size - size % bin_size))
-    return rows.groupBy("star_id", "start", F.floor(F.col("_p") / bin_size).alias("bin")).agg(F.avg(value).alias("mean"))
+    rows = windows.join(n, key).withColumn("_p", pos).where((F.col("_p") >= 0) & (F.col("_p") < size - size % bin_size))
+    return rows.groupBy(*key, F.floor(F.col("_p") / bin_size).alias("bin")).agg(F.avg(value).alias("mean"))
 
 
 def mad_clip(df: DataFrame, keys: list[str], value: str = "flux", k: float = 6.0) -> DataFrame:

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import checkpointed
+from .ranks import exact_quantiles
 from .scores import mode_or_first, ranked, top_strings
 from .signals import mad_clip
 
 SHORTEST, LONGEST, BINS = 0.3, 50.0, 200
+#: How far from its epoch a periodic window may be, in periods; how near to phase 0 or 0.5; and the share of the
+#: threshold from which windows count for secondaries.
+OFF_EPOCH, NEAR_PHASE, LOWER = 0.35, 0.08, 0.85
 
 
 def hits_of(df: DataFrame, threshold: float) -> DataFrame:
@@ -16,18 +21,21 @@ def hits_of(df: DataFrame, threshold: float) -> DataFrame:
 
 
 def threshold_from_percentile(df: DataFrame, q: float = 0.99) -> DataFrame:
-    return df.agg(F.percentile("p", F.lit(q)).alias("threshold"))
+    return exact_quantiles(df, "p", {"threshold": q})
 
 
 def estimate_period(df: DataFrame, threshold: float) -> DataFrame:
     """A star's most frequent time difference between high windows: centre of the first fullest of 200 equal bins.
 
-    Needs three high windows, five differences between 0.3 and 50 days and three of them in the bin; otherwise no row.
+    Needs three high windows, five differences between 0.3 and 50 days and three of them in the bin; otherwise no row. A time
+    meets only those of its own and the next stretch of 50 days, so pairs follow a star's windows in 100 days, not its curve.
     """
     h = hits_of(df, threshold).select("star_id", F.col("seg_mid_time").alias("t"))
     many = h.groupBy("star_id").agg(F.count("*").alias("_n")).where("_n >= 3").select("star_id")
     h = h.join(many, "star_id", "left_semi")
-    pairs = h.withColumnRenamed("t", "a").join(h.withColumnRenamed("t", "b"), "star_id").select("star_id", (F.col("b") - F.col("a")).alias("d")).where((F.col("d") >= SHORTEST) & (F.col("d") <= LONGEST))
+    h = h.withColumn("_s", F.floor(F.col("t") / LONGEST))
+    earlier = h.select("star_id", F.col("t").alias("a"), F.explode(F.array("_s", F.col("_s") + 1)).alias("_s"))
+    pairs = earlier.join(h.withColumnRenamed("t", "b"), ["star_id", "_s"]).select("star_id", (F.col("b") - F.col("a")).alias("d")).where((F.col("d") >= SHORTEST) & (F.col("d") <= LONGEST))
     span = pairs.groupBy("star_id").agg(F.count("*").alias("_m"), F.min("d").alias("_lo"), F.max("d").alias("_hi")).where("_m >= 5")
     width = (F.col("_hi") - F.col("_lo")) / BINS
     b = F.when(width > 0, F.least(F.floor((F.col("d") - F.col("_lo")) / width), F.lit(BINS - 1))).otherwise(F.lit(0))
@@ -57,7 +65,8 @@ def phase_fold(points: DataFrame, ephemeris: DataFrame, bins: int | None = None)
 
 def triage_flags(df: DataFrame, threshold: float) -> DataFrame:
     """Singleton, periodic, odd-even gap and secondary flags of each star."""
-    periods = estimate_period(df, threshold)
+    df = checkpointed(df.select("star_id", "p", "seg_mid_time"))
+    periods = checkpointed(estimate_period(df, threshold))
     high = epochs(hits_of(df, threshold), periods)
     off = F.abs((F.col("seg_mid_time") - F.col("_t0")) / F.col("period_days") - F.col("epoch"))
     odd = F.when(F.col("epoch") % 2 == 1, F.col("p"))
@@ -66,21 +75,22 @@ def triage_flags(df: DataFrame, threshold: float) -> DataFrame:
         F.count("*").alias("n_high"), F.first("period_days").alias("cand_period_days"), F.percentile(off, F.lit(0.5)).alias("_off"),
         F.count(odd).alias("_odd"), F.count(even).alias("_even"), F.avg(odd).alias("_po"), F.avg(even).alias("_pe"), F.countDistinct("epoch").alias("_epochs"),
     )
-    low = epochs(hits_of(df, 0.85 * threshold), periods).where("period_days > 0")
+    low = epochs(hits_of(df, LOWER * threshold), periods).where("period_days > 0")
     ph = phase(F.col("seg_mid_time"), F.col("_t0"), F.col("period_days"))
     near = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    second = low.groupBy("star_id").agg(near(F.abs(ph - 0.5) <= 0.08).alias("_half"), near(F.least(ph, 1 - ph) <= 0.08).alias("_zero"))
+    second = low.groupBy("star_id").agg(near(F.abs(ph - 0.5) <= NEAR_PHASE).alias("_half"), near(F.least(ph, 1 - ph) <= NEAR_PHASE).alias("_zero"))
     stars = df.select("star_id").distinct().join(h, "star_id", "left").join(second, "star_id", "left")
     gap = F.when((F.col("_epochs") >= 4) & (F.col("_odd") >= 2) & (F.col("_even") >= 2) & (F.col("cand_period_days") > 0), F.abs(F.col("_po") - F.col("_pe")))
     return stars.select(
         "star_id", F.coalesce("n_high", F.lit(0)).alias("n_segments_above_thr"), F.coalesce((F.col("n_high") == 1).cast("int"), F.lit(0)).alias("flag_singleton_spike"), "cand_period_days",
-        F.coalesce((F.col("_off") <= 0.35).cast("int"), F.lit(0)).alias("flag_periodic"), gap.alias("odd_even_score_gap"),
+        F.coalesce((F.col("_off") <= OFF_EPOCH).cast("int"), F.lit(0)).alias("flag_periodic"), gap.alias("odd_even_score_gap"),
         F.coalesce(((F.col("_half") >= 2) & (F.col("_zero") >= 2)).cast("int"), F.lit(0)).alias("flag_secondary_proxy"),
     )
 
 
 def triage_table(df: DataFrame, threshold: float = 0.8, top_n: int = 10, passthrough: tuple = ("mission",)) -> DataFrame:
     """One row for each star with its scores, strings and flags; sort by ``TRIAGE_ORDER``."""
+    df = checkpointed(df.select("star_id", "start", "p", "seg_mid_time", *passthrough))
     top = F.when(F.col("_rank") <= top_n, F.col("p"))
     rows = ranked(df, ["star_id"]).groupBy("star_id").agg(F.count("*").alias("n_segments"), F.max("p").alias("best_segment_score"), F.avg(top).alias("topN_mean"), F.stddev_pop(top).alias("topN_std"))
     rows = rows.withColumn("consistency_score", F.col("topN_mean") - F.col("topN_std")).join(top_strings(df), "star_id").join(triage_flags(df, threshold), "star_id")

@@ -72,8 +72,8 @@ def window_points(spark: SparkSession, d: str) -> DataFrame:
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
     s = F.sum(F.round(F.col("flux") * 100).cast("bigint")) * 7919 % 1000 / 1000.0
-    p = window_points(spark, d).groupBy("star_id", "start").agg(s.cast("double").alias("p"), F.percentile("time", F.lit(0.5)).alias("seg_mid_time"))
-    return labelled(spark, d).join(p, ["star_id", "start"]).select("star_id", "mission", "start", "end", "label", "n_hits", "p", "seg_mid_time")
+    p = window_points(spark, d).groupBy("star_id", "mission", "start").agg(s.cast("double").alias("p"), F.percentile("time", F.lit(0.5)).alias("seg_mid_time"))
+    return labelled(spark, d).join(p, ["star_id", "mission", "start"]).select("star_id", "mission", "start", "end", "label", "n_hits", "p", "seg_mid_time")
 
 
 def catalog(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +98,7 @@ eph2 AS (SELECT * FROM eph UNION ALL SELECT star_id, mission, 3e0 + user_id % 4,
 seg AS (SELECT star_id, mission, unnest(range(0, n_points - 16 + 1, 4)) AS start FROM curves WHERE n_points >= 16)"""
 HIT = "CASE WHEN abs(((time - t0_mission + period_days / 2) - period_days * floor((time - t0_mission + period_days / 2) / period_days)) - period_days / 2) < duration_days / 2 AND duration_days / period_days < 0.2 THEN 1 ELSE 0 END"
 LAB = f"""{PTS},
-hits AS (SELECT p.star_id, p.idx, max(coalesce({HIT}, 0)) AS hit FROM pts p LEFT JOIN eph e ON p.star_id = e.star_id GROUP BY 1, 2),
+hits AS (SELECT p.star_id, p.idx, max(coalesce({HIT}, 0)) AS hit FROM pts p LEFT JOIN eph e ON p.star_id = e.star_id AND p.mission = e.mission GROUP BY 1, 2),
 wp AS (SELECT s.star_id, s.mission, s.start, p.idx, p.time, p.flux FROM seg s JOIN pts p ON p.star_id = s.star_id AND p.idx >= s.start AND p.idx < s.start + 16),
 lab AS (SELECT s.star_id, s.mission, s.start, s.start + 16 AS "end", CAST(sum(h.hit) AS BIGINT) AS n_hits, CASE WHEN sum(h.hit) >= 4 THEN 1 ELSE 0 END AS label FROM seg s JOIN hits h ON h.star_id = s.star_id AND h.idx >= s.start AND h.idx < s.start + 16 GROUP BY 1, 2, 3)"""
 SCO = f"""{LAB},

@@ -11,9 +11,11 @@ from ..operators import scores as R
 from ..operators import signals as C
 from ..operators import triage as T
 from ..operators import windows as W
-from ..schemas import CATALOG, ensure_columns, require_columns
+from ..schemas import require_columns
 from ..sources import catalogs as A
+from ..storage import checkpointed, new_folder, written
 from . import fixtures as X
+from . import pipelines as P
 from .fixtures import CAT, LAB, PTS, SCO, load, sql
 
 QUERIES: dict = {}
@@ -36,9 +38,16 @@ def simple(name: str, f, text: str | None = None) -> None:
     query(name, text)(f)
 
 
+def as_csv(df) -> str:
+    """The path of ``df`` as CSV."""
+    path = f"{new_folder(df.sparkSession, 'csv')}/table.csv"
+    A.write_table(df, path)
+    return path
+
+
 # ---- A: sources and sinks --------------------------------------------------------------------------------------------------
 
-simple("a1_read_catalog", lambda s, d: ensure_columns(X.catalog(s, d).drop("koi_duration").withColumn("row_id", F.col("row_id")), CATALOG).select("kepid", "epic", "pl_orbper", "koi_duration", "koi"),
+simple("a1_read_catalog", lambda s, d: A.read_catalog(s, as_csv(X.catalog(s, d).drop("koi_duration"))).select("kepid", "epic", "pl_orbper", "koi_duration", "koi"),
        sql("SELECT kepid, epic, pl_orbper, CAST(NULL AS DOUBLE) AS koi_duration, CAST(NULL AS VARCHAR) AS koi FROM cat", "pl_orbper koi_duration", base=CAT))
 simple("a2_read_ephemerides", lambda s, d: A.ephemeris_table(X.catalog(s, d).select("pl_trandurh", "star_id", "pl_orbper", "pl_tranmid")),
        sql("SELECT star_id, pl_orbper, pl_tranmid, pl_trandurh, 'k2' AS mission FROM cat", "pl_orbper pl_tranmid pl_trandurh", base=CAT))
@@ -76,11 +85,15 @@ def _(s, d):
     return A.stitch(A.pick_mission(o, ["F", "O", "P"]).withColumn("time", F.col("product_id"))).select("star_id", "mission", "product_id", "file_no", "idx")
 
 
-simple("a9_window_table", lambda s, d: E.pack_windows(X.window_points(s, d)).join(S.stratified_star_split(X.labelled(s, d), "7"), "star_id").select("star_id", "mission", "start", "end", "split", F.size("values").alias("n"), F.element_at("values", 1).alias("v0")))
-simple("a10_segments", lambda s, d: W.make_segments(X.curves(X.points(s, d)), 16, 4), sql('SELECT star_id, mission, start, start + 16 AS "end" FROM seg', base=PTS))
-simple("a11_triage_sink", lambda s, d: T.sorted_triage(T.triage_table(X.scored(s, d))).select("star_id", "best_segment_score", "top_scores"))
+STAR = "st AS (SELECT *, row_number() OVER (PARTITION BY has_pos ORDER BY md5('{seed}|' || star_id), star_id) AS r, count(*) OVER (PARTITION BY has_pos) AS n FROM (SELECT star_id, max(label) AS has_pos FROM lab GROUP BY 1))"
+SPLIT = "SELECT star_id, has_pos, CASE WHEN r <= {t} THEN 'test' WHEN r <= {t} + {v} THEN 'val' ELSE 'train' END AS split FROM st"
+SHARES = SPLIT.format(t="ceil(n * 0.15e0)", v="ceil(n * 0.15e0)")
+simple("a9_window_table", lambda s, d: written(E.pack_windows(X.window_points(s, d)).join(S.stratified_star_split(X.labelled(s, d), "7"), "star_id"), "windows", ("split",)).select("star_id", "mission", "start", "end", "split", F.size("values").alias("n"), F.element_at("values", 1).alias("v0")),
+       sql(f'SELECT star_id, mission, start, start + 16 AS "end", split, count(*) AS n, arg_min(flux, idx) AS v0 FROM wp JOIN ({SHARES}) USING (star_id) GROUP BY 1, 2, 3, 4, 5', "v0", base=f"{LAB}, {STAR.format(seed='7')}"))
+simple("a10_segments", lambda s, d: written(W.make_segments(X.curves(X.points(s, d)), 16, 4), "segments"), sql('SELECT star_id, mission, start, start + 16 AS "end" FROM seg', base=PTS))
+simple("a11_triage_sink", lambda s, d: P.triage_run(X.scored(s, d)).select("star_id", "best_segment_score", "top_scores"), sql("SELECT star_id, max(p) AS best_segment_score, string_agg(printf('%.4f', p), ',' ORDER BY r) FILTER (r <= 5) AS top_scores FROM rk GROUP BY 1", "best_segment_score", base=SCO))
 simple("a12_append_scores", lambda s, d: A.append_scores(X.curves(X.points(s, d)), X.ephemeris(s, d), "star_id"), sql("SELECT star_id, mission, n_points FROM curves WHERE star_id NOT IN (SELECT star_id FROM eph)", base=PTS))
-simple("a13_embeddings", lambda s, d: load(s, d, "embeddings").select("vec_id", F.size("embedding").alias("d"), F.element_at("embedding", 1).cast("double").alias("x0")), sql("SELECT vec_id, len(embedding) AS d, CAST(embedding[1] AS DOUBLE) AS x0 FROM embeddings", "x0", "d"))
+simple("a13_embeddings", lambda s, d: written(load(s, d, "embeddings"), "embeddings").select("vec_id", F.size("embedding").alias("d"), F.element_at("embedding", 1).cast("double").alias("x0")), sql("SELECT vec_id, len(embedding) AS d, CAST(embedding[1] AS DOUBLE) AS x0 FROM embeddings", "x0", "d"))
 simple("a14_ingest_status", lambda s, d: A.ingest_summary(load(s, d, "orders").select(F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 3).alias("files"), (F.col("o_orderkey") % 100 / 10).alias("seconds"))),
        sql("SELECT o_orderstatus AS status, count(*) AS n, sum(o_orderkey % 3) AS files, round(sum(o_orderkey % 100 / 10e0), 4) AS seconds FROM orders GROUP BY 1", "seconds", "files"))
 simple("a15_read_loose_scores", lambda s, d: A.loose_scores(load(s, d, "events").select(F.concat(F.lit("S"), (F.col("user_id") % 50).cast("string"), F.when(F.col("user_id") % 2 == 0, ";x;").otherwise(" \t"), F.when(F.col("event_id") % 10 == 0, "n/a").otherwise((F.col("event_id") % 97).cast("string"))).alias("value"))),
@@ -98,11 +111,11 @@ simple("b4_target_and_mission", lambda s, d: I.target_and_mission(X.catalog(s, d
        sql("SELECT row_id, coalesce('KIC ' || CAST(CAST(kepid AS DOUBLE) AS BIGINT), 'EPIC ' || epic, 'TIC ' || tid, 'TOI ' || toi, hostname) AS target, CASE WHEN kepid IS NOT NULL THEN 'Kepler' WHEN epic IS NOT NULL THEN 'K2' WHEN tid IS NOT NULL OR toi IS NOT NULL THEN 'TESS' END AS target_mission FROM cat", base=CAT))
 simple("b5_canon_epic", lambda s, d: load(s, d, "customer").select("c_custkey", I.canon_digits(F.col("c_name")).alias("digits")), sql("SELECT c_custkey, regexp_replace(c_name, '\\D+', '', 'g') AS digits FROM customer"))
 simple("b6_prepare_ephemeris", lambda s, d: I.prepare_ephemeris(I.add_star_id(X.catalog(s, d))),
-       sql("SELECT DISTINCT * FROM (SELECT star_id, mission, CASE mission WHEN 'tess' THEN pl_orbper ELSE coalesce(pl_orbper, koi_period) END AS period_days, CASE mission WHEN 'tess' THEN pl_tranmid - 2457000 ELSE coalesce(koi_time0bk, pl_tranmid - 2454833) END AS t0_mission, CASE mission WHEN 'tess' THEN coalesce(pl_trandurh, pl_trandur) ELSE coalesce(koi_duration, pl_trandurh, pl_trandur) END / 24 AS duration_days FROM named WHERE star_id IS NOT NULL AND mission IN ('kepler', 'k2', 'tess')) WHERE period_days > 0 AND duration_days > 0 AND duration_days / period_days < 0.2", "period_days t0_mission duration_days", base=CAT))
+       sql(PREPARED := "SELECT DISTINCT * FROM (SELECT star_id, mission, CASE mission WHEN 'tess' THEN pl_orbper ELSE coalesce(pl_orbper, koi_period) END AS period_days, CASE mission WHEN 'tess' THEN pl_tranmid - 2457000 ELSE coalesce(koi_time0bk, pl_tranmid - 2454833) END AS t0_mission, CASE mission WHEN 'tess' THEN coalesce(pl_trandurh, pl_trandur) ELSE coalesce(koi_duration, pl_trandurh, pl_trandur) END / 24 AS duration_days FROM named WHERE star_id IS NOT NULL AND mission IN ('kepler', 'k2', 'tess')) WHERE period_days > 0 AND duration_days > 0 AND duration_days / period_days < 0.2", "period_days t0_mission duration_days", base=CAT))
 simple("b7_simple_ephemeris", lambda s, d: I.simple_ephemeris(I.add_star_id(X.catalog(s, d))),
        sql("SELECT * FROM (SELECT star_id, mission, CASE WHEN koi_period IS NOT NULL THEN koi_period ELSE pl_orbper END AS period_days, CASE WHEN koi_period IS NOT NULL THEN koi_time0bk ELSE pl_tranmid - CASE WHEN mission = 'tess' THEN 2457000 ELSE 2454833 END END AS t0_mission, coalesce(CASE WHEN koi_period IS NOT NULL THEN koi_duration ELSE coalesce(pl_trandurh, pl_trandur) END, 6) / 24 AS duration_days FROM named) WHERE period_days IS NOT NULL AND t0_mission IS NOT NULL", "period_days t0_mission duration_days", base=CAT))
 shifted = lambda s, d: X.points(s, d).withColumn("time", F.col("time") + F.when(F.col("mission") == "k2", 2454833.0).when(F.col("mission") == "tess", 50000.0).otherwise(0.0))
-simple("b8_guess_time_base", lambda s, d: I.guess_time_base(shifted(s, d)).join(X.ephemeris(s, d), "star_id").select("star_id", "time_base", I.convert_t0(F.col("t0_mission"), F.col("mission"), F.col("time_base")).alias("t0")),
+simple("b8_guess_time_base", lambda s, d: I.guess_time_base(shifted(s, d)).join(X.ephemeris(s, d), ["star_id", "mission"]).select("star_id", "time_base", I.convert_t0(F.col("t0_mission"), F.col("mission"), F.col("time_base")).alias("t0")),
        sql("SELECT star_id, CASE mission WHEN 'k2' THEN 'BJD' WHEN 'tess' THEN 'UNKNOWN' ELSE 'REDUCED' END AS time_base, t0_mission + CASE WHEN mission = 'k2' THEN 2454833 ELSE 0 END AS t0 FROM eph", "t0", base=PTS))
 simple("b9_target_key", lambda s, d: load(s, d, "customer").select("c_custkey", I.target_key(F.concat(F.lit("K/"), F.col("c_mktsegment"), F.lit(" x"))).alias("key")), sql("SELECT c_custkey, translate('K/' || c_mktsegment || ' x', ' /', '__') AS key FROM customer"))
 simple("b10_status_ok", lambda s, d: load(s, d, "orders").withColumn("status", F.when(F.col("o_orderstatus") == "F", "OK").otherwise("error")).where(A.status_ok()).select("o_orderkey"), sql("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'"))
@@ -130,7 +143,7 @@ simple("c10_inject_box_transits", lambda s, d: C.inject_box_transits(X.points(s,
        sql("SELECT star_id, idx, h AS injected, flux - h * ppm AS flux FROM (SELECT *, CASE WHEN b > a AND abs(((time - t0 + per / 2) - per * floor((time - t0 + per / 2) / per)) - per / 2) <= dur / 2 THEN 1 ELSE 0 END AS h FROM (SELECT *, a + u0 * least(b - a, per) AS t0 FROM (SELECT *, min(time) OVER w AS a, max(time) OVER w AS b, 0.7e0 + " + U("period") + " * 19.3e0 AS per, (1 + " + U("hours") + " * 5) / 24 AS dur, 200 + " + U("ppm") + " * 3800 AS ppm, " + U("t0") + " AS u0 FROM pts WINDOW w AS (PARTITION BY star_id))))", "flux", "injected", base=PTS))
 simple("c11_min_center_crop", lambda s, d: C.min_center_crop(X.window_points(s, d), 8).select("star_id", "start", "crop_pos", "flux"),
        sql("SELECT star_id, start, idx - start - l AS crop_pos, flux FROM (SELECT *, greatest(least(first_value(idx - start) OVER (PARTITION BY star_id, start ORDER BY flux, idx) - 4, 8), 0) AS l FROM wp) WHERE idx - start >= l AND idx - start < l + 8", "flux", base=LAB))
-simple("c12_center_crop_bin_mean", lambda s, d: C.center_crop_bin_mean(X.window_points(s, d), 10, 3), sql("SELECT star_id, start, (idx - start - 3) // 3 AS bin, avg(flux) AS mean FROM wp WHERE idx - start >= 3 AND idx - start < 12 GROUP BY 1, 2, 3", "mean", base=LAB))
+simple("c12_center_crop_bin_mean", lambda s, d: C.center_crop_bin_mean(X.window_points(s, d), 10, 3), sql("SELECT star_id, mission, start, (idx - start - 3) // 3 AS bin, avg(flux) AS mean FROM wp WHERE idx - start >= 3 AND idx - start < 12 GROUP BY 1, 2, 3, 4", "mean", base=LAB))
 simple("c13_mad_clip", lambda s, d: C.mad_clip(X.points(s, d), ["star_id"], k=1.0).select("star_id", "idx", "clipped"), sql("SELECT star_id, idx, greatest(least(flux, med + mad + 1e-6), med - mad - 1e-6) AS clipped FROM pts JOIN mm USING (star_id)", "clipped", base=f"{PTS}, {MAD}"))
 simple("c14_residual", lambda s, d: C.mad_clip(X.points(s, d), ["star_id"], k=1.0).select("star_id", "idx", (F.col("flux") - F.col("clipped")).alias("residual")), sql("SELECT star_id, idx, flux - greatest(least(flux, med + mad + 1e-6), med - mad - 1e-6) AS residual FROM pts JOIN mm USING (star_id)", "residual", base=f"{PTS}, {MAD}"))
 
@@ -144,22 +157,22 @@ simple("d4_mission_segments", lambda s, d: W.mission_segments(X.ephemeris(s, d),
 simple("d5_slice_segment", lambda s, d: W.slice_padded(X.points(s, d), W.make_segments(curves(s, d).withColumn("n_points", F.col("n_points") + 3), 16, 16)).groupBy("star_id", "start").agg(F.count("*").alias("n"), F.sum("flux").alias("total")),
        sql("SELECT s.star_id, s.start, CAST(16 AS BIGINT) AS n, coalesce(sum(flux), 0) AS total FROM (SELECT star_id, unnest(range(0, n_points + 3 - 16 + 1, 16)) AS start FROM curves WHERE n_points + 3 >= 16) s LEFT JOIN pts p ON p.star_id = s.star_id AND p.idx >= s.start AND p.idx < s.start + 16 GROUP BY 1, 2", "total", base=PTS))
 simple("d6_windows_from_meta", lambda s, d: X.window_points(s, d).select("star_id", "start", "idx", "flux"), sql("SELECT star_id, start, idx, flux FROM wp", "flux", base=LAB))
-simple("d7_segment_times", lambda s, d: W.segment_times(X.window_points(s, d)), sql("SELECT star_id, start, quantile_cont(time, 0.5) AS seg_mid_time, min(time) AS t_first, max(time) AS t_last FROM wp GROUP BY 1, 2", "seg_mid_time t_first t_last", base=LAB))
-simple("d8_filter_segments", lambda s, d: W.filter_segments(X.window_points(s, d), least_abs=40.0), sql("SELECT * FROM (SELECT star_id, start, avg(CASE WHEN flux = 0 THEN 1e0 ELSE 0e0 END) AS zero_share, avg(abs(flux)) AS mean_abs FROM wp GROUP BY 1, 2) WHERE zero_share <= 0.5 AND mean_abs >= 40", "zero_share mean_abs", base=LAB))
+simple("d7_segment_times", lambda s, d: W.segment_times(X.window_points(s, d)), sql("SELECT star_id, mission, start, quantile_cont(time, 0.5) AS seg_mid_time, min(time) AS t_first, max(time) AS t_last FROM wp GROUP BY 1, 2, 3", "seg_mid_time t_first t_last", base=LAB))
+simple("d8_filter_segments", lambda s, d: W.filter_segments(X.window_points(s, d), least_abs=40.0), sql("SELECT * FROM (SELECT star_id, mission, start, avg(CASE WHEN flux = 0 THEN 1e0 ELSE 0e0 END) AS zero_share, avg(abs(flux)) AS mean_abs FROM wp GROUP BY 1, 2, 3) WHERE zero_share <= 0.5 AND mean_abs >= 40", "zero_share mean_abs", base=LAB))
 simple("d9_window_plan", lambda s, d: W.window_plan(curves(s, d), 64, 8), sql("SELECT mission, count(*) AS n_stars, sum(n) AS n_windows, sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS n_short FROM (SELECT mission, CASE WHEN n_points >= 64 THEN 1 + (n_points - 64) // 8 ELSE 0 END AS n FROM curves) GROUP BY ROLLUP (mission)", ints="n_windows n_short", base=PTS))
 simple("d10_bounds_filter", lambda s, d: W.slice_skipping(W.make_segments(curves(s, d).withColumn("n_points", F.col("n_points") + 9), 16, 4), curves(s, d), 16), sql('SELECT star_id, mission, start, start + 16 AS "end" FROM seg', base=PTS))
 
 # ---- E: labels -------------------------------------------------------------------------------------------------------------------
 
 times = lambda s, d: W.segment_times(X.window_points(s, d))
-TIMES = f"{LAB}, tm AS (SELECT star_id, start, min(time) AS a, max(time) AS b FROM wp GROUP BY 1, 2)"
-simple("e1_in_transit", lambda s, d: X.points(s, d).join(X.ephemeris(s, d).drop("mission"), "star_id").select("star_id", "idx", W.in_transit(F.col("time"), F.col("t0_mission"), F.col("period_days"), F.col("duration_days")).cast("int").alias("hit")), sql(f"SELECT p.star_id, p.idx, {X.HIT} AS hit FROM pts p JOIN eph e ON p.star_id = e.star_id", ints="hit", base=PTS))
-simple("e2_in_transit_any", lambda s, d: W.in_transit_any(X.points(s, d), X.ephemeris(s, d, True)), sql(f"SELECT p.star_id, p.idx, max(coalesce({X.HIT}, 0)) AS hit FROM pts p LEFT JOIN eph2 e ON p.star_id = e.star_id GROUP BY 1, 2", ints="hit", base=PTS))
+TIMES = f"{LAB}, tm AS (SELECT star_id, mission, start, min(time) AS a, max(time) AS b FROM wp GROUP BY 1, 2, 3)"
+simple("e1_in_transit", lambda s, d: X.points(s, d).join(X.ephemeris(s, d), ["star_id", "mission"]).select("star_id", "idx", W.in_transit(F.col("time"), F.col("t0_mission"), F.col("period_days"), F.col("duration_days")).cast("int").alias("hit")), sql(f"SELECT p.star_id, p.idx, {X.HIT} AS hit FROM pts p JOIN eph e ON p.star_id = e.star_id AND p.mission = e.mission", ints="hit", base=PTS))
+simple("e2_in_transit_any", lambda s, d: W.in_transit_any(X.points(s, d), X.ephemeris(s, d, True)), sql(f"SELECT p.star_id, p.mission, p.idx, max(coalesce({X.HIT}, 0)) AS hit FROM pts p LEFT JOIN eph2 e ON p.star_id = e.star_id AND p.mission = e.mission GROUP BY 1, 2, 3", ints="hit", base=PTS))
 simple("e3_label_by_count", lambda s, d: X.labelled(s, d).select("star_id", "mission", "start", "end", "n_hits", "label"), sql("SELECT * FROM lab", ints="label", base=LAB))
 simple("e4_attach_labels", lambda s, d: W.attach_labels(W.make_segments(curves(s, d), 16, 4), (lab := X.labelled(s, d).where("label = 1 or start % 8 = 0")).unionByName(lab).select("star_id", "mission", "start", "end", "label")), sql('SELECT star_id, mission, start, "end", label FROM lab', ints="label", base=LAB))
-simple("e5_label_by_overlap", lambda s, d: W.label_by_overlap(times(s, d), X.ephemeris(s, d)), sql("SELECT t.star_id, t.start, max(CASE WHEN ceil((a - 1.5 * duration_days - t0_mission) / period_days) <= floor((b + 1.5 * duration_days - t0_mission) / period_days) THEN 1 ELSE 0 END) AS label FROM tm t LEFT JOIN eph e ON t.star_id = e.star_id GROUP BY 1, 2", ints="label", base=TIMES))
+simple("e5_label_by_overlap", lambda s, d: W.label_by_overlap(times(s, d), X.ephemeris(s, d)), sql("SELECT t.star_id, t.mission, t.start, max(CASE WHEN ceil((a - 1.5 * duration_days - t0_mission) / period_days) <= floor((b + 1.5 * duration_days - t0_mission) / period_days) THEN 1 ELSE 0 END) AS label FROM tm t LEFT JOIN eph e ON t.star_id = e.star_id AND t.mission = e.mission GROUP BY 1, 2, 3", ints="label", base=TIMES))
 simple("e6_label_centered", lambda s, d: W.label_centered(times(s, d), X.ephemeris(s, d)),
-       sql("SELECT star_id, start, max(CASE WHEN abs(t - (a + b) / 2) <= 0.15 * (b - a) / 2 AND least(b, t + duration_days / 2) - greatest(a, t - duration_days / 2) >= 0.7 * duration_days THEN 1 ELSE 0 END) AS label FROM (SELECT t.star_id, t.start, a, b, duration_days, t0_mission + round_even(((a + b) / 2 - t0_mission) / period_days, 0) * period_days AS t FROM tm t LEFT JOIN eph e ON t.star_id = e.star_id) GROUP BY 1, 2", ints="label", base=TIMES))
+       sql("SELECT star_id, mission, start, max(CASE WHEN abs(t - (a + b) / 2) <= 0.15 * (b - a) / 2 AND least(b, t + duration_days / 2) - greatest(a, t - duration_days / 2) >= 0.7 * duration_days THEN 1 ELSE 0 END) AS label FROM (SELECT t.star_id, t.mission, t.start, a, b, duration_days, t0_mission + round_even(((a + b) / 2 - t0_mission) / period_days, 0) * period_days AS t FROM tm t LEFT JOIN eph e ON t.star_id = e.star_id AND t.mission = e.mission) GROUP BY 1, 2, 3", ints="label", base=TIMES))
 simple("e7_star_label", lambda s, d: W.star_labels(X.labelled(s, d)), sql("SELECT star_id, max(label) AS label_star FROM lab GROUP BY 1", ints="label_star", base=LAB))
 simple("e8_confidence_weight", lambda s, d: W.confidence_weight(X.labelled(s, d), X.ephemeris(s, d)).select("star_id", "start", "weight"), sql("SELECT star_id, start, CASE WHEN star_id IN (SELECT star_id FROM eph) THEN 1.0 ELSE 0.3 END AS weight FROM lab", "weight", base=LAB))
 simple("e9_label_diagnostic", lambda s, d: W.label_diagnostic(X.labelled(s, d)), sql("SELECT label, count(*) AS n, avg(n_hits) AS mean, stddev_samp(n_hits) AS std, min(n_hits) AS lo, quantile_cont(n_hits, 0.25) AS q25, quantile_cont(n_hits, 0.5) AS q50, quantile_cont(n_hits, 0.75) AS q75, max(n_hits) AS hi FROM lab GROUP BY 1", "mean std q25 q50 q75", "label", base=LAB))
@@ -167,8 +180,8 @@ simple("e9_label_diagnostic", lambda s, d: W.label_diagnostic(X.labelled(s, d)),
 # ---- F: joins --------------------------------------------------------------------------------------------------------------------
 
 simple("f1_left_join", lambda s, d: W.make_segments(curves(s, d), 16, 4).join(X.labelled(s, d).where("label = 1").select("star_id", "mission", "start", "end", "label"), ["star_id", "mission", "start", "end"], "left"), sql('SELECT star_id, mission, start, "end", CASE WHEN label = 1 THEN 1 END AS label FROM lab', ints="label", base=LAB))
-simple("f2_star_planet_join", lambda s, d: curves(s, d).join(X.ephemeris(s, d, True).drop("mission"), "star_id").select("star_id", "n_points", "period_days"), sql("SELECT star_id, n_points, period_days FROM curves JOIN (SELECT star_id, period_days FROM eph2) USING (star_id)", "period_days", base=PTS))
-simple("f3_interval_join", lambda s, d: times(s, d).join(X.ephemeris(s, d).drop("mission"), "star_id").where(W.overlaps_transit(F.col("t_first"), F.col("t_last"), F.col("t0_mission"), F.col("period_days"), F.col("duration_days"), 0.5)).select("star_id", "start"), sql("SELECT t.star_id, t.start FROM tm t JOIN eph e ON t.star_id = e.star_id WHERE ceil((a - 0.5 * duration_days - t0_mission) / period_days) <= floor((b + 0.5 * duration_days - t0_mission) / period_days)", base=TIMES))
+simple("f2_star_planet_join", lambda s, d: curves(s, d).join(X.ephemeris(s, d, True), ["star_id", "mission"]).select("star_id", "n_points", "period_days"), sql("SELECT star_id, n_points, period_days FROM curves JOIN (SELECT star_id, mission, period_days FROM eph2) USING (star_id, mission)", "period_days", base=PTS))
+simple("f3_interval_join", lambda s, d: times(s, d).join(X.ephemeris(s, d), ["star_id", "mission"]).where(W.overlaps_transit(F.col("t_first"), F.col("t_last"), F.col("t0_mission"), F.col("period_days"), F.col("duration_days"), 0.5)).select("star_id", "start"), sql("SELECT t.star_id, t.start FROM tm t JOIN eph e ON t.star_id = e.star_id AND t.mission = e.mission WHERE ceil((a - 0.5 * duration_days - t0_mission) / period_days) <= floor((b + 0.5 * duration_days - t0_mission) / period_days)", base=TIMES))
 simple("f4_semi_join", lambda s, d: X.labelled(s, d).join(X.ephemeris(s, d).where("mission = 'tess'"), "star_id", "left_semi").select("star_id", "start"), sql("SELECT star_id, start FROM lab WHERE star_id IN (SELECT star_id FROM eph WHERE mission = 'tess')", base=LAB))
 simple("f5_anti_join", lambda s, d: X.labelled(s, d).join(X.ephemeris(s, d), "star_id", "left_anti").select("star_id", "start"), sql("SELECT star_id, start FROM lab WHERE star_id NOT IN (SELECT star_id FROM eph)", base=LAB))
 simple("f6_embedding_scores", lambda s, d: load(s, d, "embeddings").select(F.col("vec_id").alias("k"), "label").join(R.aggregate_scores(X.scored(s, d), ["star_id"], "mean").select(F.regexp_extract("star_id", r"_(\d+)$", 1).cast("bigint").alias("k"), "score"), "k"), sql("SELECT e.vec_id AS k, e.label, s.score FROM embeddings e JOIN (SELECT CAST(regexp_extract(star_id, '_(\\d+)$', 1) AS BIGINT) AS k, avg(p) AS score FROM sco GROUP BY 1) s ON e.vec_id = s.k", "score", "label", base=SCO))
@@ -199,8 +212,9 @@ simple("g9_threshold_from_percentile", lambda s, d: T.threshold_from_percentile(
 simple("g10_mean_per_key", lambda s, d: R.aggregate_scores(X.scored(s, d), ["star_id"], "mean"), sql("SELECT star_id, avg(p) AS score FROM sco GROUP BY 1", "score", base=SCO))
 simple("g11_mode", lambda s, d: R.mode_or_first(load(s, d, "events"), "user_id", "event_type"), sql("SELECT user_id, event_type FROM (SELECT user_id, event_type, count(*) AS c FROM events GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY c DESC, event_type) = 1"))
 simple("g12_depth_by_label", lambda s, d: R.depth_by_label(X.window_points(s, d).join(X.labelled(s, d).select("star_id", "start", "label"), ["star_id", "start"])), sql("SELECT label, quantile_cont(q, 0.5) AS q05_median, avg(q) AS q05_mean, quantile_cont(m, 0.5) AS min_median, avg(m) AS min_mean FROM (SELECT star_id, start, quantile_cont(flux, 0.05) AS q, min(flux) AS m FROM wp GROUP BY 1, 2) JOIN lab USING (star_id, start) GROUP BY 1", "q05_median q05_mean min_median min_mean", "label", base=LAB))
+simple("g12_deepest_positives", lambda s, d: R.deepest_positives(X.window_points(s, d).join(X.labelled(s, d).select("star_id", "start", "label"), ["star_id", "start"])).select(*KEYS, "q05"), sql("SELECT star_id, start, quantile_cont(flux, 0.05) AS q05 FROM wp JOIN (SELECT star_id, start FROM lab WHERE label = 1) USING (star_id, start) GROUP BY star_id, mission, start ORDER BY q05, star_id, mission, start LIMIT 12", "q05", base=LAB))
 simple("g13_channel_health", lambda s, d: R.channel_health(X.scored(s, d), "p"), sql("SELECT avg(p) AS mean, stddev_pop(p) AS std, avg(CASE WHEN abs(p) <= 1e-3 THEN 1e0 ELSE 0e0 END) AS near_zero, avg(CASE WHEN abs(p - 1) <= 1e-3 THEN 1e0 ELSE 0e0 END) AS near_one FROM sco", "mean std near_zero near_one", base=SCO))
-simple("g14_tensor_sanity", lambda s, d: R.tensor_sanity(X.window_points(s, d)), sql("SELECT min(z) AS z_min, avg(z) AS z_mean, max(z) AS z_max, min(e) AS e_min, avg(e) AS e_mean, max(e) AS e_max FROM (SELECT avg(CASE WHEN flux = 0 THEN 1e0 ELSE 0e0 END) AS z, avg(abs(flux)) AS e FROM wp GROUP BY star_id, start)", "z_min z_mean z_max e_min e_mean e_max", base=LAB))
+simple("g14_tensor_sanity", lambda s, d: R.tensor_sanity(X.window_points(s, d)), sql("SELECT min(z) AS z_min, avg(z) AS z_mean, max(z) AS z_max, min(e) AS e_min, avg(e) AS e_mean, max(e) AS e_max, (SELECT stddev_pop(flux) FROM wp) AS std FROM (SELECT avg(CASE WHEN flux = 0 THEN 1e0 ELSE 0e0 END) AS z, avg(abs(flux)) AS e FROM wp GROUP BY star_id, start)", "z_min z_mean z_max e_min e_mean e_max std", base=LAB))
 simple("g15_star_counts", lambda s, d: R.star_counts(X.labelled(s, d)), sql("SELECT count(*) AS n_stars, max(c) AS most FROM (SELECT star_id, count(*) AS c FROM lab GROUP BY 1)", base=LAB))
 simple("g16_histogram", lambda s, d: R.histogram(X.scored(s, d), "p", 50, 0.0, 1.0), sql("SELECT least(CAST(floor(p * 50) AS BIGINT) + 1, 50) AS bin, count(*) AS n FROM sco GROUP BY 1", ints="bin", base=SCO))
 
@@ -231,11 +245,8 @@ simple("i2_split_overlap", lambda s, d: S.split_overlap(X.labelled(s, d).withCol
 simple("i3_distinct", lambda s, d: X.labelled(s, d).select("star_id", "mission").distinct(), sql("SELECT DISTINCT star_id, mission FROM lab", base=LAB))
 simple("i4_except", lambda s, d: curves(s, d).select("star_id").subtract(X.ephemeris(s, d).select("star_id")), sql("SELECT star_id FROM curves EXCEPT SELECT star_id FROM eph", base=PTS))
 simple("j1_shuffle", lambda s, d: S.shuffle(X.labelled(s, d), "7", *KEYS).select(*KEYS, "shuffle_key"), sql("SELECT star_id, start, " + MD5.format(seed="7") + " AS shuffle_key FROM lab", base=LAB))
-STAR = "st AS (SELECT *, row_number() OVER (PARTITION BY has_pos ORDER BY md5('{seed}|' || star_id), star_id) AS r, count(*) OVER (PARTITION BY has_pos) AS n FROM (SELECT star_id, max(label) AS has_pos FROM lab GROUP BY 1))"
-SPLIT = "SELECT star_id, has_pos, CASE WHEN r <= {t} THEN 'test' WHEN r <= {t} + {v} THEN 'val' ELSE 'train' END AS split FROM st"
-simple("j2_stratified_star_split", lambda s, d: S.stratified_star_split(X.labelled(s, d), "7"), sql(SPLIT.format(t="ceil(n * 0.15e0)", v="ceil(n * 0.15e0)"), ints="has_pos", base=f"{LAB}, {STAR.format(seed='7')}"))
-small = lambda s, d: X.labelled(s, d).where(F.regexp_extract("star_id", r"_(\d+)$", 1).cast("int") < 20)
-simple("j3_small_split", lambda s, d: S.stratified_star_split(small(s, d), "3", 0.15, 0.15, True), sql("SELECT star_id, has_pos, CASE WHEN r <= t THEN 'test' WHEN r <= t + least(greatest(ceil(n * 0.15e0), k), greatest(n - t - k, 0)) THEN 'val' ELSE 'train' END AS split FROM (SELECT *, least(greatest(ceil(n * 0.15e0), k), greatest(n - 2 * k, 0)) AS t FROM (SELECT *, CASE WHEN n >= 3 THEN 1 ELSE 0 END AS k FROM st))", ints="has_pos", base=f"{LAB}, {STAR.format(seed='3').replace('FROM lab', 'FROM lab WHERE CAST(regexp_extract(star_id, $$_([0-9]+)$$, 1) AS INTEGER) < 20')}"))
+simple("j2_stratified_star_split", lambda s, d: S.stratified_star_split(X.labelled(s, d), "7"), sql(SHARES, ints="has_pos", base=f"{LAB}, {STAR.format(seed='7')}"))
+simple("j3_small_split", lambda s, d: S.stratified_star_split(X.labelled(s, d), "3", 0.15, 0.15, True), sql("SELECT star_id, has_pos, CASE WHEN r <= t THEN 'test' WHEN r <= t + least(greatest(ceil(n * 0.15e0), k), greatest(n - t - k, 0)) THEN 'val' ELSE 'train' END AS split FROM (SELECT *, least(greatest(ceil(n * 0.15e0), k), greatest(n - 2 * k, 0)) AS t FROM (SELECT *, CASE WHEN n >= 3 THEN 1 ELSE 0 END AS k FROM st))", ints="has_pos", base=f"{LAB}, {STAR.format(seed='3')}"))
 simple("j4_group_split", lambda s, d: S.group_split(X.labelled(s, d), "5"), sql("SELECT star_id, has_pos, CASE WHEN r <= k THEN 'test' WHEN r <= 2 * k THEN 'val' ELSE 'train' END AS split FROM (SELECT *, CASE WHEN has_pos = 0 THEN floor(n0 * 0.2e0) ELSE floor(a * 0.2e0) - floor(n0 * 0.2e0) END AS k FROM st, (SELECT count(*) AS a, sum(1 - has_pos) AS n0 FROM st))", ints="has_pos", base=f"{LAB}, {STAR.format(seed='5')}"))
 simple("j5_positional_split", lambda s, d: S.positional_split(from_first(load(s, d, "customer"), "c_custkey"), "pos").select("c_custkey", "split"), sql("SELECT c_custkey, CASE WHEN pos < round_even(n * 0.8e0, 0) THEN 'train' WHEN pos < round_even(n * 0.8e0, 0) + round_even(n * 0.1e0, 0) THEN 'val' ELSE 'test' END AS split FROM (SELECT c_custkey, c_custkey - min(c_custkey) OVER () AS pos, count(*) OVER () AS n FROM customer)"))
 
@@ -270,7 +281,18 @@ simple("k6_confusion", lambda s, d: R.confusion(X.scored(s, d), 0.5), sql("SELEC
 simple("k7_class_report", lambda s, d: R.class_report(X.scored(s, d), 0.5), sql("SELECT class, precision, recall, f1, support FROM cr UNION ALL SELECT 'macro', avg(precision), avg(recall), avg(f1), sum(support) FROM cr UNION ALL SELECT 'weighted', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM cr", "precision recall f1", "support", base=f"{SCO}, {CONF}, cr AS (SELECT '1' AS class, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1, tp + fn AS support FROM cf UNION ALL SELECT '0', tn / (tn + fn), tn / (tn + fp), 2 * tn / (2 * tn + fn + fp), tn + fp FROM cf)"))
 simple("k8_baseline", lambda s, d: X.scored(s, d).agg(F.avg("label").alias("base_pr"), F.avg((F.col("p") >= 0.5).cast("int")).alias("predicted_share")), sql("SELECT avg(label) AS base_pr, avg(CASE WHEN p >= 0.5 THEN 1e0 ELSE 0e0 END) AS predicted_share FROM sco", "base_pr predicted_share", base=SCO))
 simple("k9_r_squared", lambda s, d: R.r_squared(R.star_scores(X.scored(s, d)), "score_max", "top_mean"), sql("SELECT 1 - sum((score_max - top_mean) ** 2) / (var_pop(score_max) * count(*)) AS r2 FROM star", "r2", base=SCO))
-simple("k10_eval_report", lambda s, d: R.average_precision(X.scored(s, d)).crossJoin(R.roc_auc(X.scored(s, d))).crossJoin(X.scored(s, d).agg(F.avg("label").alias("base_pr"), F.min("p").alias("lo"), F.max("p").alias("hi"))), sql("SELECT (SELECT sum(pos / ap * tp / (tp + fp)) FROM cur) AS average_precision, (SELECT sum(pos * (an - fp) + pos * neg / 2) / any_value(ap * an) FROM cur) AS roc_auc, avg(label) AS base_pr, min(p) AS lo, max(p) AS hi FROM sco", "average_precision roc_auc base_pr lo hi", base=SCO))
+REPORT = f"""sp AS ({SHARES}), ss AS (SELECT sco.*, split FROM sco JOIN sp USING (star_id)),
+sr AS (SELECT *, row_number() OVER (PARTITION BY star_id ORDER BY p DESC, start) AS r FROM ss),
+rows_ AS (SELECT split, 'window' AS level, label, p, star_id || '|' || lpad(CAST(start AS VARCHAR), 8, '0') AS t FROM ss
+UNION ALL SELECT split, 'star_max', max(label), round(max(p), 12), star_id FROM sr GROUP BY split, star_id UNION ALL SELECT split, 'star_mean', max(label), round(avg(p), 12), star_id FROM sr GROUP BY split, star_id UNION ALL SELECT split, 'star_topk_mean', max(label), round(avg(p) FILTER (r <= 10), 12), star_id FROM sr GROUP BY split, star_id),
+eb AS (SELECT split, level, p, CAST(sum(label) AS DOUBLE) AS pos, CAST(sum(1 - label) AS DOUBLE) AS neg FROM rows_ GROUP BY 1, 2, 3),
+ec AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY split, level) AS ap, sum(neg) OVER (PARTITION BY split, level) AS an FROM eb WINDOW w AS (PARTITION BY split, level ORDER BY p DESC)),
+em AS (SELECT split, level, CASE WHEN any_value(ap * an) > 0 THEN sum(pos * (an - fp) + pos * neg * 0.5) / any_value(ap * an) END AS roc_auc, CASE WHEN any_value(ap) > 0 THEN sum(pos / ap * tp / (tp + fp)) END AS average_precision, any_value(ap / (ap + an)) AS base_rate, CAST(any_value(ap + an) AS DOUBLE) AS n, min(p) AS lo, max(p) AS hi FROM ec GROUP BY 1, 2),
+eg AS (SELECT *, row_number() OVER (PARTITION BY split, level ORDER BY p DESC, t) AS g FROM rows_), ek AS (SELECT split, level, k, avg(label) AS precision, avg(label) / any_value(base_rate) AS lift FROM eg JOIN em USING (split, level), (SELECT unnest([10, 50]) AS k) WHERE g <= k GROUP BY 1, 2, 3),
+rep AS (SELECT split, level, 'roc_auc' AS metric, roc_auc AS value FROM em UNION ALL SELECT split, level, 'average_precision', average_precision FROM em UNION ALL SELECT split, level, 'base_rate', base_rate FROM em UNION ALL SELECT split, level, 'n', n FROM em UNION ALL SELECT split, level, 'lo', lo FROM em UNION ALL SELECT split, level, 'hi', hi FROM em
+UNION ALL SELECT split, level, 'precision_at_' || k, precision FROM ek UNION ALL SELECT split, level, 'lift_at_' || k, lift FROM ek)"""
+EVAL = f"{SCO}, {STAR.format(seed='7')}, {REPORT}"
+simple("k10_eval_report", lambda s, d: R.eval_report((x := X.scored(s, d)).join(S.stratified_star_split(x, "7").select("star_id", "split"), "star_id")), sql("SELECT * FROM rep", "value", base=EVAL))
 
 # ---- L: triage ----------------------------------------------------------------------------------------------------------------------
 
@@ -299,13 +321,13 @@ def _(s, d):
 
 # ---- M, N: models, embeddings, streams ---------------------------------------------------------------------------------------------
 
-DIP = f"{LAB}, dp AS (SELECT star_id, start, x / (1 + x) AS p FROM (SELECT star_id, start, (any_value(med) - min(flux)) / (quantile_cont(abs(flux - med), 0.5) + 1e-6) AS x FROM (SELECT *, quantile_cont(flux, 0.5) OVER (PARTITION BY star_id, start) AS med FROM wp) GROUP BY 1, 2))"
+DIP = f"{LAB}, dp AS (SELECT star_id, mission, start, x / (1 + x) AS p FROM (SELECT star_id, mission, start, (any_value(med) - min(flux)) / (quantile_cont(abs(flux - med), 0.5) + 1e-6) AS x FROM (SELECT *, quantile_cont(flux, 0.5) OVER (PARTITION BY star_id, start) AS med FROM wp) GROUP BY 1, 2, 3))"
 packed = lambda s, d: E.pack_windows(X.window_points(s, d))
 simple("m1_score_windows", lambda s, d: E.score_windows(packed(s, d), lambda x: x.min(1)).select(*KEYS, "score"), sql("SELECT star_id, start, min(flux) AS score FROM wp GROUP BY 1, 2", "score", base=LAB))
-simple("m2_score_meta", lambda s, d: E.score_windows(packed(s, d).join(W.filter_segments(X.window_points(s, d), least_abs=40.0), [*KEYS]), lambda x: x.max(1)).select(*KEYS, "score"), sql("SELECT star_id, start, max(flux) AS score FROM wp GROUP BY 1, 2 HAVING avg(abs(flux)) >= 40 AND avg(CASE WHEN flux = 0 THEN 1e0 ELSE 0e0 END) <= 0.5", "score", base=LAB))
+simple("m2_score_meta", lambda s, d: E.score_windows(packed(s, d).join(W.filter_segments(X.window_points(s, d), least_abs=40.0), [*KEYS, "mission"]), lambda x: x.max(1)).select(*KEYS, "score"), sql("SELECT star_id, start, max(flux) AS score FROM wp GROUP BY 1, 2 HAVING avg(abs(flux)) >= 40 AND avg(CASE WHEN flux = 0 THEN 1e0 ELSE 0e0 END) <= 0.5", "score", base=LAB))
 simple("m3_dip_score", lambda s, d: E.dip_score(X.window_points(s, d)), sql("SELECT * FROM dp", "p", base=DIP))
 simple("m4_train_window_classifier", lambda s, d: E.train_window_classifier(f := E.window_features(X.window_points(s, d)).join(X.labelled(s, d).select(*KEYS, "label"), [*KEYS]))(f).select(*KEYS, "label", "score"))
-simple("m5_score_stars", lambda s, d: R.topk_mean(E.dip_score(X.window_points(s, d)), ["star_id"], 5), sql("SELECT star_id, avg(p) AS score FROM (SELECT *, row_number() OVER (PARTITION BY star_id ORDER BY p DESC, start) AS r FROM dp) WHERE r <= 5 GROUP BY 1", "score", base=DIP))
+simple("m5_score_stars", lambda s, d: E.score_stars(X.points(s, d), 16, 4, 5), sql("SELECT star_id, mission, start, p, score FROM (SELECT *, avg(p) FILTER (r <= 5) OVER (PARTITION BY star_id, mission) AS score FROM (SELECT *, row_number() OVER (PARTITION BY star_id, mission ORDER BY p DESC, start) AS r FROM dn)) WHERE r <= 5", "p score", base=f"{LAB}, md AS (SELECT star_id, quantile_cont(flux, 0.5) AS med FROM pts GROUP BY 1), mm AS (SELECT star_id, any_value(med) AS med, quantile_cont(abs(flux - med), 0.5) AS mad FROM pts JOIN md USING (star_id) GROUP BY 1), np AS (SELECT star_id, mission, start, idx, (flux - med) / (mad + 1e-6) AS flux FROM wp JOIN mm USING (star_id)), dn AS (SELECT star_id, mission, start, x / (1 + x) AS p FROM (SELECT star_id, mission, start, (any_value(med) - min(flux)) / (quantile_cont(abs(flux - med), 0.5) + 1e-6) AS x FROM (SELECT *, quantile_cont(flux, 0.5) OVER (PARTITION BY star_id, start) AS med FROM np) GROUP BY 1, 2, 3))"))
 
 
 def star_vectors(s, d):
@@ -320,56 +342,71 @@ simple("m6_pool_embeddings", lambda s, d: E.pool_embeddings(star_vectors(s, d)).
 simple("m7_embedding_health", lambda s, d: E.embedding_health(load(s, d, "embeddings")), sql("SELECT max(d) AS dim, 0 AS n_nan, 0 AS n_inf, max(m) AS max_abs, 0 AS bad_rows, avg(n) AS norm_mean, stddev_pop(n) AS norm_std, min(n) AS norm_min, max(n) AS norm_max FROM (SELECT vec_id, count(*) AS d, max(abs(x)) AS m, sqrt(sum(x * x)) AS n FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY 1)", "max_abs norm_mean norm_std norm_min norm_max", "dim n_nan n_inf bad_rows"))
 simple("m8_pca2d", lambda s, d: E.pca(load(s, d, "embeddings"), 2).select("vec_id", F.abs(F.col("pc")[0]).alias("x"), F.abs(F.col("pc")[1]).alias("y")))
 simple("m9_nearest_neighbours", lambda s, d: E.nearest_to(load(s, d, "embeddings"), load(s, d, "embeddings").orderBy("vec_id"), 15, "vec_id", "embedding"), sql("SELECT vec_id, round(1 - sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 9) AS distance FROM (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) JOIN (SELECT unnest(range(1, len(embedding) + 1)) AS i, CAST(unnest(embedding) AS DOUBLE) AS y FROM (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)) USING (i) WHERE vec_id <> (SELECT min(vec_id) FROM embeddings) GROUP BY 1 ORDER BY distance, vec_id LIMIT 15", "distance"))
-simple("m10_smooth_scores", lambda s, d: E.smooth_scores(load(s, d, "embeddings").withColumn("score", F.col("label").cast("double")), "score").select("vec_id", "smooth"))
-simple("m11_binary_embedding_classifier", lambda s, d: E.binary_embedding_classifier((e := load(s, d, "embeddings").select("vec_id", "embedding", (F.col("label") >= 5).cast("int").alias("label"))), e, 64).select("vec_id", "probability"))
-simple("m12_anomaly_scores", lambda s, d: E.anomaly_scores(load(s, d, "embeddings"), "vec_id"))
-simple("m13_weird_stars", lambda s, d: E.anomaly_scores(load(s, d, "embeddings").orderBy(F.desc("label"), "vec_id").limit(200), "vec_id").orderBy(F.desc("outlier_score"), "vec_id").limit(20))
-simple("m14_star_anomalies", lambda s, d: E.isolation_forest(packed(s, d).withColumn("k", F.concat_ws("|", *KEYS)), "values", "k").groupBy("star_id").agg(F.max("outlier_score").alias("outlier_score")))
+label_scores = lambda s, d: load(s, d, "embeddings").withColumn("score", F.col("label").cast("double"))
 
-# ---- P: pipelines ------------------------------------------------------------------------------------------------------------------
 
-simple("p1_label_mission", lambda s, d: W.attach_labels(W.mission_segments(X.ephemeris(s, d), curves(s, d), "kepler", 16, 4), X.labelled(s, d).select("star_id", "mission", "start", "end", "label")), sql("SELECT star_id, mission, start, \"end\", label FROM lab WHERE mission = 'kepler' AND star_id IN (SELECT star_id FROM eph)", ints="label", base=LAB))
+@query("m10_smooth_scores")
+def _(s, d):
+    smooth = checkpointed(E.smooth_scores(label_scores(s, d), "score").select("vec_id", "score", "smooth"))
+    top = E.above_cut(smooth, "smooth").select("vec_id", F.lit(1).alias("above_cut"))
+    return smooth.join(top, "vec_id", "left").crossJoin(F.broadcast(R.r_squared(smooth, "score", "smooth"))).select("vec_id", "smooth", "r2", F.coalesce("above_cut", F.lit(0)).alias("above_cut"))
 
 
-def training_set(s, d):
-    split = S.stratified_star_split(X.labelled(s, d), "7")
-    train = X.scored(s, d).join(split.where("split = 'train'").select("star_id"), "star_id", "left_semi")
-    hard = R.mine_hard_negatives(train, 4, 100, 30, "m")
-    return S.augment_with_hard_negatives(S.balanced_train_set(train, hard, "b", 1, 0.0), hard)
+simple("m11_binary_embedding_classifier", lambda s, d: E.binary_embedding_classifier(load(s, d, "embeddings").select("vec_id", "embedding", (F.col("label") >= 5).cast("int").alias("label")), "vec_id").select("vec_id", "label", "split", "probability"))
+simple("m12_anomaly_scores", lambda s, d: E.anomaly_scores(load(s, d, "embeddings"), "vec_id"))
+simple("m13_weird_stars", lambda s, d: E.weird_stars(load(s, d, "embeddings"), "vec_id", score="label"))
+simple("m14_star_anomalies", lambda s, d: E.star_anomalies(X.points(s, d), 16, 4).groupBy("star_id", "mission").agg(F.max("outlier_score").alias("outlier_score")))
+simple("m14_star_anomalies_on_self", lambda s, d: E.star_anomalies(X.points(s, d), 16, 4, fit_on_self=True, trees=25, size=64).groupBy("star_id", "mission").agg(F.max("outlier_score").alias("outlier_score")))
 
+# ---- P: pipelines ------------------------------------------------------------------------------------------------------------------
 
-simple("p2_mission_training_set", lambda s, d: training_set(s, d).select(*KEYS, "label", "weight"))
+K2 = f"pe AS MATERIALIZED ({PREPARED}), ke AS MATERIALIZED (SELECT star_id, mission, period_days, t0_mission + 2454833 AS t0_mission, duration_days FROM pe WHERE mission = 'k2' UNION ALL SELECT star_id, mission, period_days, t0_mission + 2454833, duration_days FROM eph WHERE mission = 'k2'), ks AS MATERIALIZED (SELECT star_id FROM ke UNION SELECT star_id FROM named WHERE mission = 'k2'), kp AS (SELECT star_id, mission, idx, time + 2454833 AS time FROM pts WHERE mission = 'k2'), kh AS MATERIALIZED (SELECT p.star_id, p.idx, max(coalesce({X.HIT}, 0)) AS hit FROM kp p LEFT JOIN ke e ON p.star_id = e.star_id GROUP BY 1, 2)"
+simple("p1_label_mission", lambda s, d: P.label_mission(X.catalog(s, d), shifted(s, d), "k2", 16, 4, 4, X.ephemeris(s, d)), sql("SELECT s.star_id, s.mission, s.start, s.start + 16 AS \"end\", CASE WHEN sum(hit) >= 4 THEN 1 ELSE 0 END AS label FROM seg s JOIN kh h ON h.star_id = s.star_id AND h.idx >= s.start AND h.idx < s.start + 16 WHERE s.mission = 'k2' AND s.star_id IN (SELECT star_id FROM ks WHERE star_id IS NOT NULL) GROUP BY 1, 2, 3", ints="label", base=f"{PTS}, {CAT}, {K2}"))
+simple("p2_mission_training_set", lambda s, d: P.mission_training_set(X.scored(s, d)).select(*KEYS, "label", "weight", "n_leaks"), sql("SELECT *, 0 AS n_leaks FROM (SELECT star_id, start, label, 1e0 AS weight FROM tr WHERE label = 1 UNION ALL SELECT star_id, start, label, 1e0 FROM (SELECT *, row_number() OVER (ORDER BY " + MD5.format(seed="b") + ") AS g FROM tr WHERE label = 0) WHERE g <= (SELECT sum(label) FROM tr) UNION ALL SELECT star_id, start, label, 2e0 FROM (SELECT * FROM (SELECT * FROM (SELECT *, " + MD5.format(seed="m") + " AS k, row_number() OVER (PARTITION BY star_id ORDER BY " + MD5.format(seed="m") + ") AS n FROM tr WHERE label = 0) WHERE n <= 4 ORDER BY k LIMIT 100) ORDER BY p DESC, star_id, start LIMIT 30))", "weight", "label n_leaks", base=f"{SCO}, {STAR.format(seed='7')}, tr AS (SELECT sco.* FROM sco JOIN ({SHARES}) q USING (star_id) WHERE q.split = 'train')"))
 simple("p3_capped_training_set", lambda s, d: R.cap_per_star(W.confidence_weight(W.label_by_overlap(times(s, d), X.ephemeris(s, d)), X.ephemeris(s, d)), 6, "h").select(*KEYS, "label", "weight"), sql("SELECT star_id, start, label, weight FROM (SELECT *, CASE WHEN star_id IN (SELECT star_id FROM eph) THEN 1.0 ELSE 0.3 END AS weight, row_number() OVER (PARTITION BY star_id, label ORDER BY " + MD5.format(seed="h") + ") AS n, least(sum(label) OVER (PARTITION BY star_id), 3) AS pos FROM ov) WHERE CASE WHEN label = 1 THEN n <= pos ELSE n <= 6 - pos END", "weight", "label", base=f"{TIMES}, ov AS (SELECT t.star_id, t.start, max(CASE WHEN ceil((a - 1.5 * duration_days - t0_mission) / period_days) <= floor((b + 1.5 * duration_days - t0_mission) / period_days) THEN 1 ELSE 0 END) AS label FROM tm t LEFT JOIN eph e ON t.star_id = e.star_id GROUP BY 1, 2)"))
-simple("p4_injected_dataset", lambda s, d: C.diff_channel(W.window_points(C.robust_scale(C.inject_box_transits(X.points(s, d), "s", 1e-3), ["star_id"]).drop("flux").withColumnRenamed("scaled", "flux"), W.make_segments(curves(s, d), 16, 4), 16, 4)).groupBy(*KEYS).agg(F.max("injected").alias("label"), F.min("flux").alias("lo"), F.avg("ch1").alias("ch1")))
+FIT = "SELECT star_id, mission, idx, time, flux, (b0 * (m2 * m4 - m3 * m3) - m1 * (b1 * m4 - b2 * m3) + m2 * (b1 * m3 - b2 * m2)) / (n * (m2 * m4 - m3 * m3) - m1 * (m1 * m4 - m2 * m3) + m2 * (m1 * m3 - m2 * m2)) AS t FROM (SELECT a.star_id, a.mission, a.idx, a.time, a.flux, CAST(count(*) AS DOUBLE) AS n, CAST(sum(b.idx - a.idx) AS DOUBLE) AS m1, CAST(sum((b.idx - a.idx) ** 2) AS DOUBLE) AS m2, CAST(sum((b.idx - a.idx) ** 3) AS DOUBLE) AS m3, CAST(sum((b.idx - a.idx) ** 4) AS DOUBLE) AS m4, sum(b.flux) AS b0, sum(b.flux * (b.idx - a.idx)) AS b1, sum(b.flux * (b.idx - a.idx) ** 2) AS b2 FROM {points} a JOIN {points} b ON a.star_id = b.star_id AND b.idx BETWEEN a.idx - 10 AND a.idx + 10 GROUP BY 1, 2, 3, 4, 5)"
+INJECTED = f"""tg AS (SELECT star_id, row_number() OVER (ORDER BY pos) - 1 AS place, count(*) OVER () AS n FROM (SELECT 'EPIC_' || o_custkey AS star_id, min(o_orderkey) AS pos FROM orders GROUP BY 1)),
+sp AS (SELECT star_id, CASE WHEN place < round_even(n * 0.8e0, 0) THEN 'train' WHEN place < round_even(n * 0.8e0, 0) + round_even(n * 0.1e0, 0) THEN 'val' ELSE 'test' END AS split FROM tg),
+ch AS (SELECT star_id FROM sp QUALIFY row_number() OVER (ORDER BY md5('s|' || star_id)) <= greatest(floor(count(*) OVER () * 0.5e0 + 0.5), 1)),
+cu AS (SELECT star_id, mission, idx, time, flux FROM pts WHERE star_id IN (SELECT star_id FROM sp)),
+pa AS (SELECT star_id, mission, per AS period_days, dur AS duration_days, ppm, a + u0 * least(b - a, per) AS t0_mission, a, b FROM (SELECT star_id, mission, min(time) AS a, max(time) AS b, 0.7e0 + {U("period")} * 19.3e0 AS per, (1 + {U("hours")} * 5) / 24 AS dur, 200 + {U("ppm")} * 3800 AS ppm, {U("t0")} AS u0 FROM cu WHERE star_id IN (SELECT star_id FROM ch) GROUP BY star_id, mission)),
+ij AS (SELECT cu.star_id, cu.mission, idx, time, CASE WHEN b > a AND abs(((time - t0_mission + period_days / 2) - period_days * floor((time - t0_mission + period_days / 2) / period_days)) - period_days / 2) <= duration_days / 2 THEN flux - ppm * 0.001e0 ELSE flux END AS flux FROM cu LEFT JOIN pa USING (star_id)),
+fi AS ({FIT.format(points="ij")}), fl AS (SELECT star_id, mission, idx, time, CASE WHEN abs(t) > 1e-12 THEN flux / t ELSE flux END AS flux FROM fi),
+me AS (SELECT star_id, quantile_cont(flux, 0.5) AS med, stddev_pop(flux) AS sd FROM fl GROUP BY 1),
+w AS (SELECT s.star_id, s.mission, s.start, idx, time, (flux - med) / (sd + 1e-8) AS flux FROM seg s JOIN fl ON fl.star_id = s.star_id AND idx >= s.start AND idx < s.start + 16 JOIN me ON me.star_id = s.star_id),
+ti AS (SELECT star_id, start, min(time) AS a, max(time) AS b FROM w GROUP BY 1, 2),
+lb AS (SELECT star_id, start, max(CASE WHEN abs(t - (a + b) / 2) <= 0.15 * (b - a) / 2 AND least(b, t + duration_days / 2) - greatest(a, t - duration_days / 2) >= 0.7 * duration_days THEN 1 ELSE 0 END) AS label FROM (SELECT ti.star_id, ti.start, ti.a, ti.b, duration_days, t0_mission + round_even(((ti.a + ti.b) / 2 - t0_mission) / period_days, 0) * period_days AS t FROM ti LEFT JOIN pa USING (star_id)) GROUP BY 1, 2)"""
+targets = lambda s, d: A.campaign_targets(orders(s, d), "pos", "EPIC_")
+simple("p4_injected_dataset", lambda s, d: P.injected_dataset(targets(s, d), X.points(s, d), 16, 4, 21, depth_unit=1e-3).select("star_id", "mission", "start", "end", "split", "label", F.array_min("values").alias("lo"), (F.element_at("ch1", 16) - F.element_at("ch1", 1)).alias("last")),
+       sql('SELECT w.star_id, w.mission, w.start, w.start + 16 AS "end", split, label, min(flux) AS lo, arg_max(flux, idx) - arg_max(flux, CASE WHEN idx < w.start + 15 THEN idx ELSE -1 END) AS last FROM w JOIN lb USING (star_id, start) JOIN sp USING (star_id) GROUP BY 1, 2, 3, 4, 5, 6', "lo last", "label", base=f"{PTS}, {INJECTED}"))
 simple("p5_survey", lambda s, d: R.topk_mean(E.dip_score(X.window_points(s, d)), ["star_id"], 5).orderBy(F.desc("score"), "star_id"), sql("SELECT star_id, avg(p) AS score FROM (SELECT *, row_number() OVER (PARTITION BY star_id ORDER BY p DESC, start) AS r FROM dp) WHERE r <= 5 GROUP BY 1", "score", base=DIP))
-simple("p6_score_and_vet", lambda s, d: R.vetting_lists(R.score_summary(curves(s, d), E.dip_score(X.window_points(s, d)), 16), 13, 8).select("list", "star_id", "best"))
-simple("p7_triage", lambda s, d: T.sorted_triage(T.triage_table(X.scored(s, d), 0.8)).select("star_id", "best_segment_score", "flag_periodic", "flag_singleton_spike"))
-simple("p8_evaluate", lambda s, d: R.star_scores(X.scored(s, d)).select(F.col("y_star").alias("label"), F.col("top_mean").alias("p")).transform(R.average_precision), sql("SELECT sum(pos / ap * tp / (tp + fp)) AS average_precision FROM (SELECT t, pos, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS ap FROM (SELECT round(top_mean, 12) AS t, CAST(sum(y_star) AS DOUBLE) AS pos, CAST(sum(1 - y_star) AS DOUBLE) AS neg FROM star GROUP BY 1) WINDOW w AS (ORDER BY t DESC))", "average_precision", base=SCO))
-simple("p9_embedding_report", lambda s, d: E.nearest_to(E.smooth_scores(load(s, d, "embeddings").withColumn("score", F.col("label").cast("double")), "score"), load(s, d, "embeddings").orderBy(F.desc("label"), "vec_id"), 15, "vec_id", "embedding"))
-
-
-@query("n1_stream_star_scores")
+VETTED = f"""wa AS (SELECT DISTINCT c.star_id FROM curves c JOIN orders ON c.star_id = 'EPIC_' || o_custkey WHERE c.star_id NOT IN (SELECT star_id FROM eph WHERE period_days = 3)),
+pm AS (SELECT star_id, mission, idx, time, flux / quantile_cont(flux, 0.5) OVER (PARTITION BY star_id) AS flux FROM pts WHERE star_id IN (SELECT star_id FROM wa)),
+fi AS ({FIT.format(points="pm")}), fl AS (SELECT star_id, mission, idx, time, CASE WHEN abs(t) > 1e-12 THEN flux / t ELSE flux END AS flux FROM fi),
+w AS (SELECT s.star_id, s.mission, s.start, idx, flux FROM seg s JOIN fl ON fl.star_id = s.star_id AND idx >= s.start AND idx < s.start + 16),
+dq AS (SELECT star_id, start, x / (1 + x) AS p FROM (SELECT star_id, start, (any_value(med) - min(flux)) / (quantile_cont(abs(flux - med), 0.5) + 1e-6) AS x FROM (SELECT *, quantile_cont(flux, 0.5) OVER (PARTITION BY star_id, start) AS med FROM w) GROUP BY 1, 2)),
+su AS (SELECT star_id, any_value(n_points) AS n_points, count(p) AS n_segments, max(p) AS best, stddev_pop(p) AS std FROM dq JOIN (SELECT star_id, n_points FROM curves) USING (star_id) GROUP BY 1),
+li AS (SELECT * FROM (SELECT 'normal' AS list, star_id, best, n_points, n_segments FROM su WHERE n_segments <= 13 ORDER BY best - 0.5 * std DESC, best DESC, star_id LIMIT 8) UNION ALL SELECT * FROM (SELECT 'long', star_id, best, n_points, n_segments FROM su WHERE n_segments > 13 ORDER BY best DESC, star_id LIMIT 8)),
+bs AS (SELECT star_id, start AS best_start FROM dq QUALIFY row_number() OVER (PARTITION BY star_id ORDER BY p DESC, start) = 1)"""
+simple("p6_score_and_vet", lambda s, d: P.score_and_vet(X.points(s, d), A.load_ids(orders(s, d), "epic_number", "pos").select(F.concat(F.lit("EPIC_"), "target").alias("star_id")), X.ephemeris(s, d).where("period_days = 3"), 16, 4, 21, 13, 8).select("list", "star_id", "best", "n_extract"),
+       sql("SELECT list, star_id, best, n_points + 16 + CASE WHEN n_segments > 13 THEN least(best_start + 12, 16) + least(n_points - best_start - 4, 16) ELSE 0 END AS n_extract FROM li JOIN bs USING (star_id)", "best", base=f"{PTS}, {VETTED}"))
+HIGHEST = TRI.replace("p >= 0.5 ", "p >= (SELECT quantile_cont(p, 0.99) FROM sco) ").replace("p >= 0.5)", "p >= (SELECT quantile_cont(p, 0.99) FROM sco))").replace("p >= 0.5,", "p >= (SELECT quantile_cont(p, 0.99) FROM sco),").replace("p >= 0.425", "p >= 0.85e0 * (SELECT quantile_cont(p, 0.99) FROM sco)")
+simple("p7_triage", lambda s, d: P.triage_run(X.scored(s, d)).select("star_id", "best_segment_score", "flag_periodic", "flag_singleton_spike", "n_segments_above_thr"), sql("SELECT star_id, max(p) AS best_segment_score, any_value(flag_periodic) AS flag_periodic, any_value(flag_singleton_spike) AS flag_singleton_spike, any_value(n_segments_above_thr) AS n_segments_above_thr FROM sco JOIN fl USING (star_id) GROUP BY 1", "best_segment_score", "flag_periodic flag_singleton_spike", base=HIGHEST))
+simple("p8_evaluate", lambda s, d: P.evaluate((x := X.scored(s, d)), S.stratified_star_split(x, "7")), sql("SELECT * FROM rep UNION ALL SELECT 'all', 'fused', 'average_precision', sum(pos / ap * tp / (tp + fp)) FROM fc UNION ALL SELECT 'all', 'fused', 'roc_auc', sum(pos * (an - fp) + pos * neg * 0.5) / any_value(ap * an) FROM fc UNION ALL SELECT 'all', 'hard_negative_bank', 'mean', avg(p) FROM (SELECT p FROM (SELECT * FROM rk WHERE r <= 3 AND star_id IN (SELECT star_id FROM star WHERE y_star = 0) ORDER BY p DESC, star_id, start LIMIT 200) ORDER BY p DESC LIMIT 50) UNION ALL SELECT 'all', 'false_positives', 'mean', avg(p) FROM (SELECT p FROM sco WHERE star_id IN (SELECT star_id FROM star WHERE y_star = 0 ORDER BY score_max DESC, star_id LIMIT 5) ORDER BY p DESC, star_id, start LIMIT 40) UNION ALL SELECT 'all', 'leaks', 'n', 0e0", "value", base=EVAL + ", fb AS (SELECT round(top_median + 0.10 * share_high - 0.20 * (score_max - top_mean), 12) AS p, CAST(sum(y_star) AS DOUBLE) AS pos, CAST(sum(1 - y_star) AS DOUBLE) AS neg FROM star GROUP BY 1), fc AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS ap, sum(neg) OVER () AS an FROM fb WINDOW w AS (ORDER BY p DESC))"))
+loose = lambda s, d: load(s, d, "events").select(F.concat_ws(",", F.col("user_id").cast("string"), F.col("value").cast("string")).alias("value"))
+simple("p9_embedding_report", lambda s, d: P.embedding_report(label_scores(s, d), star_vectors(s, d), loose(s, d)))
+
+
+@query("n1_stream_star_scores", sql("SELECT star_id, count(*) AS n_segments, max(p) AS best, avg(p) AS mean FROM sco GROUP BY 1", "best mean", base=SCO))
 def _(s, d):
     """Every star of the scored windows, as the stream over files of windows gives them (see streaming.star_scores)."""
-    import uuid
+    from ..streaming.star_scores import star_scores_so_far, stream_star_scores
 
-    from ..streaming.star_scores import stream_star_scores
-
-    folder = f"{scratch_folder(s)}/stream-{uuid.uuid4()}"
+    folder = new_folder(s, "stream")
     rows = X.scored(s, d).select("star_id", "start", "p")
     rows.write.parquet(f"{folder}/in")
-    stream_star_scores(s, f"{folder}/in", rows.schema, f"{folder}/out", f"{folder}/log").awaitTermination()
-    return s.read.parquet(f"{folder}/out")
-
-
-def scratch_folder(spark) -> str:
-    """The cluster's shared folder; a folder of its own where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="spark-stream-")
-    return folder
+    stream_star_scores(s, f"{folder}/in", rows.schema, f"{folder}/out", f"{folder}/log", 4).awaitTermination()
+    return star_scores_so_far(s, f"{folder}/out")
 
 
 def flagship(spark, sf_dir):

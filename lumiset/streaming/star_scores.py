@@ -6,21 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stream_star_scores(spark: SparkSession, source: str, schema, sink: str, checkpoint: str):
-    """Start a query that appends a score row for each star not scored before; each run takes what is there and stops.
+def stream_star_scores(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, files_per_batch: int | None = None):
+    """Start a query that adds up the arriving windows of each star; each run takes the files that are there and stops.
 
-    A star's windows arrive in one micro-batch; the checkpoint remembers which files were taken.
+    A micro-batch leaves one row for each star in it, in a folder named by the batch, which a repeated batch overwrites. So a
+    star's windows may arrive in any number of batches, and every window counts once; ``star_scores_so_far`` merges the rows.
     """
 
-    def batch(df: DataFrame, _: int) -> None:
-        new = df.groupBy("star_id").agg(F.count("*").alias("n_segments"), F.max("p").alias("best"), F.avg("p").alias("mean"))
-        try:
-            done = df.sparkSession.read.parquet(sink).select("star_id").distinct()
-            new = new.join(done, "star_id", "left_anti")
-        except Exception as e:  # the first batch has no earlier result
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        new.write.mode("append").parquet(sink)
-
-    stream = spark.readStream.schema(schema).parquet(source)
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def batch(df: DataFrame, number: int) -> None:
+        sums = df.groupBy("star_id").agg(F.count("*").alias("n_segments"), F.max("p").alias("best"), F.sum("p").alias("total"))
+        sums.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def star_scores_so_far(spark: SparkSession, sink: str) -> DataFrame:
+    """star_id, n_segments, best and mean over all batches."""
+    rows = spark.read.schema("star_id string, n_segments long, best double, total double").parquet(sink)
+    return rows.groupBy("star_id").agg(F.sum("n_segments").alias("n_segments"), F.max("best").alias("best"), (F.sum("total") / F.sum("n_segments")).alias("mean"))

@@ -2,13 +2,16 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lumiset.functions import ids
-from lumiset.operators import sampling, scores, signals, triage, windows
+from lumiset.operators import embeddings, ranks, sampling, scores, signals, triage, windows
 from lumiset.schemas import EPHEMERIS, ensure_columns, require_columns
 from lumiset.sources import catalogs
+from lumiset.streaming import star_scores
 
 
 def test_windows_of_short_and_exact_curves(spark):
@@ -77,11 +80,163 @@ def test_schema_helpers(spark):
 
 
 def test_scaling_keeps_length_with_broken_points(spark):
-    df = spark.createDataFrame([("a", i, x) for i, x in enumerate([1.0, 2.0, float("nan"), None, float("inf"), 3.0])], "star_id string, idx int, flux double")
-    assert signals.robust_scale(df.where("idx != 4"), ["star_id"]).count() == 5
+    df = spark.createDataFrame([("a", i, x) for i, x in enumerate([1.0, 2.0, float("nan"), None, 4.0, 3.0])], "star_id string, idx int, flux double")
+    rows = {r.idx: r.scaled for r in signals.robust_scale(df, ["star_id"]).collect()}
+    assert len(rows) == 6 and rows[2] == rows[3] == 0 and rows[4] == pytest.approx(1.5 / (1.25**0.5 + 1e-8))
+    broken = df.withColumn("flux", F.when(F.col("idx") == 4, float("inf")).otherwise(F.col("flux")))
+    # An infinite point makes the deviation not finite, and then no point has a finite scaled value.
+    assert [r.scaled for r in signals.robust_scale(broken, ["star_id"]).collect()] == [0.0] * 6
     assert signals.drop_nan_and_rescale(df).count() == 4
 
 
+def two_missions(spark):
+    """One star with a curve of 32 points in each of two missions, and a planet in one."""
+    points = spark.createDataFrame([("K2-398", m, i, i / 10, float(i % 5)) for m in ("k2", "tess") for i in range(32)], "star_id string, mission string, idx long, time double, flux double")
+    ephemeris = spark.createDataFrame([("K2-398", "k2", 1.0, 0.0, 0.15)], "star_id string, mission string, period_days double, t0_mission double, duration_days double")
+    return points, ephemeris
+
+
+def test_missions_of_a_star_are_apart(spark):
+    points, ephemeris = two_missions(spark)
+    hits = windows.in_transit_any(points, ephemeris)
+    assert hits.count() == 64 and {r.mission for r in hits.where("hit = 1").collect()} == {"k2"}
+    curves = points.groupBy("star_id", "mission").agg(F.count("*").alias("n_points"))
+    segments = windows.make_segments(curves, 16, 16)
+    cut = windows.window_points(points, segments, 16, 16)
+    assert cut.count() == 64
+    labels = {(r.mission, r.start): r.label for r in windows.label_by_count(segments, hits, 1).collect()}
+    assert labels == {("k2", 0): 1, ("k2", 16): 1, ("tess", 0): 0, ("tess", 16): 0}
+    times = windows.segment_times(cut)
+    for f in (windows.label_by_overlap, windows.label_centered):
+        found = {(r.mission, r.start): r.label for r in f(times, ephemeris).collect()}
+        assert len(found) == 4 and found["tess", 0] == found["tess", 16] == 0
+    weights = {r.mission: r.weight for r in windows.confidence_weight(segments, ephemeris).collect()}
+    assert weights == {"k2": 1.0, "tess": 0.3}
+    assert signals.detrend(points, 9).count() == signals.robust_scale(points, ["star_id", "mission"]).count() == 64
+    assert signals.diff_channel(cut).where("idx = start and ch1 = 0").count() == 4
+
+
+def test_labels_follow_the_curves_clock(spark):
+    points, ephemeris = two_missions(spark)
+    late = points.withColumn("time", F.col("time") + ids.BKJD)
+    assert windows.in_transit_any(late, windows.on_curve_clock(ephemeris, late)).where("hit = 1").count() == windows.in_transit_any(points, windows.on_curve_clock(ephemeris, points)).where("hit = 1").count() == 4
+    segments = windows.make_segments(points.groupBy("star_id", "mission").agg(F.count("*").alias("n_points")), 16, 16)
+    rows = {r.label: (r.n, r.lo, r.hi) for r in windows.count_diagnostic(segments, late, ephemeris, 1).collect()}
+    assert rows == {0: (2, 0, 0), 1: (2, 2, 2)}
+
+
+def test_detrend_of_a_long_curve(spark):
+    n, half = 200_000, 50
+    rng = np.random.default_rng(1)
+    flux = 1 + 1e-3 * np.sin(np.arange(n) / 500) + rng.normal(0, 1e-4, n)
+    df = spark.createDataFrame(pd.DataFrame({"star_id": "a", "idx": np.arange(n), "flux": flux}))
+    got = {r.idx: r.trend for r in signals.detrend(df, 2 * half + 1).where("idx % 9973 = 0 or idx > 199990").collect()}
+    for i, trend in got.items():
+        k = np.arange(max(0, i - half), min(n, i + half + 1))
+        assert abs(np.polynomial.polynomial.polyfit(k - i, flux[k], 2)[0] - trend) < 1e-9
+
+
+def test_quantiles_are_exact(spark):
+    rng = random.Random(2)
+    data = [(rng.choice("ab"), rng.choice([rng.random(), 0.5, -1.0])) for _ in range(999)] + [("a", None), ("c", 7.0)]
+    df = spark.createDataFrame(data, "g string, v double")
+    for q in (0.0, 0.31, 0.5, 0.99, 1.0):
+        assert ranks.exact_quantiles(df, "v", {"x": q}).first()["x"] == pytest.approx(np.quantile([v for _, v in data if v is not None], q))
+        by = {r.g: r.x for r in ranks.exact_quantiles(df, "v", {"x": q}, "g").collect()}
+        assert by == pytest.approx({k: np.quantile([v for g, v in data if g == k and v is not None], q) for k in "abc"})
+    assert ranks.exact_quantiles(df.where("v > 9"), "v", {"x": 0.5}).first()["x"] is None
+
+
+def test_one_class_and_no_rows(spark):
+    df = spark.createDataFrame([("a", 0, 0.4, 0), ("b", 0, 0.6, 0)], "star_id string, start int, p double, label int")
+    assert scores.average_precision(df).first()[0] is None and scores.average_precision(df.where("p > 1")).first()[0] is None
+    assert scores.youden_threshold(df).first()["youden"] is None
+    report = {(r.level, r.metric): r.value for r in scores.eval_report(df.withColumn("split", F.lit("val"))).collect()}
+    assert report["window", "roc_auc"] is None and report["window", "n"] == 2 and report["star_max", "base_rate"] == 0
+    assert scores.eval_report(df.withColumn("split", F.lit("val")).where("p > 1")).count() == 0
+
+
+def test_segment_outside_its_curve_is_an_error(spark):
+    curves = spark.createDataFrame([("a", "k2", 10)], "star_id string, mission string, n_points long")
+    rows = spark.createDataFrame([("a", "k2", 0, 8), ("a", "k2", 2, 10)], 'star_id string, mission string, start long, end long')
+    assert windows.slice_strict(rows, curves).count() == 2
+    for bad in (("a", "k2", 4, 12), ("a", "k2", -1, 7), ("b", "k2", 0, 8)):
+        with pytest.raises(Exception, match="not inside the curve"):
+            windows.slice_strict(rows.union(spark.createDataFrame([bad], rows.schema)), curves).collect()
+
+
+def test_stream_adds_up_a_star_over_batches(spark, tmp_path):
+    rows = spark.createDataFrame([(f"s{i % 3}", i, i / 100) for i in range(30)], "star_id string, start int, p double")
+    for k in range(3):
+        rows.where(F.col("start") % 3 == k).union(rows.where(F.col("start") == 40)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rows.where("start < 9").select(F.lit("s0").alias("star_id"), "start", "p").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second run finds nothing new
+        star_scores.stream_star_scores(spark, str(tmp_path / "in"), rows.schema, str(tmp_path / "out"), str(tmp_path / "log"), 1).awaitTermination()
+    got = {r.star_id: (r.n_segments, r.best, round(r["mean"], 9)) for r in star_scores.star_scores_so_far(spark, str(tmp_path / "out")).collect()}
+    assert got == {"s0": (19, 0.27, round((sum(range(0, 30, 3)) + 36) / 1900, 9)), "s1": (10, 0.28, 0.145), "s2": (10, 0.29, 0.155)}
+
+
+def vectors(spark, n=200, seed=4):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 6)) * [3, 2, 1, 0.5, 0.2, 0.1]
+    x[7] = 12
+    y = x @ np.arange(1, 7) + 2
+    return x, y, spark.createDataFrame([(i, v.tolist(), float(s)) for i, (v, s) in enumerate(zip(x, y, strict=True))], "vec_id long, embedding array<double>, score double")
+
+
+def test_components_and_regression_of_embeddings(spark):
+    x, y, df = vectors(spark)
+    got = np.array([r.pc for r in embeddings.pca(df, 2).orderBy("vec_id").collect()])
+    u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert np.abs(got) == pytest.approx(np.abs((u * s)[:, :2]), abs=1e-6)
+    smooth = embeddings.smooth_scores(df, "score")
+    assert scores.r_squared(smooth, "score", "smooth").first()[0] > 0.999
+    cut = np.quantile([r.smooth for r in smooth.collect()], 0.99)
+    assert {r.vec_id for r in embeddings.above_cut(smooth, "smooth").collect()} == {r.vec_id for r in smooth.collect() if r.smooth >= cut}
+
+
+def test_classifiers_on_held_out_rows(spark):
+    x, y, df = vectors(spark, 600)
+    rows = embeddings.binary_embedding_classifier(df.withColumn("label", (F.col("score") > 2).cast("int")), "vec_id").collect()
+    shares = {s: sum(r.split == s for r in rows) for s in ("train", "val", "test")}
+    assert len(rows) == 600 and abs(shares["val"] - 90) <= 1 and abs(shares["test"] - 90) <= 1
+    test = [r for r in rows if r.split == "test"]
+    assert np.mean([(r.probability >= 0.5) == r.label for r in test]) > 0.9 and all(0 <= r.probability <= 1 for r in rows)
+    rng = random.Random(3)
+    points = [(f"s{i}", 0, j, rng.gauss(0, 1) - 6 * (i % 2) * (j == 5)) for i in range(80) for j in range(12)]
+    features = embeddings.window_features(spark.createDataFrame(points, "star_id string, start int, idx int, flux double")).withColumn("label", F.substring("star_id", 2, 3).cast("int") % 2)
+    trained = embeddings.train_window_classifier(features.where("star_id < 's5'"))
+    held = trained(features.where("star_id >= 's5'")).collect()
+    assert np.mean([(r.score >= 0.5) == r.label for r in held]) > 0.9
+
+
+def test_isolated_rows_score_highest(spark):
+    _, _, df = vectors(spark)
+    rows = embeddings.anomaly_scores(df, "vec_id", dims=4).collect()
+    assert max(rows, key=lambda r: r.outlier_score).vec_id == 7 and all(0 < r.outlier_score < 1 for r in rows)
+    assert {r.vec_id for r in rows if r.flag} >= {7} and sum(r.flag for r in rows) == 2
+    best = embeddings.weird_stars(df.withColumn("smooth", F.col("score")), "vec_id", best=50, n=5).collect()
+    top = {r.vec_id for r in df.orderBy(F.desc("score")).limit(50).collect()}
+    assert len(best) == 5 and best[0].vec_id == 7 and {r.vec_id for r in best} <= top
+
+
+@pytest.mark.parametrize("fit_on_self", [False, True])
+def test_anomalies_of_curves(spark, fit_on_self):
+    rng = random.Random(6)
+    points = [(f"s{s}", "k2", i, i * 0.1, rng.gauss(0, 0.1) + (9 if s == 1 and 80 <= i < 88 else 0)) for s in range(3) for i in range(160)]
+    df = spark.createDataFrame(points, "star_id string, mission string, idx long, time double, flux double")
+    rows = embeddings.star_anomalies(df, 8, 8, fit_on_self=fit_on_self, part=4).collect()
+    assert len(rows) == 60 and max(rows, key=lambda r: r.outlier_score)[0:1] == ("s1",) and max(rows, key=lambda r: r.outlier_score).start == 80
+    halves = lambda p, w, s: embeddings.plain_segments(p, w, s).where("start < 80")
+    assert embeddings.star_anomalies(df, 8, 8, halves, fit_on_self).count() == 30
+
+
+def test_score_of_a_star_is_that_of_its_best_windows(spark):
+    points, _ = two_missions(spark)
+    rows = embeddings.score_stars(points, 8, 8, 2).collect()
+    assert len(rows) == 4 and all(r.score == pytest.approx(np.mean([x.p for x in rows if x.mission == r.mission])) for r in rows)
+
+
 def test_no_period_from_few_windows(spark):
     df = spark.createDataFrame([("a", i, 0.9, float(i)) for i in range(2)], "star_id string, start int, p double, seg_mid_time double")
     assert triage.estimate_period(df, 0.8).count() == 0
@@ -91,6 +246,8 @@ def test_no_period_from_few_windows(spark):
 
 def test_sink_refuses_other_suffixes(spark, tmp_path):
     df = spark.range(3)
+    catalogs.write_table(df, str(tmp_path / "a.csv"))
+    assert sorted(r.id for r in spark.read.option("header", True).csv(str(tmp_path / "a.csv")).collect()) == ["0", "1", "2"]
     catalogs.write_table(df, str(tmp_path / "a.parquet"))
     assert spark.read.parquet(str(tmp_path / "a.parquet")).count() == 3
     with pytest.raises(ValueError, match="csv"):
