@@ -1,12 +1,16 @@
 """Nearest neighbours by balanced posting lists (operator 2).
 
-Largest inner product becomes smallest distance by one more component that gives every vector the same length. Centroids are
-fitted by balanced clustering on a bounded sample of ``SAMPLE`` vectors: a cluster takes no more than its share of them.
-Every vector is posted to its nearest centroid, and boundary vectors also to others up to ``COPIES`` whose distance is within
-``REPLICATE`` of the nearest one's, unless a centroid already chosen is nearer to the other than the vector is. A query walks
+Largest inner product becomes smallest distance by one more component that gives every vector the same length. There are
+about 2 sqrt(n) lists of n vectors, ``CENTROIDS`` at most, so their number and length grow alike. Centroids are fitted by
+balanced clustering on a bounded sample, of at most ``SAMPLE`` vectors: a cluster takes no more than its share of them.
+Centroids are brought to the vectors' length, so that they lie among them. Every vector is posted to its nearest centroid, and
+boundary vectors also to others up to ``COPIES`` whose distance is within ``REPLICATE`` of the nearest one's, unless a centroid
+already chosen is nearer to the other than the vector is. A query walks
 an in-memory graph of the centroids to find near ones and keeps the lists whose distance ratio to the nearest is within a
-limit, but at least ``LEAST``. Limit and width of the walk come from the sample: they are such that ``AIM`` of the true
-neighbours inside it, of ``TRIALS`` vectors, lie in lists that are kept. Lists are scanned in tasks by list and part: a list of many vectors is dealt into
+limit, of the nearest ``width`` ones, but at least ``LEAST``. Limit and width come from the sample: each is such that ``AIM``
+of the true neighbours inside it, of ``TRIALS`` vectors, lie in lists that are kept; of a sample that has one in s vectors,
+k / s neighbours are as near as the k in the whole table. About ``GROUP`` lists that are near each other are scanned in one
+task, so that a query's hits in them are merged there. Lists are scanned in tasks by list and part: a list of many vectors is dealt into
 parts of bounded size, each scanned by itself, and the best of all parts are merged.
 
 Equal vectors have equal scores, and of these the smaller ids come first, so of each distinct vector only its k + 1 smallest
@@ -31,10 +35,11 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, table
 
-SAMPLE, CENTROIDS, PER_LIST = 20_000, 4096, 128
+#: The sample has ``FIRST`` vectors, or 4 for each list if that is more, and no more than ``SAMPLE``.
+FIRST, SAMPLE, CENTROIDS = 20_000, 65_536, 16_384
 COPIES, REPLICATE = 4, 1.15
 LEAST, AIM, TRIALS = 8, 0.96, 256
-PART = 2048
+PART, GROUP = 2048, 16
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -94,11 +99,14 @@ class Index:
     """Centroids, their graph, and the length that every lifted vector has."""
 
     def __init__(self, centroids: np.ndarray, length: float):
+        centroids = centroids * (length / np.maximum(np.sqrt((centroids**2).sum(1, keepdims=True)), 1e-300))
         self.c, self.length, self.graph = centroids, length, centroid_graph(centroids)
         self.norm = (centroids**2).sum(1)
+        near = balanced_centroids(centroids, max(1, len(centroids) // GROUP))
+        self.group = ((near**2).sum(1) - 2 * centroids @ near.T).argmin(1)
         self.limit, self.width = 1.0, LEAST
 
-    def calibrate(self, x: np.ndarray, k: int = 20, trials: int = TRIALS) -> None:
+    def calibrate(self, x: np.ndarray, k: int, trials: int = TRIALS) -> None:
         """Set the limit and the width from the true neighbours of some vectors of a sample among all of it."""
         asked = np.arange(0, len(x), max(1, len(x) // trials))
         scores = x[asked] @ x.T
@@ -141,7 +149,7 @@ class Index:
                 for p in places[1:]:
                     if len(chosen) == COPIES or d[row, p] > limit:
                         break
-                    if all(((self.c[p] - self.c[q]) ** 2).sum() >= d[row, p] * 0.5 for q in chosen):
+                    if all(((self.c[p] - self.c[q]) ** 2).sum() >= d[row, p] for q in chosen):
                         chosen.append(int(p))
                 out.append(chosen)
         return out
@@ -175,26 +183,32 @@ class Index:
             order = np.argsort(d, kind="stable")
             distance = np.sqrt(np.maximum(d[order] + (q**2).sum(), 0))
             good = distance <= self.limit * max(distance[0], 1e-12)
+            good[self.width :] = False
             good[:LEAST] = True
             out.append(ids[order[good]].tolist())
         return out
 
 
-def fit(distinct: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, per_list: int = PER_LIST) -> Index | None:
+def lists_for(n: int, centroids: int = CENTROIDS) -> int:
+    return max(1, min(centroids, round(2 * n**0.5), n // 8))
+
+
+def fit(distinct: DataFrame, k: int = 20, first: int = FIRST, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Index | None:
     """An index from a bounded sample of distinct vectors (the smallest by a hash of the vector)."""
     row = distinct.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x))).alias("longest")).first()
     if not row["n"]:
         return None
-    rows = distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(sample).collect()
+    lists = lists_for(row["n"], centroids)
+    rows = distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(min(sample, max(first, 4 * lists))).toArrow().column("v").combine_chunks()
+    x = rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
     index = Index(np.zeros((1, 2)), float(row["longest"]) * (1 + 1e-12))
-    x = np.array([r["v"] for r in rows], float)
-    index = Index(balanced_centroids(index.lift(x), min(centroids, max(1, row["n"] // per_list))), index.length)
-    index.calibrate(x)
+    index = Index(balanced_centroids(index.lift(x), lists), index.length)
+    index.calibrate(x, max(1, round(k * len(x) / row["n"])))
     return index
 
 
 def _mapped(frame: DataFrame, index, method: str) -> DataFrame:
-    """(key, v) of ``frame`` and the lists that ``method`` of the index gives, a row for each."""
+    """(key, v) of ``frame``, the lists that ``method`` of the index gives, a row for each, and the lists' groups."""
     box = frame.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,9 +218,9 @@ def _mapped(frame: DataFrame, index, method: str) -> DataFrame:
                 x = np.array(part.column(1).to_pylist(), float).reshape(part.num_rows, -1)
                 lists = getattr(box.value, method)(x) if part.num_rows else []
                 at = pa.array(np.repeat(np.arange(part.num_rows), [len(n) for n in lists]), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array([n for ns in lists for n in ns], pa.int32())], names=["key", "v", "list"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(flat := [n for ns in lists for n in ns], pa.int32()), pa.array(box.value.group[flat] if flat else [], pa.int32())], names=["key", "v", "list", "near"])
 
-    return frame.select("key", "v").mapInArrow(run, f"key long, v {dict(frame.dtypes)['v']}, list int")
+    return frame.select("key", "v").mapInArrow(run, f"key long, v {dict(frame.dtypes)['v']}, list int, near int")
 
 
 class _Best:
@@ -250,8 +264,8 @@ def scan(posted: DataFrame, routed: DataFrame, k: int) -> DataFrame:
             for batch in batches:
                 for i in range(0, batch.num_rows, 512):
                     part = batch.slice(i, 512)
-                    v = part.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                    yield from zip(*(c.to_pylist() for c in part.columns[:4]), v, strict=True)
+                    v = part.column(5).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                    yield from zip(*(c.to_pylist() for c in part.columns[1:5]), v, strict=True)
 
         best = _Best(k)
         for _, group in itertools.groupby(rows(), key=lambda r: r[:2]):
@@ -275,9 +289,9 @@ def scan(posted: DataFrame, routed: DataFrame, k: int) -> DataFrame:
         yield from best.give()
 
     parts = posted.groupBy("list").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"))
-    left = posted.join(parts, "list").select("list", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("is_query"), "key", "v")
-    right = routed.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_query"), "key", "v")
-    placed = left.union(right).repartition(F.col("list"), F.col("part")).sortWithinPartitions("list", "part", "is_query")
+    left = posted.join(parts, "list").select("near", "list", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("is_query"), "key", "v")
+    right = routed.join(parts, "list").select("near", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_query"), "key", "v")
+    placed = left.union(right).repartition(F.col("near"), F.col("part")).sortWithinPartitions("near", "part", "list", "is_query")
     return placed.mapInArrow(run, "q long, key long, score double").groupBy("q", "key").agg(F.max("score").alias("score"))
 
 
@@ -285,13 +299,12 @@ def neighbours(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id"
     """query_id, rank, vec_id, score: the ``k`` nearest found of every row for which ``is_query(id column)`` holds."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col).distinct()
-    # Which distinct vector each row has; keys of distinct vectors are their smallest ids, unless an id has several vectors.
-    distinct = rows.groupBy("v").agg(F.min("id").alias("first")).select(F.xxhash64("v").alias("key"), "v")
-    distinct = cut_lineage(distinct)
-    index = fit(distinct)
+    # Distinct vectors are numbered, and each row gets its vector's number by the vector itself.
+    distinct = cut_lineage(rows.groupBy("v").agg(F.count("*").alias("_n")).select(F.monotonically_increasing_id().alias("key"), "v"))
+    index = fit(distinct, k)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    keyed = rows.select("id", F.xxhash64("v").alias("key"))
+    keyed = cut_lineage(rows.join(distinct, "v").select("id", "key"))
     ahead = Window.partitionBy("key").orderBy("id")
     salted = Window.partitionBy("key", "salt").orderBy("id")
     members = keyed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("r", F.row_number().over(salted)).where(F.col("r") <= k + 1).withColumn("r", F.row_number().over(ahead)).where(F.col("r") <= k + 1).select("id", "key")

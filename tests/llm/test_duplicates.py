@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumiset.llm import chained_substrings, posting_ann, tensored_minhash
 from lumiset.llm.common import words_of
@@ -133,6 +134,39 @@ def test_neighbours_recall(spark):
     assert hit / 20 / len(got) >= 0.9
 
 
+def test_lists_act_on_many_vectors(spark):
+    """With over 200 lists, boundary vectors have copies, a query scores a part of the table, and it finds 0.9 of its neighbours."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(300, 24))
+    x = centres[rng.integers(0, 300, 6000)] + rng.normal(0, 0.8, (6000, 24))
+    index, share = None, {}
+    for n in (1500, 6000):
+        index = posting_ann.fit(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:n])], "key long, v array<double>"))
+        posts, routes = index.post(x[:n]), index.route(x[:n:20])
+        held = np.bincount([p for ps in posts for p in ps], minlength=len(index.c))
+        share[n] = np.mean([held[r].sum() for r in routes]) / n
+    assert len(index.c) >= 200 and 1.1 < np.mean([len(p) for p in posts]) <= posting_ann.COPIES
+    assert share[6000] < share[1500] and share[6000] < 0.25
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in posting_ann.neighbours(df, lambda i: i % 20 == 0, 20).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = 0
+    for q in range(0, 6000, 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-scores, kind="stable")[:20].tolist()))
+    assert hit / 20 / 300 >= 0.9
+
+
+def test_rows_that_repeat_vectors_and_ids(spark):
+    """Null ids and vectors of a rarer length take no part; an id with several vectors is a candidate with its best."""
+    rows = [(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 2), (1, [0.5, 0.0], 3), (1, [0.9, 0.1], 4), (2, [0.9, 0.1], 5), (None, [9.0, 9.0], 6), (20, [9.0, 9.0, 9.0], 7), (40, [0.0, 1.0], 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, key long").withColumns({c: F.lit(1) for c in ("id", "v", "q", "score", "rank", "list")})
+    found = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in posting_ann.neighbours(df, lambda i: i % 20 == 0, 20).collect())
+    assert found == [(0, 1, 1, 0.9), (0, 2, 2, 0.9), (0, 3, 40, 0.0), (40, 1, 1, 0.1), (40, 2, 2, 0.1), (40, 3, 0, 0.0)]
+
+
 def test_neighbours_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
     rows = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in posting_ann.neighbours(df, lambda i: i % 20 == 0, 20).collect())
