@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
+from ..storage import checkpointed as cut_lineage  # noqa: F401
+from ..storage import written  # noqa: F401
+
 #: A word of the near-duplicate contracts: a run without space, tab, LF, VT, FF or CR.
 WORD = re.compile("[^\x20\x09-\x0d]+")
 #: Rows handled at once inside a task.
@@ -33,15 +35,16 @@ def id_mod(column, n: int):
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
 
 
-def per_text(docs: DataFrame, fields: str, start: Callable, id_col: str = "doc_id", text_col: str = "text", keep: tuple = (), many: bool = False) -> DataFrame:
+def per_text(docs: DataFrame, fields: str, start: Callable, id_col: str = "doc_id", text_col: str = "text", keep: tuple = (), many: bool = False, binary: bool = False) -> DataFrame:
     """One row for each row of ``docs``: doc_id, the columns of ``keep`` as they are, then ``fields`` from the text.
 
     ``start()`` runs once in each task and returns a function from a text to a tuple (``many``: to any number of tuples, a
-    row for each). Null text is passed as the empty text. Rows go through in slices, so memory follows a slice.
+    row for each). Null text is passed as the empty text. Rows go through in slices, so memory follows a slice. ``binary``: the
+    column holds bytes.
     """
     names = [f.split(" ", 1)[0].strip() for f in fields.split(", ")]
     types = [ARROW[f.split(" ", 1)[1].strip()] for f in fields.split(", ")]
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(k) for k in keep], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(k) for k in keep], F.coalesce(F.col(text_col).cast("binary" if binary else "string"), F.lit(b"" if binary else "")).alias("text"))
     head = ["doc_id", *keep]
     schema = T.StructType([*source.schema.fields[:-1], *(T.StructField(n, from_arrow_type(t)) for n, t in zip(names, types, strict=True))])
 
@@ -113,29 +116,3 @@ def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def shared_folder(spark: SparkSession) -> None:
-    """checkpoint() needs a folder: the cluster's spark.checkpoint.dir, or one of our own where that is unset, as in tests."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    context.setCheckpointDir(folder)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: smaller than a checkpoint, and as safe."""
-    shared_folder(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)

@@ -19,10 +19,6 @@ MODULES = {
 }
 
 
-def queries() -> dict:
-    return {name: importlib.import_module(f"{__package__}.{module}").query for name, module in MODULES.items()}
-
-
-def oracle_sql() -> dict:
-    found = {name: getattr(importlib.import_module(f"{__package__}.{module}"), "ORACLE_SQL", None) for name, module in MODULES.items()}
-    return {name: sql for name, sql in found.items() if sql}
+def module(name: str):
+    """The module of a query. It is imported here and not before, so that one that cannot be imported stops no other."""
+    return importlib.import_module(f"{__package__}.{MODULES[name]}")
