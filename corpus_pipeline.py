@@ -2,18 +2,18 @@
 passages are cut from all but the first text, personal data is masked, and what is left is packed into token windows.
 
 Every stage works on all rows that the one before kept, and all but the last return the columns of ``documents``. Stages
-take (spark, docs, sf_dir); ``run`` writes each stage's result as Parquet in the cluster's shared folder and reads it again.
+take (spark, docs, sf_dir); ``run`` writes each stage's result as Parquet in the cluster's shared folder and reads it again;
+these tables go when the application ends.
 Nulls, empty and very long texts, repeated rows and empty tables are treated as the operators' docstrings say.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from lumiset.llm import chained_substrings, cnn_toxicity, packing, tensored_minhash, weak_pii
-from lumiset.llm.common import cut_lineage, shared_folder, table
+from lumiset.llm.common import cut_lineage, table
+from lumiset.storage import new_folder
 
 #: No SQL expresses the classifier and the alignments; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
@@ -52,8 +52,7 @@ STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("substr
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared_folder(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4()}"
+    folder = new_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
