@@ -202,8 +202,9 @@ def isolation_forest(df: DataFrame, vec: str, key: str, trees: int = 100, size:
 
 
 def anomaly_scores(df: DataFrame, key: str, vec: str = "embedding", dims: int = 20, flag_from: float = 0.99) -> DataFrame:
-    """Principal components, standardised, then the isolation forest; the highest scores are flagged."""
-    p = pca(df.select(key, vec), dims, vec).withColumn("_v", array_to_vector("pc"))
+    """``dims`` principal components, or all if there are fewer, standardised, then the isolation forest; the highest scores are flagged."""
+    first = df.select(F.size(vec)).first()
+    p = pca(df.select(key, vec), min(dims, first[0]) if first else dims, vec).withColumn("_v", array_to_vector("pc"))
     p = StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True).fit(p).transform(p).select(key, vector_to_array("_s").alias("x"))
     scored = isolation_forest(p, "x", key)
     scored = checkpointed(scored)

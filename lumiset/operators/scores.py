@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -252,27 +250,31 @@ def class_report(df: DataFrame, threshold: float, score: str = "p", label: str =
 
 
 def eval_report(df: DataFrame, split: str = "split", ks: tuple = (10, 50), modes: tuple = ("max", "mean", "topk_mean"), k: int = 10) -> DataFrame:
-    """(split, level, metric, value): for each split the metrics of its windows, of its stars by three aggregates, and its best rows.
-
-    Splits are few and named in advance by their rows, so each is evaluated by itself.
-    """
-    rows = checkpointed(df.select(split, *window_key(df), "label", "p"))
-    out = []
-    for name in sorted(r[0] for r in rows.select(split).distinct().collect() if r[0] is not None):
-        part = rows.where(F.col(split) == name)
-        levels = {"window": part.select("label", "p", F.concat_ws("|", "star_id", F.lpad(F.col("start").cast("string"), 8, "0")).alias("t"))}
-        truth = part.groupBy("star_id").agg(F.max("label").alias("label"))
-        levels |= {f"star_{m}": aggregate_scores(part, ["star_id"], m, k).join(truth, "star_id").select("label", F.round("score", 12).alias("p"), F.col("star_id").alias("t")) for m in modes}
-        for level, scored in levels.items():
-            c = curve(scored)
-            area = F.sum(F.col("pos") * (F.col("all_neg") - F.col("cum_neg")) + F.col("pos") * F.col("neg") * 0.5)
-            gain = F.sum(F.try_divide("pos", F.col("all_pos")) * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
-            pairs, total = F.first("all_pos") * F.first("all_neg"), F.first("all_pos") + F.first("all_neg")
-            m = c.agg(F.when(pairs > 0, area / pairs).alias("roc_auc"), gain.alias("average_precision"), (F.first("all_pos") / total).alias("base_rate"), total.cast("double").alias("n"), F.min("threshold").alias("lo"), F.max("threshold").alias("hi"))
-            out.append(m.select(F.lit(level).alias("level"), F.explode(F.array(*(F.struct(F.lit(x).alias("metric"), F.col(x).alias("value")) for x in m.columns))).alias("x")).select(F.lit(name).alias("split"), "level", "x.metric", "x.value"))
-            at = precision_at(scored, list(ks), "p", "label", "t").select("k", F.explode(F.array(F.struct(F.lit("precision").alias("metric"), F.col("precision").alias("value")), F.struct(F.lit("lift").alias("metric"), F.col("lift").alias("value")))).alias("x"))
-            out.append(at.select(F.lit(name).alias("split"), F.lit(level).alias("level"), F.concat("x.metric", F.lit("_at_"), F.col("k").cast("string")).alias("metric"), F.col("x.value").alias("value")))
-    return reduce(DataFrame.unionByName, out) if out else df.sparkSession.createDataFrame([], "split string, level string, metric string, value double")
+    """(split, level, metric, value): for each split the metrics of its windows, of its stars by each aggregate, and of its best rows."""
+    rows = checkpointed(df.where(F.col(split).isNotNull()).select(F.col(split).alias("split"), *window_key(df), "label", "p"))
+    tie = F.concat_ws("|", "star_id", F.lpad(F.col("start").cast("string"), 8, "0"))
+    truth = rows.groupBy("split", "star_id").agg(F.max("label").alias("label"))
+    every = rows.select("split", F.lit("window").alias("level"), "label", "p", tie.alias("t"))
+    for mode in modes:
+        scored = aggregate_scores(rows, ["split", "star_id"], mode, k).join(truth, ["split", "star_id"])
+        every = every.union(scored.select("split", F.lit(f"star_{mode}"), "label", F.round("score", 12), "star_id"))
+    every = checkpointed(every.withColumn("_k", F.concat_ws("|", "split", "level")))
+    counts = every.groupBy("_k", "p").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    runs = global_cumsum(counts, "p", ["pos", "neg"], "_k")
+    total = every.groupBy("_k", "split", "level").agg(F.sum("label").alias("ap"), F.sum(1 - F.col("label")).alias("an"), F.min("p").alias("lo"), F.max("p").alias("hi"))
+    area = F.sum(F.col("pos") * (F.col("an") - F.col("cum_neg")) + F.col("pos") * F.col("neg") * 0.5)
+    gain = F.sum(F.try_divide("pos", "ap") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
+    sums = runs.join(total, "_k").groupBy("_k", "split", "level", "ap", "an", "lo", "hi").agg(F.try_divide(area, F.col("ap") * F.col("an")).alias("roc_auc"), gain.alias("average_precision"))
+    whole = sums.select("split", "level", "roc_auc", "average_precision", F.try_divide("ap", F.col("ap") + F.col("an")).alias("base_rate"), (F.col("ap") + F.col("an")).cast("double").alias("n"), "lo", "hi")
+    named = lambda df: F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in df.columns[2:]))).alias("x")
+    report = whole.select("split", "level", named(whole)).select("split", "level", "x.metric", "x.value")
+    place = F.row_number().over(Window.partitionBy("_k").orderBy(F.desc("p"), "t"))
+    best = every.withColumn("_r", place).where(F.col("_r") <= max(ks)).withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("_r <= k")
+    base = total.select("_k", F.try_divide("ap", F.col("ap") + F.col("an")).alias("_base"))
+    at = best.groupBy("_k", "split", "level", "k").agg(F.avg("label").alias("precision")).join(base, "_k").select("split", "level", "k", "precision", F.try_divide("precision", "_base").alias("lift"))
+    for metric in ("precision", "lift"):
+        report = report.union(at.select("split", "level", F.concat(F.lit(f"{metric}_at_"), F.col("k").cast("string")), metric))
+    return report
 
 
 def r_squared(df: DataFrame, y: str, fitted: str) -> DataFrame:
