@@ -27,12 +27,58 @@ from .common import per_text, table
 THRESHOLD = 0.8
 _WORDS = re.compile(r"[^\W_]+")
 
-#: The notices by which common licences are named in texts.
+#: The texts of short licences, without their copyright lines.
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to
+use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall
+be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY
+KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER
+IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS
+IN THE SOFTWARE."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE
+AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN
+NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING
+FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and
+the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
+the following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD_NAME = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission."""
+BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR
+BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or
+agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF
+ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the
+License."""
+GPL_NOTICE = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This
+program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a
+copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+non-commercial, and by any means."""
+
+#: The notices by which common licences are named in texts, and those texts.
 TEMPLATES = {
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
-    "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"],
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", APACHE_NOTICE],
+    "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", MIT],
+    "isc": [ISC],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License."],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "bsd-2-clause": [f"{BSD_HEAD} {BSD_TAIL}"],
+    "bsd-3-clause": [f"{BSD_HEAD} {BSD_NAME} {BSD_TAIL}"],
+    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", GPL_NOTICE],
+    "unlicense": [UNLICENSE],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "cc-by-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
     "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0."],
@@ -84,46 +130,6 @@ class Scanner:
         anchors = sorted({a for t in self.templates for a in t.anchors})
         self.anchor = re.compile("|".join(map(re.escape, anchors)))
 
-    def line(self, words: list[str]) -> list[tuple[str, float]]:
-        """(template's name, Dice) of the matches in one line that don't overlap, for each template by itself."""
-        out, present = [], set(words)
-        for t in self.templates:
-            if len(words) - 1 < t.least or not any(a in present for a in t.anchors):
-                continue
-            if len(words) - 1 <= t.most:
-                found = [(dice(bigrams(words), t.grams), 0, len(words))]
-            else:
-                found = self.runs(words, t)
-            taken: list[tuple[int, int]] = []
-            for d, a, b in sorted(((d, a, b) for d, a, b in found if d >= self.threshold), key=lambda x: (-x[0], x[1])):
-                if all(b <= c or e <= a for c, e in taken):
-                    taken.append((a, b))
-                    out.append((t.name, d))
-        return out
-
-    def runs(self, words: list[str], t: Template) -> list[tuple[float, int, int]]:
-        """Dice of the runs of as many words as the template's, only where enough of its bigrams stand close together."""
-        m = len(t.words)
-        hits = [i for i, g in enumerate(zip(words, words[1:], strict=False)) if g in t.grams]
-        need, starts = max(1, math.ceil(self.threshold * (m - 1) - 1e-9)), set()
-        for i in range(len(hits) - need + 1):
-            if hits[i + need - 1] - hits[i] <= m - 2:
-                starts.update(range(max(0, hits[i + need - 1] - m + 2), min(hits[i], len(words) - m) + 1))
-        return [(dice(bigrams(words[a : a + m]), t.grams), a, a + m) for a in sorted(starts)]
-
-    def scan(self, text: str) -> list[tuple[str, int, float]]:
-        """(licence, matches, best Dice) of a text, by name."""
-        if not self.anchor.search(low := text.lower()):
-            return []
-        best: dict[str, list] = {}
-        for line in low.split("\n"):
-            if self.anchor.search(line):
-                for name, d in self.line(words_of(line)):
-                    x = best.setdefault(name, [0, 0.0])
-                    x[0] += 1
-                    x[1] = max(x[1], d)
-        return [(name, n, round(d, 9)) for name, (n, d) in sorted(best.items())]
-
     def found(self, words: list[str]) -> list[tuple[str, float]]:
         """(template's name, Dice) of the matches that don't overlap, for each template by itself."""
         out, present = [], set(words)
@@ -157,8 +163,8 @@ class Scanner:
                         out.append((d, hits[k], i + 2))
         return out
 
-    def scan_whole(self, text: str) -> list[tuple[str, int, float]]:
-        """(licence, matches, best Dice) of a text, by name, in runs of any length across line ends; ``scan`` goes line by line."""
+    def scan(self, text: str) -> list[tuple[str, int, float]]:
+        """(licence, matches, best Dice) of a text, by name, in runs of any length across line ends."""
         if not self.anchor.search(low := text.lower()):
             return []
         best: dict[str, list] = {}
@@ -171,7 +177,7 @@ class Scanner:
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, n_matches, dice: a row for each licence whose notice a text holds."""
-    return per_text(docs, "license string, n_matches long, dice double", lambda: Scanner(templates, threshold).scan_whole, id_col, text_col, many=True)
+    return per_text(docs, "license string, n_matches long, dice double", lambda: Scanner(templates, threshold).scan, id_col, text_col, many=True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
