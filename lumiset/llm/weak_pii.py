@@ -29,7 +29,7 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "iban", "ssn", "name")
 ORDER = {k: i for i, k in enumerate(KINDS)}
 
-#: Cue words by kind, and a small gazetteer of given names and of mail and top-level domains.
+#: Cue words by kind, and the gazetteer: frequent given names of four languages, and top-level domains.
 CUES = {
     "email": "mail email e-mail contact courriel correo kontakt",
     "ip": "ip host server address adresse client",
@@ -38,11 +38,24 @@ CUES = {
     "secret": "token key secret password passwd pwd api bearer credential",
     "iban": "iban account konto compte cuenta bank",
     "ssn": "ssn social security",
-    "name": "name mr mrs ms dr prof contact dear sincerely",
+    "name": "name named contact dear sincerely regards from by called author",
 }
 CUES = {k: frozenset(v.split()) for k, v in CUES.items()}
-GIVEN = frozenset("anna alice maria john james robert michael david peter paul laura julia sophie pierre jean marie hans klaus carlos juan jose ana luis emma thomas".split())
-TOP = frozenset("com org net edu gov de fr es uk io eu info int mil".split())
+GIVEN = frozenset(
+    """alexander alice amanda amy andrea andrew angela anna anne anthony antoine antonio barbara benjamin brian camille carlos
+    carmen carol catherine charles charlotte christian christine christopher claire claudia daniel david deborah diego dominique
+    donald donna dorothy edward elena elizabeth emily emma eric esther eva felix fernando francesca francisco franz frank gabriel
+    george gerard hannah hans heinrich helen helga ines isabel jacques james jan jane javier jean jennifer jeremy jessica joan
+    johannes john jonas jorge jose joseph juan julia julie julien karen karl katharina kevin klaus laura lea leon linda lisa louis
+    lucas lucia luis lukas manuel marco margaret maria marie mark markus marta martin mary mateo matthew max michael michelle
+    miguel monica nancy natalie nathalie nicolas nicole olivier pablo pamela patricia patrick paul pedro peter petra philippe pierre
+    rafael raul rebecca richard robert rosa ruth sabine samuel sandra sara sarah sebastian sergio simon sofia sophie stefan stephanie
+    stephen steven susan sven sylvie teresa theresa thomas tobias ursula valentina victor vincent werner william wolfgang""".split()
+)
+TOP = frozenset(
+    """com org net edu gov mil int info biz io co me eu de at ch fr be lu nl uk ie us ca mx es pt it br ar cl pe ve au nz za in cn
+    jp kr ru ua pl cz sk hu ro bg gr tr se no dk fi is ee lv lt""".split()
+)
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -128,8 +141,8 @@ def _plausible(kind: str, value: str) -> int:
 
 
 def votes(text: str, kind: str, start: int, end: int, base: bool) -> str:
-    """A sign for each labeler: form, plausibility, gazetteer, cue words, surroundings."""
-    value, left = text[start:end][:400], text[max(0, start - 40) : start]
+    """A sign for each labeler: form, plausibility, gazetteer, cue words in the 40 characters before, surroundings."""
+    value, left = text[start:end], text[max(0, start - 40) : start]
     form = 1 if base else 1 if kind == "secret" and re.fullmatch("[0-9a-f]{32,}|[0-9A-F]{32,}", value) else 0
     words = {w.lower() for w in _WORD.findall(value)}
     gazetteer = 0
@@ -137,7 +150,7 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> str:
         gazetteer = 1 if words & TOP else -1
     elif kind == "name":
         gazetteer = 1 if words & GIVEN else 0
-    cue = 1 if {w.lower() for w in _WORD.findall(left)[-4:]} & CUES[kind] or kind == "name" else 0
+    cue = 1 if {w.lower() for w in _WORD.findall(left)[-4:]} & CUES[kind] else 0
     before, after = text[start - 1 : start], text[end : end + 1]
     joined = (before.isalnum() and kind != "email") or after.isalnum() or after == "_"
     quoted = before in ('"', "'", ":", "=") and before != ""
@@ -147,7 +160,7 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> str:
 
 def shape(text: str, start: int, end: int) -> str:
     """Length and share of digits of a span, in a few steps each."""
-    n, part = end - start, text[start:end][:400]
+    n, part = end - start, text[start:end]
     return f"{min(3, n // 12)}{min(3, sum(c.isdigit() for c in part) * 4 // max(1, len(part)))}"
 
 
@@ -284,9 +297,9 @@ def mask_pii(docs: DataFrame, model: Model | None = None) -> DataFrame:
         model = box.value
         return lambda text: (mask(text, find(text, model)[1]),)
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
-    masked = per_text(rows, "_masked string", start, keep=("_row",))
-    return masked.select(*[F.when(F.col("_row.text").isNotNull(), F.col("_masked")).alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    rest = F.struct(F.col("text").isNull().alias("_none"), *[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns) if c != "text"])
+    masked = per_text(docs.select(rest.alias("_row"), "doc_id", "text"), "_masked string", start, keep=("_row",))
+    return masked.select(*[(F.when(~F.col("_row._none"), F.col("_masked")) if c == "text" else F.col(f"_row._{k}")).alias(c) for k, c in enumerate(docs.columns)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
