@@ -463,20 +463,28 @@ def decode_tensor(media: bytes) -> tuple[int, int, bytes]:
     return image.shape[0], image.shape[1], image.tobytes()
 
 
-def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text stored, read back and described in one pass; what is hashed as payload is what the decoder gave."""
+def tensors(stored: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """doc_id, height, width, tensor: the full-resolution RGB bytes of each picture of a media column, row by row of pixels."""
+    return per_text(stored, "height int, width int, tensor binary", lambda: decode_tensor, id_col, media_col, binary=True)
+
+
+def read_media(stored: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep: tuple = ("n_bytes",)) -> DataFrame:
+    """Each picture of a media column decoded: length and digests of the payload that it holds, its own, and its feature."""
 
     def start():
-        def row(text: str) -> tuple:
-            n, payload = payload_of(text)
-            media = write(payload)
+        def row(media: bytes) -> tuple:
             picture = Picture(media)
             back = read_payload(picture)
-            return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(picture)
+            return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(picture)
 
         return row
 
-    return per_text(docs, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", start, id_col, text_col)
+    return per_text(stored, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", start, id_col, media_col, keep, binary=True)
+
+
+def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each text stored in a media column, and in a second step read back from it; all digests but the text's length are of what the decoder gave."""
+    return read_media(store_texts(docs, id_col, text_col))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

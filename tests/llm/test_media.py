@@ -145,3 +145,20 @@ def test_texts(hard_docs, no_docs):
     media = J.store_texts(hard_docs).where("doc_id = 1").first().media
     height, width, tensor = J.decode_tensor(bytes(media))
     assert len(tensor) == height * width * 3
+
+
+def test_stored_columns_are_read_back(spark, hard_docs, tmp_path):
+    """Media and tensors go to Parquet and come back: the payload is the text, the tensor that of the picture."""
+    path = str(tmp_path / "media")
+    J.store_texts(hard_docs).write.parquet(path)
+    stored = spark.read.parquet(path)
+    J.tensors(stored).write.parquet(str(tmp_path / "tensors"))
+    rows = {r.doc_id: r for r in spark.read.parquet(str(tmp_path / "tensors")).collect()}
+    media = {r.doc_id: bytes(r.media) for r in stored.collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in hard_docs.collect()}
+    assert set(rows) == set(media) == set(texts)
+    for i, r in rows.items():
+        assert len(r.tensor) == r.height * r.width * 3 and np.abs(np.frombuffer(r.tensor, np.uint8).astype(int) - J.Picture(media[i]).rgb().ravel()).max() <= 1  # sums of floats in other orders
+        assert J.read_payload(J.Picture(media[i])).startswith(texts[i])
+    again = {r.doc_id: r for r in J.read_media(stored).collect()}
+    assert all(r == again[r.doc_id] for r in J.media_digests(hard_docs).collect())
