@@ -60,9 +60,20 @@ def test_run(spark, stages):
 
 
 def test_edges(spark, hard_docs, no_docs, tmp_path):
-    for start in (hard_docs, no_docs):
-        docs = start
+    """Nulls, empty texts, rows that repeat an id and a copy: only the copy goes, and every row that stays is packed."""
+    for name, start in (("hard", hard_docs), ("none", no_docs)):
+        docs, ids = start, []
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            path = str(tmp_path / f"{start.count()}-{k}")
+            path = str(tmp_path / f"{name}-{k}")
             stage(spark, docs, DATA).write.parquet(path)
             docs = spark.read.parquet(path)
+            ids.append(sorted((r.doc_id for r in docs.select("doc_id").collect()), key=str))
+            assert docs.columns == start.columns or k == 4
+        if name == "none":
+            assert ids == [[]] * 5
+            continue
+        assert ids[0] == [1, 1, 2, 3, 4, 5, 6, 7, None]
+        assert ids[1] == ids[2] == ids[3] == [1, 1, 2, 3, 4, 5, 7, None] and set(ids[4]) == {1, 2, 3, 4, 5, 7, None}
+        left = {r.doc_id: r for r in spark.read.parquet(str(tmp_path / "hard-3")).collect()}
+        assert left[2].text is None and left[3].text == "" and left[5].text == hard_docs.where("doc_id = 5").first().text
+        assert left[1].score == left[1].key == "other"
