@@ -10,9 +10,14 @@ from the next words in common wherever the alignment ends before the chain does,
 stretch that agrees too little as a whole the longest parts that agree enough are taken. Passages of ``MIN_WORDS`` words or more, of which at least ``IDENTITY`` in a hundred agree, are reported.
 
 A passage is missed by this if its seeds all come first in texts that hold only pieces of it. So a second pass takes the
-stretches whose seeds all come from earlier texts and that no passage covers, and matches every window of MIN_WORDS words in
-them to the first text with the same words. Each exact repeat of MIN_WORDS words is thereby covered; inexact ones are found
-by seeds alone.
+windows of MIN_WORDS words whose seeds all come from earlier texts and that no passage covers. Each of them, and its equal in
+any text, has a seed near its beginning, whose surroundings in the window (MIN_WORDS - SPAN + 1 words) are equal too; so only
+windows around seeds with such surroundings in an earlier text are left. They are matched to the first text with the same
+words; those on one diagonal are one passage, and of a text's passages so many are reported as cover all. Each exact repeat
+of MIN_WORDS words is thereby covered; inexact ones are found by seeds alone.
+
+A seed that many texts have is not gathered: of seeds with over ``HOT`` of all rows, of which there are 1 / HOT at most, only
+the first places are taken together, and they are broadcast.
 
 Defined cases: null and empty texts and texts under MIN_WORDS words have no passage; rows with null ids take no part and rows
 that repeat an id count as one text (the smallest by order); passages inside one text only are not reported; an empty table
@@ -26,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +47,8 @@ MIN_CHAIN = K + 1
 AROUND, GRAIN = 128, 64
 #: An alignment passes over at most this many words in one text or both, and goes on where SURE words in a row agree.
 SLIP, SURE = 8, 3
+#: The share of all seeds from which one is hot.
+HOT = 0.001
 _STEP = 50_000
 
 
@@ -81,7 +88,13 @@ def occurrence(values: np.ndarray) -> np.ndarray:
 
 
 def seeds(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, key, pos, own): the seeds of each text by their number in it (own), and later ones by the first's number too."""
+    """(doc_id, key, pos, around): the seeds of each text by their number in it, and later ones by the first's number too.
+
+    ``around`` is 32 bits of a hash of the ``min_words - SPAN + 1`` words of which SPAN - 1 stand before the seed; null where there
+    are fewer. It tells apart the places of one seed.
+    """
+    width = min_words - SPAN + 1
+    offsets = [*range(0, width - K, K), width - K]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,16 +109,37 @@ def seeds(docs: DataFrame, min_words: int) -> DataFrame:
                     at = minimizers(grams)
                     hashes = grams[at]
                     nth = occurrence(hashes)
+                    first, around = at - SPAN + 1, np.zeros(len(at), np.uint64)
+                    whole = (first >= 0) & (first + width - K < len(grams))
                     with np.errstate(over="ignore"):
                         keys = np.where(nth > 0, mix64(hashes + MIX * nth.astype(np.uint64)), hashes)
-                    later = nth > 0
-                    out.append((np.concatenate([keys, hashes[later]]).view(np.int64), np.concatenate([at, at[later]]).astype(np.int32), np.arange(len(at) + later.sum()) < len(at)))
-                    sizes.append(len(out[-1][0]))
+                        for o in offsets:
+                            around = mix64(around * MIX + grams[np.where(whole, first + o, 0)])
+                    later = np.flatnonzero(nth > 0)
+                    row = np.concatenate([np.arange(len(at)), later])
+                    out.append((np.concatenate([keys, hashes[later]]).view(np.int64), at[row].astype(np.int32), around[row].astype(np.uint32).view(np.int32), ~whole[row]))
+                    sizes.append(len(row))
                 if out:
                     ids = part.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.concatenate(c)) for c in zip(*out, strict=True))], names=["doc_id", "key", "pos", "own"])
+                    key, pos, around, none = map(np.concatenate, zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(key), pa.array(pos), pa.array(around, mask=none)], names=["doc_id", "key", "pos", "around"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, pos int, own boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, pos int, around int")
+
+
+def matched(seeded: DataFrame) -> DataFrame:
+    """(doc_id, pos, around, source_id, ref): the seeds that several texts have, each with its first place in the corpus."""
+    hot = seeded.freqItems(["key"], HOT).first()[0] or []
+    columns = ["doc_id", "pos", "around", "source_id", "ref"]
+    group = Window.partitionBy("key")
+    order = group.orderBy("doc_id", "pos")
+    cold = seeded.where(~F.col("key").isin(hot)) if hot else seeded
+    rows = cold.withColumns({"source_id": F.first("doc_id").over(order), "ref": F.first("pos").over(order), "_last": F.max("doc_id").over(group)}).where("source_id != _last").select(columns)
+    if not hot:
+        return rows
+    hot_rows = seeded.where(F.col("key").isin(hot))
+    firsts = hot_rows.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("_f"), F.max("doc_id").alias("_last")).where("_f.doc_id != _last").select("key", F.col("_f.doc_id").alias("source_id"), F.col("_f.pos").alias("ref"))
+    return rows.union(hot_rows.join(F.broadcast(firsts), "key").select(columns))
 
 
 class Fenwick:
@@ -208,11 +242,22 @@ def without(ranges: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list
     return out
 
 
-def chain_matches(anchors: DataFrame, k: int = K, min_words: int | None = None) -> DataFrame:
+def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges (ascending by start) that touch or overlap as one."""
+    out = []
+    for a, b in ranges:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def chain_matches(anchors: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, source_id, s, e, r, re, parts): extents of the chains between each two texts; ``anchors``: doc_id, source_id, pos, ref.
 
-    ``parts`` has start, end and place in the other text of each run in a row, and is null for a single run. With ``min_words``
-    there are rows without source_id too: from s to e begin windows whose seeds may all have anchors.
+    ``parts`` has start, end and place in the other text of each run in a row, and is null for a single run. There are rows
+    without source_id too: from s to e begin windows of ``min_words`` words whose seeds may all have anchors.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,13 +267,12 @@ def chain_matches(anchors: DataFrame, k: int = K, min_words: int | None = None)
                 for source, rows in itertools.groupby(by_doc, key=lambda r: r[1]):
                     _, _, pos, ref = (np.array(c) for c in zip(*rows, strict=True))
                     seen.append(pos)
-                    for chain in chains(runs(pos, ref, k)):
+                    for chain in chains(runs(pos, ref)):
                         s, e = chain[0][0], chain[-1][1]
                         if e - s >= MIN_CHAIN:
                             yield doc, source, s, e, chain[0][2], chain[-1][2] + chain[-1][1] - chain[-1][0], [x for run in chain for x in run] if len(chain) > 1 else None
-                if min_words:
-                    for s, e in stretches(np.concatenate(seen), min_words):
-                        yield doc, None, s, e, None, None, None
+                for s, e in stretches(np.concatenate(seen), min_words):
+                    yield doc, None, s, e, None, None, None
 
         for part in itertools.batched(found(), 10_000):
             columns = list(zip(*part, strict=True))
@@ -238,6 +282,45 @@ def chain_matches(anchors: DataFrame, k: int = K, min_words: int | None = None)
     return placed.mapInArrow(run, "doc_id long, source_id long, s int, e int, r int, re int, parts array<int>")
 
 
+def cover(starts: np.ndarray, ends: np.ndarray) -> list[int]:
+    """Few of the ranges, given by ascending starts, that cover all that any covers."""
+    out, i, covered = [], 0, -1
+    while i < len(starts):
+        limit, best = max(covered, int(starts[i])), i
+        while i < len(starts) and starts[i] <= limit:
+            best = i if ends[i] > ends[best] else best
+            i += 1
+        if ends[best] > covered:
+            out.append(best)
+            covered = int(ends[best])
+    return out
+
+
+def exact_passages(anchors: DataFrame, width: int) -> DataFrame:
+    """Passages of equal windows of ``width`` words; ``anchors``: doc_id, source_id, pos, ref."""
+    names = ["doc_id", "start", "end", "source_id", "source_start", "source_end", "n_same"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for (doc,), group in _groups(batches, 1):
+                source, pos, ref = np.array([r[1:] for r in group], np.int64).T
+                order = np.lexsort((pos, pos - ref, source))
+                source, pos, ref = source[order], pos[order], ref[order]
+                cut = np.flatnonzero((np.diff(source) != 0) | (np.diff(pos - ref) != 0) | (np.diff(pos) > width)) + 1
+                first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(pos)]]) - 1
+                by_start = np.lexsort((source[first], pos[first]))
+                first, last = first[by_start], last[by_start]
+                for k in cover(pos[first], pos[last] + width):
+                    a, b, n = first[k], last[k], pos[last[k]] + width - pos[first[k]]
+                    yield doc, pos[a], pos[b] + width, source[a], ref[a], ref[b] + width, n
+
+        for part in itertools.batched(found(), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*part, strict=True)], names=names)
+
+    placed = anchors.select("doc_id", "source_id", "pos", "ref").repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "pos")
+    return placed.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
 def agree(a: np.ndarray, b: np.ndarray) -> int:
     """How many words from the start on are the same."""
     n = min(len(a), len(b))
@@ -340,7 +423,7 @@ def passing(found: list[tuple[int, int, int]], min_words: int, identity: int) ->
 def slices(docs: DataFrame, wanted: DataFrame, keep: tuple = ()) -> DataFrame:
     """(id, a, b, words, and booleans of ``keep``): hashes of words a to b of the texts named in ``wanted`` (id, a, b), which has no repeated row."""
     texts = docs.select(F.col("doc_id").alias("id"), "text")
-    rows = wanted.join(texts, "id").select("id", "a", "b", "text", *keep)
+    rows = wanted.hint("merge").join(texts, "id").select("id", "a", "b", "text", *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, hashes = None, np.zeros(0, np.uint32)
@@ -405,13 +488,7 @@ def uncovered(open_: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, lo, hi): the windows of ``open_`` (doc_id, s, e) that don't lie in reported passages, by their first words."""
 
     def left(doc, ranges, passages):
-        joined = []
-        for a, b in passages:
-            if joined and a <= joined[-1][1]:
-                joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
-            else:
-                joined.append((a, b))
-        for a, b in without(ranges, [(a, b - min_words + 1) for a, b in joined if b - a >= min_words]):
+        for a, b in without(ranges, [(a, b - min_words + 1) for a, b in joined(passages) if b - a >= min_words]):
             yield doc, a, b
 
     marks = open_.select("doc_id", F.lit(0).alias("kind"), F.col("s").alias("a"), F.col("e").alias("b"))
@@ -432,47 +509,49 @@ def window_anchors(docs: DataFrame, ranges: DataFrame, min_words: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(np.concatenate(keys)), pa.array(pos), part.column(4).take(at)], names=["doc_id", "key", "pos", "asked"])
 
     windows = written(cut.mapInArrow(run, "doc_id long, key long, pos int, asked boolean"))
-    firsts = windows.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("_f"), F.max("asked").alias("_a")).where("_a").select("key", F.col("_f.doc_id").alias("source_id"), F.col("_f.pos").alias("ref"))
+    firsts = windows.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("_f")).select("key", F.col("_f.doc_id").alias("source_id"), F.col("_f.pos").alias("ref"))
     return windows.where("asked").join(firsts, "key").where("doc_id != source_id")
 
 
-def missed_passages(open_: DataFrame, found: DataFrame, hits: DataFrame, docs: DataFrame, min_words: int, identity: int) -> DataFrame:
-    """Passages through exact repeats that ``found`` doesn't cover; ``open_``: where windows begin whose seeds all come from earlier texts."""
+def missed_passages(open_: DataFrame, found: DataFrame, hits: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
+    """Exact repeats that ``found`` doesn't cover; ``open_``: where windows begin whose seeds all come from earlier texts."""
     asked = written(uncovered(open_, found, min_words))
-    inside = (F.col("pos") >= F.col("lo")) & (F.col("pos") <= F.col("hi") - 1 + min_words - K)
-    keys = hits.join(asked, "doc_id").where(inside).select("key").distinct()
-    places = hits.join(keys, "key").select("doc_id", F.lit(1).alias("kind"), F.col("pos").alias("a"), F.col("pos").alias("b"))
+    # A window has a seed that lies SPAN - 1 to 2 SPAN - 2 words behind its start, the same in all texts.
+    near, far = SPAN - 1, 2 * SPAN - 2
+    inside = (F.col("pos") >= F.col("lo") + near) & (F.col("pos") <= F.col("hi") - 1 + far)
+    hits, same = hits.where("around is not null"), ["source_id", "ref", "around"]
+    own = written(hits.where("doc_id != source_id").join(asked.hint("merge"), "doc_id").where(inside).select("doc_id", "pos", *same).distinct())
+    places = written(hits.join(own.select(same).distinct(), same).select("doc_id", "pos", *same).distinct())
+    earlier = places.groupBy(same).agg(F.min("doc_id").alias("_first")).join(own.groupBy(same).agg(F.max("doc_id").alias("_last")), same).where("_last > _first").select(same)
+    kept = places.join(earlier, same).select("doc_id", F.lit(1).alias("kind"), F.col("pos").alias("a"), F.col("pos").alias("b")).distinct()
 
     def ranges(doc, wanted, at):
-        have = stretches(np.array([a for a, _ in at], np.int64), min_words)
-        yield from ((doc, a, b, True) for a, b in wanted)
-        yield from ((doc, a, b, False) for a, b in without(have, wanted))
+        starts = joined([(max(0, p - far), p - near + 1) for p, _ in at])
+        rest = without(starts, wanted)
+        yield from ((doc, a, b, True) for a, b in without(starts, rest))
+        yield from ((doc, a, b, False) for a, b in rest)
 
-    both = written(by_text(asked.select("doc_id", F.lit(0).alias("kind"), F.col("lo").alias("a"), F.col("hi").alias("b")).union(places), ranges, "doc_id long, lo int, hi int, asked boolean"))
-    texts = written(docs.join(both.select("doc_id").distinct(), "doc_id", "left_semi"))
-    return align_chains(written(chain_matches(window_anchors(texts, both, min_words), min_words)), texts, min_words, identity)
+    both = written(by_text(asked.select("doc_id", F.lit(0).alias("kind"), F.col("lo").alias("a"), F.col("hi").alias("b")).union(kept), ranges, "doc_id long, lo int, hi int, asked boolean"))
+    return exact_passages(window_anchors(docs, both, min_words), min_words)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: int = IDENTITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, end, source_id, source_start, source_end, n_same: word ranges that repeat a passage of an earlier text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    seeded = written(seeds(rows, min_words))
-    repeated = seeded.where("own").groupBy("key").agg(F.count("*").alias("_c")).where("_c > 1").select("key")
-    hits = cut_lineage(seeded.select("doc_id", "pos", "key").join(repeated, "key").groupBy("key", "doc_id", "pos").agg(F.lit(1).alias("_one")).drop("_one"))
-    firsts = hits.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("_f")).select("key", F.col("_f.doc_id").alias("source_id"), F.col("_f.pos").alias("ref"))
-    anchors = hits.join(firsts, "key").where("doc_id != source_id")
-    chained = written(chain_matches(anchors, min_words=min_words))
+    hits = written(matched(written(seeds(rows, min_words))))
+    chained = written(chain_matches(hits.where("doc_id != source_id"), min_words))
     found = written(align_chains(chained.where("source_id is not null"), rows, min_words, identity))
-    return found.union(missed_passages(chained.where("source_id is null"), found, hits, rows, min_words, identity)).distinct()
+    return found.union(missed_passages(chained.where("source_id is null"), found, hits, rows, min_words)).distinct()
 
 
 def without_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: int = IDENTITY) -> DataFrame:
     """``docs`` with every passage that an earlier text has cut out of ``text``; the first text that holds it keeps it.
 
-    Texts without a repeated passage stay exactly as they are, null text stays null; what is left of a text may be empty.
+    Texts without a repeated passage stay exactly as they are, null text stays null; what is left of a text may be empty. White
+    space at the end of a cut text goes.
     """
     found = repeated_passages(docs, min_words, identity).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("_cuts"))
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).join(found, "doc_id", "left")
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns) if c != "text"]).alias("_row")).join(found, "doc_id", "left")
 
     def cut(text: str | None, ranges: list | None) -> str | None:
         if not ranges or text is None:
@@ -496,7 +575,7 @@ def without_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: int
 
     source = joined.select("text", "_row", "_cuts")
     done = source.mapInArrow(run, T.StructType([T.StructField("_text", T.StringType()), source.schema["_row"]]))
-    return done.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    return done.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_row._{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,3 +263,60 @@ def test_passages_of_which_earlier_texts_hold_pieces(spark):
         assert r.source_id < r.doc_id and r.end - r.start >= 50 and words[r.doc_id][r.start : r.end] == words[r.source_id][r.source_start : r.source_end]
         covered[r.doc_id] |= set(range(r.start, r.end))
     assert covered == {g + i: set(range(a, b)) for g in range(0, 300, 10) for i, a, b in ((5, 70, 130), (6, 30, 80))}
+
+
+def repeats(words, n=50):
+    """Of each text the places of words in windows of n words that an earlier text has too, by comparing all windows."""
+    seen, covered = set(), {}
+    for i in sorted(words):
+        own = [tuple(words[i][k : k + n]) for k in range(len(words[i]) - n + 1)]
+        covered[i] = {x for k, w in enumerate(own) if w in seen for x in range(k, k + n)}
+        seen.update(own)
+    return covered
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_every_exact_repeat_is_covered(spark, seed):
+    """Texts put together from pieces of each other, with quoters of parts before and between, and texts of few words."""
+    rng = random.Random(seed)
+    own = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    passage = own(120)
+    words = {i: own(20) + passage[9 * (i - 900) : 9 * (i - 900) + 39 + i % 12] + own(20) for i in range(900, 910)}
+    words |= {1000: own(30) + passage, 2000: own(5) + passage + own(9)}
+    words |= {i: own(20) + passage[7 * (i - 1500) : 7 * (i - 1500) + 49] + own(20) for i in range(1500, 1510)}
+    for i in range(3000, 3060):
+        text = []
+        while len(text) < 200:
+            source = words[rng.choice(list(words))]
+            a = rng.randrange(len(source))
+            text += rng.choice([source[a : a + rng.randrange(20, 90)], own(rng.randrange(1, 30)), [rng.choice("xyz")] * rng.randrange(5, 120), own(7) * rng.randrange(1, 9)])
+        words[i] = text
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in words.items()], "doc_id long, text string")
+    covered, expected = defaultdict(set), repeats(words)
+    for r in chained_substrings.repeated_passages(df).collect():
+        a, b = words[r.doc_id][r.start : r.end], words[r.source_id][r.source_start : r.source_end]
+        assert r.source_id < r.doc_id and len(a) >= 50 and len(b) >= 50 and r.n_same * 100 >= 80 * max(len(a), len(b))
+        assert sum((Counter(a) & Counter(b)).values()) >= r.n_same
+        covered[r.doc_id] |= set(range(r.start, r.end))
+    assert expected[2000] == set(range(5, 125)) and all(expected[i] <= covered[i] for i in words)
+    assert covered[2000] == expected[2000] and not any(covered[i] for i in range(900, 910))
+
+
+def test_few_ranges_cover_all():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        starts = np.sort(rng.integers(0, 400, rng.integers(1, 60)))
+        ends = starts + rng.integers(50, 90, len(starts))
+        kept = chained_substrings.cover(starts, ends)
+        words = lambda at: {x for i in at for x in range(starts[i], ends[i])}
+        assert words(kept) == words(range(len(starts))) and all(starts[c] > ends[a] for a, c in zip(kept, kept[2:], strict=False))
+
+
+def test_hot_seeds_give_the_same(spark, monkeypatch):
+    words = passages() | {i: passages()[1] for i in range(20, 40)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in words.items()], "doc_id long, text string")
+    found = []
+    for hot in (0.001, 0.9):
+        monkeypatch.setattr(chained_substrings, "HOT", hot)
+        found.append(sorted(tuple(r) for r in chained_substrings.repeated_passages(df).collect()))
+    assert found[0] == found[1] and {r[0] for r in found[0]} >= set(range(20, 40))
