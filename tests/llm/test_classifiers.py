@@ -2,6 +2,8 @@
 
 import random
 import re
+import textwrap
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -21,6 +23,40 @@ def test_language_codes_are_a_distribution():
         assert sum(2 ** -tree.cost(context, s) for s in range(256)) == pytest.approx(1)
 
 
+def test_code_lengths_against_the_tree():
+    """Lengths of whole texts are the tree's costs of each byte after the four before it, one after the other."""
+    rng = random.Random(8)
+    texts = ["the cat sat on the mat, and 12 more!", "Le chat est là. \u00e9t\u00e9", "", "a", "\ud800 x", "z" * 40]
+    trees = {}
+    for name, text in zip("ab", texts, strict=False):
+        counts = {}
+        for context, byte, n in ppm_language.grams(ppm_language.raw(text * 3)):
+            for i in range(len(context) + 1):
+                counts.setdefault(context[i:], {}).setdefault(byte, 0)
+                counts[context[i:]][byte] += n
+        trees[name] = counts
+    texts += ["".join(rng.choice("the cat\u00e9 \n.1") for _ in range(rng.randrange(300))) for _ in range(40)]
+    for limit in (1_000_000, 50):
+        identifier = ppm_language.Identifier(trees, limit=limit)
+        for text in texts:
+            data = text.encode("utf-8", "surrogatepass")
+            expected = [sum(ppm_language.Tree(trees[t]).cost(data[max(0, i - 4) : i], data[i]) for i in range(len(data))) for t in "ab"]
+            assert identifier.lengths(text) == pytest.approx(expected, abs=1e-3)
+    whole = identifier.lengths(texts[0] * 9)
+    step, ppm_language.STEP = ppm_language.STEP, 7
+    try:
+        assert identifier.lengths(texts[0] * 9) == pytest.approx(whole)
+    finally:
+        ppm_language.STEP = step
+
+
+def test_training_sample_counts_rows(spark):
+    """Rows that repeat an id do not enlarge the sample, and a language of long texts only has a tree."""
+    rows = [(1, f"text number {k} in english", "en") for k in range(50)] + [(2, "long " * 9000, "de"), (None, "no id", "fr"), (3, None, "es"), (4, "no language", None)]
+    trees = ppm_language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_texts=2)
+    assert set(trees) == {"en", "de"} and trees["en"][b""][ord("x")] == 2
+
+
 def test_language_edges(spark, hard_docs, no_docs):
     trees = ppm_language.fit(hard_docs)
     rows = {r.doc_id: r for r in ppm_language.identify(hard_docs, trees).collect()}
@@ -99,6 +135,45 @@ def test_pii_edges(hard_docs, no_docs, documents):
     assert weak_pii.mask(text, spans) == "x token = \"[SECRET]\" mail [EMAIL], [IP] [PHONE]"
 
 
+def test_added_spans_against_all_candidates():
+    """Of all candidates by plain patterns those are added, from left to right in each kind, that the model takes and no base span meets."""
+    rng = random.Random(11)
+    bits = ["a.b@c.com", "x [at] y [dot] org", "10.0.0.1", "4111 1111 1111 1111", "+1 (017) 555-7713", "017-555-7713", "123-45-6789", "000-12-3456", "GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 33", "Dr. Anna Smith", "Mr Foo", "token = 0fa07e990a1b2c3d4e5f60718293a4b5c6d7e8f9", "aaaaaaaaaaaaaaaaaaaaaaaaa1", "ssn", "the", "account", "é\n", "Mrs Maria Mr Lee"]
+    patterns = {
+        "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}(?![A-Za-z0-9_-])", "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+        "phone": r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])", "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?",
+        "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+        "email": r"[A-Za-z0-9._%+-]+ ?[(\[]at[)\]] ?[A-Za-z0-9-]+(?: ?(?:[(\[]dot[)\]]|\.) ?[A-Za-z0-9-]+)+",
+    }
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randrange(1, 12))) for _ in range(300)]
+    counts = Counter((k, weak_pii.votes(t, k, a, b, base), weak_pii.shape(t, a, b)) for t in texts for k, a, b, base in weak_pii.candidates(t))
+    model = weak_pii.aggregate(sorted((*key, n) for key, n in counts.items()))
+    added = 0
+    for text in texts:
+        base = weak_pii.base_spans(text)
+        expected = list(base)
+        for kind, pattern in patterns.items():
+            end = 0
+            for m in re.finditer(pattern, text):
+                a, b = m.span()
+                if kind == "secret" and not any(c.isdigit() for c in m.group()) or a < end or any(a < d and c < b for _, c, d in base):
+                    continue
+                if model.probability(kind, weak_pii.votes(text, kind, a, b, False), weak_pii.shape(text, a, b)) >= model.cut:
+                    expected.append((kind, a, b))
+                    end = b
+        found = weak_pii.find(text, model)
+        assert found[0] == base and found[1] == sorted(expected, key=lambda s: (s[1], weak_pii.ORDER[s[0]]))
+        added += len(expected) - len(base)
+    assert added > 100
+
+
+def test_votes_see_whole_spans():
+    long = "a1" * 400
+    assert weak_pii.shape(long + "b" * 4000, 0, 4800) != weak_pii.shape(long, 0, 800)
+    assert weak_pii.votes("Mr Foo", "name", 0, 6, False)[3] == "0" and weak_pii.votes("contact Mr Foo", "name", 8, 14, False)[3] == "+"
+    assert weak_pii.votes("Dr Anna Foo", "name", 0, 11, False)[2] == "+"
+
+
 def test_reliabilities_order_votes():
     model = weak_pii.aggregate([("ip", "++00+", "11", 60), ("ip", "0-00-", "11", 40), ("ip", "0+000", "11", 10)])
     assert (model.reliability[1, :2, 2] > model.reliability[0, :2, 2]).all()
@@ -106,33 +181,47 @@ def test_reliabilities_order_votes():
 
 
 def test_licenses_against_all_windows(documents):
+    """Notices in texts, altered and wrapped, against the best of all runs of words that hold a template's size bounds."""
     scanner = license_dice.Scanner()
 
     def brute(text):
-        best = {}
-        for line in text.lower().split("\n"):
-            words = license_dice.words_of(line)
-            for t in scanner.templates:
-                m = len(t.words)
-                windows = [words] if t.least <= len(words) - 1 <= t.most else [words[i : i + m] for i in range(len(words) - m + 1)] if len(words) - 1 > t.most else []
-                for w in windows:
-                    d = license_dice.dice(license_dice.bigrams(w), t.grams)
-                    if d >= scanner.threshold:
+        best, words = {}, license_dice.words_of(text.lower())
+        grams = list(zip(words, words[1:], strict=False))
+        for t in scanner.templates:
+            for i in range(len(grams)):
+                same, left = 0, Counter(t.grams)
+                for j in range(i, min(len(grams), i + t.most)):
+                    if left[grams[j]] > 0:
+                        left[grams[j]] -= 1
+                        same += 1
+                    if (d := 2 * same / (j - i + 1 + t.grams.total())) >= scanner.threshold:
                         best[t.name] = max(best.get(t.name, 0), round(d, 9))
         return best
 
     rng = random.Random(4)
-    texts = [r.text for r in documents.limit(60).collect() if r.text]
+    texts = [r.text[:3000] for r in documents.limit(30).collect() if r.text]
     notices = [x for xs in license_dice.TEMPLATES.values() for x in xs]
-    for k in range(60):
-        words = rng.choice(notices).split()
-        if k % 2:
+    for k, notice in enumerate(notices * 2):
+        words = notice.split()
+        for _ in range(k % 3):
             del words[rng.randrange(len(words))]
-        texts.append(" ".join(["blah"] * rng.randrange(30) + words + ["foo"] * rng.randrange(30)))
+        words = ["blah"] * rng.randrange(30) + words + ["foo"] * rng.randrange(30)
+        texts.append("".join(w + ("\n * " if i % 11 == 10 else " ") for i, w in enumerate(words)))
     for text in texts:
         assert {n: d for n, _, d in scanner.scan(text)} == brute(text)
 
 
+@pytest.mark.parametrize("name, text", [("mit", "MIT"), ("isc", "ISC"), ("apache-2.0", "APACHE_NOTICE"), ("gpl-3.0", "GPL_NOTICE"), ("unlicense", "UNLICENSE")])
+def test_whole_licences_in_files(name, text):
+    lines = textwrap.wrap(" ".join(getattr(license_dice, text).split()), 70)
+    file = "Copyright (c) 2020 Some Body\n\n" + "\n".join(f"# {x}" for x in lines) + "\n\nimport os\n"
+    found = {n: d for n, _, d in license_dice.Scanner().scan(file)}
+    assert found[name] == 1.0
+    for clauses, parts in (("bsd-2-clause", (license_dice.BSD_HEAD, license_dice.BSD_TAIL)), ("bsd-3-clause", (license_dice.BSD_HEAD, license_dice.BSD_NAME, license_dice.BSD_TAIL))):
+        found = {n: d for n, _, d in license_dice.Scanner().scan("\n".join(textwrap.wrap(" ".join(" ".join(parts).split()), 70)))}
+        assert found[clauses] == 1.0 and found["bsd"] == 1.0
+
+
 def test_license_edges(hard_docs, no_docs):
     assert license_dice.scan_licenses(hard_docs).count() == 0 and license_dice.scan_licenses(no_docs).count() == 0
 
@@ -144,10 +233,10 @@ def test_wrapped_and_altered_notices(spark):
             words = notice.split()
             for width in (2, 5, 9):
                 lines = [" ".join(words[i : i + width]) for i in range(0, len(words), width)]
-                assert (name, 1.0) in {(n, d) for n, _, d in scanner.scan_whole("some code\n# " + "\n# ".join(lines) + "\nmore code")}
+                assert (name, 1.0) in {(n, d) for n, _, d in scanner.scan("some code\n# " + "\n# ".join(lines) + "\nmore code")}
     altered = "Licensed under the Apache Software License, Version 2.0"
     for text in (altered, f"this file is {altered} and comes with no promise of any kind at all", altered.replace("Software ", "Software\n * ")):
-        assert scanner.scan_whole(text) == [("apache-2.0", 1, 0.8)]
+        assert scanner.scan(text) == [("apache-2.0", 1, 0.8)]
         rows = license_dice.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
         assert [tuple(r) for r in rows] == [(1, "apache-2.0", 1, 0.8)]
 
@@ -162,4 +251,4 @@ def test_runs_against_all_of_any_length():
             every = [license_dice.dice(license_dice.bigrams(words[i:j]), t.grams) for i in range(len(words)) for j in range(i + 2, len(words) + 1)]
             if max(every, default=0) >= 0.8:
                 expected[t.name] = round(max(every), 9)
-        assert {n: d for n, _, d in scanner.scan_whole(" ".join(words))} == expected
+        assert {n: d for n, _, d in scanner.scan(" ".join(words))} == expected
