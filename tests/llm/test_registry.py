@@ -16,8 +16,9 @@ COLUMNS = {
     "op8_tensored_minhash": "doc_id n_shingles component_id kept",
     "op9_license_dice": "doc_id license n_matches dice",
     "op10_chained_substrings": "doc_id start end source_id source_start source_end n_same",
+    "op13_digest_merge": "doc_id keep_id group_size kept text_sha256",
 }
-BY_DOCUMENT = {"op1_byte_bpe", "op4_ppm_language", "op5_weak_pii", "op6_progressive_jpeg", "op7_cnn_toxicity", "op8_tensored_minhash"}
+BY_DOCUMENT = {"op1_byte_bpe", "op4_ppm_language", "op5_weak_pii", "op6_progressive_jpeg", "op7_cnn_toxicity", "op8_tensored_minhash", "op13_digest_merge"}
 
 
 @pytest.mark.parametrize("name", list(registry.MODULES))
