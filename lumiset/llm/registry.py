@@ -16,6 +16,7 @@ MODULES = {
     "op8_tensored_minhash": "tensored_minhash",
     "op9_license_dice": "license_dice",
     "op10_chained_substrings": "chained_substrings",
+    "op11_spelling_variants": "spelling_variants",
     "op12_orchard_codes": "orchard_codes",
     "op13_digest_merge": "digest_merge",
 }

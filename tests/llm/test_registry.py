@@ -16,6 +16,7 @@ COLUMNS = {
     "op8_tensored_minhash": "doc_id n_shingles component_id kept",
     "op9_license_dice": "doc_id license n_matches dice",
     "op10_chained_substrings": "doc_id start end source_id source_start source_end n_same",
+    "op11_spelling_variants": "word form root n n_near form_n",
     "op12_orchard_codes": "vec_id code error label_error codebooks_sha256",
     "op13_digest_merge": "doc_id keep_id group_size kept text_sha256",
 }
