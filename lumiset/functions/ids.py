@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schemas import coalesce_aliases
+
 #: Days by which the missions' clocks are behind the barycentric Julian date.
 BKJD, BTJD = 2454833.0, 2457000.0
 PREFIX = {"KIC_": "kepler", "KOI_": "kepler", "EPIC_": "k2", "TIC_": "tess", "TOI_": "tess"}
@@ -61,10 +63,15 @@ def add_star_id(df: DataFrame) -> DataFrame:
 
 
 def target_and_mission(df: DataFrame) -> DataFrame:
-    """Search text and mission of each row: Kepler, K2, TESS ids in this order, then a TOI name, then the host's name."""
+    """Search text and mission of each row: Kepler, K2, TESS ids in this order, then a TOI name, then the host's name.
+
+    Ids may have any of the names in ``schemas.ALIASES`` and are returned under one; absent ones count as null.
+    """
+    df = coalesce_aliases(df)
+    get = lambda n: F.col(n) if n in df.columns else F.lit(None).cast("string")
     text = lambda p, c: F.when(c.isNotNull(), F.concat(F.lit(p), c.cast("string")))
-    kepid, epic, tid, toi = intish(F.col("kepid")), intish(F.col("epic")), intish(F.col("tid")), clean(F.col("toi"))
-    target = F.coalesce(text("KIC ", kepid), text("EPIC ", epic), text("TIC ", tid), text("TOI ", toi), clean(F.col("hostname")))
+    kepid, epic, tid, toi = intish(get("kepid")), intish(get("epic")), intish(get("tid")), clean(get("toi"))
+    target = F.coalesce(text("KIC ", kepid), text("EPIC ", epic), text("TIC ", tid), text("TOI ", toi), clean(get("hostname")))
     mission = F.when(kepid.isNotNull(), "Kepler").when(epic.isNotNull(), "K2").when(tid.isNotNull() | toi.isNotNull(), "TESS")
     return df.withColumns({"target": target, "target_mission": mission})
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import digest_ranks
@@ -22,22 +22,50 @@ def ranks(df: DataFrame, keys: list[str], seed: str, *key: str) -> DataFrame:
 
 
 def star_table(labelled: DataFrame) -> DataFrame:
-    return labelled.groupBy("star_id").agg(F.max("label").alias("has_pos"))
+    """(star_id, has_pos): 1 where a star has a positive window; windows without a label count as negative."""
+    return labelled.groupBy("star_id").agg(F.coalesce(F.max("label"), F.lit(0)).cast("int").alias("has_pos"))
 
 
-def stratified_star_split(labelled: DataFrame, seed: str, test: float = 0.15, val: float = 0.15, floor_one: bool = False) -> DataFrame:
-    """(star_id, has_pos, split) with ceil(size * n) stars of each stratum in test and val, by digest order.
+def positive_quota(n: Column, n_pos: Column, take: Column) -> Column:
+    """How many of ``take`` of ``n`` stars are positive, by largest remainders: the whole part of its share for each stratum, and
+    the star that is left to the one with the larger remainder, the positive ones if both are a half. Whole numbers only."""
+    return F.call_function("div", 2 * take * n_pos + n, 2 * n)
 
-    ``floor_one``: every split gets a star of a stratum that has three.
-    """
+
+def _star_split(labelled: DataFrame, seed: str, test: float, val: float, every: bool, least: int) -> DataFrame:
     r = ranks(star_table(labelled), ["has_pos"], seed, "star_id")
-    n_test, n_val = F.ceil(F.col("_n") * test), F.ceil(F.col("_n") * val)
-    if floor_one:
-        least = F.when(F.col("_n") >= 3, 1).otherwise(0)
-        n_test = F.least(F.greatest(n_test, least), F.greatest(F.col("_n") - 2 * least, F.lit(0)))
-        n_val = F.least(F.greatest(n_val, least), F.greatest(F.col("_n") - n_test - least, F.lit(0)))
+    sizes = r.groupBy().agg(F.count("*").alias("_all"), F.coalesce(F.sum("has_pos"), F.lit(0)).alias("_pos"))
+    few = F.concat(F.col("_all").cast("string"), F.lit(f" stars are too few to split; {least} are needed"))
+    n = F.when(F.col("_all") >= least, F.col("_all")).otherwise(F.raise_error(few).cast("bigint")) if least else F.col("_all")
+    sizes = sizes.select(n.alias("_all"), "_pos")
+    # Of three positive stars or more, each split gets one where ``every`` asks for it.
+    spare = F.when(F.col("_pos") >= 3, 1).otherwise(0) if every else F.lit(0)
+    sizes = sizes.withColumn("_t", F.least(F.ceil(F.col("_all") * test), F.col("_all"))).withColumn("_spare", spare)
+    sizes = sizes.withColumn("_tp", F.least(F.greatest(positive_quota(F.col("_all"), F.col("_pos"), F.col("_t")), F.col("_spare")), F.col("_pos") - 2 * F.col("_spare")))
+    left, left_pos = F.col("_all") - F.col("_t"), F.col("_pos") - F.col("_tp")
+    sizes = sizes.withColumn("_v", F.least(F.ceil(left * val), left))
+    sizes = sizes.withColumn("_vp", F.least(F.greatest(F.when(left > 0, positive_quota(left, left_pos, F.col("_v"))).otherwise(0), F.col("_spare")), left_pos - F.col("_spare")))
+    n_test = F.when(F.col("has_pos") == 1, F.col("_tp")).otherwise(F.col("_t") - F.col("_tp"))
+    n_val = F.when(F.col("has_pos") == 1, F.col("_vp")).otherwise(F.col("_v") - F.col("_vp"))
     split = F.when(F.col("_r") <= n_test, "test").when(F.col("_r") <= n_test + n_val, "val").otherwise("train")
-    return r.select("star_id", "has_pos", split.alias("split"))
+    return r.crossJoin(F.broadcast(sizes)).select("star_id", "has_pos", split.alias("split"))
+
+
+def stratified_star_split(labelled: DataFrame, seed: str, test: float = 0.15, val: float = 0.15) -> DataFrame:
+    """(star_id, has_pos, split): ceil(test * n) of the n stars in test, then ceil(val * m) of the m that are left in val.
+
+    Both are dealt to stars with and without a positive window by largest remainders, so a split has its size whatever the
+    strata's sizes, and a stratum of one star is not used up by a small split. Inside a stratum stars go by digest order.
+    """
+    return _star_split(labelled, seed, test, val, False, 0)
+
+
+def small_split(labelled: DataFrame, seed: str, test: float = 0.15, val: float = 0.15) -> DataFrame:
+    """``stratified_star_split`` for few stars: from three positive stars on every split has one, in the place of a negative one.
+
+    Fewer than five stars are an error when the split is computed.
+    """
+    return _star_split(labelled, seed, test, val, True, 5)
 
 
 def group_split(labelled: DataFrame, seed: str, share: float = 0.2) -> DataFrame:

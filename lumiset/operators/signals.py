@@ -50,38 +50,76 @@ def drop_nan_and_rescale(df: DataFrame, value: str = "flux") -> DataFrame:
     return rows.withColumn("idx", F.row_number().over(w) - 1).join(med, key).withColumn("relative", F.col(value) / F.col("_med")).drop("_med")
 
 
-def detrend(df: DataFrame, window: int = 201, value: str = "flux") -> DataFrame:
-    """``flat``: value over a local quadratic fit of ``window`` points around it, from rolling moments; edges use what is there.
+#: The sums that a quadratic fit needs: of 1, k, .., k^4 over its points, and of y, k y, k^2 y.
+MOMENTS = (*(f"s{p}" for p in range(5)), *(f"y{p}" for p in range(3)))
 
-    With k the distance in points, the fit's value at k = 0 follows from the sums of 1, k, .., k^4 and of y, k y, k^2 y. They
-    are summed over places inside blocks of four windows, which are shifted to the point afterwards, so numbers stay small
-    in curves of any length. Blocks are laid twice, half a block apart, and the one whose middle is nearer is taken. A fit that
-    is singular or not positive leaves the value as it is.
+
+def _shifted(m: list[Column], by: Column) -> list[Column]:
+    """Moments with ``by`` added to every place."""
+    d2 = by * by
+    s0, s1, s2, s3, s4, y0, y1, y2 = m
+    return [
+        s0, s1 + by * s0, s2 + 2 * by * s1 + d2 * s0, s3 + 3 * by * s2 + 3 * d2 * s1 + by * d2 * s0, s4 + 4 * by * s3 + 6 * d2 * s2 + 4 * by * d2 * s1 + d2 * d2 * s0,
+        y0, y1 + by * y0, y2 + 2 * by * y1 + d2 * y0,
+    ]
+
+
+def _quadratic_trend(rows: DataFrame, key: list[str], window: int, use: Column) -> DataFrame:
+    """``_trend``: the value at each point of the quadratic through the points around it for which ``use`` holds.
+
+    ``rows`` have their places ``_i`` and values ``_y``. Moments are summed from the start of each block of ``window`` points, in
+    places inside the block, so every row adds its own terms once and numbers stay small on curves of any length. A window
+    reaches over two blocks at most: its sums are those up to its last row less those up to the row before its first, or, from
+    another block, what comes after that row in its block and those up to the last row in the next. The steps are kept apart
+    and free of nulls, so that each is compiled to a small method.
+    """
+    half, first, last = window // 2, Window.unboundedPreceding, Window.unboundedFollowing
+    named = lambda prefix, values: {f"_{prefix}{n}": c for n, c in zip(MOMENTS, values, strict=True)}
+    columns = lambda prefix: [F.col(f"_{prefix}{n}") for n in MOMENTS]
+    inside = F.pmod("_i", F.lit(window))
+    rows = rows.withColumns({"_r": inside.cast("double"), "_w": F.when(use, 1.0).otherwise(0.0), "_wy": F.coalesce(F.when(use, F.col("_y")), F.lit(0.0)), "_b": ((F.col("_i") - inside) / window).cast("long")})
+    r, w, y = F.col("_r"), F.col("_w"), F.col("_wy")
+    terms = [w, w * r, w * r * r, w * r * r * r, w * r * r * r * r, y, y * r, y * r * r]
+    block = Window.partitionBy(*key, "_b").orderBy("_i")
+    rows = rows.withColumns(named("p", [F.sum(x).over(block.rowsBetween(first, 0)) for x in terms]) | named("e", [F.sum(x).over(block.rowsBetween(first, last)) for x in terms]))
+    fields = lambda values: [c.alias(n) for n, c in zip(MOMENTS, values, strict=True)]
+    after = [e - p for e, p in zip(columns("e"), columns("p"), strict=True)]
+    rows = rows.withColumns({"_upto": F.struct("_b", *fields(columns("p"))), "_after": F.struct("_b", *fields(after))}).drop("_r", "_w", "_wy", *named("p", MOMENTS), *named("e", MOMENTS))
+    curve = Window.partitionBy(*key).orderBy("_b", "_i")
+    ahead = F.coalesce(F.lead("_upto", half).over(curve), F.last("_upto").over(curve.rowsBetween(first, last)))
+    rows = rows.withColumns({"_hi": ahead, "_lo": F.lag("_upto", half + 1).over(curve), "_back": F.lag("_after", half + 1).over(curve)}).drop("_upto", "_after", "_b")
+    rows = rows.withColumns({"_same": F.coalesce(F.col("_lo._b") == F.col("_hi._b"), F.lit(False)), "_o": F.coalesce((F.col("_hi._b") * window - F.col("_i")).cast("double"), F.lit(0.0))})
+    get = lambda c: [F.coalesce(F.col(f"{c}.{n}"), F.lit(0.0)) for n in MOMENTS]
+    rows = rows.withColumns(named("h", get("_hi")) | named("l", [F.when(F.col("_same"), x).otherwise(0.0) for x in get("_lo")]) | named("a", [F.when(F.col("_same"), 0.0).otherwise(x) for x in get("_back")])).drop("_hi", "_lo", "_back", "_same")
+    # What comes from the block before is moved by a block first, then all of it to the point.
+    rows = rows.withColumns(named("a", _shifted(columns("a"), F.lit(-float(window)))))
+    rows = rows.withColumns(named("m", [h - x + y for h, x, y in zip(columns("h"), columns("l"), columns("a"), strict=True)])).drop(*named("h", MOMENTS), *named("l", MOMENTS), *named("a", MOMENTS))
+    rows = rows.withColumns(named("m", _shifted(columns("m"), F.col("_o")))).drop("_o")
+    n, m1, m2, m3, m4, b0, b1, b2 = columns("m")
+    rows = rows.withColumns({"_c0": m2 * m4 - m3 * m3, "_c1": m1 * m4 - m2 * m3, "_c2": m1 * m3 - m2 * m2})
+    rows = rows.withColumns({"_det": n * F.col("_c0") - m1 * F.col("_c1") + m2 * F.col("_c2"), "_top": b0 * F.col("_c0") - b1 * F.col("_c1") + b2 * F.col("_c2")})
+    return rows.withColumn("_trend", F.when(F.abs("_det") > 1e-9, F.col("_top") / F.col("_det"))).drop("_det", "_top", "_c0", "_c1", "_c2", *named("m", MOMENTS))
+
+
+def detrend(df: DataFrame, window: int = 201, value: str = "flux", clip_rounds: int = 0, sigma: float = 3.0) -> DataFrame:
+    """``flat``: value over a local quadratic fit of ``window`` points around it, ``trend``; edges use what is there.
+
+    ``clip_rounds``: so many times, points that are further from the fit than ``sigma`` deviations of the points fitted last
+    (of their distances from it, around their mean) are left out of the next fit; they still get a trend and a flat value. A
+    missing value takes part in no fit. A fit that is singular or near zero leaves the value as it is. The time a point takes
+    does not depend on the window.
     """
-    half = window // 2
-    block = 4 * window
-    key, y = star_key(df), F.col(value)
-    rows = df.withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy("idx")) - 1)
-    w = Window.partitionBy(*key).orderBy("idx").rowsBetween(-half, half)
-    rows = rows.withColumns({f"_r{b}": F.pmod(F.col("_i") + b * (block // 2), F.lit(block)).cast("double") for b in (0, 1)})
-    power = lambda r, p: F.pow(r, F.lit(p)) if p else F.lit(1.0)
-    sums = {f"_{n}{p}{b}": F.sum(x * power(F.col(f"_r{b}"), p)).over(w) for b in (0, 1) for n, x, most in (("s", F.lit(1.0), 5), ("y", y, 3)) for p in range(most)}
-    rows = rows.withColumns(sums)
-    first = F.abs(F.col("_r0") - block / 2) <= block / 4
-    pick = lambda n: F.when(first, F.col(f"{n}0")).otherwise(F.col(f"{n}1"))
-    rows = rows.withColumns({n: pick(n) for n in ("_r", *(f"_s{p}" for p in range(5)), *(f"_y{p}" for p in range(3)))})
-    s, c = [F.col(f"_s{p}") for p in range(5)], F.col("_r")
-    n = s[0]
-    m1 = s[1] - c * n
-    m2 = s[2] - 2 * c * s[1] + c * c * n
-    m3 = s[3] - 3 * c * s[2] + 3 * c * c * s[1] - c * c * c * n
-    m4 = s[4] - 4 * c * s[3] + 6 * c * c * s[2] - 4 * c * c * c * s[1] + c * c * c * c * n
-    b0, b1, b2 = F.col("_y0"), F.col("_y1") - c * F.col("_y0"), F.col("_y2") - 2 * c * F.col("_y1") + c * c * F.col("_y0")
-    det = n * (m2 * m4 - m3 * m3) - m1 * (m1 * m4 - m2 * m3) + m2 * (m1 * m3 - m2 * m2)
-    top = b0 * (m2 * m4 - m3 * m3) - m1 * (b1 * m4 - b2 * m3) + m2 * (b1 * m3 - b2 * m2)
-    trend = F.when(F.abs(det) > 1e-9, top / det)
-    flat = F.when(F.abs("trend") > 1e-12, y / F.col("trend")).otherwise(y)
-    return rows.withColumn("trend", trend).withColumn("flat", flat).select(*df.columns, "trend", "flat")
+    window = 2 * (window // 2) + 1
+    key = star_key(df)
+    order = Window.partitionBy(*key).orderBy("idx")
+    rows = df.withColumn("_y", _null(F.col(value).cast("double"))).withColumn("_i", F.row_number().over(order) - 1).withColumn("_use", F.col("_y").isNotNull())
+    for _ in range(clip_rounds):
+        rows = _quadratic_trend(rows, key, window, F.col("_use")).withColumn("_d", F.when(F.col("_use"), F.col("_y") - F.col("_trend")))
+        rows = rows.withColumn("_sd", F.stddev_pop("_d").over(Window.partitionBy(*key)))
+        rows = rows.withColumn("_use", F.col("_use") & F.coalesce(F.abs("_d") <= sigma * F.col("_sd"), F.lit(True))).drop("_d", "_sd", "_trend")
+    rows = _quadratic_trend(rows, key, window, F.col("_use"))
+    flat = F.when(F.abs("_trend") > 1e-12, F.col(value) / F.col("_trend")).otherwise(F.col(value))
+    return rows.select(*df.columns, F.col("_trend").alias("trend"), flat.alias("flat"))
 
 
 def diff_channel(windows: DataFrame, value: str = "flux") -> DataFrame:

@@ -53,6 +53,26 @@ simple("a2_read_ephemerides", lambda s, d: A.ephemeris_table(X.catalog(s, d).sel
        sql("SELECT star_id, pl_orbper, pl_tranmid, pl_trandurh, 'k2' AS mission FROM cat", "pl_orbper pl_tranmid pl_trandurh", base=CAT))
 
 
+#: Ids under the archives' other names, some of them of no use in one column and good in the next.
+ALIASED = "SELECT c_custkey AS row_id, CASE c_custkey % 3 WHEN 0 THEN 'x' WHEN 1 THEN c_custkey || '.0' END AS k1, CASE WHEN c_custkey % 2 = 0 THEN c_custkey || '' END AS k2, CASE WHEN c_custkey % 5 = 0 THEN c_custkey || '' ELSE ' ' END AS e1, CASE WHEN c_custkey % 7 < 3 THEN 'nan' ELSE c_custkey || '.0' END AS t1, CASE WHEN c_custkey % 7 = 1 THEN c_custkey || '' END AS t2, CASE WHEN c_custkey % 7 = 2 THEN c_custkey || '.01' END AS o1 FROM customer"
+
+
+def aliased(s, d):
+    k = F.col("c_custkey")
+    t = k.cast("string")
+    whole = F.concat(t, F.lit(".0"))
+    return load(s, d, "customer").select(
+        k.alias("row_id"), F.when(k % 3 == 0, "x").when(k % 3 == 1, whole).alias("k1"), F.when(k % 2 == 0, t).alias("k2"), F.when(k % 5 == 0, t).otherwise(" ").alias("e1"),
+        F.when(k % 7 < 3, "nan").otherwise(whole).alias("t1"), F.when(k % 7 == 1, t).alias("t2"), F.when(k % 7 == 2, F.concat(t, F.lit(".01"))).alias("o1"),
+    )
+
+
+simple("a1_read_catalog_aliases", lambda s, d: A.read_catalog(s, as_csv(aliased(s, d).drop("k1").withColumnsRenamed({"k2": "KIC", "e1": "EPIC", "t1": "TIC ID", "t2": "tic", "o1": "TOI", "row_id": "hostname"}))).select(F.col("hostname").cast("bigint").alias("row_id"), "kepid", "epic", "tid", "toi"),
+       sql("SELECT row_id, k2 AS kepid, nullif(trim(e1), '') AS epic, CASE WHEN t1 <> 'nan' THEN t1 ELSE t2 END AS tid, o1 AS toi FROM al", base=f"al AS ({ALIASED})"))
+simple("b4_target_and_mission_aliases", lambda s, d: I.target_and_mission(aliased(s, d).toDF("row_id", "KIC", "kic", "EPIC", "TIC ID", "tic_id", "TOI")).select("row_id", "target", "target_mission"),
+       sql("SELECT row_id, coalesce('KIC ' || CASE WHEN row_id % 3 = 1 OR row_id % 2 = 0 THEN row_id END, 'EPIC ' || CASE WHEN row_id % 5 = 0 THEN row_id END, 'TIC ' || CASE WHEN row_id % 7 NOT IN (0, 2) THEN row_id END, 'TOI ' || o1) AS target, CASE WHEN row_id % 3 = 1 OR row_id % 2 = 0 THEN 'Kepler' WHEN row_id % 5 = 0 THEN 'K2' WHEN row_id % 7 <> 0 THEN 'TESS' END AS target_mission FROM al", base=f"al AS ({ALIASED})"))
+
+
 @query("a3_confirmed_ephemerides", sql("SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS star_id, pl_orbper, pl_tranmid, pl_trandurh FROM cat JOIN orders ON o_custkey = row_id WHERE o_orderkey % 3 = 0 AND o_orderstatus = 'F' AND pl_orbper IS NOT NULL AND pl_trandurh IS NOT NULL", "pl_orbper pl_tranmid pl_trandurh", base=CAT))
 def _(s, d):
     composite = X.catalog(s, d).select(F.col("row_id").alias("pl_name"), "pl_orbper", "pl_tranmid", "pl_trandurh")
@@ -86,8 +106,12 @@ def _(s, d):
 
 
 STAR = "st AS (SELECT *, row_number() OVER (PARTITION BY has_pos ORDER BY md5('{seed}|' || star_id), star_id) AS r, count(*) OVER (PARTITION BY has_pos) AS n FROM (SELECT star_id, max(label) AS has_pos FROM lab GROUP BY 1))"
-SPLIT = "SELECT star_id, has_pos, CASE WHEN r <= {t} THEN 'test' WHEN r <= {t} + {v} THEN 'val' ELSE 'train' END AS split FROM st"
-SHARES = SPLIT.format(t="ceil(n * 0.15e0)", v="ceil(n * 0.15e0)")
+#: The split's rule in general form: whole parts of each stratum's share, then one more for the largest remainders.
+DEAL = "{out} AS (SELECT *, {t} * {n} // a + CASE WHEN row_number() OVER (ORDER BY {t} * {n} % a DESC, has_pos DESC) <= {t} - sum({t} * {n} // a) OVER () THEN 1 ELSE 0 END AS {q} FROM (SELECT * {drop}, CAST(ceil(sum({n}) OVER () * 0.15e0) AS BIGINT) AS {t}, CAST(sum({n}) OVER () AS BIGINT) AS a FROM {src}))"
+QUOTAS = ", ".join(["strata AS (SELECT has_pos, count(*) AS n FROM st GROUP BY 1)", DEAL.format(out="qt", t="t", n="n", q="nt", drop="", src="strata"), "rest AS (SELECT *, n - nt AS m FROM qt)", DEAL.format(out="qv", t="v", n="m", q="nv", drop="EXCLUDE a", src="rest")])
+STAR += ", " + QUOTAS
+SHARES = "SELECT star_id, has_pos, CASE WHEN r <= nt THEN 'test' WHEN r <= nt + nv THEN 'val' ELSE 'train' END AS split FROM st JOIN qv USING (has_pos)"
+FLOORED = "pt AS (SELECT *, n - nt AS m FROM (SELECT * REPLACE (CASE WHEN has_pos = 1 THEN greatest(nt, CASE WHEN n >= 3 THEN 1 ELSE 0 END) ELSE t - greatest(t - nt, CASE WHEN a - n >= 3 THEN 1 ELSE 0 END) END AS nt) FROM qt)), " + DEAL.format(out="pd", t="v", n="m", q="nv", drop="EXCLUDE a", src="pt") + ", pv AS (SELECT * REPLACE (CASE WHEN has_pos = 1 THEN greatest(nv, CASE WHEN n >= 3 THEN 1 ELSE 0 END) ELSE v - greatest(v - nv, CASE WHEN (SELECT sum(n) FROM pd WHERE has_pos = 1) >= 3 THEN 1 ELSE 0 END) END AS nv) FROM pd)"
 simple("a9_window_table", lambda s, d: written(E.pack_windows(X.window_points(s, d)).join(S.stratified_star_split(X.labelled(s, d), "7"), "star_id"), "windows", ("split",)).select("star_id", "mission", "start", "end", "split", F.size("values").alias("n"), F.element_at("values", 1).alias("v0")),
        sql(f'SELECT star_id, mission, start, start + 16 AS "end", split, count(*) AS n, arg_min(flux, idx) AS v0 FROM wp JOIN ({SHARES}) USING (star_id) GROUP BY 1, 2, 3, 4, 5', "v0", base=f"{LAB}, {STAR.format(seed='7')}"))
 simple("a10_segments", lambda s, d: written(W.make_segments(X.curves(X.points(s, d)), 16, 4), "segments"), sql('SELECT star_id, mission, start, start + 16 AS "end" FROM seg', base=PTS))
@@ -133,6 +157,11 @@ simple("c3_drop_nan_and_rescale", lambda s, d: C.drop_nan_and_rescale(X.points(s
        sql("SELECT star_id, row_number() OVER (PARTITION BY star_id ORDER BY idx) - 1 AS idx, flux / quantile_cont(flux, 0.5) OVER (PARTITION BY star_id) AS relative FROM pts WHERE idx % 7 <> 3", "relative", base=PTS))
 simple("c4_detrend", lambda s, d: C.detrend(X.points(s, d), 21).select("star_id", "idx", "trend", "flat"),
        sql("SELECT star_id, idx, t AS trend, CASE WHEN abs(t) > 1e-12 THEN flux / t ELSE flux END AS flat FROM (SELECT *, (b0 * (m2 * m4 - m3 * m3) - m1 * (b1 * m4 - b2 * m3) + m2 * (b1 * m3 - b2 * m2)) / (n * (m2 * m4 - m3 * m3) - m1 * (m1 * m4 - m2 * m3) + m2 * (m1 * m3 - m2 * m2)) AS t FROM (SELECT a.star_id, a.idx, a.flux, CAST(count(*) AS DOUBLE) AS n, CAST(sum(b.idx - a.idx) AS DOUBLE) AS m1, CAST(sum((b.idx - a.idx) ** 2) AS DOUBLE) AS m2, CAST(sum((b.idx - a.idx) ** 3) AS DOUBLE) AS m3, CAST(sum((b.idx - a.idx) ** 4) AS DOUBLE) AS m4, sum(b.flux) AS b0, sum(b.flux * (b.idx - a.idx)) AS b1, sum(b.flux * (b.idx - a.idx) ** 2) AS b2 FROM pts a JOIN pts b ON a.star_id = b.star_id AND b.idx BETWEEN a.idx - 10 AND a.idx + 10 GROUP BY 1, 2, 3))", "trend flat", base=PTS))
+MASKED = "SELECT star_id, idx, flux, m, CASE WHEN abs(d) > 1e-9 THEN (b0 * (m2 * m4 - m3 * m3) - m1 * (b1 * m4 - b2 * m3) + m2 * (b1 * m3 - b2 * m2)) / d END AS t FROM (SELECT *, n * (m2 * m4 - m3 * m3) - m1 * (m1 * m4 - m2 * m3) + m2 * (m1 * m3 - m2 * m2) AS d FROM (SELECT a.star_id, a.idx, a.flux, a.m, CAST(count(*) FILTER (b.m) AS DOUBLE) AS n, CAST(sum(b.idx - a.idx) FILTER (b.m) AS DOUBLE) AS m1, CAST(sum((b.idx - a.idx) ** 2) FILTER (b.m) AS DOUBLE) AS m2, CAST(sum((b.idx - a.idx) ** 3) FILTER (b.m) AS DOUBLE) AS m3, CAST(sum((b.idx - a.idx) ** 4) FILTER (b.m) AS DOUBLE) AS m4, sum(b.flux) FILTER (b.m) AS b0, sum(b.flux * (b.idx - a.idx)) FILTER (b.m) AS b1, sum(b.flux * (b.idx - a.idx) ** 2) FILTER (b.m) AS b2 FROM {src} a JOIN {src} b ON a.star_id = b.star_id AND b.idx BETWEEN a.idx - 10 AND a.idx + 10 GROUP BY 1, 2, 3, 4))"
+CLIP = "SELECT star_id, idx, flux, m AND coalesce(abs(flux - t) <= 1.5e0 * sd, true) AS m FROM (SELECT *, stddev_pop(flux - t) FILTER (m) OVER (PARTITION BY star_id) AS sd FROM {src})"
+ROUNDS = f"r0 AS (SELECT star_id, idx, flux, true AS m FROM pts), f0 AS MATERIALIZED ({MASKED.format(src='r0')}), r1 AS MATERIALIZED ({CLIP.format(src='f0')}), f1 AS MATERIALIZED ({MASKED.format(src='r1')}), r2 AS MATERIALIZED ({CLIP.format(src='f1')})"
+simple("c4_detrend_clipped", lambda s, d: C.detrend(X.points(s, d), 21, clip_rounds=2, sigma=1.5).select("star_id", "idx", "trend", "flat"),
+       sql(f"SELECT star_id, idx, t AS trend, CASE WHEN abs(t) > 1e-12 THEN flux / t ELSE flux END AS flat FROM ({MASKED.format(src='r2')})", "trend flat", base=f"{PTS}, {ROUNDS}"))
 simple("c5_raw_plus_flat", lambda s, d: C.detrend(X.points(s, d), 21).groupBy("star_id").agg(F.count("flux").alias("n_raw"), F.count("flat").alias("n_flat")), sql("SELECT star_id, count(*) AS n_raw, count(*) AS n_flat FROM pts GROUP BY 1", base=PTS))
 simple("c6_diff_channel", lambda s, d: C.diff_channel(X.window_points(s, d)).select("star_id", "start", "idx", "ch1"), sql("SELECT star_id, start, idx, coalesce(flux - lag(flux) OVER (PARTITION BY star_id, start ORDER BY idx), 0) AS ch1 FROM wp", "ch1", base=LAB))
 simple("c7_adapt_channels", lambda s, d: C.adapt_channels(C.adapt_channels(X.window_points(s, d), 1, 2), 2, 1).groupBy("star_id").agg(F.count("*").alias("n")), sql("SELECT star_id, count(*) AS n FROM wp GROUP BY 1", base=LAB))
@@ -246,7 +275,7 @@ simple("i3_distinct", lambda s, d: X.labelled(s, d).select("star_id", "mission")
 simple("i4_except", lambda s, d: curves(s, d).select("star_id").subtract(X.ephemeris(s, d).select("star_id")), sql("SELECT star_id FROM curves EXCEPT SELECT star_id FROM eph", base=PTS))
 simple("j1_shuffle", lambda s, d: S.shuffle(X.labelled(s, d), "7", *KEYS).select(*KEYS, "shuffle_key"), sql("SELECT star_id, start, " + MD5.format(seed="7") + " AS shuffle_key FROM lab", base=LAB))
 simple("j2_stratified_star_split", lambda s, d: S.stratified_star_split(X.labelled(s, d), "7"), sql(SHARES, ints="has_pos", base=f"{LAB}, {STAR.format(seed='7')}"))
-simple("j3_small_split", lambda s, d: S.stratified_star_split(X.labelled(s, d), "3", 0.15, 0.15, True), sql("SELECT star_id, has_pos, CASE WHEN r <= t THEN 'test' WHEN r <= t + least(greatest(ceil(n * 0.15e0), k), greatest(n - t - k, 0)) THEN 'val' ELSE 'train' END AS split FROM (SELECT *, least(greatest(ceil(n * 0.15e0), k), greatest(n - 2 * k, 0)) AS t FROM (SELECT *, CASE WHEN n >= 3 THEN 1 ELSE 0 END AS k FROM st))", ints="has_pos", base=f"{LAB}, {STAR.format(seed='3')}"))
+simple("j3_small_split", lambda s, d: S.small_split(X.labelled(s, d), "3"), sql(SHARES.replace("JOIN qv", "JOIN pv"), ints="has_pos", base=f"{LAB}, {STAR.format(seed='3')}, {FLOORED}"))
 simple("j4_group_split", lambda s, d: S.group_split(X.labelled(s, d), "5"), sql("SELECT star_id, has_pos, CASE WHEN r <= k THEN 'test' WHEN r <= 2 * k THEN 'val' ELSE 'train' END AS split FROM (SELECT *, CASE WHEN has_pos = 0 THEN floor(n0 * 0.2e0) ELSE floor(a * 0.2e0) - floor(n0 * 0.2e0) END AS k FROM st, (SELECT count(*) AS a, sum(1 - has_pos) AS n0 FROM st))", ints="has_pos", base=f"{LAB}, {STAR.format(seed='5')}"))
 simple("j5_positional_split", lambda s, d: S.positional_split(from_first(load(s, d, "customer"), "c_custkey"), "pos").select("c_custkey", "split"), sql("SELECT c_custkey, CASE WHEN pos < round_even(n * 0.8e0, 0) THEN 'train' WHEN pos < round_even(n * 0.8e0, 0) + round_even(n * 0.1e0, 0) THEN 'val' ELSE 'test' END AS split FROM (SELECT c_custkey, c_custkey - min(c_custkey) OVER () AS pos, count(*) OVER () AS n FROM customer)"))
 

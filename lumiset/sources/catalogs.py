@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,9 +12,19 @@ from ..schemas import CATALOG, ensure_columns
 
 
 def read_catalog(spark: SparkSession, path: str, schema: T.StructType = CATALOG) -> DataFrame:
-    """A CSV catalog with any subset of the known columns, in any order."""
-    raw = spark.read.option("header", True).csv(path)
-    return ensure_columns(raw, schema)
+    """A CSV catalog with any subset of the known columns, in any order; lines that start with "#" are notes.
+
+    Ids may have any of the names in ``schemas.ALIASES``; several of them in one file are coalesced by row. The header is read
+    by itself, because Spark takes names that differ in case only for one; all files of a folder have the same.
+    """
+    lines = spark.read.text(path).where("value not like '#%' and trim(value) != ''")
+    first = lines.first()
+    names = next(csv.reader([first["value"].lstrip("\ufeff")])) if first else []
+    if not names:
+        return spark.createDataFrame([], schema)
+    places = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names))])
+    raw = spark.read.schema(places).option("header", True).option("comment", "#").csv(path)
+    return ensure_columns(raw.toDF(*(n.strip() for n in names)), schema)
 
 
 def ephemeris_table(df: DataFrame, mission: str = "k2") -> DataFrame:

@@ -1,5 +1,6 @@
 """Properties and edge rows of the light-curve operators."""
 
+import math
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumiset.functions import ids
 from lumiset.operators import embeddings, ranks, sampling, scores, signals, triage, windows
-from lumiset.schemas import EPHEMERIS, ensure_columns, require_columns
+from lumiset.schemas import CATALOG, EPHEMERIS, ensure_columns, require_columns
 from lumiset.sources import catalogs
 from lumiset.streaming import star_scores
 
@@ -136,6 +137,98 @@ def test_detrend_of_a_long_curve(spark):
         assert abs(np.polynomial.polynomial.polyfit(k - i, flux[k], 2)[0] - trend) < 1e-9
 
 
+def test_clipped_detrend_is_the_loop(spark):
+    """Three rounds of three deviations against a loop over polynomial fits, for windows of any size, with gaps and two missions."""
+    rng = np.random.default_rng(4)
+    for window in (7, 101):
+        curves = {}
+        for mission, n in (("k2", 400), ("tess", 57), ("kepler", 2)):
+            y = 2 + np.sin(np.arange(n) / 30) + rng.normal(0, 0.01, n)
+            y[::17] += rng.normal(0, 0.5, len(y[::17]))
+            y[5:9] = np.nan
+            curves[mission] = y
+        rows = [("a", m, i, float(v)) for m, y in curves.items() for i, v in enumerate(y)]
+        df = spark.createDataFrame(rows, "star_id string, mission string, idx long, flux double")
+        got = {(r.mission, r.idx): r for r in signals.detrend(df, window, clip_rounds=3).collect()}
+        assert len(got) == len(rows)
+        for m, y in curves.items():
+            n, h, use = len(y), window // 2, ~np.isnan(y)
+
+            def fit():
+                out = np.full(n, np.nan)  # noqa: B023
+                for i in range(n):  # noqa: B023
+                    k = np.arange(max(0, i - h), min(n, i + h + 1))  # noqa: B023
+                    k = k[use[k]]  # noqa: B023
+                    if len(k) >= 3:
+                        out[i] = np.linalg.lstsq(np.vander((k - i).astype(float), 3, increasing=True), y[k], rcond=None)[0][0]  # noqa: B023
+                return out
+
+            for _ in range(3):
+                d = np.where(use, y - fit(), np.nan)
+                use &= ~(np.abs(d) > 3 * np.nanstd(d)) if np.isfinite(d).any() else use
+            trend = fit()
+            assert m == "kepler" or (~use).sum() > 4
+            for i in range(n):
+                r = got[m, i]
+                assert (r.trend is None) == bool(np.isnan(trend[i])) and (r.trend is None or abs(r.trend - trend[i]) < 1e-7)
+                assert np.isnan(y[i]) == bool(np.isnan(r.flat)) and (np.isnan(y[i]) or r.flat == pytest.approx(y[i] / r.trend if r.trend is not None else y[i], abs=1e-12))
+
+
+def strata(spark, n_pos, n_neg):
+    rows = [(f"s{i:03}", int(i < n_pos)) for i in range(n_pos + n_neg)]
+    return spark.createDataFrame(rows, "star_id string, label int")
+
+
+def sizes(split):
+    out = {}
+    for r in split.collect():
+        out[r.split, r.has_pos] = out.get((r.split, r.has_pos), 0) + 1
+    return out
+
+
+def test_split_quotas_by_largest_remainders(spark):
+    def quotas(n, take):
+        """Whole parts, then the largest remainders; the positive stratum first."""
+        whole = {k: take * v // sum(n.values()) for k, v in n.items()}
+        order = sorted(n, key=lambda k: (-(take * n[k] % sum(n.values())), -k))
+        return {k: whole[k] + (order.index(k) < take - sum(whole.values())) for k in n}
+
+    for n_pos, n_neg in ((10, 10), (1, 19), (19, 1), (0, 20), (7, 0), (1, 1), (3, 50), (33, 68)):
+        n = {1: n_pos, 0: n_neg}
+        t = quotas(n, math.ceil(0.15 * (n_pos + n_neg)))
+        left = {k: n[k] - t[k] for k in n}
+        v = quotas(left, math.ceil(0.15 * sum(left.values()))) if sum(left.values()) else {1: 0, 0: 0}
+        want = {("test", k): t[k] for k in n} | {("val", k): v[k] for k in n} | {("train", k): left[k] - v[k] for k in n}
+        assert sizes(sampling.stratified_star_split(strata(spark, n_pos, n_neg), "1")) == {k: x for k, x in want.items() if x}
+    assert sizes(sampling.stratified_star_split(strata(spark, 10, 10), "1")) == {("test", 1): 2, ("test", 0): 1, ("val", 1): 1, ("val", 0): 2, ("train", 1): 7, ("train", 0): 7}
+    assert sizes(sampling.stratified_star_split(strata(spark, 1, 19), "1"))["train", 1] == 1
+    assert sampling.stratified_star_split(strata(spark, 0, 0), "1").count() == 0
+
+
+def test_small_split_has_positives_everywhere(spark):
+    for n_pos, n_neg in ((3, 2), (3, 60), (4, 1), (5, 0)):
+        got = sizes(sampling.small_split(strata(spark, n_pos, n_neg), "2"))
+        assert min(got[s, 1] for s in ("train", "val", "test")) >= 1 and sum(got.values()) == n_pos + n_neg
+        n_test = math.ceil(0.15 * (n_pos + n_neg))
+        assert got["test", 1] + got.get(("test", 0), 0) == n_test and got["val", 1] + got.get(("val", 0), 0) == math.ceil(0.15 * (n_pos + n_neg - n_test))
+    with pytest.raises(Exception, match="too few to split"):
+        sampling.small_split(strata(spark, 2, 2), "2").collect()
+
+
+def test_catalog_columns_under_other_names(spark, tmp_path):
+    """Names that differ in case only are two columns; a row's id is the first whole number, then the first text."""
+    path = tmp_path / "catalog.csv"
+    path.write_text('\ufeff# a note\nKIC,kic,EPIC,"TIC ID",tic,toi,pl_orbper,Hostname\n1.0,2,,,,,3.5,h\n,2,,,,,,h\nx,7.0,,,,,,\n,,5,,,,,\n,,,nan,9,,,\n,,,,,101.01,,\n,,,,,,,"Host, b"\n'.replace("\ufeff# a note\n", "# a note\n\ufeff"))
+    df = catalogs.read_catalog(spark, str(path))
+    rows = {r.target: r for r in ids.target_and_mission(df).collect()}
+    assert {t: r.target_mission for t, r in rows.items()} == {"KIC 1": "Kepler", "KIC 2": "Kepler", "KIC 7": "Kepler", "EPIC 5": "K2", "TIC 9": "TESS", "TOI 101.01": "TESS", "Host, b": None}
+    assert rows["KIC 1"].pl_orbper == 3.5 and rows["KIC 1"].hostname == "h" and [f.name for f in df.schema] == CATALOG.fieldNames()
+    only = spark.createDataFrame([("x", "y", "8")], "a string, b string, c string").toDF("kic", "KIC", "kepid")
+    assert ids.target_and_mission(only).first()["target"] == "KIC 8" and ids.target_and_mission(spark.createDataFrame([("k",)], "other string")).first()["target"] is None
+    (tmp_path / "empty.csv").write_text("")
+    assert catalogs.read_catalog(spark, str(tmp_path / "empty.csv")).count() == 0
+
+
 def test_quantiles_are_exact(spark):
     rng = random.Random(2)
     data = [(rng.choice("ab"), rng.choice([rng.random(), 0.5, -1.0])) for _ in range(999)] + [("a", None), ("c", 7.0)]
