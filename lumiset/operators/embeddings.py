@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,6 +77,28 @@ def score_windows(windows: DataFrame, predict: Callable[[np.ndarray], np.ndarray
     return windows.mapInPandas(run, schema)
 
 
+def score_windows_loaded(windows: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]], points: int, value: str = "values", batch: int = 1024) -> DataFrame:
+    """``score`` for each window by a model that ``load`` builds once in each Python worker, not once a task or batch.
+
+    ``load`` takes nothing and returns a function from a (rows, ``points``) array to one number a row; another count of numbers is
+    an error. So a model file is read where it is needed and never travels with the plan. All windows have ``points`` values.
+    """
+
+    def made():
+        model = load()
+
+        def predict(x: np.ndarray) -> np.ndarray:
+            out = np.asarray(model(x), np.float64).reshape(-1)
+            if len(out) != len(x):
+                raise ValueError(f"the model gave {len(out)} scores for {len(x)} windows")
+            return out
+
+        return predict
+
+    score = predict_batch_udf(made, return_type=T.DoubleType(), batch_size=batch, input_tensor_shapes=[[points]])
+    return windows.withColumn("score", score(F.col(value)))
+
+
 def pack_windows(windows: DataFrame, value: str = "flux") -> DataFrame:
     """(star_id, mission, start, end, values): one array a window, in order."""
     return windows.groupBy("star_id", "mission", "start", "end").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", value))), lambda s: s[value]).alias("values"))
@@ -114,6 +136,22 @@ def train_window_classifier(features: DataFrame, weight: str | None = None):
     return lambda df: model.transform(assembler.transform(df)).withColumn("score", vector_to_array("probability")[1]).drop("_v", "rawPrediction", "probability", "prediction")
 
 
+def boosted_window_classifier(features: DataFrame, split: DataFrame, weight: str | None = None, rounds: int = 20, depth: int = 4) -> DataFrame:
+    """``features`` with their star's ``split`` and ``score``, the probability of label 1, by boosted trees.
+
+    Trees grow on the windows of the training stars, with row weights, until those of the validation stars get no better; the
+    test stars' windows are scored only. Windows of stars in no split are left out.
+    """
+    rows = checkpointed(features.join(split.select("star_id", "split"), "star_id"))
+    parts = VectorAssembler(inputCols=FEATURES, outputCol="_v", handleInvalid="skip").transform(rows).withColumn("_val", F.col("split") == "val")
+    known = checkpointed(parts.where("split != 'test'"))
+    more = {"weightCol": weight} if weight else {}
+    if not known.where("_val").isEmpty():
+        more["validationIndicatorCol"] = "_val"
+    model = GBTClassifier(featuresCol="_v", labelCol="label", maxIter=rounds, maxDepth=depth, seed=7, **more).fit(known)
+    return model.transform(parts).withColumn("score", vector_to_array("probability")[1]).drop("_v", "_val", "rawPrediction", "probability", "prediction")
+
+
 def pca(df: DataFrame, k: int, vec: str = "embedding") -> DataFrame:
     """``pc``: the first ``k`` principal components of centred vectors."""
     v = df.withColumn("_v", array_to_vector(F.transform(vec, lambda x: x.cast("double"))))
@@ -127,6 +165,18 @@ def smooth_scores(df: DataFrame, score: str, vec: str = "embedding") -> DataFram
     return LinearRegression(featuresCol="_v", labelCol=score, predictionCol="smooth", regParam=1e-3).fit(v).transform(v).drop("_v")
 
 
+def boosted_smooth_scores(df: DataFrame, score: str, key: str, vec: str = "embedding", held_out: float = 0.2, seed: str = "42", rounds: int = 20, depth: int = 4) -> DataFrame:
+    """``smooth``: scores regressed on the embedding by boosted trees, and ``split``: a share by digest is held out of the fit ("test").
+
+    So what the smoothed scores explain is measured on rows that the trees have not seen. Rows without a score are smoothed too.
+    """
+    ranked = digest_ranks(df.withColumn("_g", F.lit(1)), ["_g"], F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))), [key])
+    rows = checkpointed(ranked.withColumn("split", F.when(F.col("_r") <= F.ceil(F.col("_n") * held_out), "test").otherwise("train")).drop("_g", "_r", "_n"))
+    v = rows.withColumn("_v", array_to_vector(F.transform(vec, lambda x: x.cast("double"))))
+    fit = GBTRegressor(featuresCol="_v", labelCol=score, predictionCol="smooth", maxIter=rounds, maxDepth=depth, seed=7)
+    return fit.fit(v.where((F.col("split") == "train") & F.col(score).isNotNull())).transform(v).drop("_v")
+
+
 def above_cut(df: DataFrame, column: str, q: float = 0.99) -> DataFrame:
     """The rows at the column's quantile ``q`` or above."""
     cut = exact_quantiles(df, column, {"_cut": q})

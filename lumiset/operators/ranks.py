@@ -50,6 +50,34 @@ def exact_quantiles(df: DataFrame, column: str, at: dict[str, float], by: str |
     return found.select(*key, *(value(name, p).alias(name) for name, p in place.items()))
 
 
+#: Values that a quantile sketch holds at most before it drops some: up to so many values it is exact, and beyond, the rank of
+#: what it returns is off by about 2.3 / K ** 0.94, which is 0.0005 for this one and 0.002 for ``STAR_SKETCH``.
+SKETCH, STAR_SKETCH = 8192, 2048
+
+
+def quantile_sketch(value: Column, k: int = SKETCH) -> Column:
+    """Aggregate: a KLL sketch of the values, a column of bounded size that can be stored and merged; null and NaN do not count."""
+    x = value.cast("double")
+    return F.kll_sketch_agg_double(F.when(~F.isnan(x), x), F.lit(k))
+
+
+def merge_sketches(sketch: str, k: int = SKETCH) -> Column:
+    """Aggregate: the sketch of all values of several sketches, in any order and grouping."""
+    return F.kll_merge_agg_double(F.col(sketch), F.lit(k))
+
+
+def sketch_quantile(sketch: Column, q: float) -> Column:
+    """The smallest value whose rank reaches ``q``; that of the values themselves while the sketch holds them all. Nothing: null."""
+    return F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(float(q))))
+
+
+def approximate_quantiles(df: DataFrame, column: str, at: dict[str, float], by: str | None = None, k: int = SKETCH) -> DataFrame:
+    """``exact_quantiles`` within the sketch's rank error and one value: one pass, one sketch a group and task, no sort, no counts of values."""
+    key = [by] if by else []
+    sketches = df.groupBy(*key).agg(quantile_sketch(F.col(column), k).alias("_s"))
+    return sketches.select(*key, *(sketch_quantile(F.col("_s"), q).alias(name) for name, q in at.items()))
+
+
 def any_of(conditions: list[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:

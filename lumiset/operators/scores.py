@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import checkpointed
-from .ranks import exact_quantiles, global_cumsum
-from .windows import window_key
+from .ranks import approximate_quantiles, exact_quantiles, global_cumsum
+from .windows import shared_key, star_key, window_key
 
 
 def ranked(df: DataFrame, keys: list[str], score: str = "p", tie: str = "start") -> DataFrame:
@@ -36,11 +36,42 @@ def score_fused() -> Column:
 
 
 def score_summary(curves: DataFrame, scored: DataFrame, window: int, score: str = "p") -> DataFrame:
-    """One row for each star: statistics of its scores, its best window (the first of equals), and a status."""
+    """One row for each curve: statistics of its scores, its best window (the first of equals), and a status."""
     q = lambda p: F.percentile(score, F.lit(p))
-    stats = scored.groupBy("star_id").agg(F.count("*").alias("n_segments"), F.max(score).alias("best"), F.avg(score).alias("mean"), q(0.5).alias("median"), F.stddev_pop(score).alias("std"), q(0.95).alias("p95"), F.max_by("start", F.struct(F.col(score), -F.col("start"))).alias("best_start"))
+    on = shared_key(scored, curves)
+    stats = scored.groupBy(*on).agg(F.count("*").alias("n_segments"), F.max(score).alias("best"), F.avg(score).alias("mean"), q(0.5).alias("median"), F.stddev_pop(score).alias("std"), q(0.95).alias("p95"), F.max_by("start", F.struct(F.col(score), -F.col("start"))).alias("best_start"))
     status = F.when(F.coalesce("n_points", F.lit(0)) < window, "too_short_or_missing").when(F.col("n_segments").isNull(), "no_segments").otherwise("ok")
-    return curves.join(stats, "star_id", "left").withColumn("status", status).withColumn("best_end", F.col("best_start") + window).withColumn("n_segments", F.coalesce("n_segments", F.lit(0)))
+    return curves.join(stats, on, "left").withColumn("status", status).withColumn("best_end", F.col("best_start") + window).withColumn("n_segments", F.coalesce("n_segments", F.lit(0)))
+
+
+def score_rows(curves: DataFrame, scored: DataFrame, window: int, stride: int, errors: DataFrame | None = None) -> DataFrame:
+    """The sixteen fields of a curve's score: its lengths, statistics, best window with its number, place and times, status, error.
+
+    ``scored``: windows with start, t_first, t_last and score; of equal scores the first window is the best. ``errors``: (star_id,
+    mission, error) of curves that could not be read. Without windows numbers are null and places -1.
+    """
+    q = lambda p: F.percentile("p", F.lit(p))
+    stats = scored.groupBy(*star_key(scored)).agg(F.count("*").alias("n_segments"), F.max("p").alias("best_seg_score"), F.avg("p").alias("mean_seg_score"), q(0.5).alias("median_seg_score"), F.stddev_pop("p").alias("std_seg_score"), q(0.95).alias("p95_seg_score"), F.max(best_window()).alias("best"))
+    return as_score_rows(curves, stats, window, stride, errors)
+
+
+def best_window() -> Column:
+    """Aggregated by max: the highest score, and of equals the first window."""
+    return F.struct(F.col("p"), (-F.col("start")).alias("back"), F.col("t_first"), F.col("t_last"))
+
+
+def as_score_rows(curves: DataFrame, stats: DataFrame, window: int, stride: int, errors: DataFrame | None = None) -> DataFrame:
+    key = shared_key(curves, stats)
+    rows = curves.select(*star_key(curves), "n_points").join(stats, key, "left")
+    rows = rows.join(errors.select(*shared_key(curves, errors), "error"), shared_key(curves, errors), "left") if errors is not None else rows.withColumn("error", F.lit(None).cast("string"))
+    status = F.when(F.col("error").isNotNull(), "error").when(F.coalesce("n_points", F.lit(0)) < window, "too_short_or_missing").when(F.col("n_segments").isNull(), "no_segments").otherwise("ok")
+    start = -F.col("best.back")
+    place = lambda c: F.coalesce(c, F.lit(-1)).cast("long")
+    return rows.select(
+        *star_key(curves), F.coalesce("n_points", F.lit(0)).alias("n_points"), F.coalesce("n_segments", F.lit(0)).alias("n_segments"), "best_seg_score", "mean_seg_score", "median_seg_score", "std_seg_score", "p95_seg_score",
+        status.alias("status"), F.coalesce("error", F.lit("")).alias("error"), place(F.floor(start / stride)).alias("best_seg_idx"), place(start).alias("best_start"), place(start + window).alias("best_end"),
+        F.col("best.t_first").alias("best_t0"), F.col("best.t_last").alias("best_t1"),
+    )
 
 
 def split_summary(df: DataFrame, split: str = "split") -> DataFrame:
@@ -52,8 +83,9 @@ def describe(df: DataFrame, column: str) -> DataFrame:
     return stats.crossJoin(F.broadcast(exact_quantiles(df, column, {"q25": 0.25, "q50": 0.5, "q75": 0.75})))
 
 
-def quantiles(df: DataFrame, column: str, at: list[float]) -> DataFrame:
-    values = exact_quantiles(df, column, {f"_{i}": q for i, q in enumerate(at)})
+def quantiles(df: DataFrame, column: str, at: list[float], exact: bool = True) -> DataFrame:
+    """(q, value); not ``exact``: by a sketch in one pass (see ranks.approximate_quantiles)."""
+    values = (exact_quantiles if exact else approximate_quantiles)(df, column, {f"_{i}": q for i, q in enumerate(at)})
     return values.select(F.explode(F.array(*(F.struct(F.lit(q).alias("q"), F.col(f"_{i}").alias("value")) for i, q in enumerate(at)))).alias("x")).select("x.q", "x.value")
 
 

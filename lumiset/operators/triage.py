@@ -9,6 +9,7 @@ from ..storage import checkpointed
 from .ranks import exact_quantiles
 from .scores import mode_or_first, ranked, top_strings
 from .signals import mad_clip
+from .windows import shared_key, star_key
 
 SHORTEST, LONGEST, BINS = 0.3, 50.0, 200
 #: How far from its epoch a periodic window may be, in periods; how near to phase 0 or 0.5; and the share of the
@@ -56,11 +57,12 @@ def phase(t: Column, t0: Column, period: Column) -> Column:
 
 
 def phase_fold(points: DataFrame, ephemeris: DataFrame, bins: int | None = None) -> DataFrame:
-    """Points with their phase, or the mean flux of each phase bin of a star."""
-    rows = points.join(ephemeris.select("star_id", "period_days", "t0_mission"), "star_id").withColumn("phase", phase(F.col("time"), F.col("t0_mission"), F.col("period_days")))
+    """Points with their phase, or the mean flux of each phase bin of a curve; each mission's curve goes by its own ephemeris."""
+    on = shared_key(points, ephemeris)
+    rows = points.join(ephemeris.select(*on, "period_days", "t0_mission"), on).withColumn("phase", phase(F.col("time"), F.col("t0_mission"), F.col("period_days")))
     if bins is None:
         return rows
-    return rows.groupBy("star_id", F.least(F.floor(F.col("phase") * bins), F.lit(bins - 1)).alias("bin")).agg(F.avg("flux").alias("flux"), F.count("*").alias("n"))
+    return rows.groupBy(*star_key(points), F.least(F.floor(F.col("phase") * bins), F.lit(bins - 1)).alias("bin")).agg(F.avg("flux").alias("flux"), F.count("*").alias("n"))
 
 
 def triage_flags(df: DataFrame, threshold: float) -> DataFrame:
@@ -107,11 +109,12 @@ def sorted_triage(table: DataFrame) -> DataFrame:
 
 
 def vetting_extract(points: DataFrame, summary: DataFrame, window: int, stride: int, neighbours_from: int = 20, least_points: int = 10) -> DataFrame:
-    """(star_id, panel, idx, time, flux, residual): whole curve, best window, and its neighbours on long curves, of each ok star."""
-    ok = summary.where("status = 'ok'").select("star_id", "best_start", "n_segments", F.col("n_points"))
-    rows = points.withColumn("_raw", F.col("flux")).join(ok, "star_id")
-    clipped = mad_clip(rows, ["star_id"]).withColumn("residual", F.col("_raw") - F.col("clipped"))
+    """(star_id, mission, panel, idx, time, flux, residual): whole curve, best window, and its neighbours on long curves, of each ok curve."""
+    on = shared_key(points, summary)
+    ok = summary.where("status = 'ok'").select(*on, "best_start", "n_segments", F.col("n_points"))
+    rows = points.withColumn("_raw", F.col("flux")).join(ok, on)
+    clipped = mad_clip(rows, star_key(points)).withColumn("residual", F.col("_raw") - F.col("clipped"))
     panel = lambda name, shift, cond: F.when(cond & (F.col("idx") >= F.col("best_start") + shift) & (F.col("idx") < F.col("best_start") + shift + window), F.lit(name))
     long_ = F.col("n_segments") > neighbours_from
     panels = F.array_compact(F.array(F.lit("curve"), panel("best", 0, F.lit(True)), panel("before", -stride, long_), panel("after", stride, long_)))
-    return clipped.where(F.col("n_points") >= least_points).withColumn("panel", F.explode(panels)).select("star_id", "panel", "idx", "time", "flux", "residual")
+    return clipped.where(F.col("n_points") >= least_points).withColumn("panel", F.explode(panels)).select(*star_key(points), "panel", "idx", "time", "flux", "residual")

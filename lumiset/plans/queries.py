@@ -11,8 +11,11 @@ from ..operators import scores as R
 from ..operators import signals as C
 from ..operators import triage as T
 from ..operators import windows as W
+from ..operators.ranks import merge_sketches, quantile_sketch, sketch_quantile
 from ..schemas import require_columns
 from ..sources import catalogs as A
+from ..sources import layout as Y
+from ..sources import score_log as L
 from ..storage import checkpointed, new_folder, written
 from . import fixtures as X
 from . import pipelines as P
@@ -117,6 +120,32 @@ simple("a9_window_table", lambda s, d: written(E.pack_windows(X.window_points(s,
 simple("a10_segments", lambda s, d: written(W.make_segments(X.curves(X.points(s, d)), 16, 4), "segments"), sql('SELECT star_id, mission, start, start + 16 AS "end" FROM seg', base=PTS))
 simple("a11_triage_sink", lambda s, d: P.triage_run(X.scored(s, d)).select("star_id", "best_segment_score", "top_scores"), sql("SELECT star_id, max(p) AS best_segment_score, string_agg(printf('%.4f', p), ',' ORDER BY r) FILTER (r <= 5) AS top_scores FROM rk GROUP BY 1", "best_segment_score", base=SCO))
 simple("a12_append_scores", lambda s, d: A.append_scores(X.curves(X.points(s, d)), X.ephemeris(s, d), "star_id"), sql("SELECT star_id, mission, n_points FROM curves WHERE star_id NOT IN (SELECT star_id FROM eph)", base=PTS))
+
+
+@query("a12_score_and_append", sql("SELECT star_id, max(p) AS best, count(*) AS n_segments FROM sco GROUP BY 1", "best", base=SCO))
+def _(s, d):
+    """The score log of all stars after three runs: one over the stars of one mission, one over all, and one that finds nothing to do."""
+    scored = checkpointed(X.scored(s, d).select("star_id", "mission", "p"))
+    score = lambda stars: scored.join(stars.select("star_id"), "star_id", "left_semi").groupBy("star_id").agg(F.max("p").alias("best"), F.count("*").alias("n_segments"))
+    log, stars = new_folder(s, "scores"), scored.select("star_id", "mission").distinct()
+    for targets in (stars.where("mission = 'k2'"), stars, stars):
+        out = L.score_and_append(targets, log, score, "star_id string, best double, n_segments long", save_every=1000)
+    return out
+
+
+simple("a10_clustered_layout", lambda s, d: clustered_labels(s, d, "k2"), sql("SELECT star_id, mission, start, \"end\", n_hits, label FROM lab WHERE mission = 'k2'", ints="label", base=LAB))
+
+
+def clustered_labels(s, d, mission):
+    """Labelled windows of a mission from tables clustered by mission and star: the joins of D6, E2 and E3 without an exchange."""
+    points = Y.clustered(X.points(s, d), "points")
+    segments = Y.clustered(W.make_segments(X.curves(X.points(s, d)), X.WINDOW, X.STRIDE), "segments", ("start",))
+    ephemeris = Y.clustered(X.ephemeris(s, d), "ephemeris", ())
+    here = F.col("mission") == mission
+    hits = W.in_transit_any(points.where(here), ephemeris.where(here))
+    return W.label_by_count(segments.where(here), hits, X.LEAST).select("star_id", "mission", "start", "end", "n_hits", "label")
+
+
 simple("a13_embeddings", lambda s, d: written(load(s, d, "embeddings"), "embeddings").select("vec_id", F.size("embedding").alias("d"), F.element_at("embedding", 1).cast("double").alias("x0")), sql("SELECT vec_id, len(embedding) AS d, CAST(embedding[1] AS DOUBLE) AS x0 FROM embeddings", "x0", "d"))
 simple("a14_ingest_status", lambda s, d: A.ingest_summary(load(s, d, "orders").select(F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 3).alias("files"), (F.col("o_orderkey") % 100 / 10).alias("seconds"))),
        sql("SELECT o_orderstatus AS status, count(*) AS n, sum(o_orderkey % 3) AS files, round(sum(o_orderkey % 100 / 10e0), 4) AS seconds FROM orders GROUP BY 1", "seconds", "files"))
@@ -136,8 +165,9 @@ simple("b4_target_and_mission", lambda s, d: I.target_and_mission(X.catalog(s, d
 simple("b5_canon_epic", lambda s, d: load(s, d, "customer").select("c_custkey", I.canon_digits(F.col("c_name")).alias("digits")), sql("SELECT c_custkey, regexp_replace(c_name, '\\D+', '', 'g') AS digits FROM customer"))
 simple("b6_prepare_ephemeris", lambda s, d: I.prepare_ephemeris(I.add_star_id(X.catalog(s, d))),
        sql(PREPARED := "SELECT DISTINCT * FROM (SELECT star_id, mission, CASE mission WHEN 'tess' THEN pl_orbper ELSE coalesce(pl_orbper, koi_period) END AS period_days, CASE mission WHEN 'tess' THEN pl_tranmid - 2457000 ELSE coalesce(koi_time0bk, pl_tranmid - 2454833) END AS t0_mission, CASE mission WHEN 'tess' THEN coalesce(pl_trandurh, pl_trandur) ELSE coalesce(koi_duration, pl_trandurh, pl_trandur) END / 24 AS duration_days FROM named WHERE star_id IS NOT NULL AND mission IN ('kepler', 'k2', 'tess')) WHERE period_days > 0 AND duration_days > 0 AND duration_days / period_days < 0.2", "period_days t0_mission duration_days", base=CAT))
+SIMPLE = "SELECT * FROM (SELECT star_id, mission, CASE WHEN koi_period IS NOT NULL THEN koi_period ELSE pl_orbper END AS period_days, CASE WHEN koi_period IS NOT NULL THEN koi_time0bk ELSE pl_tranmid - CASE WHEN mission = 'tess' THEN 2457000 ELSE 2454833 END END AS t0_mission, coalesce(CASE WHEN koi_period IS NOT NULL THEN koi_duration ELSE coalesce(pl_trandurh, pl_trandur) END, 6) / 24 AS duration_days FROM named) WHERE period_days IS NOT NULL AND t0_mission IS NOT NULL"
 simple("b7_simple_ephemeris", lambda s, d: I.simple_ephemeris(I.add_star_id(X.catalog(s, d))),
-       sql("SELECT * FROM (SELECT star_id, mission, CASE WHEN koi_period IS NOT NULL THEN koi_period ELSE pl_orbper END AS period_days, CASE WHEN koi_period IS NOT NULL THEN koi_time0bk ELSE pl_tranmid - CASE WHEN mission = 'tess' THEN 2457000 ELSE 2454833 END END AS t0_mission, coalesce(CASE WHEN koi_period IS NOT NULL THEN koi_duration ELSE coalesce(pl_trandurh, pl_trandur) END, 6) / 24 AS duration_days FROM named) WHERE period_days IS NOT NULL AND t0_mission IS NOT NULL", "period_days t0_mission duration_days", base=CAT))
+       sql(SIMPLE, "period_days t0_mission duration_days", base=CAT))
 shifted = lambda s, d: X.points(s, d).withColumn("time", F.col("time") + F.when(F.col("mission") == "k2", 2454833.0).when(F.col("mission") == "tess", 50000.0).otherwise(0.0))
 simple("b8_guess_time_base", lambda s, d: I.guess_time_base(shifted(s, d)).join(X.ephemeris(s, d), ["star_id", "mission"]).select("star_id", "time_base", I.convert_t0(F.col("t0_mission"), F.col("mission"), F.col("time_base")).alias("t0")),
        sql("SELECT star_id, CASE mission WHEN 'k2' THEN 'BJD' WHEN 'tess' THEN 'UNKNOWN' ELSE 'REDUCED' END AS time_base, t0_mission + CASE WHEN mission = 'k2' THEN 2454833 ELSE 0 END AS t0 FROM eph", "t0", base=PTS))
@@ -232,11 +262,31 @@ def summary(s, d):
 
 SUMM = f"{SCO}, summ AS (SELECT c.star_id, c.mission, c.n_points, count(p) AS n_segments, max(p) AS best, avg(p) AS mean, quantile_cont(p, 0.5) AS median, stddev_pop(p) AS std, quantile_cont(p, 0.95) AS p95, arg_min(start, -p * 1000000 + start / 1e6) AS best_start FROM curves c LEFT JOIN sco USING (star_id) GROUP BY 1, 2, 3)"
 simple("g4_score_summary", summary, sql("SELECT *, best_start + 16 AS best_end, CASE WHEN n_points < 16 THEN 'too_short_or_missing' WHEN n_segments = 0 THEN 'no_segments' ELSE 'ok' END AS status FROM summ", "best mean median std p95", base=SUMM))
+timed = lambda s, d: X.scored(s, d).join(W.segment_times(X.window_points(s, d)).select("star_id", "mission", "start", "t_first", "t_last"), ["star_id", "mission", "start"])
+NUMBERS = "best_seg_score mean_seg_score median_seg_score std_seg_score p95_seg_score best_t0 best_t1"
+ROWS = """SELECT c.star_id, c.mission, c.n_points, count(p) AS n_segments, max(p) AS best_seg_score, avg(p) AS mean_seg_score, {q50} AS median_seg_score, stddev_pop(p) AS std_seg_score, {q95} AS p95_seg_score,
+CASE WHEN c.n_points < 16 THEN 'too_short_or_missing' WHEN count(p) = 0 THEN 'no_segments' ELSE 'ok' END AS status, '' AS error, coalesce(any_value(start) FILTER (r = 1) // 4, -1) AS best_seg_idx, coalesce(any_value(start) FILTER (r = 1), -1) AS best_start, coalesce(any_value(start) FILTER (r = 1) + 16, -1) AS best_end, any_value(a) FILTER (r = 1) AS best_t0, any_value(b) FILTER (r = 1) AS best_t1
+FROM curves c LEFT JOIN (SELECT rk.star_id, start, p, r, a, b FROM rk JOIN (SELECT star_id, start, min(time) AS a, max(time) AS b FROM wp GROUP BY 1, 2) USING (star_id, start)) x ON x.star_id = c.star_id GROUP BY 1, 2, 3"""
+simple("g4_score_rows", lambda s, d: R.score_rows(X.curves(X.points(s, d)), timed(s, d), X.WINDOW, X.STRIDE), sql(ROWS.format(q50="quantile_cont(p, 0.5)", q95="quantile_cont(p, 0.95)"), NUMBERS, "best_seg_idx best_start best_end", base=SCO))
 simple("g5_triage_scores", lambda s, d: T.triage_table(X.scored(s, d)).select("star_id", "n_segments", "best_segment_score", "topN_mean", "topN_std", "consistency_score", "mission"), sql("SELECT star_id, count(*) AS n_segments, max(p) AS best_segment_score, avg(p) FILTER (r <= 10) AS \"topN_mean\", stddev_pop(p) FILTER (r <= 10) AS \"topN_std\", avg(p) FILTER (r <= 10) - stddev_pop(p) FILTER (r <= 10) AS consistency_score, min(mission) AS mission FROM rk GROUP BY 1", "best_segment_score topN_mean topN_std consistency_score", base=SCO))
 simple("g6_split_summary", lambda s, d: R.split_summary(X.labelled(s, d).withColumnRenamed("mission", "split")), sql("SELECT mission AS split, count(*) AS n, sum(label) AS n_pos, avg(label) AS pos_share, count(DISTINCT star_id) AS n_stars FROM lab GROUP BY 1", "pos_share", "n_pos", base=LAB))
 DESC = "count({c}) AS n, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS lo, quantile_cont({c}, 0.25) AS q25, quantile_cont({c}, 0.5) AS q50, quantile_cont({c}, 0.75) AS q75, max({c}) AS hi"
 simple("g7_describe", lambda s, d: R.describe(X.scored(s, d), "p"), sql(f"SELECT {DESC.format(c='p')} FROM sco", "mean std lo q25 q50 q75 hi", base=SCO))
 simple("g8_quantiles", lambda s, d: R.quantiles(X.scored(s, d), "p", [0.5, 0.9, 0.99]), sql("SELECT unnest([0.5e0, 0.9e0, 0.99e0]) AS q, unnest(quantile_cont(p, [0.5, 0.9, 0.99])) AS value FROM sco", "q value", base=SCO))
+
+
+@query("g8_quantiles_by_sketch", sql("SELECT unnest([0.1e0, 0.5e0, 0.9e0, 0.99e0]) AS q, true AS within", "q"))
+def _(s, d):
+    """Whether quantiles of all prices, from sketches by return flag that were stored and merged, have ranks within 0.001."""
+    prices = load(s, d, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("v"))
+    stored = written(prices.groupBy("l_returnflag").agg(quantile_sketch(F.col("v")).alias("sketch")), "sketches")
+    merged = stored.agg(merge_sketches("sketch").alias("sketch"))
+    values = merged.select(F.explode(F.array(*(F.struct(F.lit(q).alias("q"), sketch_quantile(F.col("sketch"), q).alias("value")) for q in (0.1, 0.5, 0.9, 0.99)))).alias("x")).select("x.q", "x.value")
+    share = lambda c: F.avg(c.cast("double"))
+    ranks = prices.crossJoin(F.broadcast(values)).groupBy("q").agg(share(F.col("v") < F.col("value")).alias("below"), share(F.col("v") <= F.col("value")).alias("upto"))
+    return ranks.select("q", ((F.col("below") - 0.001 <= F.col("q")) & (F.col("q") <= F.col("upto") + 0.001)).alias("within"))
+
+
 simple("g9_threshold_from_percentile", lambda s, d: T.threshold_from_percentile(X.scored(s, d)), sql("SELECT quantile_cont(p, 0.99) AS threshold FROM sco", "threshold", base=SCO))
 simple("g10_mean_per_key", lambda s, d: R.aggregate_scores(X.scored(s, d), ["star_id"], "mean"), sql("SELECT star_id, avg(p) AS score FROM sco GROUP BY 1", "score", base=SCO))
 simple("g11_mode", lambda s, d: R.mode_or_first(load(s, d, "events"), "user_id", "event_type"), sql("SELECT user_id, event_type FROM (SELECT user_id, event_type, count(*) AS c FROM events GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY c DESC, event_type) = 1"))
@@ -336,27 +386,66 @@ LEFT JOIN (SELECT star_id, sum(CASE WHEN abs(ph - 0.5) <= 0.08 THEN 1 ELSE 0 END
 TRI = f"{SCO}, {HIGH}, {EPO}, {FLAGS}"
 simple("l3_triage_flags", lambda s, d: T.triage_flags(X.scored(s, d), 0.5), sql("SELECT * FROM fl", "cand_period_days odd_even_score_gap", "flag_singleton_spike flag_periodic flag_secondary_proxy", base=TRI))
 simple("l4_triage_table", lambda s, d: T.sorted_triage(T.triage_table(X.scored(s, d), 0.5)).select("star_id", "n_segments", "best_segment_score", "consistency_score", "top_scores", "flag_periodic", "n_segments_above_thr"), sql("SELECT star_id, count(*) AS n_segments, max(p) AS best_segment_score, avg(p) FILTER (r <= 10) - stddev_pop(p) FILTER (r <= 10) AS consistency_score, string_agg(printf('%.4f', p), ',' ORDER BY r) FILTER (r <= 5) AS top_scores, any_value(flag_periodic) AS flag_periodic, any_value(n_segments_above_thr) AS n_segments_above_thr FROM rk JOIN fl USING (star_id) GROUP BY 1", "best_segment_score consistency_score", "flag_periodic", base=TRI))
-simple("l5_phase_fold", lambda s, d: T.phase_fold(X.points(s, d), X.ephemeris(s, d), 10), sql("SELECT star_id, CAST(least(floor(ph * 10), 9) AS BIGINT) AS bin, avg(flux) AS flux, count(*) AS n FROM (SELECT star_id, flux, (time - t0_mission) / period_days - floor((time - t0_mission) / period_days) AS ph FROM pts JOIN (SELECT * EXCLUDE mission FROM eph) USING (star_id)) GROUP BY 1, 2", "flux", base=PTS))
-simple("l6_vetting_extract", lambda s, d: T.vetting_extract(X.points(s, d), summary(s, d), 16, 4, 13), sql("SELECT star_id, panel, idx, time, flux, flux - greatest(least(flux, med + 6 * (mad + 1e-6)), med - 6 * (mad + 1e-6)) AS residual FROM pts JOIN mm USING (star_id) JOIN (SELECT star_id, best_start, n_segments FROM summ WHERE n_segments > 0) USING (star_id), (SELECT unnest(['curve', 'best', 'before', 'after']) AS panel) WHERE panel = 'curve' OR (panel = 'best' AND idx >= best_start AND idx < best_start + 16) OR (n_segments > 13 AND panel = 'before' AND idx >= best_start - 4 AND idx < best_start + 12) OR (n_segments > 13 AND panel = 'after' AND idx >= best_start + 4 AND idx < best_start + 20)", "time flux residual", base=f"{SUMM}, {MAD}"))
+simple("l5_phase_fold", lambda s, d: T.phase_fold(X.points(s, d), X.ephemeris(s, d), 10).select("star_id", "bin", "flux", "n"), sql("SELECT star_id, CAST(least(floor(ph * 10), 9) AS BIGINT) AS bin, avg(flux) AS flux, count(*) AS n FROM (SELECT star_id, flux, (time - t0_mission) / period_days - floor((time - t0_mission) / period_days) AS ph FROM pts JOIN (SELECT * EXCLUDE mission FROM eph) USING (star_id)) GROUP BY 1, 2", "flux", base=PTS))
+simple("l6_vetting_extract", lambda s, d: T.vetting_extract(X.points(s, d), summary(s, d), 16, 4, 13).drop("mission"), sql("SELECT star_id, panel, idx, time, flux, flux - greatest(least(flux, med + 6 * (mad + 1e-6)), med - 6 * (mad + 1e-6)) AS residual FROM pts JOIN mm USING (star_id) JOIN (SELECT star_id, best_start, n_segments FROM summ WHERE n_segments > 0) USING (star_id), (SELECT unnest(['curve', 'best', 'before', 'after']) AS panel) WHERE panel = 'curve' OR (panel = 'best' AND idx >= best_start AND idx < best_start + 16) OR (n_segments > 13 AND panel = 'before' AND idx >= best_start - 4 AND idx < best_start + 12) OR (n_segments > 13 AND panel = 'after' AND idx >= best_start + 4 AND idx < best_start + 20)", "time flux residual", base=f"{SUMM}, {MAD}"))
+
+
+#: Curves as P.score_curves prepares them, their dip scores, and how many rows each panel of the extract has.
+PREPARE = """pm AS (SELECT star_id, mission, idx, time, flux / quantile_cont(flux, 0.5) OVER (PARTITION BY star_id) AS flux FROM pts WHERE star_id IN (SELECT star_id FROM wa)),
+fi AS ({fit}), fa AS (SELECT star_id, mission, idx, time, CASE WHEN abs(t) > 1e-12 THEN flux / t ELSE flux END AS flux FROM fi),
+fm AS (SELECT star_id, quantile_cont(flux, 0.5) AS med FROM fa GROUP BY 1), fd AS (SELECT star_id, any_value(med) AS med, quantile_cont(abs(flux - med), 0.5) AS mad FROM fa JOIN fm USING (star_id) GROUP BY 1),
+fn AS (SELECT star_id, mission, idx, time, greatest(least((flux - med) / (mad + 1e-6), 10), -10) AS flux FROM fa JOIN fd USING (star_id)),
+w AS (SELECT s.star_id, s.mission, s.start, idx, flux FROM seg s JOIN fn ON fn.star_id = s.star_id AND idx >= s.start AND idx < s.start + 16),
+dq AS (SELECT star_id, start, x / (1 + x) AS p FROM (SELECT star_id, start, (any_value(med) - min(flux)) / (quantile_cont(abs(flux - med), 0.5) + 1e-6) AS x FROM (SELECT *, quantile_cont(flux, 0.5) OVER (PARTITION BY star_id, start) AS med FROM w) GROUP BY 1, 2)),
+su AS (SELECT star_id, any_value(n_points) AS n_points, count(p) AS n_segments, max(p) AS best, stddev_pop(p) AS std FROM dq JOIN (SELECT star_id, n_points FROM curves) USING (star_id) GROUP BY 1),
+bs AS (SELECT star_id, start AS best_start FROM dq QUALIFY row_number() OVER (PARTITION BY star_id ORDER BY p DESC, start) = 1)"""
+EXTRACT = "n_points + 16 + CASE WHEN n_segments > 13 THEN least(best_start + 12, 16) + least(n_points - best_start - 4, 16) ELSE 0 END"
+LISTS = "SELECT * FROM (SELECT 'normal' AS list, star_id, best FROM {src} WHERE n_segments BETWEEN 1 AND 13 ORDER BY best - 0.5 * std DESC, best DESC, star_id LIMIT 8) UNION ALL SELECT * FROM (SELECT 'long', star_id, best FROM {src} WHERE n_segments > 13 ORDER BY best DESC, star_id LIMIT 8)"
+FIT = "SELECT star_id, mission, idx, time, flux, (b0 * (m2 * m4 - m3 * m3) - m1 * (b1 * m4 - b2 * m3) + m2 * (b1 * m3 - b2 * m2)) / (n * (m2 * m4 - m3 * m3) - m1 * (m1 * m4 - m2 * m3) + m2 * (m1 * m3 - m2 * m2)) AS t FROM (SELECT a.star_id, a.mission, a.idx, a.time, a.flux, CAST(count(*) AS DOUBLE) AS n, CAST(sum(b.idx - a.idx) AS DOUBLE) AS m1, CAST(sum((b.idx - a.idx) ** 2) AS DOUBLE) AS m2, CAST(sum((b.idx - a.idx) ** 3) AS DOUBLE) AS m3, CAST(sum((b.idx - a.idx) ** 4) AS DOUBLE) AS m4, sum(b.flux) AS b0, sum(b.flux * (b.idx - a.idx)) AS b1, sum(b.flux * (b.idx - a.idx) ** 2) AS b2 FROM {points} a JOIN {points} b ON a.star_id = b.star_id AND b.idx BETWEEN a.idx - 10 AND a.idx + 10 GROUP BY 1, 2, 3, 4, 5)"
 
 
-@query("l7_two_stage_vetting", sql("SELECT star_id, count(*) AS n FROM pts WHERE star_id IN (SELECT star_id FROM (SELECT star_id FROM summ WHERE n_segments BETWEEN 1 AND 13 ORDER BY best - 0.5 * std DESC, best DESC, star_id LIMIT 8) UNION ALL SELECT star_id FROM (SELECT star_id FROM summ WHERE n_segments > 13 ORDER BY best DESC, star_id LIMIT 8)) GROUP BY 1", base=SUMM))
+@query("l7_two_stage_vetting", sql(f"SELECT star_id, best, {EXTRACT} AS n FROM su JOIN bs USING (star_id)", "best", base=f"{SUMM}, wa AS (SELECT star_id FROM ({LISTS.format(src='summ')})), {PREPARE.format(fit=FIT.format(points='pm'))}"))
 def _(s, d):
-    lists = R.vetting_lists(summary(s, d), 13, 8)
-    picked = X.points(s, d).join(lists.select("star_id"), "star_id", "left_semi")
-    again = summary(s, d).join(lists.select("star_id"), "star_id", "left_semi")
-    return T.vetting_extract(picked, again, 16, 4, 13).where("panel = 'curve'").groupBy("star_id").agg(F.count("*").alias("n"))
+    """Stars picked by one scorer, scored again by another from their points, with the rows of their extracts."""
+    again, extract = P.vet(X.points(s, d), R.vetting_lists(summary(s, d), 13, 8), 16, 4, 21, 13)
+    return extract.groupBy("star_id").agg(F.count("*").alias("n")).join(again.select("star_id", "best"), "star_id")
 
 
 # ---- M, N: models, embeddings, streams ---------------------------------------------------------------------------------------------
 
 DIP = f"{LAB}, dp AS (SELECT star_id, mission, start, x / (1 + x) AS p FROM (SELECT star_id, mission, start, (any_value(med) - min(flux)) / (quantile_cont(abs(flux - med), 0.5) + 1e-6) AS x FROM (SELECT *, quantile_cont(flux, 0.5) OVER (PARTITION BY star_id, start) AS med FROM wp) GROUP BY 1, 2, 3))"
+
+
+def lowest():
+    """A model as a factory makes it: here, the lowest point of each window."""
+    return lambda x: x.min(1)
+
+
 packed = lambda s, d: E.pack_windows(X.window_points(s, d))
+simple("m1_score_windows_loaded", lambda s, d: E.score_windows_loaded(packed(s, d), lowest, X.WINDOW).select(*KEYS, "score"), sql("SELECT star_id, start, min(flux) AS score FROM wp GROUP BY 1, 2", "score", base=LAB))
 simple("m1_score_windows", lambda s, d: E.score_windows(packed(s, d), lambda x: x.min(1)).select(*KEYS, "score"), sql("SELECT star_id, start, min(flux) AS score FROM wp GROUP BY 1, 2", "score", base=LAB))
 simple("m2_score_meta", lambda s, d: E.score_windows(packed(s, d).join(W.filter_segments(X.window_points(s, d), least_abs=40.0), [*KEYS, "mission"]), lambda x: x.max(1)).select(*KEYS, "score"), sql("SELECT star_id, start, max(flux) AS score FROM wp GROUP BY 1, 2 HAVING avg(abs(flux)) >= 40 AND avg(CASE WHEN flux = 0 THEN 1e0 ELSE 0e0 END) <= 0.5", "score", base=LAB))
 simple("m3_dip_score", lambda s, d: E.dip_score(X.window_points(s, d)), sql("SELECT * FROM dp", "p", base=DIP))
-simple("m4_train_window_classifier", lambda s, d: E.train_window_classifier(f := E.window_features(X.window_points(s, d)).join(X.labelled(s, d).select(*KEYS, "label"), [*KEYS]))(f).select(*KEYS, "label", "score"))
-simple("m5_score_stars", lambda s, d: E.score_stars(X.points(s, d), 16, 4, 5), sql("SELECT star_id, mission, start, p, score FROM (SELECT *, avg(p) FILTER (r <= 5) OVER (PARTITION BY star_id, mission) AS score FROM (SELECT *, row_number() OVER (PARTITION BY star_id, mission ORDER BY p DESC, start) AS r FROM dn)) WHERE r <= 5", "p score", base=f"{LAB}, md AS (SELECT star_id, quantile_cont(flux, 0.5) AS med FROM pts GROUP BY 1), mm AS (SELECT star_id, any_value(med) AS med, quantile_cont(abs(flux - med), 0.5) AS mad FROM pts JOIN md USING (star_id) GROUP BY 1), np AS (SELECT star_id, mission, start, idx, (flux - med) / (mad + 1e-6) AS flux FROM wp JOIN mm USING (star_id)), dn AS (SELECT star_id, mission, start, x / (1 + x) AS p FROM (SELECT star_id, mission, start, (any_value(med) - min(flux)) / (quantile_cont(abs(flux - med), 0.5) + 1e-6) AS x FROM (SELECT *, quantile_cont(flux, 0.5) OVER (PARTITION BY star_id, start) AS med FROM np) GROUP BY 1, 2, 3))"))
+
+
+@query("m4_train_window_classifier")
+def _(s, d):
+    """Boosted trees that tell windows with injected transits, and their area under the curve on stars that were held out."""
+    points = X.points(s, d)
+    flat = C.robust_scale(points, ["star_id", "mission"]).drop("flux").withColumnRenamed("scaled", "flux")
+    chosen = S.choose_stars(curves(s, d), 0.5, "m4")
+    injected = checkpointed(C.inject_box_transits(flat.join(chosen, "star_id", "left_semi"), "m4", 1e-2).select(*flat.columns, "injected").unionByName(flat.join(chosen, "star_id", "left_anti").withColumn("injected", F.lit(0))))
+    segments = W.make_segments(X.curves(points), X.WINDOW, X.STRIDE)
+    labels = W.label_by_count(segments, injected.withColumnRenamed("injected", "hit"), 1)
+    features = E.window_features(W.window_points(injected, segments, X.WINDOW, X.STRIDE)).join(labels.select("star_id", "mission", "start", "label"), ["star_id", "mission", "start"])
+    weighted = W.confidence_weight(features, X.ephemeris(s, d))
+    scored = checkpointed(E.boosted_window_classifier(weighted, S.stratified_star_split(weighted, "m4"), "weight"))
+    held = R.roc_auc(scored.where("split = 'test'"), "score").withColumnRenamed("roc_auc", "test_auc")
+    return scored.select(*KEYS, "label", "split", "score").crossJoin(F.broadcast(held))
+
+
+NORMED = f"{LAB}, md AS (SELECT star_id, quantile_cont(flux, 0.5) AS med FROM pts GROUP BY 1), mm AS (SELECT star_id, any_value(med) AS med, quantile_cont(abs(flux - med), 0.5) AS mad FROM pts JOIN md USING (star_id) GROUP BY 1), np AS (SELECT star_id, mission, start, idx, (flux - med) / (mad + 1e-6) AS flux FROM wp JOIN mm USING (star_id)), dn AS (SELECT star_id, mission, start, x / (1 + x) AS p FROM (SELECT star_id, mission, start, (any_value(med) - min(flux)) / (quantile_cont(abs(flux - med), 0.5) + 1e-6) AS x FROM (SELECT *, quantile_cont(flux, 0.5) OVER (PARTITION BY star_id, start) AS med FROM np) GROUP BY 1, 2, 3))"
+simple("m5_score_stars", lambda s, d: E.score_stars(X.points(s, d), 16, 4, 5), sql("SELECT star_id, mission, start, p, score FROM (SELECT *, avg(p) FILTER (r <= 5) OVER (PARTITION BY star_id, mission) AS score FROM (SELECT *, row_number() OVER (PARTITION BY star_id, mission ORDER BY p DESC, start) AS r FROM dn)) WHERE r <= 5", "p score", base=NORMED))
 
 
 def star_vectors(s, d):
@@ -376,9 +465,11 @@ label_scores = lambda s, d: load(s, d, "embeddings").withColumn("score", F.col("
 
 @query("m10_smooth_scores")
 def _(s, d):
-    smooth = checkpointed(E.smooth_scores(label_scores(s, d), "score").select("vec_id", "score", "smooth"))
+    """Scores smoothed over the embedding by boosted trees, with R² of the fifth that was held out."""
+    smooth = checkpointed(E.boosted_smooth_scores(label_scores(s, d), "score", "vec_id").select("vec_id", "score", "smooth", "split"))
     top = E.above_cut(smooth, "smooth").select("vec_id", F.lit(1).alias("above_cut"))
-    return smooth.join(top, "vec_id", "left").crossJoin(F.broadcast(R.r_squared(smooth, "score", "smooth"))).select("vec_id", "smooth", "r2", F.coalesce("above_cut", F.lit(0)).alias("above_cut"))
+    held = R.r_squared(smooth.where("split = 'test'"), "score", "smooth")
+    return smooth.join(top, "vec_id", "left").crossJoin(F.broadcast(held)).select("vec_id", "split", "smooth", "r2", F.coalesce("above_cut", F.lit(0)).alias("above_cut"))
 
 
 simple("m11_binary_embedding_classifier", lambda s, d: E.binary_embedding_classifier(load(s, d, "embeddings").select("vec_id", "embedding", (F.col("label") >= 5).cast("int").alias("label")), "vec_id").select("vec_id", "label", "split", "probability"))
@@ -392,8 +483,19 @@ simple("m14_star_anomalies_on_self", lambda s, d: E.star_anomalies(X.points(s, d
 K2 = f"pe AS MATERIALIZED ({PREPARED}), ke AS MATERIALIZED (SELECT star_id, mission, period_days, t0_mission + 2454833 AS t0_mission, duration_days FROM pe WHERE mission = 'k2' UNION ALL SELECT star_id, mission, period_days, t0_mission + 2454833, duration_days FROM eph WHERE mission = 'k2'), ks AS MATERIALIZED (SELECT star_id FROM ke UNION SELECT star_id FROM named WHERE mission = 'k2'), kp AS (SELECT star_id, mission, idx, time + 2454833 AS time FROM pts WHERE mission = 'k2'), kh AS MATERIALIZED (SELECT p.star_id, p.idx, max(coalesce({X.HIT}, 0)) AS hit FROM kp p LEFT JOIN ke e ON p.star_id = e.star_id GROUP BY 1, 2)"
 simple("p1_label_mission", lambda s, d: P.label_mission(X.catalog(s, d), shifted(s, d), "k2", 16, 4, 4, X.ephemeris(s, d)), sql("SELECT s.star_id, s.mission, s.start, s.start + 16 AS \"end\", CASE WHEN sum(hit) >= 4 THEN 1 ELSE 0 END AS label FROM seg s JOIN kh h ON h.star_id = s.star_id AND h.idx >= s.start AND h.idx < s.start + 16 WHERE s.mission = 'k2' AND s.star_id IN (SELECT star_id FROM ks WHERE star_id IS NOT NULL) GROUP BY 1, 2, 3", ints="label", base=f"{PTS}, {CAT}, {K2}"))
 simple("p2_mission_training_set", lambda s, d: P.mission_training_set(X.scored(s, d)).select(*KEYS, "label", "weight", "n_leaks"), sql("SELECT *, 0 AS n_leaks FROM (SELECT star_id, start, label, 1e0 AS weight FROM tr WHERE label = 1 UNION ALL SELECT star_id, start, label, 1e0 FROM (SELECT *, row_number() OVER (ORDER BY " + MD5.format(seed="b") + ") AS g FROM tr WHERE label = 0) WHERE g <= (SELECT sum(label) FROM tr) UNION ALL SELECT star_id, start, label, 2e0 FROM (SELECT * FROM (SELECT * FROM (SELECT *, " + MD5.format(seed="m") + " AS k, row_number() OVER (PARTITION BY star_id ORDER BY " + MD5.format(seed="m") + ") AS n FROM tr WHERE label = 0) WHERE n <= 4 ORDER BY k LIMIT 100) ORDER BY p DESC, star_id, start LIMIT 30))", "weight", "label n_leaks", base=f"{SCO}, {STAR.format(seed='7')}, tr AS (SELECT sco.* FROM sco JOIN ({SHARES}) q USING (star_id) WHERE q.split = 'train')"))
-simple("p3_capped_training_set", lambda s, d: R.cap_per_star(W.confidence_weight(W.label_by_overlap(times(s, d), X.ephemeris(s, d)), X.ephemeris(s, d)), 6, "h").select(*KEYS, "label", "weight"), sql("SELECT star_id, start, label, weight FROM (SELECT *, CASE WHEN star_id IN (SELECT star_id FROM eph) THEN 1.0 ELSE 0.3 END AS weight, row_number() OVER (PARTITION BY star_id, label ORDER BY " + MD5.format(seed="h") + ") AS n, least(sum(label) OVER (PARTITION BY star_id), 3) AS pos FROM ov) WHERE CASE WHEN label = 1 THEN n <= pos ELSE n <= 6 - pos END", "weight", "label", base=f"{TIMES}, ov AS (SELECT t.star_id, t.start, max(CASE WHEN ceil((a - 1.5 * duration_days - t0_mission) / period_days) <= floor((b + 1.5 * duration_days - t0_mission) / period_days) THEN 1 ELSE 0 END) AS label FROM tm t LEFT JOIN eph e ON t.star_id = e.star_id GROUP BY 1, 2)"))
-FIT = "SELECT star_id, mission, idx, time, flux, (b0 * (m2 * m4 - m3 * m3) - m1 * (b1 * m4 - b2 * m3) + m2 * (b1 * m3 - b2 * m2)) / (n * (m2 * m4 - m3 * m3) - m1 * (m1 * m4 - m2 * m3) + m2 * (m1 * m3 - m2 * m2)) AS t FROM (SELECT a.star_id, a.mission, a.idx, a.time, a.flux, CAST(count(*) AS DOUBLE) AS n, CAST(sum(b.idx - a.idx) AS DOUBLE) AS m1, CAST(sum((b.idx - a.idx) ** 2) AS DOUBLE) AS m2, CAST(sum((b.idx - a.idx) ** 3) AS DOUBLE) AS m3, CAST(sum((b.idx - a.idx) ** 4) AS DOUBLE) AS m4, sum(b.flux) AS b0, sum(b.flux * (b.idx - a.idx)) AS b1, sum(b.flux * (b.idx - a.idx) ** 2) AS b2 FROM {points} a JOIN {points} b ON a.star_id = b.star_id AND b.idx BETWEEN a.idx - 10 AND a.idx + 10 GROUP BY 1, 2, 3, 4, 5)"
+CAPPED = f"""es AS MATERIALIZED (SELECT star_id, mission, period_days, t0_mission, duration_days FROM ({SIMPLE}) UNION ALL SELECT star_id, mission, period_days, t0_mission, duration_days FROM eph),
+pq AS (SELECT *, dense_rank() OVER (PARTITION BY star_id ORDER BY floor(time / 7)) AS f FROM pts), ps AS (SELECT star_id, mission, row_number() OVER (PARTITION BY star_id ORDER BY time) - 1 AS idx, time, flux FROM pq WHERE f <= 4),
+p1 AS (SELECT star_id, quantile_cont(flux, 0.5) AS med FROM ps GROUP BY 1), p2 AS (SELECT star_id, any_value(med) AS med, quantile_cont(abs(flux - med), 0.5) AS mad FROM ps JOIN p1 USING (star_id) GROUP BY 1),
+sg AS (SELECT star_id, mission, unnest(range(0, n - 16 + 1, 4)) AS start FROM (SELECT star_id, mission, count(*) AS n FROM ps GROUP BY 1, 2) WHERE n >= 16),
+pw AS (SELECT s.star_id, s.mission, s.start, idx, time, (flux - med) / (mad + 1e-6) AS flux FROM sg s JOIN ps p ON p.star_id = s.star_id AND idx >= s.start AND idx < s.start + 16 JOIN p2 ON p2.star_id = s.star_id),
+ta AS (SELECT star_id, mission, start, min(time) AS a, max(time) AS b, min(flux) - quantile_cont(flux, 0.5) AS lo FROM pw GROUP BY 1, 2, 3),
+ov AS (SELECT t.star_id, t.start, any_value(lo) AS lo, max(CASE WHEN period_days > 0 AND ceil((a - 1.5 * duration_days - t0_mission) / period_days) <= floor((b + 1.5 * duration_days - t0_mission) / period_days) THEN 1 ELSE 0 END) AS label, max(CASE WHEN e.star_id IS NOT NULL THEN 1.0 ELSE 0.3 END) AS weight FROM ta t LEFT JOIN es e ON t.star_id = e.star_id AND t.mission = e.mission GROUP BY 1, 2),
+ca AS (SELECT star_id, start, label, weight, lo FROM (SELECT *, row_number() OVER (PARTITION BY star_id, label ORDER BY {MD5.format(seed="h")}) AS n, least(sum(label) OVER (PARTITION BY star_id), 3) AS pos FROM ov) WHERE CASE WHEN label = 1 THEN n <= pos ELSE n <= 6 - pos END),
+cs AS (SELECT *, row_number() OVER (PARTITION BY has_pos ORDER BY md5('h|' || star_id), star_id) AS r FROM (SELECT star_id, max(label) AS has_pos FROM ca GROUP BY 1)),
+cq AS (SELECT star_id, CASE WHEN r <= k THEN 'test' WHEN r <= 2 * k THEN 'val' ELSE 'train' END AS split FROM (SELECT *, CASE WHEN has_pos = 0 THEN floor(n0 * 0.2e0) ELSE floor(a * 0.2e0) - floor(n0 * 0.2e0) END AS k FROM cs, (SELECT count(*) AS a, sum(1 - has_pos) AS n0 FROM cs)))"""
+weeks = lambda s, d: X.points(s, d).withColumn("product_id", F.floor(F.col("time") / 7)).withColumn("preferred", F.lit("tess"))
+simple("p3_capped_training_set", lambda s, d: P.capped_training_set(weeks(s, d), I.simple_ephemeris(I.add_star_id(X.catalog(s, d))).unionByName(X.ephemeris(s, d)), ["tess", "kepler", "k2"], 16, 4, 6).select(*KEYS, "label", "weight", "split", F.array_min("values").alias("lo")),
+       sql("SELECT star_id, start, label, weight, split, lo FROM ca JOIN cq USING (star_id)", "weight lo", "label", base=f"{PTS}, {CAT}, {CAPPED}"))
 INJECTED = f"""tg AS (SELECT star_id, row_number() OVER (ORDER BY pos) - 1 AS place, count(*) OVER () AS n FROM (SELECT 'EPIC_' || o_custkey AS star_id, min(o_orderkey) AS pos FROM orders GROUP BY 1)),
 sp AS (SELECT star_id, CASE WHEN place < round_even(n * 0.8e0, 0) THEN 'train' WHEN place < round_even(n * 0.8e0, 0) + round_even(n * 0.1e0, 0) THEN 'val' ELSE 'test' END AS split FROM tg),
 ch AS (SELECT star_id FROM sp QUALIFY row_number() OVER (ORDER BY md5('s|' || star_id)) <= greatest(floor(count(*) OVER () * 0.5e0 + 0.5), 1)),
@@ -408,19 +510,19 @@ lb AS (SELECT star_id, start, max(CASE WHEN abs(t - (a + b) / 2) <= 0.15 * (b -
 targets = lambda s, d: A.campaign_targets(orders(s, d), "pos", "EPIC_")
 simple("p4_injected_dataset", lambda s, d: P.injected_dataset(targets(s, d), X.points(s, d), 16, 4, 21, depth_unit=1e-3).select("star_id", "mission", "start", "end", "split", "label", F.array_min("values").alias("lo"), (F.element_at("ch1", 16) - F.element_at("ch1", 1)).alias("last")),
        sql('SELECT w.star_id, w.mission, w.start, w.start + 16 AS "end", split, label, min(flux) AS lo, arg_max(flux, idx) - arg_max(flux, CASE WHEN idx < w.start + 15 THEN idx ELSE -1 END) AS last FROM w JOIN lb USING (star_id, start) JOIN sp USING (star_id) GROUP BY 1, 2, 3, 4, 5, 6', "lo last", "label", base=f"{PTS}, {INJECTED}"))
-simple("p5_survey", lambda s, d: R.topk_mean(E.dip_score(X.window_points(s, d)), ["star_id"], 5).orderBy(F.desc("score"), "star_id"), sql("SELECT star_id, avg(p) AS score FROM (SELECT *, row_number() OVER (PARTITION BY star_id ORDER BY p DESC, start) AS r FROM dp) WHERE r <= 5 GROUP BY 1", "score", base=DIP))
-VETTED = f"""wa AS (SELECT DISTINCT c.star_id FROM curves c JOIN orders ON c.star_id = 'EPIC_' || o_custkey WHERE c.star_id NOT IN (SELECT star_id FROM eph WHERE period_days = 3)),
-pm AS (SELECT star_id, mission, idx, time, flux / quantile_cont(flux, 0.5) OVER (PARTITION BY star_id) AS flux FROM pts WHERE star_id IN (SELECT star_id FROM wa)),
-fi AS ({FIT.format(points="pm")}), fl AS (SELECT star_id, mission, idx, time, CASE WHEN abs(t) > 1e-12 THEN flux / t ELSE flux END AS flux FROM fi),
-w AS (SELECT s.star_id, s.mission, s.start, idx, flux FROM seg s JOIN fl ON fl.star_id = s.star_id AND idx >= s.start AND idx < s.start + 16),
-dq AS (SELECT star_id, start, x / (1 + x) AS p FROM (SELECT star_id, start, (any_value(med) - min(flux)) / (quantile_cont(abs(flux - med), 0.5) + 1e-6) AS x FROM (SELECT *, quantile_cont(flux, 0.5) OVER (PARTITION BY star_id, start) AS med FROM w) GROUP BY 1, 2)),
-su AS (SELECT star_id, any_value(n_points) AS n_points, count(p) AS n_segments, max(p) AS best, stddev_pop(p) AS std FROM dq JOIN (SELECT star_id, n_points FROM curves) USING (star_id) GROUP BY 1),
-li AS (SELECT * FROM (SELECT 'normal' AS list, star_id, best, n_points, n_segments FROM su WHERE n_segments <= 13 ORDER BY best - 0.5 * std DESC, best DESC, star_id LIMIT 8) UNION ALL SELECT * FROM (SELECT 'long', star_id, best, n_points, n_segments FROM su WHERE n_segments > 13 ORDER BY best DESC, star_id LIMIT 8)),
-bs AS (SELECT star_id, start AS best_start FROM dq QUALIFY row_number() OVER (PARTITION BY star_id ORDER BY p DESC, start) = 1)"""
-simple("p6_score_and_vet", lambda s, d: P.score_and_vet(X.points(s, d), A.load_ids(orders(s, d), "epic_number", "pos").select(F.concat(F.lit("EPIC_"), "target").alias("star_id")), X.ephemeris(s, d).where("period_days = 3"), 16, 4, 21, 13, 8).select("list", "star_id", "best", "n_extract"),
-       sql("SELECT list, star_id, best, n_points + 16 + CASE WHEN n_segments > 13 THEN least(best_start + 12, 16) + least(n_points - best_start - 4, 16) ELSE 0 END AS n_extract FROM li JOIN bs USING (star_id)", "best", base=f"{PTS}, {VETTED}"))
+PRODUCTS = INJECTED.replace("cu AS (SELECT star_id, mission, idx, time, flux FROM pts WHERE", "cu AS (SELECT star_id, mission, row_number() OVER (PARTITION BY star_id ORDER BY time) - 1 AS idx, time, flux FROM pts WHERE idx % 3 <> 0 AND").replace("pa AS (", "sg AS (SELECT star_id, mission, unnest(range(0, n - 16 + 1, 4)) AS start FROM (SELECT star_id, mission, count(*) AS n FROM cu GROUP BY 1, 2) WHERE n >= 16),\npa AS (").replace("FROM seg s JOIN fl", "FROM sg s JOIN fl")
+versions = lambda s, d: X.points(s, d).withColumn("product_id", F.when(F.col("idx") % 3 == 0, 1).otherwise(2)).withColumn("provenance", F.when(F.col("idx") % 3 == 0, "QLP").otherwise("SPOC"))
+simple("p4_injected_dataset_products", lambda s, d: P.injected_dataset(targets(s, d), versions(s, d), 16, 4, 21, depth_unit=1e-3, priority=("SPOC",), banned=("EVEREST",)).select("star_id", "mission", "start", "end", "split", "label", F.array_min("values").alias("lo")),
+       sql('SELECT w.star_id, w.mission, w.start, w.start + 16 AS "end", split, label, min(flux) AS lo FROM w JOIN lb USING (star_id, start) JOIN sp USING (star_id) GROUP BY 1, 2, 3, 4, 5, 6', "lo", "label", base=f"{PTS}, {PRODUCTS}"))
+simple("p5_survey", lambda s, d: P.survey(X.points(s, d), 16, 4), sql("SELECT star_id, avg(p) AS score FROM (SELECT *, row_number() OVER (PARTITION BY star_id ORDER BY p DESC, start) AS r FROM dn) WHERE r <= 5 GROUP BY 1", "score", base=NORMED))
+WANTED = "wa AS (SELECT DISTINCT c.star_id FROM curves c JOIN orders ON c.star_id = 'EPIC_' || o_custkey WHERE c.star_id NOT IN (SELECT star_id FROM eph WHERE period_days = 3))"
+simple("p6_score_and_vet", lambda s, d: P.score_and_vet(X.points(s, d), A.load_ids(orders(s, d), "epic_number", "pos").select(F.concat(F.lit("EPIC_"), "target").alias("star_id")), X.ephemeris(s, d).where("period_days = 3"), 16, 4, 21, 13, 8).select("list", "star_id", "best", "best_again", "n_extract"),
+       sql(f"SELECT list, li.star_id, li.best, li.best AS best_again, {EXTRACT} AS n_extract FROM li JOIN su USING (star_id) JOIN bs USING (star_id)", "best best_again", base=f"{PTS}, {WANTED}, {PREPARE.format(fit=FIT.format(points='pm'))}, li AS ({LISTS.format(src='su')})"))
 HIGHEST = TRI.replace("p >= 0.5 ", "p >= (SELECT quantile_cont(p, 0.99) FROM sco) ").replace("p >= 0.5)", "p >= (SELECT quantile_cont(p, 0.99) FROM sco))").replace("p >= 0.5,", "p >= (SELECT quantile_cont(p, 0.99) FROM sco),").replace("p >= 0.425", "p >= 0.85e0 * (SELECT quantile_cont(p, 0.99) FROM sco)")
-simple("p7_triage", lambda s, d: P.triage_run(X.scored(s, d)).select("star_id", "best_segment_score", "flag_periodic", "flag_singleton_spike", "n_segments_above_thr"), sql("SELECT star_id, max(p) AS best_segment_score, any_value(flag_periodic) AS flag_periodic, any_value(flag_singleton_spike) AS flag_singleton_spike, any_value(n_segments_above_thr) AS n_segments_above_thr FROM sco JOIN fl USING (star_id) GROUP BY 1", "best_segment_score", "flag_periodic flag_singleton_spike", base=HIGHEST))
+DIPPED = SCO.replace("sco AS (SELECT lab.*, pp.p, pp.seg_mid_time FROM lab JOIN pp USING (star_id, start))", "dip AS (SELECT star_id, start, round(x / (1 + x), 9) AS p FROM (SELECT star_id, start, (any_value(med) - min(flux)) / (quantile_cont(abs(flux - med), 0.5) + 1e-6) AS x, avg(abs(flux)) AS energy FROM (SELECT *, quantile_cont(flux, 0.5) OVER (PARTITION BY star_id, start) AS med FROM wp) GROUP BY 1, 2) WHERE energy >= 40), sco AS (SELECT lab.*, dip.p, pp.seg_mid_time FROM lab JOIN pp USING (star_id, start) JOIN dip USING (star_id, start))")
+rounded_dips = lambda w: E.dip_score(w).withColumn("p", F.round("p", 9))
+simple("p7_triage", lambda s, d: P.triage_windows(X.points(s, d), W.make_segments(curves(s, d), 16, 4), rounded_dips, 16, 4, 0.9, least_abs=40.0).select("star_id", "best_segment_score", "flag_periodic", "flag_singleton_spike", "n_segments_above_thr"), sql("SELECT star_id, max(p) AS best_segment_score, any_value(flag_periodic) AS flag_periodic, any_value(flag_singleton_spike) AS flag_singleton_spike, any_value(n_segments_above_thr) AS n_segments_above_thr FROM sco JOIN fl USING (star_id) GROUP BY 1", "best_segment_score", "flag_periodic flag_singleton_spike", base=HIGHEST.replace(SCO, DIPPED).replace("0.99", "0.9e0")))
+simple("p7_triage_of_scores", lambda s, d: P.triage_run(X.scored(s, d)).select("star_id", "best_segment_score", "flag_periodic", "flag_singleton_spike", "n_segments_above_thr"), sql("SELECT star_id, max(p) AS best_segment_score, any_value(flag_periodic) AS flag_periodic, any_value(flag_singleton_spike) AS flag_singleton_spike, any_value(n_segments_above_thr) AS n_segments_above_thr FROM sco JOIN fl USING (star_id) GROUP BY 1", "best_segment_score", "flag_periodic flag_singleton_spike", base=HIGHEST))
 simple("p8_evaluate", lambda s, d: P.evaluate((x := X.scored(s, d)), S.stratified_star_split(x, "7")), sql("SELECT * FROM rep UNION ALL SELECT 'all', 'fused', 'average_precision', sum(pos / ap * tp / (tp + fp)) FROM fc UNION ALL SELECT 'all', 'fused', 'roc_auc', sum(pos * (an - fp) + pos * neg * 0.5) / any_value(ap * an) FROM fc UNION ALL SELECT 'all', 'hard_negative_bank', 'mean', avg(p) FROM (SELECT p FROM (SELECT * FROM rk WHERE r <= 3 AND star_id IN (SELECT star_id FROM star WHERE y_star = 0) ORDER BY p DESC, star_id, start LIMIT 200) ORDER BY p DESC LIMIT 50) UNION ALL SELECT 'all', 'false_positives', 'mean', avg(p) FROM (SELECT p FROM sco WHERE star_id IN (SELECT star_id FROM star WHERE y_star = 0 ORDER BY score_max DESC, star_id LIMIT 5) ORDER BY p DESC, star_id, start LIMIT 40) UNION ALL SELECT 'all', 'leaks', 'n', 0e0", "value", base=EVAL + ", fb AS (SELECT round(top_median + 0.10 * share_high - 0.20 * (score_max - top_mean), 12) AS p, CAST(sum(y_star) AS DOUBLE) AS pos, CAST(sum(1 - y_star) AS DOUBLE) AS neg FROM star GROUP BY 1), fc AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS ap, sum(neg) OVER () AS an FROM fb WINDOW w AS (ORDER BY p DESC))"))
 loose = lambda s, d: load(s, d, "events").select(F.concat_ws(",", F.col("user_id").cast("string"), F.col("value").cast("string")).alias("value"))
 simple("p9_embedding_report", lambda s, d: P.embedding_report(label_scores(s, d), star_vectors(s, d), loose(s, d)))
@@ -438,6 +540,18 @@ def _(s, d):
     return star_scores_so_far(s, f"{folder}/out")
 
 
+@query("n1_stream_score_rows", sql(ROWS.format(q50="list_sort(list(p) FILTER (p IS NOT NULL))[CAST(ceil(0.5e0 * count(p)) AS BIGINT)]", q95="list_sort(list(p) FILTER (p IS NOT NULL))[CAST(ceil(0.95e0 * count(p)) AS BIGINT)]"), NUMBERS, "best_seg_idx best_start best_end", base=SCO))
+def _(s, d):
+    """All fields of every curve's score, from a stream over files that hold parts of many curves."""
+    from ..streaming.star_scores import score_rows_so_far, stream_star_scores
+
+    folder = new_folder(s, "stream")
+    rows = timed(s, d).select("star_id", "mission", "start", "p", "t_first", "t_last")
+    rows.repartition(6, "start").write.parquet(f"{folder}/in")
+    stream_star_scores(s, f"{folder}/in", rows.schema, f"{folder}/out", f"{folder}/log", 2).awaitTermination()
+    return score_rows_so_far(s, f"{folder}/out", X.curves(X.points(s, d)), X.WINDOW, X.STRIDE)
+
+
 def flagship(spark, sf_dir):
     """Labelled windows of all stars, summed up by star."""
     return X.tidy(R.star_scores(X.scored(spark, sf_dir)))

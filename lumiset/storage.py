@@ -49,3 +49,31 @@ def written(df: DataFrame, name: str = "table", partition_by: tuple = ()) -> Dat
     path = new_folder(df.sparkSession, name)
     (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at, jvm
+
+
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """What lies in a folder of any store that Spark reads; nothing if there is none."""
+    fs, at, _ = _file_system(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def put_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there as a whole or not at all."""
+    fs, at, jvm = _file_system(spark, path)
+    part = jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}.part")
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(part, at):
+        raise OSError(f"{path} cannot be written")
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    fs, at, _ = _file_system(spark, path)
+    fs.delete(at, True)

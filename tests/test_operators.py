@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lumiset.functions import ids
 from lumiset.operators import embeddings, ranks, sampling, scores, signals, triage, windows
 from lumiset.schemas import CATALOG, EPHEMERIS, ensure_columns, require_columns
-from lumiset.sources import catalogs
+from lumiset.sources import catalogs, layout, score_log
 from lumiset.streaming import star_scores
 
 
@@ -229,6 +229,141 @@ def test_catalog_columns_under_other_names(spark, tmp_path):
     assert catalogs.read_catalog(spark, str(tmp_path / "empty.csv")).count() == 0
 
 
+def test_score_rows_over_batches_are_those_of_all_windows(spark, tmp_path):
+    """All sixteen fields after three batches and after merging them: equal, but that quantiles are values at a rank."""
+    rng = random.Random(8)
+    rows = [(f"s{k % 4}", m, 4 * i, rng.choice([0.1, 0.9, rng.random()]), float(i), i + 0.5) for k in range(4) for m in ("k2", "tess")[: 1 + k % 2] for i in range(5 + 40 * k)]
+    df = spark.createDataFrame(rows, "star_id string, mission string, start long, p double, t_first double, t_last double")
+    curves = spark.createDataFrame([(f"s{k}", m, 4 * (5 + 40 * k) + 12) for k in range(4) for m in ("k2", "tess")[: 1 + k % 2]] + [("short", "k2", 3), ("gone", "k2", 99), ("bad", "k2", None)], "star_id string, mission string, n_points long")
+    errors = spark.createDataFrame([("bad", "k2", "cannot be read")], "star_id string, mission string, error string")
+    for k in range(3):
+        df.where(F.col("start") / 4 % 3 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    star_scores.stream_star_scores(spark, str(tmp_path / "in"), df.schema, str(tmp_path / "out"), str(tmp_path / "log"), 1).awaitTermination()
+    star_scores.compact(spark, str(tmp_path / "out"), str(tmp_path / "one"))
+    want = {(r.star_id, r.mission): r.asDict() for r in scores.score_rows(curves, df, 16, 4, errors).collect()}
+    assert len(want) == 9 and all(len(r) == 16 for r in want.values()) and {r["status"] for r in want.values()} == {"ok", "too_short_or_missing", "no_segments", "error"}
+    for sink in ("out", "one"):
+        got = {(r.star_id, r.mission): r.asDict() for r in star_scores.score_rows_so_far(spark, str(tmp_path / sink), curves, 16, 4, errors).collect()}
+        assert got.keys() == want.keys()
+        for key, r in got.items():
+            p = sorted(x[3] for x in rows if x[:2] == key)
+            for name, value in r.items():
+                if p and name in ("median_seg_score", "p95_seg_score"):
+                    q = 0.5 if name[0] == "m" else 0.95
+                    between = want[key][name] - 1e-12, want[key][name] + 1e-12
+                    assert value == p[math.ceil(q * len(p)) - 1] and np.searchsorted(p, between[0]) - 1 <= q * len(p) <= np.searchsorted(p, between[1], "right") + 1
+                else:
+                    assert value == pytest.approx(want[key][name], abs=1e-9) if isinstance(value, float) else value == want[key][name]
+
+
+def test_sketches_keep_ranks(spark):
+    """Stored by parts and merged, a million values have ranks within 0.001."""
+    rows = spark.range(1_000_000).select((F.col("id") % 5).alias("g"), F.pmod(F.xxhash64("id"), F.lit(10**9)).cast("double").alias("v"))
+    parts = rows.groupBy("g").agg(ranks.quantile_sketch(F.col("v")).alias("s"))
+    merged = parts.agg(ranks.merge_sketches("s").alias("s"))
+    at = {f"q{int(1000 * q)}": q for q in (0.001, 0.25, 0.5, 0.95, 0.999)}
+    got = merged.select(*(ranks.sketch_quantile(F.col("s"), q).alias(n) for n, q in at.items())).first()
+    below = rows.agg(*(F.avg((F.col("v") <= got[n]).cast("double")).alias(n) for n in at)).first()
+    assert all(abs(below[n] - q) < 1e-3 for n, q in at.items())
+    assert ranks.approximate_quantiles(rows.where("v < 0"), "v", {"x": 0.5}).first()["x"] is None
+
+
+def test_score_log_goes_on_after_a_failure(spark, tmp_path):
+    """The second chunk fails; the next run keeps the first and scores each other star once."""
+    log, schema = str(tmp_path / "log"), "star_id string, best double"
+    stars = spark.createDataFrame([(f"s{i:02}",) for i in range(23)] + [("s01",), (None,)], "star_id string")
+    calls = []
+
+    def score(fails):
+        def run(chunk):
+            names = [r.star_id for r in chunk.collect()]
+            calls.append(names)
+            if fails and len(calls) == 2:
+                raise RuntimeError("stopped")
+            return chunk.select("star_id", F.lit(1.0).alias("best"))
+
+        return run
+
+    with pytest.raises(RuntimeError, match="stopped"):
+        score_log.score_and_append(stars, log, score(True), schema, save_every=5)
+    assert len(score_log.committed(spark, log)) == 1 and score_log.scores_so_far(spark, log, schema).count() == 5
+    (tmp_path / "log" / "chunks" / "unfinished").mkdir()
+    first, calls[:] = calls[0], []
+    out = score_log.score_and_append(stars, log, score(False), schema, save_every=5)
+    assert sorted(len(c) for c in calls) == [3, 5, 5, 5] and not {x for c in calls for x in c} & set(first)
+    assert sorted(r.star_id for r in out.collect()) == [f"s{i:02}" for i in range(23)] and not (tmp_path / "log" / "chunks" / "unfinished").exists()
+    calls[:] = []
+    assert score_log.score_and_append(stars, log, score(False), schema, save_every=5).count() == 23 and not calls
+    assert score_log.score_and_append(stars.limit(2), log, score(False), schema, resume=False).count() == 2
+    assert score_log.scores_so_far(spark, str(tmp_path / "none"), schema).count() == 0
+
+
+def test_clustered_tables_join_without_exchange(spark):
+    """Windows and labels of one mission: its partition only, and no rows are dealt anew by star."""
+    points, ephemeris = two_missions(spark)
+    segments = windows.make_segments(points.groupBy("star_id", "mission").agg(F.count("*").alias("n_points")), 16, 16)
+    p, e, s = layout.clustered(points, "points", buckets=3), layout.clustered(ephemeris, "ephemeris", (), buckets=3), layout.clustered(segments, "segments", ("start",), buckets=3)
+    here = F.col("mission") == "k2"
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cut = windows.window_points(p.where(here), s.where(here), 16, 16)
+        labels = windows.label_by_count(s.where(here), windows.in_transit_any(p.where(here), e.where(here)), 1)
+        for df, n in ((cut, 32), (labels, 2)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "PartitionFilters" in plan and "k2" in plan
+            assert df.count() == n
+        assert {(r.start, r.label) for r in labels.collect()} == {(0, 1), (16, 1)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_model_is_loaded_once_a_worker(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4()}", "w").close()
+        return lambda x: x.max(1)
+
+    rows = spark.range(600).select("id", F.array(*(F.col("id") % k * 1.0 for k in (3, 5, 7))).alias("values")).repartition(12)
+    got = {r.id: r.score for r in embeddings.score_windows_loaded(rows, load, 3, batch=16).collect()}
+    assert got == {i: float(max(i % 3, i % 5, i % 7)) for i in range(600)}
+    loads = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert len(loads) == len(set(loads)) >= 1
+    with pytest.raises(Exception, match="scores for"):
+        embeddings.score_windows_loaded(rows, lambda: lambda x: x.max(1)[1:], 3).collect()
+
+
+def test_boosted_models_on_held_out_rows(spark):
+    rng = random.Random(3)
+    points = [(f"s{i:02}", 0, j, rng.gauss(0, 1) - 6 * (i % 2) * (j == 5)) for i in range(60) for j in range(12)]
+    features = embeddings.window_features(spark.createDataFrame(points, "star_id string, start int, idx int, flux double")).withColumn("label", F.substring("star_id", 2, 2).cast("int") % 2).withColumn("weight", F.lit(1.0))
+    scored = embeddings.boosted_window_classifier(features, sampling.stratified_star_split(features, "1"), "weight", rounds=5)
+    held = scored.where("split = 'test'")
+    assert held.count() == 9 and scores.roc_auc(held, "score").first()[0] > 0.9 and scored.count() == 60
+    x, y, df = vectors(spark, 500)
+    smooth = embeddings.boosted_smooth_scores(df.withColumn("score", F.when(F.col("vec_id") != 9, F.col("score"))), "score", "vec_id", rounds=15)
+    test = smooth.where("split = 'test'")
+    assert test.count() == 100 and smooth.where("smooth is null").count() == 0 and scores.r_squared(test.where("vec_id != 7"), "score", "smooth").first()[0] > 0.7
+
+
+def test_folds_and_extracts_of_two_missions(spark):
+    points, ephemeris = two_missions(spark)
+    both = ephemeris.unionByName(ephemeris.withColumn("mission", F.lit("tess")).withColumn("period_days", F.lit(1.6)))
+    folded = triage.phase_fold(points, both)
+    assert folded.count() == 64 and {(r.mission, r.period_days) for r in folded.collect()} == {("k2", 1.0), ("tess", 1.6)}
+    assert triage.phase_fold(points, both, 4).groupBy("mission").count().count() == 2
+    late = points.withColumn("flux", F.when(F.col("mission") == "tess", F.col("flux") + 1000).otherwise(F.col("flux")))
+    curves = points.groupBy("star_id", "mission").agg(F.count("*").alias("n_points"))
+    summary = scores.score_summary(curves, embeddings.dip_score(windows.window_points(points, windows.make_segments(curves, 16, 16), 16, 16)), 16)
+    assert summary.count() == 2
+    rows = triage.vetting_extract(late, summary, 16, 16).collect()
+    assert {(r.mission, r.panel) for r in rows} == {(m, p) for m in ("k2", "tess") for p in ("curve", "best")} and all(abs(r.residual) < 10 for r in rows)
+
+
 def test_quantiles_are_exact(spark):
     rng = random.Random(2)
     data = [(rng.choice("ab"), rng.choice([rng.random(), 0.5, -1.0])) for _ in range(999)] + [("a", None), ("c", 7.0)]
