@@ -19,9 +19,11 @@ of MIN_WORDS words is thereby covered; inexact ones are found by seeds alone.
 A seed that many texts have is not gathered: of seeds with over ``HOT`` of all rows, of which there are 1 / HOT at most, only
 the first places are taken together, and they are broadcast.
 
-Defined cases: null and empty texts and texts under MIN_WORDS words have no passage; rows with null ids take no part and rows
-that repeat an id count as one text (the smallest by order); passages inside one text only are not reported; an empty table
-gives an empty result; extra columns are ignored. Words are runs without white space, A-Z in lower case.
+Defined cases: null and empty texts and texts under MIN_WORDS words have no passage; rows with null ids take no part; rows that
+repeat an id and its text count as one text. Rows that repeat an id with different texts are different texts: the one with the
+smallest digest stands at the id's place in the order, the others after all ids; passages and cuts are each text's own.
+Passages inside one text only are not reported; an empty table gives an empty result; extra columns are ignored. Words are runs
+without white space, A-Z in lower case.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ranks import digest_ranks
 from .common import MIX, WORD, cut_lineage, mix64, table, word_hashes, words_of, written
 
 K, SPAN = 6, 12
@@ -535,23 +538,70 @@ def missed_passages(open_: DataFrame, found: DataFrame, hits: DataFrame, docs: D
     return exact_passages(window_anchors(docs, both, min_words), min_words)
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: int = IDENTITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start, end, source_id, source_start, source_end, n_same: word ranges that repeat a passage of an earlier text."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
+def text_numbers(rows: DataFrame) -> DataFrame | None:
+    """(number, doc_id, digest): numbers beyond all ids for the texts of ``rows`` (doc_id, text) whose id has another text before
+    them; None where each id has one text."""
+    digest = F.md5(F.col("text"))
+    several = rows.groupBy("doc_id").agg(F.min(digest).alias("_lo"), F.max(digest).alias("_hi")).where("_lo != _hi").select("doc_id", "_lo")
+    several = written(several, "several")
+    if several.isEmpty():
+        return None
+    more = rows.select("doc_id", digest.alias("digest")).distinct().join(several, "doc_id").where("digest != _lo").select("doc_id", "digest", F.lit(1).alias("_g"))
+    last = rows.agg(F.max("doc_id")).first()[0]
+    ranked = digest_ranks(more, ["_g"], F.md5(F.concat_ws("|", "doc_id", "digest")), ["doc_id", "digest"])
+    return written(ranked.select((F.col("_r") + F.lit(last)).cast("long").alias("number"), "doc_id", "digest"), "numbers")
+
+
+def with_numbers(rows: DataFrame, numbers: DataFrame | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``rows`` with ``_number``: the id, or the number of a further text of it."""
+    if numbers is None:
+        return rows.withColumn("_number", F.col(id_col).cast("long"))
+    keyed = rows.withColumns({"_id": F.col(id_col).cast("long"), "_digest": F.md5(F.col(text_col))})
+    named = numbers.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("number").alias("_further"))
+    return keyed.join(named, ["_id", "_digest"], "left").withColumn("_number", F.coalesce("_further", "_id")).drop("_id", "_digest", "_further")
+
+
+def with_ids(found: DataFrame, numbers: DataFrame | None) -> DataFrame:
+    """Passages with documents' ids in the place of numbers."""
+    if numbers is None:
+        return found
+    out = found
+    for c in ("doc_id", "source_id"):
+        named = numbers.select(F.col("number").alias(c), F.col("doc_id").alias("_real"))
+        out = out.join(named, c, "left").withColumn(c, F.coalesce("_real", c)).drop("_real")
+    return out.select(found.columns)
+
+
+def _passages(rows: DataFrame, min_words: int, identity: int) -> DataFrame:
+    """Passages of ``rows`` (doc_id, text), where an id has one text."""
     hits = written(matched(written(seeds(rows, min_words))))
     chained = written(chain_matches(hits.where("doc_id != source_id"), min_words))
     found = written(align_chains(chained.where("source_id is not null"), rows, min_words, identity))
     return found.union(missed_passages(chained.where("source_id is null"), found, hits, rows, min_words)).distinct()
 
 
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
+    numbers = text_numbers(rows)
+    return with_numbers(rows, numbers).select(F.col("_number").alias("doc_id"), "text"), numbers
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: int = IDENTITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, start, end, source_id, source_start, source_end, n_same: word ranges that repeat a passage of an earlier text."""
+    rows, numbers = _numbered(docs, id_col, text_col)
+    return with_ids(_passages(rows, min_words, identity), numbers)
+
+
 def without_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: int = IDENTITY) -> DataFrame:
     """``docs`` with every passage that an earlier text has cut out of ``text``; the first text that holds it keeps it.
 
     Texts without a repeated passage stay exactly as they are, null text stays null; what is left of a text may be empty. White
     space at the end of a cut text goes.
     """
-    found = repeated_passages(docs, min_words, identity).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("_cuts"))
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns) if c != "text"]).alias("_row")).join(found, "doc_id", "left")
+    rows, numbers = _numbered(docs, "doc_id", "text")
+    found = _passages(rows, min_words, identity).groupBy(F.col("doc_id").alias("_number")).agg(F.collect_set(F.struct("start", "end")).alias("_cuts"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns) if c != "text"]).alias("_row"))
+    joined = with_numbers(whole, numbers).join(found, "_number", "left")
 
     def cut(text: str | None, ranges: list | None) -> str | None:
         if not ranges or text is None:
