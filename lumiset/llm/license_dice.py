@@ -7,19 +7,27 @@ only if the text holds at least one of any ``floor(b (2 - 2 t) / (2 - t)) + 1``
 the longest words are taken. Runs of all these lengths are tried that begin and end with a bigram of the template: any other
 run counts no less without its ends. So all three are exact.
 
-Defined cases: null or empty text has no notice; one row for each text and template found, none for texts without; of
-overlapping matches of a template the better counts, of equals the first; repeated rows are searched each; null ids are kept;
-extra columns are ignored. A text of under two words matches nothing.
+A bigram counts in a run unless the run holds as many of its kind before it as the template has; so from one start, the shared
+bigrams of all runs are one running sum, and the starts of a slice are tried together. Of a template's overlapping runs the
+best is taken, and only the starts that reach into it are tried again, up to it. Then each word belongs to one match at most
+over all templates: the one that shares the most bigrams, of equals the one of higher Dice. Time follows the text's length
+times the template's, and memory the text's words.
+
+Defined cases: null or empty text has no notice; one row for each text and licence found, none for texts without; of
+overlapping matches that are alike in both the first counts, and then the first name; repeated rows are searched each; null ids
+are kept; extra columns are ignored. A text of under two words matches nothing. Texts may have any length.
 """
 
 from __future__ import annotations
 
-import itertools
+import bisect
+import heapq
 import math
 import re
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import per_text, table
@@ -69,6 +77,9 @@ UNLICENSE = """This is free and unencumbered software released into the public d
 compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
 non-commercial, and by any means."""
 
+#: Starts of runs that are tried together.
+SLICE = 256
+
 #: The notices by which common licences are named in texts, and those texts.
 TEMPLATES = {
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", APACHE_NOTICE],
@@ -103,7 +114,6 @@ def dice(a: Counter, b: Counter) -> float:
 @dataclass(frozen=True)
 class Template:
     name: str
-    words: tuple
     grams: Counter
     least: int
     most: int
@@ -111,14 +121,70 @@ class Template:
 
     @classmethod
     def of(cls, name: str, text: str, threshold: float) -> Template:
-        words = words_of(text)
-        grams = bigrams(words)
+        grams = bigrams(words_of(text))
         b = grams.total()
         spare = math.floor(b * (2 - 2 * threshold) / (2 - threshold) + 1e-9) + 1
         longest = sorted(set(grams.elements()), key=lambda g: (-max(map(len, g)), g))[:spare]
         if len(longest) < spare:
             longest = sorted(grams)
-        return cls(name, tuple(words), grams, math.ceil(b * threshold / (2 - threshold) - 1e-9), math.floor(b * (2 - threshold) / threshold + 1e-9), tuple(sorted({max(g, key=len) for g in longest})))
+        return cls(name, grams, math.ceil(b * threshold / (2 - threshold) - 1e-9), math.floor(b * (2 - threshold) / threshold + 1e-9), tuple(sorted({max(g, key=len) for g in longest})))
+
+
+class Hits:
+    """The places of a template's bigrams in a text, and the best runs from them."""
+
+    def __init__(self, at: np.ndarray, kind: np.ndarray, times: np.ndarray, t: Template, threshold: float):
+        """``at``: places in order; ``kind``: which bigram each is; ``times``: how often the template has each."""
+        self.at, self.b, self.most, self.threshold = at, t.grams.total(), t.most, threshold
+        order = np.argsort(kind, kind="stable")
+        back = np.arange(len(at)) - times[kind[order]]
+        same = (back >= 0) & (kind[order][np.maximum(back, 0)] == kind[order])
+        #: The place from which on a run must not begin earlier for a bigram to count in it.
+        self.since = np.empty(len(at), np.int64)
+        self.since[order] = np.where(same, at[order][np.maximum(back, 0)], -1)
+        self.need = math.ceil(threshold * (self.b + t.least) / 2 - 1e-9)
+        self.padded = np.concatenate([at, np.full(self.most, 1 << 60)]), np.concatenate([self.since, np.full(self.most, 1 << 60)])
+
+    def best(self, first: int, last: int, limit: int = 1 << 59) -> list[tuple[float, int, int, int]]:
+        """(-Dice, start, end, shared) of the best run from each of the hits ``first`` to ``last`` that reaches the threshold.
+
+        Runs end before place ``limit``; start and end are places of words, the end exclusive.
+        """
+        out = []
+        for k in range(first, last, SLICE):
+            n = min(SLICE, last - k)
+            start = self.at[k : k + n]
+            reach = min(self.most, int(np.searchsorted(self.at, min(int(start[-1]) + self.most, limit)) - k))
+            if reach < self.need:
+                continue
+            at = np.lib.stride_tricks.sliding_window_view(self.padded[0][k : k + n + reach - 1], reach)
+            since = np.lib.stride_tricks.sliding_window_view(self.padded[1][k : k + n + reach - 1], reach)
+            size = at - start[:, None] + 1
+            shared = np.cumsum(since < start[:, None], axis=1)
+            score = np.where((size <= self.most) & (at < limit), 2 * shared / (size + self.b), 0.0)
+            end = score.argmax(1)
+            row = np.flatnonzero(score[np.arange(n), end] >= self.threshold)
+            out += [(-float(score[i, e]), int(start[i]), int(at[i, e]) + 2, int(shared[i, e])) for i, e in zip(row.tolist(), end[row].tolist(), strict=True)]
+        return out
+
+    def matches(self) -> list[tuple[float, int, int, int]]:
+        """The best runs that don't overlap, best first."""
+        waiting = self.best(0, len(self.at))
+        heapq.heapify(waiting)
+        taken: list[tuple[int, int]] = []
+        out = []
+        while waiting:
+            run = heapq.heappop(waiting)
+            _, a, b, _ = run
+            k = bisect.bisect(taken, (a, 1 << 60))
+            if (k and taken[k - 1][1] > a) or (k < len(taken) and taken[k][0] < b):
+                continue  # what begins before a taken run has been tried again, up to it
+            taken.insert(k, (a, b))
+            out.append(run)
+            first, last = np.searchsorted(self.at, [max(a - self.most, taken[k - 1][1] if k else 0), a])
+            for again in self.best(int(first), int(last), a - 1):
+                heapq.heappush(waiting, again)
+        return out
 
 
 class Scanner:
@@ -129,38 +195,34 @@ class Scanner:
         self.templates = [Template.of(name, text, threshold) for name, texts in templates.items() for text in texts]
         anchors = sorted({a for t in self.templates for a in t.anchors})
         self.anchor = re.compile("|".join(map(re.escape, anchors)))
-
-    def found(self, words: list[str]) -> list[tuple[str, float]]:
-        """(template's name, Dice) of the matches that don't overlap, for each template by itself."""
-        out, present = [], set(words)
-        grams = list(zip(words, words[1:], strict=False))
+        words = sorted({w for t in self.templates for g in t.grams for w in g})
+        self.number = {w: i for i, w in enumerate(words)}
+        code = lambda g: self.number[g[0]] * len(words) + self.number[g[1]]
+        self.codes = []
         for t in self.templates:
+            codes, times = zip(*sorted((code(g), n) for g, n in t.grams.items()), strict=True) if t.grams else ((), ())
+            self.codes.append((np.array(codes, np.int64), np.array(times, np.int64)))
+
+    def found(self, words: list[str]) -> list[tuple[str, float, int, int]]:
+        """(licence, Dice, start, end) of the matches in a text, of which none overlaps another."""
+        present = set(words)
+        numbers = np.array([self.number.get(w, -1) for w in words], np.int64)
+        grams = np.where((numbers[:-1] >= 0) & (numbers[1:] >= 0), numbers[:-1] * len(self.number) + numbers[1:], -1)
+        every = []
+        for t, (codes, times) in zip(self.templates, self.codes, strict=True):
             if len(grams) < t.least or not any(a in present for a in t.anchors):
                 continue
-            taken: list[tuple[int, int]] = []
-            for d, a, b in sorted(self.all_runs(grams, t), key=lambda x: (-x[0], x[1], x[2])):
-                if all(b <= c or e <= a for c, e in taken):
-                    taken.append((a, b))
-                    out.append((t.name, d))
-        return out
-
-    def all_runs(self, grams: list[tuple[str, str]], t: Template) -> list[tuple[float, int, int]]:
-        """(Dice, start, end) of the runs of words that reach the threshold and begin and end with a bigram of the template."""
-        hits = [i for i, g in enumerate(grams) if g in t.grams]
-        b, need, out = t.grams.total(), math.ceil(self.threshold * (t.grams.total() + t.least) / 2 - 1e-9), []
-        for k in range(len(hits) - need + 1):
-            if hits[k + need - 1] - hits[k] >= t.most:
-                continue
-            left, same = dict(t.grams), 0
-            for i in itertools.islice(hits, k, None):
-                size = i - hits[k] + 1
-                if size > t.most:
-                    break
-                if left[grams[i]]:
-                    left[grams[i]] -= 1
-                    same += 1
-                    if (d := 2 * same / (size + b)) >= self.threshold:
-                        out.append((d, hits[k], i + 2))
+            kind = np.minimum(np.searchsorted(codes, grams), len(codes) - 1)
+            at = np.flatnonzero(codes[kind] == grams)
+            if len(at):
+                every += [(-shared, d, a, b, t.name) for d, a, b, shared in Hits(at, kind[at], times, t, self.threshold).matches()]
+        taken: list[tuple[int, int]] = []
+        out = []
+        for _, d, a, b, name in sorted(every):
+            k = bisect.bisect(taken, (a, 1 << 60))
+            if not ((k and taken[k - 1][1] > a) or (k < len(taken) and taken[k][0] < b)):
+                taken.insert(k, (a, b))
+                out.append((name, -d, a, b))
         return out
 
     def scan(self, text: str) -> list[tuple[str, int, float]]:
@@ -168,7 +230,7 @@ class Scanner:
         if not self.anchor.search(low := text.lower()):
             return []
         best: dict[str, list] = {}
-        for name, d in self.found(words_of(low)):
+        for name, d, _, _ in self.found(words_of(low)):
             x = best.setdefault(name, [0, 0.0])
             x[0] += 1
             x[1] = max(x[1], d)
