@@ -3,9 +3,12 @@
 Candidate spans are e-mail addresses, IP addresses, card and phone numbers by their base patterns, and looser candidates of
 these and further kinds (secrets, account numbers, social security numbers, names). Five labelers vote on each candidate for,
 against or not at all: a strict form, a checksum or plausibility rule, a gazetteer, cue words to the left, and the span's
-surroundings. Expectation-maximisation over the counts of vote patterns, which Spark takes over all candidates of all texts,
-estimates how reliable each labeler is; its posteriors then train a logistic span classifier on the span's shape and votes.
-Base spans always stay; the classifier adds looser candidates that overlap none of them.
+surroundings. They vote on look-alikes too, which are never added: numbers that fail a checksum or have a wrong length, joined
+words, dates, pairs of capitalised words. Expectation-maximisation over the counts of vote patterns, which Spark takes over all
+of these in all texts, estimates how reliable each labeler is for each kind, from a stated belief and from all kinds where a kind
+is rare; its posteriors then train a logistic span classifier on the span's shape and votes, which corrects what the belief says
+of the votes alone. Base spans always stay; the classifier adds looser candidates that overlap none of them and that one
+labeler at least votes for.
 
 Defined cases: null text is empty text (no spans, the digest of the empty string); without candidates the classifier adds
 nothing; spans of one kind never overlap; equal starts are listed in the order of ``KINDS``; repeated rows are searched each;
@@ -125,25 +128,44 @@ def loose_spans(text: str, digits: bool = True) -> list[tuple[str, int, int]]:
     return out + [("name", *m.span()) for m in _NAME.finditer(text)]
 
 
+_LOOKALIKES = (
+    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?![A-Za-z0-9.-])")), ("phone", re.compile(r"(?<![0-9.+-])[0-9]{7,13}+(?![0-9-])")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z]+[_-])[A-Za-z_-]{20,}+(?![A-Za-z0-9_-])")), ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{2,10}+(?![A-Za-z0-9])")),
+    ("ssn", re.compile(r"(?<![0-9-])(?![0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))[0-9]{2,4}-[0-9]{2,3}-[0-9]{2,4}(?![0-9-])")), ("name", re.compile(r"(?<=[a-z,] )(?!(?:Mr|Mrs|Ms|Dr|Prof)\b)[A-Z][a-z]++ [A-Z][a-z]++(?![A-Za-z])")),
+)
+
+
+def lookalikes(text: str) -> list[tuple[str, int, int]]:
+    """Spans that miss what makes a kind: they stand for false spans when reliabilities are estimated."""
+    out = [(kind, *m.span()) for kind, pattern in _LOOKALIKES for m in pattern.finditer(text)]
+    for m in _IP.finditer(text):
+        if not all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in m.group().split(".")):
+            out.append(("ip", *m.span()))
+    for m in _CARD.finditer(text):
+        if m.end() - m.start() >= 14 and 14 <= len(digits := _NOT_DIGIT.sub("", m.group())) <= 19 and not luhn(digits):
+            out.append(("card", *m.span()))
+    return out
+
+
 def _plausible(kind: str, value: str) -> int:
     digits = _NOT_DIGIT.sub("", value)
     if kind == "iban":
         moved = "".join(str(int(c, 36)) for c in (value.replace(" ", "")[4:] + value[:4]))
         return 1 if int(moved) % 97 == 1 else -1
     if kind == "ssn":
-        return -1 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 1
+        return -1 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 0
     if kind == "secret":
         mixed = sum(a.isdigit() != b.isdigit() for a, b in zip(value, value[1:], strict=False))
         return 1 if mixed >= 6 and len(set(value)) >= 8 else -1 if mixed <= 2 else 0
     if kind in ("card", "phone", "ip"):
-        return -1 if len(set(digits)) <= 2 else 1
+        return -1 if len(set(digits)) <= 2 or (kind == "card" and not luhn(digits)) else 1 if kind == "card" else 0
     return 0
 
 
-def votes(text: str, kind: str, start: int, end: int, base: bool) -> str:
+def votes(text: str, kind: str, start: int, end: int, base: bool, lookalike: bool = False) -> str:
     """A sign for each labeler: form, plausibility, gazetteer, cue words in the 40 characters before, surroundings."""
     value, left = text[start:end], text[max(0, start - 40) : start]
-    form = 1 if base else 1 if kind == "secret" and re.fullmatch("[0-9a-f]{32,}|[0-9A-F]{32,}", value) else 0
+    form = -1 if lookalike else 1 if base or kind == "ssn" or (kind == "secret" and re.fullmatch("[0-9a-f]{32,}|[0-9A-F]{32,}", value)) else 0
     words = {w.lower() for w in _WORD.findall(value)}
     gazetteer = 0
     if kind == "email":
@@ -164,16 +186,34 @@ def shape(text: str, start: int, end: int) -> str:
     return f"{min(3, n // 12)}{min(3, sum(c.isdigit() for c in part) * 4 // max(1, len(part)))}"
 
 
+#: How often a labeler is believed to vote against, not at all and for: on false spans, and on true ones. A belief counts as BELIEF
+#: spans for all kinds together, and what all kinds show as SHARED spans for each kind.
+VOTES = np.array([
+    [[0.5, 0.4, 0.1], [0.02, 0.48, 0.5]], [[0.5, 0.4, 0.1], [0.002, 0.508, 0.49]], [[0.3, 0.6, 0.1], [0.1, 0.5, 0.4]], [[0.01, 0.89, 0.1], [0.01, 0.49, 0.5]], [[0.4, 0.5, 0.1], [0.05, 0.65, 0.3]],
+]).transpose(1, 0, 2)
+BELIEF, SHARED = 40, 40
+_ODDS = np.log(VOTES[1] / VOTES[0])
+
+
 @dataclass
 class Model:
+    """``reliability[y, labeler, vote]`` of all kinds, the share of true spans by kind, and what the classifier adds to the votes."""
+
     reliability: np.ndarray
     prior: dict
     weights: dict
     cut: float = 0.5
 
     def probability(self, kind: str, vote: str, form: str) -> float:
-        z = sum(self.weights.get(f, 0.0) for f in _inputs(kind, vote, form))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        """How likely a span is true; under one half where no labeler votes for it."""
+        z = believed(vote) + sum(self.weights.get(f, 0.0) for f in _inputs(kind, vote, form))
+        p = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        return p if "+" in vote else min(p, 0.49)
+
+
+def believed(vote: str) -> float:
+    """Log odds of a true span by its votes under the stated belief."""
+    return float(sum(_ODDS[j, "-0+".index(c)] for j, c in enumerate(vote)))
 
 
 def _inputs(kind: str, vote: str, form: str) -> list[str]:
@@ -183,25 +223,28 @@ def _inputs(kind: str, vote: str, form: str) -> list[str]:
 def aggregate(counts: list[tuple[str, str, str, int]], rounds: int = 40) -> Model:
     """EM over (kind, votes, shape, count), then the classifier on its posteriors.
 
-    reliability[y, labeler, vote] is P(vote | y); a kind has its own prior. It starts from the majority of the votes.
+    A kind has its own prior and its own P(vote | y), drawn to those of all kinds. It starts from what the votes say by belief.
     """
     labelers = 5
     if not counts:
-        return Model(np.full((2, labelers, 3), 1 / 3), {}, {"1": -1.0})
+        return Model(VOTES, {}, {"1": -1.0})
     kinds = sorted({k for k, *_ in counts})
     kind = np.array([kinds.index(k) for k, *_ in counts])
     vote = np.array([["-0+".index(c) for c in v] for _, v, _, _ in counts])
     n = np.array([c for *_, c in counts], float)
-    y = np.clip(0.5 + 0.2 * (vote - 1).sum(1), 0.05, 0.95)
+    belief = np.array([believed(v) for _, v, _, _ in counts])
+    y = 1 / (1 + np.exp(-belief))
     for _ in range(rounds):
-        # Before any vote a labeler is taken to vote rather for true spans than for false ones; this keeps the classes apart.
-        reliability = 0.05 * n.sum() * np.repeat(np.array([[0.6, 0.3, 0.1], [0.1, 0.3, 0.6]])[:, None], labelers, axis=1)
+        own = np.zeros((len(kinds), 2, labelers, 3))
         for j in range(labelers):
-            np.add.at(reliability[1, j], vote[:, j], n * y)
-            np.add.at(reliability[0, j], vote[:, j], n * (1 - y))
-        reliability /= reliability.sum(2, keepdims=True)
+            np.add.at(own, (kind, 1, j, vote[:, j]), n * y)
+            np.add.at(own, (kind, 0, j, vote[:, j]), n * (1 - y))
+        shared = own.sum(0) + BELIEF * VOTES
+        shared /= shared.sum(2, keepdims=True)
+        reliability = own + SHARED * shared
+        reliability /= reliability.sum(3, keepdims=True)
         prior = np.array([(1 + (n * y)[kind == k].sum()) / (2 + n[kind == k].sum()) for k in range(len(kinds))])
-        logit = np.log(prior / (1 - prior))[kind] + sum(np.log(reliability[1, j, vote[:, j]] / reliability[0, j, vote[:, j]]) for j in range(labelers))
+        logit = np.log(prior / (1 - prior))[kind] + sum(np.log(reliability[kind, 1, j, vote[:, j]] / reliability[kind, 0, j, vote[:, j]]) for j in range(labelers))
         y = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     names = sorted({f for k, v, s, _ in counts for f in _inputs(k, v, s)})
     place = {f: i for i, f in enumerate(names)}
@@ -210,13 +253,13 @@ def aggregate(counts: list[tuple[str, str, str, int]], rounds: int = 40) -> Mode
         x[i, [place[f] for f in _inputs(k, v, s)]] = 1
     w, weight = np.zeros(len(names)), n / n.sum()
     for _ in range(60):  # Newton steps with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(len(names))
-        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - 1e-4 * w)
+        p = 1 / (1 + np.exp(-np.clip(belief + x @ w, -30, 30)))
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(names))
+        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - 1e-3 * w)
         w += step / max(1.0, float(np.abs(step).max()) / 3)
         if np.abs(step).max() < 1e-6:
             break
-    return Model(reliability, dict(zip(kinds, prior.tolist(), strict=True)), dict(zip(names, w.tolist(), strict=True)))
+    return Model(shared, dict(zip(kinds, prior.tolist(), strict=True)), dict(zip(names, w.tolist(), strict=True)))
 
 
 _ANY_DIGIT = re.compile("[0-9]")
@@ -228,11 +271,18 @@ def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     return [(*s, True) for s in base] + [(*s, False) for s in loose_spans(text, digits)]
 
 
+def seen(text: str) -> list[tuple[str, str, str]]:
+    """Kind, votes and shape of each candidate and look-alike of a text."""
+    rows = [(k, votes(text, k, a, b, base), shape(text, a, b)) for k, a, b, base in candidates(text)]
+    return rows + [(k, votes(text, k, a, b, False, True), shape(text, a, b)) for k, a, b in lookalikes(text)]
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The model from all candidates of all texts; the driver receives the counts of vote and shape patterns, of which there are few."""
+    """The model from all candidates and look-alikes of all texts; the driver receives the counts of vote and shape patterns, of
+    which there are few."""
 
     def start():
-        return lambda text: [(k, votes(text, k, a, b, base), shape(text, a, b)) for k, a, b, base in candidates(text)]
+        return seen
 
     rows = per_text(docs, "kind string, votes string, shape string", start, id_col, text_col, many=True)
     counts = rows.groupBy("kind", "votes", "shape").count().collect()

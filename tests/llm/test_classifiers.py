@@ -180,6 +180,36 @@ def test_reliabilities_order_votes():
     assert model.probability("ip", "++00+", "11") > 0.8 > 0.3 > model.probability("ip", "0-00-", "11")
 
 
+#: Texts with one candidate each, and whether it is personal data.
+LABELLED = [
+    ("SSN 000-12-3456 is on file", False), ("his social security 123-45-6789 is on file", True), ("see my-long-url-slug-about-2024-elections now", False), ("part 555-123-4567 in stock", False),
+    ("call 555-123-4567 now", True), ("about Mr Green Tea and more", False), ("contact Mr Anna Smith today", True), ("Dear Dr. Paul Foo,", True), ('key = "0fa07e990a1b2c3d4e5f60718293a4b5c6d7e8f9"', True),
+    ("iban GB82 WEST 1234 5698 7654 32 please", True), ("type GB82 WEST 1234 5698 7654 33 please", False), ("aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1 here", False), ("mail: jane [at] mail [dot] org", True), ("we met Prof Early Morning there", False), ("id 666-12-3456 x", False), ("tel (555) 123-4567", True),
+]
+
+
+@pytest.mark.parametrize("corpus", ["given", "none"])
+def test_added_spans_are_personal_data(documents, corpus):
+    """With a model from the test documents and with one from hardly any span, false candidates are left out and true ones found."""
+    texts = [r.text or "" for r in documents.collect()] if corpus == "given" else ["a@b.com 1.2.3.4"]
+    counts = Counter(x for t in texts for x in weak_pii.seen(t))
+    model = weak_pii.aggregate(sorted((*key, n) for key, n in counts.items()))
+    for text, true in LABELLED:
+        base, spans = weak_pii.find(text, model)
+        assert not base and len(spans) == true, text
+        assert not true or weak_pii.mask(text, spans) != text
+    voters = [0, 1, 2, 4]  # cue words never vote against
+    assert (model.reliability[0, voters, 0] >= model.reliability[1, voters, 0]).all()
+    if corpus == "given":
+        false = sum(n for (_, v, _), n in counts.items() if v[0] == "-")
+        assert false > 10 and model.reliability[0, 0, 0] > 0.6 and weak_pii.aggregate([]).probability("ssn", "0000-", "00") < 0.5
+
+
+def test_lookalikes_are_not_candidates():
+    text = "on 2024-01-02 id 12345678 at user@host, New York from 4111 1111 1111 1112 or 1.2.3.999 some-joined-words-in-a-slug"
+    assert not weak_pii.candidates(text) and {k for k, *_ in weak_pii.lookalikes(text)} == {"ssn", "phone", "email", "name", "card", "ip", "secret"}
+
+
 def test_licenses_against_all_windows(documents):
     """Notices in texts, altered and wrapped, against the best of all runs of words that hold a template's size bounds."""
     scanner = license_dice.Scanner()
