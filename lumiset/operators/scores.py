@@ -209,11 +209,15 @@ def vetting_lists(summary: DataFrame, few: int = 20, n: int = 50) -> DataFrame:
     return short.unionByName(ok.where(F.col("n_segments") > few).orderBy(F.desc("best"), "star_id").limit(n).withColumn("list", F.lit("long")))
 
 
+def best_as_text(form: str, column: str, k: int) -> Column:
+    """Aggregate over ``ranked`` rows: a column of the best ``k`` as text, best first; empty if none is known."""
+    best = F.collect_list(F.when((F.col("_rank") <= k) & F.col(column).isNotNull(), F.struct("_rank", column)))
+    return F.concat_ws(",", F.transform(F.array_sort(best), lambda x: F.format_string(form, x[column])))
+
+
 def top_strings(df: DataFrame, k: int = 5) -> DataFrame:
     """A star's best scores and their times as text, best first; times are empty if none is known."""
-    w = ranked(df, ["star_id"]).where(F.col("_rank") <= k)
-    text = lambda f, c: F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("_rank", c)))), lambda x: F.format_string(f, x[c])))
-    return w.groupBy("star_id").agg(text("%.4f", "p").alias("top_scores"), text("%.6f", "seg_mid_time").alias("top_times"))
+    return ranked(df, ["star_id"]).groupBy("star_id").agg(best_as_text("%.4f", "p", k).alias("top_scores"), best_as_text("%.6f", "seg_mid_time", k).alias("top_times"))
 
 
 # ---- metrics -------------------------------------------------------------------------------------------------------------------

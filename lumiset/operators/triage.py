@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import checkpointed
 from .ranks import exact_quantiles
-from .scores import mode_or_first, ranked, top_strings
+from .scores import best_as_text, ranked
 from .signals import mad_clip
 from .windows import shared_key, star_key
 
@@ -65,40 +65,53 @@ def phase_fold(points: DataFrame, ephemeris: DataFrame, bins: int | None = None)
     return rows.groupBy(*star_key(points), F.least(F.floor(F.col("phase") * bins), F.lit(bins - 1)).alias("bin")).agg(F.avg("flux").alias("flux"), F.count("*").alias("n"))
 
 
-def triage_flags(df: DataFrame, threshold: float) -> DataFrame:
-    """Singleton, periodic, odd-even gap and secondary flags of each star."""
-    df = checkpointed(df.select("star_id", "p", "seg_mid_time"))
-    periods = checkpointed(estimate_period(df, threshold))
-    high = epochs(hits_of(df, threshold), periods)
-    off = F.abs((F.col("seg_mid_time") - F.col("_t0")) / F.col("period_days") - F.col("epoch"))
-    odd = F.when(F.col("epoch") % 2 == 1, F.col("p"))
-    even = F.when(F.col("epoch") % 2 == 0, F.col("p"))
-    h = high.groupBy("star_id").agg(
-        F.count("*").alias("n_high"), F.first("period_days").alias("cand_period_days"), F.percentile(off, F.lit(0.5)).alias("_off"),
-        F.count(odd).alias("_odd"), F.count(even).alias("_even"), F.avg(odd).alias("_po"), F.avg(even).alias("_pe"), F.countDistinct("epoch").alias("_epochs"),
-    )
-    low = epochs(hits_of(df, LOWER * threshold), periods).where("period_days > 0")
-    ph = phase(F.col("seg_mid_time"), F.col("_t0"), F.col("period_days"))
+def _flags(df: DataFrame, threshold: float) -> DataFrame:
+    """Flags of the stars that have a high window, or one near it, from one pass over these windows beside the period search."""
+    p, t = F.col("p"), F.col("seg_mid_time")
+    high, low = p >= threshold, p >= LOWER * threshold
+    rows = df.where((high | low) & t.isNotNull()).withColumns({"_h": high, "_l": low})
+    first = rows.groupBy("star_id").agg(F.min(F.when(F.col("_h"), t)).alias("_t0"), F.min(F.when(F.col("_l"), t)).alias("_t1"))
+    rows = rows.join(first.join(estimate_period(df, threshold), "star_id", "left"), "star_id")
+    periodic, at = F.col("period_days") > 0, (t - F.col("_t0")) / F.col("period_days")
+    rows = rows.withColumn("_e", F.when(F.col("_h"), F.when(periodic, F.rint(at)).otherwise(-1.0).cast("bigint")))
+    rows = rows.withColumn("_ph", F.when(F.col("_l") & periodic, phase(t, F.col("_t1"), F.col("period_days"))))
+    odd, even = F.when(F.col("_e") % 2 == 1, p), F.when(F.col("_e") % 2 == 0, p)
     near = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    second = low.groupBy("star_id").agg(near(F.abs(ph - 0.5) <= NEAR_PHASE).alias("_half"), near(F.least(ph, 1 - ph) <= NEAR_PHASE).alias("_zero"))
-    stars = df.select("star_id").distinct().join(h, "star_id", "left").join(second, "star_id", "left")
+    ph = F.col("_ph")
+    h = rows.groupBy("star_id").agg(
+        F.count("_e").alias("n_high"), F.first("period_days").alias("cand_period_days"), F.percentile(F.when(F.col("_h"), F.abs(at - F.col("_e"))), F.lit(0.5)).alias("_off"),
+        F.count(odd).alias("_odd"), F.count(even).alias("_even"), F.avg(odd).alias("_po"), F.avg(even).alias("_pe"), F.size(F.collect_set("_e")).alias("_epochs"),
+        near(F.abs(ph - 0.5) <= NEAR_PHASE).alias("_half"), near(F.least(ph, 1 - ph) <= NEAR_PHASE).alias("_zero"),
+    )
     gap = F.when((F.col("_epochs") >= 4) & (F.col("_odd") >= 2) & (F.col("_even") >= 2) & (F.col("cand_period_days") > 0), F.abs(F.col("_po") - F.col("_pe")))
-    return stars.select(
-        "star_id", F.coalesce("n_high", F.lit(0)).alias("n_segments_above_thr"), F.coalesce((F.col("n_high") == 1).cast("int"), F.lit(0)).alias("flag_singleton_spike"), "cand_period_days",
-        F.coalesce((F.col("_off") <= OFF_EPOCH).cast("int"), F.lit(0)).alias("flag_periodic"), gap.alias("odd_even_score_gap"),
-        F.coalesce(((F.col("_half") >= 2) & (F.col("_zero") >= 2)).cast("int"), F.lit(0)).alias("flag_secondary_proxy"),
+    return h.select(
+        "star_id", F.col("n_high").alias("n_segments_above_thr"), (F.col("n_high") == 1).cast("int").alias("flag_singleton_spike"), "cand_period_days",
+        F.coalesce((F.col("_off") <= OFF_EPOCH).cast("int"), F.lit(0)).alias("flag_periodic"), gap.alias("odd_even_score_gap"), ((F.col("_half") >= 2) & (F.col("_zero") >= 2)).cast("int").alias("flag_secondary_proxy"),
     )
 
 
-def triage_table(df: DataFrame, threshold: float = 0.8, top_n: int = 10, passthrough: tuple = ("mission",)) -> DataFrame:
-    """One row for each star with its scores, strings and flags; sort by ``TRIAGE_ORDER``."""
+def _with_flags(stars: DataFrame, df: DataFrame, threshold: float) -> DataFrame:
+    """``stars`` with their flags, which are 0 without a high window."""
+    zero = ["n_segments_above_thr", "flag_singleton_spike", "flag_periodic", "flag_secondary_proxy"]
+    return stars.join(_flags(df, threshold), "star_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in zero})
+
+
+def triage_flags(df: DataFrame, threshold: float) -> DataFrame:
+    """Singleton, periodic, odd-even gap and secondary flags of each star."""
+    df = checkpointed(df.select("star_id", "p", "seg_mid_time"))
+    return _with_flags(df.select("star_id").distinct(), df, threshold)
+
+
+def triage_table(df: DataFrame, threshold: float = 0.8, top_n: int = 10, passthrough: tuple = ("mission",), strings: int = 5) -> DataFrame:
+    """One row for each star with its scores, strings and flags; sort by ``TRIAGE_ORDER``. All but the flags is one aggregate."""
     df = checkpointed(df.select("star_id", "start", "p", "seg_mid_time", *passthrough))
     top = F.when(F.col("_rank") <= top_n, F.col("p"))
-    rows = ranked(df, ["star_id"]).groupBy("star_id").agg(F.count("*").alias("n_segments"), F.max("p").alias("best_segment_score"), F.avg(top).alias("topN_mean"), F.stddev_pop(top).alias("topN_std"))
-    rows = rows.withColumn("consistency_score", F.col("topN_mean") - F.col("topN_std")).join(top_strings(df), "star_id").join(triage_flags(df, threshold), "star_id")
-    for c in passthrough:
-        rows = rows.join(mode_or_first(df, "star_id", c), "star_id", "left")
-    return rows
+    rows = ranked(df, ["star_id"]).groupBy("star_id").agg(
+        F.count("*").alias("n_segments"), F.max("p").alias("best_segment_score"), F.avg(top).alias("topN_mean"), F.stddev_pop(top).alias("topN_std"),
+        best_as_text("%.4f", "p", strings).alias("top_scores"), best_as_text("%.6f", "seg_mid_time", strings).alias("top_times"), *(F.mode(c, True).alias(c) for c in passthrough),
+    )
+    out = _with_flags(rows.withColumn("consistency_score", F.col("topN_mean") - F.col("topN_std")), df, threshold)
+    return out.select(*(c for c in out.columns if c not in passthrough), *passthrough)
 
 
 TRIAGE_ORDER = ["best_segment_score", "consistency_score", "flag_periodic", "n_segments_above_thr"]
