@@ -184,12 +184,23 @@ def fit(docs: DataFrame, max_texts: int = MAX_TEXTS, max_chars: int = MAX_TRAIN_
     return trees
 
 
+#: The trees that this process met last, and what it has learnt of them. Tasks that follow each other in a worker share it.
+_KEPT: list = []
+
+
+def identifier(trees: dict, order: int) -> Identifier:
+    """An Identifier of these very trees: a broadcast is the same object in all tasks of a worker."""
+    if not _KEPT or _KEPT[0] is not trees or _KEPT[1] != order:
+        _KEPT[:] = [trees, order, Identifier(trees, order)]
+    return _KEPT[2]
+
+
 def identify(docs: DataFrame, trees: dict, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
     """doc_id, the columns of ``keep``, lang_pred and score for every row. The trees, bounded by the sample, are broadcast."""
     box = docs.sparkSession.sparkContext.broadcast(trees)
 
     def start():
-        return Identifier(box.value, order).predict
+        return identifier(box.value, order).predict
 
     return per_text(docs, "lang_pred string, score double", start, id_col, text_col, keep)
 

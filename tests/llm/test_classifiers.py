@@ -318,3 +318,12 @@ def test_runs_against_all_of_any_length():
             every = [license_dice.dice(license_dice.bigrams(words[i:j]), scanner.templates[0].grams) for i in range(len(words)) for j in range(i + 2, len(words) + 1)]
             expected = {name: round(max(every), 9)} if max(every, default=0) >= 0.8 else {}
             assert {n: d for n, _, d in scanner.scan(" ".join(words))} == expected
+
+
+def test_what_a_worker_has_learnt_is_kept_for_the_same_trees():
+    counts = {b"": {97: 3, 98: 1}, b"a": {98: 2}}
+    trees, other = {"x": counts}, {"x": dict(counts), "y": {b"": {98: 1}}}
+    one = ppm_language.identifier(trees, 4)
+    assert one.predict("abab") == ppm_language.Identifier(trees, 4).predict("abab") and one.known
+    assert ppm_language.identifier(trees, 4) is one and ppm_language.identifier(other, 4) is not one
+    assert ppm_language.identifier(other, 4).languages == ["x", "y"] and ppm_language.identifier(trees, 4).languages == ["x"]
