@@ -15,7 +15,7 @@ The form of a word is its neighbour of largest count, the first in code-point or
 times the word's own. Following forms, counts double at every step, so there is a last one, the root; roots come from a number
 of joins that is the logarithm of the longest chain.
 
-Defined cases: null texts have no words. A null id counts as empty text in the digest that picks letters to leave out. Rows that
+Defined cases: null texts have no words, and bytes that are no text part words. A null id counts as empty text in the digest that picks letters to leave out. Rows that
 repeat count each time. Words may have any length. Other columns are ignored; an empty table gives no rows.
 """
 
@@ -60,7 +60,7 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for ident, text in zip(batch.column(0), batch.column(1), strict=True):
                 start = zlib.crc32(f"{ident}:".encode())
                 # Bytes in lower case: only A-Z change.
-                matches = map(re.Match.group, run.finditer(text.as_buffer().to_pybytes().lower().decode("utf-8", "surrogatepass")))
+                matches = map(re.Match.group, run.finditer(text.as_buffer().to_pybytes().lower().decode("utf-8", "replace")))
                 while own := Counter(islice(matches, TOGETHER)):
                     for word, n in own.items():
                         if noise and not (h := zlib.crc32(code[word], start)) % noise:
