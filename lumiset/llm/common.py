@@ -20,6 +20,8 @@ from ..storage import written  # noqa: F401
 WORD = re.compile("[^\x20\x09-\x0d]+")
 #: Rows handled at once inside a task.
 STEP = 256
+#: Rows that go to Python together, in place of Spark's 10,000: long texts make such batches large, in Spark and in Python.
+BATCH = 1024
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -35,6 +37,13 @@ def id_mod(column, n: int):
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of BATCH rows for the session's Arrow functions, unless it has set another number than Spark's own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH))
+
+
 def per_text(docs: DataFrame, fields: str, start: Callable, id_col: str = "doc_id", text_col: str = "text", keep: tuple = (), many: bool = False, binary: bool = False) -> DataFrame:
     """One row for each row of ``docs``: doc_id, the columns of ``keep`` as they are, then ``fields`` from the text.
 
@@ -42,6 +51,7 @@ def per_text(docs: DataFrame, fields: str, start: Callable, id_col: str = "doc_i
     row for each). Null text is passed as the empty text. Rows go through in slices, so memory follows a slice. ``binary``: the
     column holds bytes.
     """
+    small_batches(docs.sparkSession)
     names = [f.split(" ", 1)[0].strip() for f in fields.split(", ")]
     types = [ARROW[f.split(" ", 1)[1].strip()] for f in fields.split(", ")]
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(k) for k in keep], F.coalesce(F.col(text_col).cast("binary" if binary else "string"), F.lit(b"" if binary else "")).alias("text"))
