@@ -58,30 +58,37 @@ def grams(data: np.ndarray, order: int = ORDER) -> list[tuple[bytes, int, int]]:
 
 
 class Tree:
-    """Context tree of one language: counts[context] = {byte: count}."""
+    """Context tree of one language: counts[context] = {byte: count}; a byte seen after a context is seen after its endings too."""
 
     def __init__(self, counts: dict[bytes, dict[int, int]]):
         self.counts = counts
         self.totals = {c: sum(seen.values()) + len(seen) for c, seen in counts.items()}
+        self.rest: dict[bytes, tuple[int, int]] = {}
+
+    def excluding(self, longer: bytes, context: bytes) -> tuple[int, int]:
+        """Total and number of bytes of ``context`` without those of ``longer``, the next longer known one, which has all that are excluded."""
+        found = self.rest.get(longer)
+        if found is None:
+            seen, gone = self.counts[context], self.counts[longer]
+            found = self.rest[longer] = self.totals[context] - sum(map(seen.__getitem__, gone)) - len(gone), len(seen) - len(gone)
+        return found
 
     def cost(self, context: bytes, symbol: int) -> float:
         """Bits of ``symbol`` after ``context`` (escape method C with exclusion)."""
-        bits, out = 0.0, set()
+        bits, longer = 0.0, None
         for i in range(len(context) + 1):
-            seen = self.counts.get(context[i:])
+            at = context[i:]
+            seen = self.counts.get(at)
             if not seen:
                 continue
-            total, n = self.totals[context[i:]], len(seen)
-            if out:
-                gone = seen.keys() & out
-                total, n = total - sum(map(seen.__getitem__, gone)) - len(gone), n - len(gone)
-                if not n:
-                    continue
+            total, n = (self.totals[at], len(seen)) if longer is None else self.excluding(longer, at)
+            longer = at
+            if not n:
+                continue
             if symbol in seen:
                 return bits - math.log2(seen[symbol] / total)
             bits -= math.log2(n / total)
-            out |= seen.keys()
-        return bits + math.log2(256 - len(out))
+        return bits + math.log2(256 - (len(self.counts[longer]) if longer is not None else 0))
 
 
 class Identifier:
