@@ -268,6 +268,15 @@ def test_sketches_keep_ranks(spark):
     assert ranks.approximate_quantiles(rows.where("v < 0"), "v", {"x": 0.5}).first()["x"] is None
 
 
+def test_few_hard_negatives_leave_their_places_to_others(spark):
+    """Ten negatives are wanted, half of them hard, and there are two hard ones: eight others come in."""
+    df = spark.createDataFrame([(f"s{i:02}", 0, i / 40, int(i % 4 == 0)) for i in range(40)], "star_id string, start long, p double, label int")
+    hard = scores.nlargest(df.where("label = 0"), 2)
+    rows = sampling.balanced_train_set(df, hard, "b", 1, 0.5).collect()
+    assert len({r.star_id for r in rows}) == len(rows) == 20 and sum(r.label for r in rows) == 10
+    assert {r.star_id for r in hard.collect()} <= {r.star_id for r in rows}
+
+
 def test_score_log_goes_on_after_a_failure(spark, tmp_path):
     """The second chunk fails; the next run keeps the first and scores each other star once."""
     log, schema = str(tmp_path / "log"), "star_id string, best double"
