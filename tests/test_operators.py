@@ -277,6 +277,18 @@ def test_few_hard_negatives_leave_their_places_to_others(spark):
     assert {r.star_id for r in hard.collect()} <= {r.star_id for r in rows}
 
 
+def test_text_of_scores_is_rounded_by_the_stored_value(spark):
+    """0.5503125 lies below the half and 0.0453125 on it; Java's digits would round both up."""
+    rng = random.Random(9)
+    values = [0.5503125, 0.0690625, 0.0453125, 0.0078125, 2.5, 1e-9, 0.0, -0.5503125, -3.25, 0.9999996, 12345.9999999, 2455197.5503125, 1e12, *(rng.uniform(0, 400) for _ in range(500)), *(rng.randrange(10**9) / 10**7 for _ in range(2000)), *((2 * rng.randrange(2**20) + 1) / 2**7 for _ in range(100))]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    for digits in (4, 6):
+        got = df.select("x", scores.decimal_text(F.col("x"), digits).alias("t")).collect()
+        assert [r.t for r in got] == [f"{r.x:.{digits}f}" for r in got]
+    star = spark.createDataFrame([("a", 0, 0.5, 0.5503125)], "star_id string, start long, p double, seg_mid_time double")
+    assert scores.top_strings(star).first().top_times == "0.550312"
+
+
 def test_score_log_goes_on_after_a_failure(spark, tmp_path):
     """The second chunk fails; the next run keeps the first and scores each other star once."""
     log, schema = str(tmp_path / "log"), "star_id string, best double"
