@@ -289,6 +289,19 @@ def test_text_of_scores_is_rounded_by_the_stored_value(spark):
     assert scores.top_strings(star).first().top_times == "0.550312"
 
 
+def test_forests_of_many_curves_are_those_grown_one_by_one():
+    """Equal values, columns and rows, missing values, one row, and counts that are no power of two."""
+    rng = np.random.default_rng(4)
+    for n, d, kinds in ((1, 3, 5), (2, 16, 3), (13, 16, 1000), (13, 16, 3), (29, 5, 4), (64, 7, 50)):
+        x = rng.integers(0, kinds, (6, n, d)).astype(float)
+        x[0] = 1.0
+        x[1, n // 2, 0] = np.nan
+        limit = int(np.ceil(np.log2(max(2, n))))
+        for one, scored in zip(x, embeddings._score_together(x, 25), strict=True):
+            forest = [[n, embeddings._grow(one, np.random.default_rng(t), 0, limit)] for t in range(25)]
+            assert np.array_equal(embeddings._score(one, forest), scored)
+
+
 def test_score_log_goes_on_after_a_failure(spark, tmp_path):
     """The second chunk fails; the next run keeps the first and scores each other star once."""
     log, schema = str(tmp_path / "log"), "star_id string, best double"
