@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranks import digest_ranks
-from ..storage import delete_folder, list_names, put_file, written
+from ..storage import checkpointed, delete_folder, list_names, put_file, written
 
 
 def committed(spark: SparkSession, log: str) -> list[str]:
@@ -29,6 +29,20 @@ def scores_so_far(spark: SparkSession, log: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(*(f"{log}/chunks/{c}" for c in chunks)) if chunks else spark.createDataFrame([], schema)
 
 
+def by_digest(rows: DataFrame, key: str = "star_id") -> DataFrame:
+    """``rows`` written in the order of their key's digest, in which ``score_and_append`` deals chunks; see ``of_chunk``."""
+    rows = checkpointed(rows.withColumn("_digest", F.md5(F.col(key).cast("string"))))  # the cuts between files come from a look at all rows
+    return written(rows.repartitionByRange("_digest").sortWithinPartitions("_digest"), "by-digest")
+
+
+def of_chunk(rows: DataFrame, chunk: DataFrame, key: str = "star_id") -> DataFrame:
+    """The rows of a chunk's targets, from a table of ``by_digest``: what lies outside of the chunk's digests is not read, so all
+    chunks together read the table about once."""
+    digest = F.md5(F.col(key).cast("string"))
+    lo, hi = chunk.agg(F.min(digest), F.max(digest)).first()
+    return rows.where(F.col("_digest").between(F.lit(lo), F.lit(hi))).join(chunk.select(key), key, "left_semi").drop("_digest")
+
+
 def score_and_append(targets: DataFrame, log: str, score: Callable[[DataFrame], DataFrame], schema: str, key: str = "star_id", save_every: int = 100_000, resume: bool = True) -> DataFrame:
     """Score the ``targets`` (distinct by ``key``) that the log does not hold, in chunks of ``save_every``, and return the log.
 
