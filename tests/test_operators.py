@@ -302,6 +302,41 @@ def test_forests_of_many_curves_are_those_grown_one_by_one():
             assert np.array_equal(embeddings._score(one, forest), scored)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_windows_are_scored_without_copies_of_points(spark):
+    """The only rows made are the windows themselves: before, each point was copied for every window that holds it."""
+    from lumiset.plans import fixtures
+
+    assert plan_of(fixtures.scored(spark, "/root/testdata/sf0.001")).count("Generate explode") == 1
+
+
+def test_gallery_computes_its_rows_once(spark):
+    df = spark.createDataFrame([("a", 0, 0.5, 1), ("b", 0, 0.7, 0)], "star_id string, start long, p double, label int")
+    gallery = scores.gallery_rows(df.repartition(3).withColumn("star_id", F.md5("star_id")), 1)
+    assert "md5" not in plan_of(gallery) and "Repartition" not in plan_of(gallery) and gallery.count() == 3
+
+
+def test_median_and_deviation_deal_rows_once(spark):
+    df = spark.createDataFrame([("a", "k2", i, float(x)) for i, x in enumerate((5, 1, 4, 9, 2))] + [(None, "k2", 0, 1.0)], "star_id string, mission string, idx long, flux double")
+    out = signals.mad_normalize(df, ["star_id", "mission"])
+    assert "Join" not in plan_of(out) and {r.idx: round(r.norm, 3) for r in out.collect()} == {0: 0.5, 1: -1.5, 2: 0.0, 3: 2.5, 4: -1.0}
+    dips = embeddings.dip_score(df.withColumn("start", F.lit(0)))
+    assert "Join" not in plan_of(dips) and [round(r.p, 3) for r in dips.collect()] == [0.6]
+
+
+def test_chunks_read_their_own_part_of_a_table(spark):
+    """All rows of a chunk's targets and no others come back, and the read is bounded by the chunk's digests."""
+    rows = spark.range(400).select(F.concat(F.lit("s"), F.col("id") % 40).alias("star_id"), "id")
+    table = score_log.by_digest(rows)
+    chunk = spark.createDataFrame([("s3",), ("s17",), ("none",)], "star_id string")
+    part = score_log.of_chunk(table, chunk)
+    assert sorted(r.id for r in part.collect()) == [i for i in range(400) if i % 40 in (3, 17)] and part.columns == ["star_id", "id"]
+    assert "PushedFilters: [IsNotNull(_digest), GreaterThanOrEqual(_digest" in part._jdf.queryExecution().executedPlan().toString()
+
+
 def test_score_log_goes_on_after_a_failure(spark, tmp_path):
     """The second chunk fails; the next run keeps the first and scores each other star once."""
     log, schema = str(tmp_path / "log"), "star_id string, best double"
