@@ -3,6 +3,7 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumiset.functions import ids
 from lumiset.operators import embeddings, ranks, sampling, scores, signals, triage, windows
+from lumiset.plans import fixtures
 from lumiset.schemas import CATALOG, EPHEMERIS, ensure_columns, require_columns
 from lumiset.sources import catalogs, layout, score_log
 from lumiset.streaming import star_scores
@@ -337,6 +339,29 @@ def test_chunks_read_their_own_part_of_a_table(spark):
     assert "PushedFilters: [IsNotNull(_digest), GreaterThanOrEqual(_digest" in part._jdf.queryExecution().executedPlan().toString()
 
 
+def test_means_at_the_limit_do_not_depend_on_the_order_of_rows(spark):
+    """Both curves' values are 640.00 in all; added in order, one has a mean of 40 and the other one just below, and backwards the other way round."""
+    curves = {
+        "a": [74.42, 56.75, 21.83, 11.99, 28.64, 20.76, 61.26, 14.46, 25.9, 35.02, 95.49, 28.1, 13.24, 56.39, 38.53, 57.22],
+        "b": [5.77, 75.21, 57.72, 11.78, 27.36, 23.88, 42.18, 62.18, 3.94, 1.15, 72.26, 22.68, 57.47, 0.08, 23.58, 152.76],
+    }
+    rows = [(star, "k2", 0, k, x) for star, values in curves.items() for k, x in enumerate(values)] + [("c", "k2", 0, k, None) for k in range(16)] + [("d", "k2", 0, 0, None), ("d", "k2", 0, 1, -41.0)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "star_id string, mission string, start long, idx long, flux double").coalesce(1)
+        got = {r.star_id: r.mean_abs for r in windows.filter_segments(df, least_abs=40.0).collect()}
+        assert got == {"a": 40.0, "d": 41.0}
+
+
+def test_rounding_is_that_of_sql(spark):
+    """0.695978499 + 1e-9 is 0.6959784999999999 by its digits and gives 695978.5 when scaled."""
+    rng = random.Random(4)
+    values = [0.695978499, 0.0, -0.5, 2.5e-7, 1e17, 1.7e308, -1e305, math.inf, math.nan, *((1000 * rng.randrange(10**6) + 499) / 1e9 for _ in range(500)), *((2 * rng.randrange(10**7) + 1) / 2e9 * rng.choice((1, -1)) for _ in range(500))]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    got = zip([r[0] for r in df.select(fixtures.rounded(F.col("x"), 9)).collect()], [r.x for r in fixtures.tidy(df).collect()], strict=True)
+    expected = duckdb.execute("SELECT round(x, 9), round(x + 1e-9, 6) + 0e0 FROM (SELECT unnest(?::DOUBLE[]) AS x)", [values]).fetchall()
+    assert [repr(r) for r in got] == [repr(r) for r in expected]
+
+
 def test_score_log_goes_on_after_a_failure(spark, tmp_path):
     """The second chunk fails; the next run keeps the first and scores each other star once."""
     log, schema = str(tmp_path / "log"), "star_id string, best double"
