@@ -3,10 +3,12 @@
 import random
 import re
 import textwrap
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumiset.llm import cnn_toxicity, license_dice, ppm_language, weak_pii
 
@@ -92,6 +94,51 @@ def test_toxicity_edges(spark, hard_docs, no_docs, labels):
     assert kept.columns == hard_docs.columns
 
 
+def test_every_labelled_text_trains(spark):
+    """Long texts, copies, many of one class, several texts under an id: all are in the shards, whole, and are learnt from."""
+    shape, long_text = cnn_toxicity.Shape(buckets=1 << 10), "fine words " * 4000
+    rows = [*((i, long_text + f"idiot number{'x' * (i % 5)}") for i in range(5000, 5040)), (6000, "one"), (6000, "another text"), (6001, "twice"), (6001, "twice"), (6002, None), (None, "no id"), (7000, "no label")]
+    docs = spark.range(3100).selectExpr("id AS doc_id", "'fine words here' AS text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    labels = docs.select("doc_id", F.col("doc_id").between(5000, 5999).cast("int").alias("toxic")).where("doc_id != 7000")
+    shards = [cnn_toxicity._unpack(r.asDict(), shape.buckets) for r in cnn_toxicity._shards(docs, labels, shape, 500, "doc_id", "text", "toxic").collect()]
+    assert len(shards) > 4 and sum(len(t) for t, _, _ in shards) == 3100 + 40 + 2 + 1 + 1
+    assert sum(int(y.sum()) for _, y, _ in shards) == 40 and sorted(len(x) for t, _, _ in shards for x in t)[-40:] == [8002] * 40
+    models = [cnn_toxicity.fit(df, labels, shape, per_shard=500) for df in (docs.repartition(5), docs.coalesce(1))]
+    assert all((a == b).all() for a, b in zip(*([m.embedding, m.thresholds, cnn_toxicity._flat(m)] for m in models), strict=True))
+    scorer = cnn_toxicity.Scorer(models[0])
+    assert scorer.score(long_text + "idiot number") >= 0.7 > scorer.score("fine words here")
+
+
+def test_one_shard_is_plain_descent(spark):
+    rng = random.Random(6)
+    shape = cnn_toxicity.Shape(buckets=1 << 10)
+    rows = [(i, " ".join(rng.choice("fine words and texts of the day".split()) for _ in range(rng.randrange(12))) + (" idiot" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = cnn_toxicity.fit(df, df, shape)
+    rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
+    texts = [np.array([cnn_toxicity.features(w, shape.buckets) for w in cnn_toxicity.words_of(t)], np.int32).reshape(-1, 3) for _, t, _ in rows]
+    plain = cnn_toxicity.train(texts, np.array([y for _, _, y in rows]), np.array([cnn_toxicity.guess(cnn_toxicity.words_of(t)) for _, t, _ in rows]), shape)
+    assert np.allclose(model.embedding, plain.embedding, atol=1e-4) and np.allclose(cnn_toxicity._flat(model), cnn_toxicity._flat(plain), atol=1e-4)
+    assert np.allclose(model.thresholds, plain.thresholds, atol=1e-2)
+
+
+def test_long_texts_train_in_pieces():
+    """Maxima and their places are those of the text as a whole, and no text's maximum takes in words of the next one."""
+    r = np.random.default_rng(3)
+    shape = cnn_toxicity.Shape(buckets=1 << 8)
+    model = cnn_toxicity.Model(shape, r.normal(size=(256, shape.dims)).astype(np.float32), [r.normal(size=(w, shape.wide, 8)).astype(np.float32) for w in shape.widths], r.normal(size=24).astype(np.float32), r.normal(size=24).astype(np.float32), 0.1)
+    texts = [r.integers(0, 256, (n, 3)) for n in (0, 1, 2, 20, 21, 22, 100, 3)]
+    values, places = cnn_toxicity._best(model, texts)
+    for t, v in zip(texts, values, strict=True):
+        assert np.allclose(v, cnn_toxicity._best(model, [t])[0][0], atol=1e-5)
+    piece, cnn_toxicity.PIECE = cnn_toxicity.PIECE, 10
+    try:
+        again, there = cnn_toxicity._best(model, texts)
+    finally:
+        cnn_toxicity.PIECE = piece
+    assert np.allclose(values, again, atol=1e-5) and all(((a == b) | (v == 0)).all() for a, b, v in zip(places, there, np.split(values, 3, 1), strict=True))
+
+
 def test_scores_in_blocks_are_those_of_the_whole():
     rng = random.Random(1)
     shape = cnn_toxicity.Shape(buckets=1 << 8)
